@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality
+from . import linededup, mixing, packing, quality
 from .common import table
 
 
@@ -15,11 +15,14 @@ def _on(name: str, f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSessio
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": _on("documents", linededup.op1_line_dedup),
     "op2_mixing": _on("documents", mixing.op2_mixing),
+    "op6_packing": _on("documents", packing.op6_packing),
     "op9_quality_rules": _on("documents", quality.op9_quality),
 }
 
 ORACLES: dict[str, str] = {
+    "op1_line_dedup": linededup.OP1_SQL,
     "op2_mixing": mixing.OP2_SQL,
     "op9_quality_rules": quality.OP9_SQL,
 }
