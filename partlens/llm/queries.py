@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linededup, mixing, packing, quality
+from . import linededup, mixing, neardup, packing, quality
 from .common import table
 
 
@@ -17,6 +17,7 @@ def _on(name: str, f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSessio
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": _on("documents", linededup.op1_line_dedup),
     "op2_mixing": _on("documents", mixing.op2_mixing),
+    "op4_near_dedup": _on("documents", neardup.op4_near_dedup),
     "op6_packing": _on("documents", packing.op6_packing),
     "op9_quality_rules": _on("documents", quality.op9_quality),
 }
