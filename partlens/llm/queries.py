@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linededup, mixing, neardup, packing, quality
+from . import chat, linededup, mixing, neardup, packing, quality, topk
 from .common import table
 
 
@@ -18,12 +18,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": _on("documents", linededup.op1_line_dedup),
     "op2_mixing": _on("documents", mixing.op2_mixing),
     "op4_near_dedup": _on("documents", neardup.op4_near_dedup),
+    "op5_exact_top_k": _on("embeddings", topk.op5_top_k),
     "op6_packing": _on("documents", packing.op6_packing),
+    "op8_chat_formatting": lambda spark, sf_dir: chat.op8_chat(spark, table(spark, sf_dir, "conversations")),
     "op9_quality_rules": _on("documents", quality.op9_quality),
 }
 
 ORACLES: dict[str, str] = {
     "op1_line_dedup": linededup.OP1_SQL,
     "op2_mixing": mixing.OP2_SQL,
+    "op5_exact_top_k": topk.OP5_SQL,
+    "op8_chat_formatting": chat.OP8_SQL,
     "op9_quality_rules": quality.OP9_SQL,
 }
