@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, linededup, mixing, neardup, packing, quality, topk
+from . import chat, linededup, mixing, neardup, packing, quality, topk, toxicity
 from .common import table
 
 
@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_packing": _on("documents", packing.op6_packing),
     "op8_chat_formatting": lambda spark, sf_dir: chat.op8_chat(spark, table(spark, sf_dir, "conversations")),
     "op9_quality_rules": _on("documents", quality.op9_quality),
+    "op10_toxicity": lambda spark, sf_dir: toxicity.op10_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
 }
 
 ORACLES: dict[str, str] = {
