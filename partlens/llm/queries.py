@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, linededup, mixing, neardup, packing, quality, topk, toxicity
+from . import chat, linededup, mixing, neardup, packing, pii, quality, secrets, topk, toxicity
 from .common import table
 
 
@@ -17,9 +17,11 @@ def _on(name: str, f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSessio
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": _on("documents", linededup.op1_line_dedup),
     "op2_mixing": _on("documents", mixing.op2_mixing),
+    "op3_pii": _on("documents", pii.op3_pii),
     "op4_near_dedup": _on("documents", neardup.op4_near_dedup),
     "op5_exact_top_k": _on("embeddings", topk.op5_top_k),
     "op6_packing": _on("documents", packing.op6_packing),
+    "op7_secret_scan": _on("documents", secrets.op7_secrets),
     "op8_chat_formatting": lambda spark, sf_dir: chat.op8_chat(spark, table(spark, sf_dir, "conversations")),
     "op9_quality_rules": _on("documents", quality.op9_quality),
     "op10_toxicity": lambda spark, sf_dir: toxicity.op10_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
