@@ -59,3 +59,14 @@ def row_key(doc_id: Column, text: Column) -> list[Column]:
     Rows equal in both are one document; rows that share an id but not a text are told apart.
     """
     return [doc_id.alias("doc_id"), F.md5(text.cast("binary")).alias("content")]
+
+
+def small_batches(df: DataFrame, most_bytes: int = 8 << 20) -> DataFrame:
+    """Arrow batches of the session hold ``most_bytes`` at most (or one row), as whole texts may be long and
+    a Python worker holds several copies of a batch."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = df.sparkSession.conf.get(key, "64m").lower().rstrip("b")
+    unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(now[-1:], 1)
+    if int(now.rstrip("kmg") or 0) * unit not in range(1, most_bytes + 1):
+        df.sparkSession.conf.set(key, f"{most_bytes}b")
+    return df

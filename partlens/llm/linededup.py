@@ -4,7 +4,8 @@ A text is cut into chunks of consecutive lines. A chunk ends where a rolling dig
 the last two lines falls into a fixed share of its range, so an insertion moves only the boundaries
 next to it; long lines are chunks of their own. Chunks that occur before, in the order of
 (doc_id, content digest, position), in any document or in the same one are removed, after their bytes
-have been compared with those of the first occurrence.
+have been compared with those of the first occurrence. A chunk too short to count alone is compared
+together with the chunk before it or after it, so short chunks inside a longer repeated passage go too.
 
 Only digests and positions are shuffled to find repeats (with map-side minima, so a chunk that stands
 in a third of the documents is no hot key); texts move twice, by document: to compare, and to rewrite.
@@ -55,38 +56,56 @@ def _chunk(a: Column, e: Column, end: Column, k: Column) -> Column:
     return F.struct(k.alias("pos"), F.array_join(part, "\n").alias("text"))
 
 
+def units(cut: Column, min_words: int = MIN_WORDS) -> Column:
+    """array<struct<pos, side, text>>: what is compared to decide on the chunk at pos. A chunk of
+    ``min_words`` words or more stands alone (side 0); a shorter one stands with the chunk before it (1) and with
+    the one after it (2), if they have so many words together."""
+
+    def of(c: Column, i: Column) -> Column:
+        before, after = F.get(cut, i - 1)["text"], F.get(cut, i + 1)["text"]
+        alone = F.array(F.struct(c["pos"].alias("pos"), F.lit(0).alias("side"), c["text"].alias("text")))
+        pairs = F.array(
+            F.struct(c["pos"].alias("pos"), F.lit(1).alias("side"), F.concat(before, F.lit("\n"), c["text"]).alias("text")),
+            F.struct(c["pos"].alias("pos"), F.lit(2).alias("side"), F.concat(c["text"], F.lit("\n"), after).alias("text")),
+        )
+        return F.when(blanks(c["text"]) >= min_words - 1, alone).otherwise(pairs)
+
+    return F.filter(F.flatten(F.transform(cut, of)), lambda u: F.coalesce(blanks(u["text"]) >= min_words - 1, F.lit(False)))
+
+
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, long_words: int = LONG_WORDS) -> DataFrame:
     """doc_id, content, n_chunks, removed (positions, ascending) and the remaining text of each row.
 
-    Null texts count as empty and come out empty. Lines that only repeat as part of different chunks,
-    and chunks of fewer than ``min_words`` words, stay. Rows equal in doc_id and text are one document
+    Null texts count as empty and come out empty. Lines that only repeat as part of different chunks stay,
+    as do chunks that have fewer than ``min_words`` words together with a neighbour. Rows equal in doc_id and text are one document
     and share their fate; rows that share only the id are told apart. A text of nothing but repeats
     becomes empty; no row is dropped, and an empty table stays empty.
     """
     base = plain(docs, "doc_id", "text").select(*row_key(F.col("doc_id"), text_of()), text_of().alias("text"))
-    cut = base.withColumn("chunks", chunks(F.col("text"), long_words))
     key = F.struct("doc_id", "content", "pos")
 
-    light = cut.select("doc_id", "content", F.explode("chunks").alias("c"))
-    light = light.where(blanks(F.col("c.text")) >= min_words - 1)
-    light = light.select("doc_id", "content", "c.pos", F.xxhash64("c.text").alias("h"), F.length("c.text").alias("len"))
+    def compared(df: DataFrame, *more: str) -> DataFrame:
+        """One row a unit, with its text as ``chunk``."""
+        cut = df.withColumn("cut", chunks(F.col("text"), long_words))
+        cut = cut.select("doc_id", "content", *more, F.explode(units(F.col("cut"), min_words)).alias("u"))
+        return cut.select("doc_id", "content", *more, "u.pos", "u.side", F.col("u.text").alias("chunk")).withColumn("h", F.xxhash64("side", "chunk"))
+
+    light = compared(base).select("doc_id", "content", "pos", "side", "h", F.length("chunk").alias("len"))
     light = materialize(light, "line-chunks")
     repeated = light.groupBy("h", "len").agg(F.min(key).alias("first"), F.max(key).alias("last"))
     repeated = repeated.where(F.col("first") != F.col("last")).drop("last")
 
     # every occurrence of a repeated chunk, with its text
     places = light.join(repeated.select("h", "len"), ["h", "len"], "left_semi")
-    wanted = places.groupBy("doc_id", "content").agg(F.collect_set("pos").alias("wanted"))
+    wanted = places.groupBy("doc_id", "content").agg(F.collect_set(F.struct("pos", "side")).alias("wanted"))
     same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.content") == F.col(f"{b}.content"))
-    found = base.alias("b").join(wanted.alias("w"), same("b", "w"))
-    found = found.select("b.doc_id", "b.content", "wanted", F.explode(chunks(F.col("b.text"), long_words)).alias("c"))
-    found = found.where(F.array_contains("wanted", F.col("c.pos")))
-    found = found.select("doc_id", "content", "c.pos", F.col("c.text").alias("chunk"), F.xxhash64("c.text").alias("h"), F.length("c.text").alias("len"))
+    found = base.alias("b").join(wanted.alias("w"), same("b", "w")).select("b.doc_id", "b.content", "b.text", "w.wanted")
+    found = compared(found, "wanted").where(F.array_contains("wanted", F.struct("pos", "side"))).drop("wanted")
     found = materialize(found, "line-repeats")
 
     # byte comparison: groups are of equal text, not of equal hash
-    firsts = found.groupBy("h", "chunk").agg(F.min(key).alias("first"))
-    later = found.alias("f").join(firsts.alias("g"), (F.col("f.h") == F.col("g.h")) & (F.col("f.chunk") == F.col("g.chunk")))
+    firsts = found.groupBy("side", "h", "chunk").agg(F.min(key).alias("first"))
+    later = found.alias("f").join(firsts.alias("g"), (F.col("f.side") == F.col("g.side")) & (F.col("f.h") == F.col("g.h")) & (F.col("f.chunk") == F.col("g.chunk")))
     later = later.where(F.struct("f.doc_id", "f.content", "f.pos") != F.col("g.first"))
     removed = later.groupBy("f.doc_id", "f.content").agg(F.sort_array(F.collect_set("f.pos")).alias("removed"))
 
@@ -132,7 +151,13 @@ l1 AS (SELECT *, length(x) - length(replace(x, ' ', '')) AS b FROM l0),
 l2 AS (SELECT *, b >= 29 OR coalesce(lead(b) OVER w >= 29, true) OR md5(coalesce(lag(md5(x)) OVER w, '') || md5(x)) < '5' AS e FROM l1 WINDOW w AS (PARTITION BY r ORDER BY i)),
 l3 AS (SELECT *, coalesce(sum(e::INT) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM l2),
 c AS (SELECT r, pos, string_agg(x, chr(10) ORDER BY i) AS chunk, sum(b) + count(*) - 1 AS b FROM l3 GROUP BY r, pos),
-m AS (SELECT c.*, b >= 19 AND (c.r IS NOT NULL) AND rank() OVER (PARTITION BY b >= 19, chunk ORDER BY d.doc_id NULLS FIRST, d.content, pos) > 1 AS gone FROM c JOIN d USING (r)),
-o AS (SELECT r, count(*) FILTER (gone) AS n, coalesce(string_agg(chunk, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text FROM m GROUP BY r)
+n AS (SELECT *, lag(chunk) OVER w AS before, lag(b) OVER w AS bb, lead(chunk) OVER w AS after, lead(b) OVER w AS ba FROM c WINDOW w AS (PARTITION BY r ORDER BY pos)),
+u AS (SELECT r, pos, 0 AS side, chunk AS t FROM n WHERE b >= 19
+      UNION ALL SELECT r, pos, 1, before || chr(10) || chunk FROM n WHERE b < 19 AND b + bb + 1 >= 19
+      UNION ALL SELECT r, pos, 2, chunk || chr(10) || after FROM n WHERE b < 19 AND b + ba + 1 >= 19),
+m AS (SELECT u.r, pos, rank() OVER (PARTITION BY side, t ORDER BY d.doc_id NULLS FIRST, d.content, pos) > 1 AS gone FROM u JOIN d USING (r)),
+x AS (SELECT r, pos FROM m WHERE gone GROUP BY r, pos),
+k AS (SELECT c.r, c.pos, c.chunk, x.r IS NOT NULL AS gone FROM c LEFT JOIN x ON c.r = x.r AND c.pos = x.pos),
+o AS (SELECT r, count(*) FILTER (gone) AS n, coalesce(string_agg(chunk, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text FROM k GROUP BY r)
 SELECT d.doc_id, o.n::INT AS n_removed, (length(d.text) - length(o.text))::BIGINT AS removed_chars, o.text FROM o JOIN d USING (r)
 """

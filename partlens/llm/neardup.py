@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, plain, text_of
+from .common import materialize, plain, small_batches, text_of
 from .components import components
 from .quality import word_hashes
 
@@ -69,7 +69,7 @@ def shingles(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return (both >> np.uint64(48)).astype(np.int64), both & np.uint64(0xFFFFFFFFFFFF), count
 
 
-def _blocks(batch: pa.RecordBatch, most: int = 500_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _blocks(batch: pa.RecordBatch, most: int = 250_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Rows i:j of a batch with their word hashes, ``most`` words (or one row) at once."""
     lists = batch.column("hashes")
     ends = lists.offsets.to_numpy().astype(np.int64)
@@ -102,7 +102,7 @@ def shingle_weights(hashed: DataFrame, n_docs: int) -> np.ndarray:
     so that what remains is the frequency of the bucket's common shingles. Tables of 2^18 counts meet in
     one table of that size, whatever the input.
     """
-    rows = hashed.select("hashes").mapInArrow(_frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    rows = small_batches(hashed).select("hashes").mapInArrow(_frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(1 << DF_BITS)
     counts[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
     df = np.clip(counts - counts.mean(), 1, max(n_docs, 1))

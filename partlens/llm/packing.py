@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import small_batches, text_of
 
 SEGMENT = "struct<doc_id:bigint,start:bigint,length:bigint,offset:bigint,doc_tokens:bigint>"
 SCHEMA = f"sequence_id long, n_tokens long, padded_to long, loss_tokens long, input_ids binary, segments array<{SEGMENT}>"
@@ -45,7 +45,7 @@ class Words:
     ``most``: words remembered at most; beyond it the memory starts afresh.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 150_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -95,7 +95,7 @@ class Words:
 _words: dict[str, Words] = {}  # a Python worker serves many tasks
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int, most_chars: int = 4_000_000) -> Iterator[tuple]:
+def _encoded(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int, most_chars: int = 1_000_000) -> Iterator[tuple]:
     """(doc_id, ids, loss_from) of each row, ``most_chars`` bytes of text (or one row) at once."""
     words = _words.get(vocabulary) or _words.setdefault(vocabulary, Words(vocabulary))
     for batch in batches:
@@ -253,7 +253,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, limits: Limits = Lim
     """
     start = F.coalesce(F.col(f"`{loss_from}`").cast("long"), F.lit(0)) if loss_from else F.lit(0).cast("long")
     given = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"), start.alias("loss_from"))
-    return given.mapInArrow(lambda batches: _packed(batches, vocabulary, end_id, limits), SCHEMA)
+    return small_batches(given).mapInArrow(lambda batches: _packed(batches, vocabulary, end_id, limits), SCHEMA)
 
 
 def public_vocabulary(name: str = "word_bpe_49k.json") -> str:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, SPACE_CHARS, WORD, materialize, plain, text_of
+from .common import SPACE, SPACE_CHARS, WORD, materialize, plain, small_batches, text_of
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -97,7 +97,7 @@ def with_repeats(df: DataFrame, text: Column) -> DataFrame:
     """Adds n_repeat_words of ``text``; ``df``'s own columns must be plain ones without the text."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.drop("text").schema)
     given = df.withColumn("hashes", word_hashes(text)).drop("text")
-    return given.mapInArrow(_repeats, f"{fields}, n_repeat_words long")
+    return small_batches(given).mapInArrow(_repeats, f"{fields}, n_repeat_words long")
 
 
 @dataclass(frozen=True)

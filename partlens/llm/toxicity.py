@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import plain, text_of
+from .common import plain, small_batches, text_of
 
 BITS = 18
 FACTORS = 8
@@ -167,7 +167,7 @@ def score(docs: DataFrame, model: Machine) -> DataFrame:
     """doc_id, score of every row. Null and empty texts get the score of no terms; repeated rows are
     scored each; an empty table gives none."""
     given = plain(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), term_ids(text_of()).alias("terms"))
-    return given.mapInArrow(_scores(model), "doc_id long, score double")
+    return small_batches(given).mapInArrow(_scores(model), "doc_id long, score double")
 
 
 def op10_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
