@@ -2,7 +2,7 @@
 
 Besides the base patterns, every long token is a candidate. Its encoding is inferred from its characters;
 against that alphabet it is tested for uniformity (chi-squared), for runs of character classes and for
-serial correlation. Each test gives a p-value of "ordinary text": how likely an ordinary token of that
+serial correlation; separators do not count as a change of class. Each test gives a p-value of "ordinary text": how likely an ordinary token of that
 length looks as random. Fisher's method joins the three, and the Benjamini-Hochberg step over the
 candidates of all documents controls false discoveries; p-values are weighted by the bits that a token of
 its length and alphabet carries, so long tokens need less and short ones more.
@@ -30,7 +30,9 @@ TEXT_REPEAT = 0.066
 TEXT_CHANGES = 0.10
 #: Serial z-values of ordinary tokens spread so many times as wide as those of random ones.
 TEXT_SPREAD = 3.0
-FALSE_SHARE = 0.001
+FALSE_SHARE = 0.0001
+#: No test alone says more than this against an ordinary token, so names in mixed case need a second one.
+LEAST_P = 1e-5
 BINS, PER_UNIT = 4000, 20
 
 
@@ -61,8 +63,8 @@ def ordinary(token: Column) -> Column:
         excess = F.greatest(k * F.greatest(F.lit(TEXT_REPEAT), F.lit(1.6) / k) - 1, F.lit(0.3))
         uniform = normal_cdf((chi - (k - 1) - n * excess) / F.sqrt(2 * (k - 1) + 4 * n * excess))
 
-        classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, "[a-z]", "a"), "[A-Z]", "B"), "[0-9]", "0")
-        changes = F.regexp_count(classes, F.lit("a+|B+|0+|[^aB0]+")) - 1
+        classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.translate(t, "_/+-", ""), "[a-z]", "a"), "[A-Z]", "B"), "[0-9]", "0")
+        changes = F.regexp_count(classes, F.lit("a+|B+|0+")) - 1
         runs = 1 - normal_cdf((changes - (n - 1) * TEXT_CHANGES - 0.5) / F.sqrt((n - 1) * TEXT_CHANGES * (1 - TEXT_CHANGES)))
 
         codes = F.transform(chars, lambda c: F.ascii(c).cast("double"))
@@ -74,7 +76,7 @@ def ordinary(token: Column) -> Column:
             z = F.coalesce(F.try_divide(F.aggregate(pairs, F.lit(0.0), lambda s, y: s + y), spread), F.lit(1.0)) * F.sqrt(n)
             return 2 * normal_cdf(F.abs(z) / TEXT_SPREAD) - 1
 
-        parts = [F.greatest(p, F.lit(1e-12)) for p in (uniform, runs, let(codes, serial))]
+        parts = [F.greatest(p, F.lit(LEAST_P)) for p in (uniform, runs, let(codes, serial))]
         half = -(F.log(parts[0]) + F.log(parts[1]) + F.log(parts[2]))  # half of Fisher's statistic, six degrees of freedom
         return let(half, lambda h: F.exp(-h) * (1 + h + h * h / 2))
 

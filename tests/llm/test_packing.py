@@ -3,7 +3,7 @@ import zlib
 import numpy as np
 from tokenizers import Tokenizer
 
-from partlens.llm.packing import Limits, op6_packing, pack, public_vocabulary
+from partlens.llm.packing import Limits, Words, op6_packing, pack, public_vocabulary
 
 SCHEMA = "doc_id long, text string, extra int"
 
@@ -58,3 +58,17 @@ def test_limits(spark):
 
 def test_empty(spark):
     assert op6_packing(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_ids_by_words_are_the_tokenizers():
+    words = Words(public_vocabulary(), 2, 50)
+    texts = [
+        "'s don't I'LL x'd", " leading and trailing ", "", "\u00a0nb\u00a0sp", "İstanbul ΑΣ Å K ǅ ß ẞ ſ", "<|endoftext|>a <|startoftext|>",
+        "a_b-c...d 12ab34 ~!@#$%^&*()", "ª º µ × ÷ À Ö Ø Þ þ ÿ \u00ad", "e\u0301 n\u0303", "½ ²³ ¹ 日本語 x", "The the, THE. the", "a\x0bb\x1cc\x85d",
+    ]
+    import pyarrow as pa
+
+    for _ in range(2):
+        ids, bounds = words.encode(pa.array(texts))
+        for i, t in enumerate(texts):
+            assert ids[bounds[i] : bounds[i + 1]].tolist() == expected_ids(t), t
