@@ -1,0 +1,6 @@
+"""Registered queries of the library: importing this package fills the registry."""
+
+from . import text  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
