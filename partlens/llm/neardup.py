@@ -8,8 +8,10 @@ Jaccard similarity.
 
 Equal texts are one node. In a bucket, pairs are not enumerated: its most central node is compared
 with the others, what is linked becomes one component, and the next round compares the most central node
-outside the main component with all nodes of other components. Pairs that are left after some rounds
-are compared one by one, so no link that is a candidate is lost.
+outside the main component with all nodes of other components. What is still open after the rounds is
+settled by differences from the bucket's pivot, its most central node: two nodes that share no element
+which the pivot lacks are at least as far apart as their differences' weights tell, so only pairs that do
+share one, or whose weights leave room, are compared. No link between candidates is lost.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ BANDS, ROWS = 12, 3
 DF_BITS = 18
 #: Inverse document frequency moves a weight between UNIT and UNIT * (1 + STRENGTH).
 UNIT, STRENGTH = 64, 0.25
-ROUNDS = 6
+ROUNDS = 2
 
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9)]
 
@@ -238,7 +240,7 @@ class NearDuplicates:
             else:
                 now = now.withColumn("served", F.lit(False))
             rank = F.struct("central", "content")
-            head = now.groupBy("band", "key").agg(F.max_by("comp", rank).alias("main"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+            head = now.groupBy("band", "key").agg(F.max_by("comp", rank).alias("main"), F.max_by("content", rank).alias("pivot"), F.min("comp").alias("low"), F.max("comp").alias("high"))
             now = now.join(head.where("low <> high").drop("low", "high"), ["band", "key"])
             now = materialize(now, "near-open")
             open_ones = now.where("NOT served AND (comp <> main)" if turn else "NOT served")
@@ -249,10 +251,7 @@ class NearDuplicates:
                 mark = lead.select("band", "key", F.col("lead.content").alias("content"), F.lit(True).alias("served"))
                 served = materialize(mark if served is None else served.unionByName(mark), "near-served")
             else:
-                x, y = open_ones.alias("x"), now.alias("y")
-                on = (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("y.served") == F.lit(False))
-                on = on & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.content") < F.col("y.content"))) & self._sizes("x.total", "y.total")
-                pairs = x.join(y, on).select(F.col("x.content").alias("a"), F.col("x.total").alias("ta"), F.col("y.content").alias("b"), F.col("y.total").alias("tb"))
+                pairs = self._by_difference(now, elements)
             pairs = materialize(pairs.where(self._sizes("ta", "tb")).select("a", "b").distinct(), "near-pairs")
             if pairs.isEmpty():
                 if turn >= ROUNDS or open_ones.isEmpty():
@@ -268,6 +267,41 @@ class NearDuplicates:
             comps = materialize(comps.select("content", F.coalesce("to", "comp").alias("comp")), "near-comps")
         return comps
 
+    def _by_difference(self, now: DataFrame, elements: DataFrame) -> DataFrame:
+        """Pairs that are left to compare: one of them outside its bucket's main component, in different
+        components, and not ruled out by their differences from the pivot.
+
+        With E a node's elements that the pivot P lacks (weight e) and d the weight of P's that the node lacks,
+        nodes whose E are disjoint differ by e1 + e2 + abs(d1 - d2) at least.
+        """
+        is_open = (F.col("comp") != F.col("main")) & ~F.col("served")
+        members = now.groupBy("pivot", "content", "total", "comp").agg(F.max(is_open.cast("int")).alias("open"))
+        x, y = elements.alias("x"), elements.alias("y")
+        diff = members.alias("m").join(x, F.col("m.content") == F.col("x.content")).join(y, F.col("m.pivot") == F.col("y.content"))
+        beyond = F.array_except("x.elements", "y.elements")
+        diff = diff.select("m.*", beyond.alias("beyond"), F.col("y.total").alias("of_pivot"))
+        diff = diff.withColumn("e", _weight(F.col("beyond"))).withColumn("d", F.col("of_pivot") - (F.col("total") - F.col("e"))).drop("of_pivot")
+        diff = materialize(diff, "near-differences")
+
+        def pairs(on: Column, left: DataFrame, right: DataFrame) -> DataFrame:
+            a, b = left.alias("a"), right.alias("b")
+            on = on & (F.col("a.pivot") == F.col("b.pivot")) & (F.col("a.comp") != F.col("b.comp")) & self._sizes("a.total", "b.total")
+            on = on & ((F.col("b.open") == 0) | (F.col("a.content") < F.col("b.content")))
+            return a.join(b, on).select(F.col("a.content").alias("a"), F.col("a.total").alias("ta"), F.col("b.content").alias("b"), F.col("b.total").alias("tb"))
+
+        each = diff.select("pivot", "content", "total", "comp", "open", F.explode("beyond").alias("element"))
+        # elements that one node alone has beyond the pivot cannot be shared
+        common = each.groupBy("pivot", "element").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("pivot", "element")
+        each = each.join(common, ["pivot", "element"])
+        shared = pairs(F.col("a.element") == F.col("b.element"), each.where("open = 1"), each)
+        # weights leave room: e1 + e2 + abs(d1 - d2) <= (w1 + w2) (1 - t) / (1 + t); first ask whether any partner could
+        slim = diff.drop("beyond")
+        room = slim.groupBy("pivot").agg(F.max(F.col("d") - F.col("e")).alias("slack"), F.max("total").alias("widest"))
+        least = (F.col("e") + F.col("d") - F.col("slack")) * (100 + self.percent) <= (F.col("total") + F.least(F.col("widest"), F.floor(F.col("total") * 100 / self.percent) + 1)) * (100 - self.percent)
+        able = slim.where("open = 1").join(room, "pivot").where(least).drop("slack", "widest")
+        near = (F.col("a.e") + F.col("b.e") + F.abs(F.col("a.d") - F.col("b.d"))) * (100 + self.percent) <= (F.col("a.total") + F.col("b.total")) * (100 - self.percent)
+        return shared.unionByName(pairs(near, able, slim))
+
     def _sizes(self, a: str, b: str) -> Column:
         return F.least(a, b) * 100 >= F.greatest(a, b) * self.percent
 
