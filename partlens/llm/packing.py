@@ -12,6 +12,7 @@ sequence, is cut into sequences whose lengths are powers of two, which need no p
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,66 +39,126 @@ class Limits:
     window: int = 64
 
 
-class Words:
-    """Token ids of words. The vocabulary's pre-tokenizer never crosses white space, so a text's ids are
-    its words' ids one after the other; each distinct word is encoded once while it is remembered.
-
-    ``most``: words remembered at most; beyond it the memory starts afresh.
-    """
+class _Memory:
+    """Ids of strings that were seen: number i has ``ids[begin[i]:begin[i + 1]]``. Starts afresh beyond ``most``."""
 
-    def __init__(self, path: str, most: int = 150_000):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+    def __init__(self, most: int):
         self.most = most
         self.clear()
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
-        self.begin = np.zeros((1 << 14) + 1, np.int64)  # begin[i]:begin[i + 1] are word i's ids
+        self.begin = np.zeros((1 << 14) + 1, np.int64)
+
+    def make_room(self, strings: list[str]) -> list[str]:
+        """Those that are new; forgets all if they would be too many."""
+        if len(self.at) + len(strings) > self.most:
+            self.clear()
+        at = self.at
+        return [x for x in strings if x not in at]
 
-    def _learn(self, new: list[str]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+    def add(self, strings: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
         n, used = len(self.at), int(self.begin[len(self.at)])
-        ends = used + np.cumsum([len(x) for x in got])
-        while len(self.ids) < ends[-1]:
+        ends = used + np.cumsum(counts)
+        while len(self.ids) < used + len(ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while len(self.begin) < n + len(new) + 1:
+        while len(self.begin) < n + len(strings) + 1:
             self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
-        self.ids[used : ends[-1]] = np.fromiter((i for x in got for i in x), np.uint32, int(ends[-1]) - used)
-        self.begin[n + 1 : n + 1 + len(new)] = ends
-        self.at.update(zip(new, range(n, n + len(new)), strict=True))
+        self.ids[used : used + len(ids)] = ids
+        self.begin[n + 1 : n + 1 + len(strings)] = ends
+        self.at.update(zip(strings, range(n, n + len(strings)), strict=True))
+
+    def numbers(self, strings: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.at.__getitem__, strings), np.int64, len(strings))
+
+    def gather(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the numbers, one after the other, and how many each has."""
+        begin = self.begin[which]
+        counts = self.begin[which + 1] - begin
+        ends = np.cumsum(counts)
+        take = np.repeat(begin - ends + counts, counts)
+        take += np.arange(len(take))
+        return self.ids[take], counts
+
 
-    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after the other, ``end_id`` after each; and where each text's ids begin and end."""
+class Words:
+    """Token ids of texts, by words. The vocabulary's pre-tokenizer never crosses white space, so a text's ids
+    are its words' ids one after the other, and a word is encoded once while it is remembered.
+
+    The vocabulary lower-cases and cuts a word into runs of letters, single digits and runs of the rest. A
+    word of ASCII and Latin-1 characters without an apostrophe is cut here, so that ``the`` and ``The,``
+    share a run; other words are encoded whole.
+    """
+
+    PLAIN = re.compile(r"[!-&(-~ß-öø-ÿ]+")
+    RUNS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+    END = ""  # number 0 of the words is the end of a text
+
+    def __init__(self, path: str, end_id: int, most: int = 450_000):
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.whole = Tokenizer.from_file(path)
+        self.runs_only = Tokenizer.from_file(path)
+        self.runs_only.normalizer = normalizers.Sequence([])
+        self.runs_only.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.end_id = end_id
+        self.runs, self.words = _Memory(most), _Memory(most)
+
+    def _learn_runs(self, runs: list[str]) -> None:
+        new = self.runs.make_room(runs)
+        for i in range(0, len(new), 1000):
+            part = new[i : i + 1000]
+            got = self.runs_only.encode(" ".join(part), add_special_tokens=False)
+            self.runs.add(part, np.array(got.ids, np.uint32), np.bincount(np.array(got.word_ids, np.int64), minlength=len(part)))
+
+    def _learn(self, words: list[str]) -> None:
+        low = [w.lower() for w in words]
+        plain = [("<|" not in x) and self.PLAIN.fullmatch(x) is not None for x in low]
+        cut = [self.RUNS.findall(x) for x, p in zip(low, plain, strict=True) if p]
+        flat = [r for c in cut for r in c]
+        self._learn_runs(list(dict.fromkeys(flat)))
+        ids, counts = self.runs.gather(self.runs.numbers(flat))
+        ends = np.concatenate([[0], np.cumsum(counts)])[np.cumsum([0, *map(len, cut)])]
+        self.words.add([w for w, p in zip(words, plain, strict=True) if p], ids, np.diff(ends))
+        other = [w for w, p in zip(words, plain, strict=True) if not p]
+        got = [e.ids for e in self.whole.encode_batch_fast(other, add_special_tokens=False)]
+        self.words.add(other, np.array([i for x in got for i in x], np.uint32), np.array([len(x) for x in got], np.int64))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, the end id after each; and where each text's ids begin and end."""
         words = pc.split_pattern_regex(texts.cast(pa.large_string()), r"[\x20\x09-\x0D]+")
         starts = words.offsets.to_numpy().astype(np.int64)
         coded = words.values.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        if len(self.at) + len(distinct) > self.most:
-            self.clear()
-        if new := [w for w in distinct if w not in self.at]:
+        new = self.words.make_room([self.END, *distinct])
+        if new and new[0] == self.END and not self.words.at:
+            self.words.add([self.END], np.array([self.end_id], np.uint32), np.array([1]))
+        if new := [w for w in new if w != self.END]:
             self._learn(new)
-        at = self.at
-        which = np.fromiter((at[w] for w in distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
-        lengths = self.begin[which + 1] - self.begin[which]
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        bounds = ends[starts - starts[0]] + np.arange(len(starts))  # each text has one more id
-        take = np.repeat(self.begin[which] - ends[:-1], lengths) + np.arange(ends[-1])
-        out = np.full(bounds[-1], end_id, np.uint32)
-        inside = np.ones(bounds[-1], bool)
-        inside[bounds[1:] - 1] = False
-        out[inside] = self.ids[take]
-        return out, bounds
-
-
-_words: dict[str, Words] = {}  # a Python worker serves many tasks
-
-
-def _encoded(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int, most_chars: int = 1_000_000) -> Iterator[tuple]:
+        which = self.words.numbers(distinct)[coded.indices.to_numpy()]
+        which = np.where(which == 0, -1, which)  # blanks at an edge of a text give an empty word
+        # each text's words, and the end after them
+        n = np.diff(starts)
+        every = np.zeros(len(which) + len(n), np.int64)
+        inside = np.ones(len(every), bool)
+        inside[np.cumsum(n + 1) - 1] = False
+        every[inside] = which
+        ends = np.cumsum(n + 1)
+        keep = every >= 0
+        if not keep.all():
+            ends = np.cumsum(keep)[ends - 1]
+            every = every[keep]
+        ids, counts = self.words.gather(every)
+        return ids, np.concatenate([[0], np.cumsum(counts)[ends - 1]])
+
+
+_words: dict[tuple[str, int], Words] = {}  # a Python worker serves many tasks
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int, most_chars: int = 2_000_000) -> Iterator[tuple]:
     """(doc_id, ids, loss_from) of each row, ``most_chars`` bytes of text (or one row) at once."""
-    words = _words.get(vocabulary) or _words.setdefault(vocabulary, Words(vocabulary))
+    words = _words.get((vocabulary, end_id)) or _words.setdefault((vocabulary, end_id), Words(vocabulary, end_id))
     for batch in batches:
         size = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64)
         upto = np.concatenate([[0], np.cumsum(size)])
@@ -105,7 +166,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int, mo
         while i < batch.num_rows:
             j = max(i + 1, int(np.searchsorted(upto, upto[i] + most_chars, "right")) - 1)
             part = batch.slice(i, j - i)
-            ids, bounds = words.encode(part.column("text"), end_id)
+            ids, bounds = words.encode(part.column("text"))
             loss = part.column("loss_from").to_pylist()
             for k, doc in enumerate(part.column("doc_id").to_pylist()):
                 yield doc, ids[bounds[k] : bounds[k + 1]], loss[k]
@@ -244,8 +305,8 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, limits: Limits = Lim
     32-bit) and its segments; ``padded_to`` is the length after padding.
 
     ``docs`` has doc_id and text; ``loss_from`` may name a column with the position from which a
-    document's tokens bear loss (null or none given: all do). ``vocabulary``: path of a tokenizers file
-    whose pre-tokenizer splits at white space.
+    document's tokens bear loss (null or none given: all do). ``vocabulary``: path of the tokenizers file
+    ``word_bpe_49k.json`` (see ``Words`` for what is known of it).
 
     Null or empty text: the document is its end id alone. Repeated rows are packed each, ties are broken by
     row order, a null doc_id stays null, long texts are cut, other columns are ignored; an empty table
