@@ -105,4 +105,4 @@ def ctes(*names: str) -> str:
     for name in order:
         sql = SRC_DUCK if name == "src" else TABLES[name][0]
         parts.append(f"{name} AS ({sql.format(**{n: n for n in TABLES[name][1]})})")
-    return "WITH " + ",\n".join(parts)
+    return "WITH RECURSIVE " + ",\n".join(parts)

@@ -1,6 +1,6 @@
 """Registered queries of the library: importing this package fills the registry."""
 
-from . import neighbours, points, regions, text  # noqa: F401
+from . import grids, neighbours, points, regions, text  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
