@@ -17,43 +17,47 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, plain, row_key, text_of
+from .spans import let
 
 LONG_WORDS = 30
 MIN_WORDS = 20
-#: A chunk ends where the first hex digit of the rolling digest is below this one.
-BOUNDARY = "5"
-
-
-def blanks(x: Column) -> Column:
-    return F.length(x) - F.length(F.translate(x, " \n", ""))
+#: A chunk ends where the rolling hash of the last two lines, modulo 16, is below this: every third line.
+BOUNDARY = 5
 
 
 def chunks(text: Column, long_words: int = LONG_WORDS) -> Column:
-    """array<struct<pos:int, text:string>>: the chunks of a text; joined by newlines they give it back."""
-    lines = F.split(text, "\n")
-    each = F.transform(lines, lambda x: F.struct(x.alias("x"), F.md5(x.cast("binary")).alias("d"), (blanks(x) >= long_words - 1).alias("long")))
+    """array<struct<pos:int, text:string, blanks:int>>: the chunks of a text; joined by newlines they give it
+    back. ``blanks`` counts blanks and newlines: one less than the words, in plain text."""
+
+    def describe(x: Column) -> Column:
+        digest = F.md5(x.cast("binary"))
+        value = F.ascii(F.substring(digest, 1, 1)) * 31 + F.ascii(F.substring(digest, 2, 1))
+        blanks = F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
+        return F.struct(x.alias("x"), value.alias("h"), blanks.alias("blanks"))
 
     def ends(a: Column) -> Column:
         last = F.size(a) - 1
 
-        def is_end(i: Column) -> Column:
-            now, before, after = (F.get(a, i + k) for k in (0, -1, 1))
-            rolling = F.md5(F.concat(F.coalesce(before["d"], F.lit("")), now["d"]).cast("binary"))
-            return (i == last) | now["long"] | F.coalesce(after["long"], F.lit(False)) | (F.substring(rolling, 1, 1) < BOUNDARY)
+        def is_end(now: Column, i: Column) -> Column:
+            before, after = F.get(a, i - 1), F.get(a, i + 1)
+            rolling = (F.coalesce(before["h"], F.lit(0)) * 7 + now["h"]) % 16
+            split = (now["blanks"] >= long_words - 1) | F.coalesce(after["blanks"] >= long_words - 1, F.lit(False))
+            return F.when((i == last) | split | (rolling < BOUNDARY), i)
 
-        return F.filter(F.sequence(F.lit(0), last), is_end)
+        return F.filter(F.transform(a, is_end), lambda i: i.isNotNull())
 
-    # each step is an argument of the next, so that none is evaluated twice
     def cut(a: Column) -> Column:
-        return F.element_at(F.transform(F.array(ends(a)), lambda e: F.transform(e, lambda end, k: _chunk(a, e, end, k))), 1)
+        return let(ends(a), lambda e: F.transform(e, lambda end, k: _chunk(a, end, F.coalesce(F.get(e, k - 1), F.lit(-1)) + 1, k)))
+
+    return let(F.transform(F.split(text, "\n"), describe), cut)
 
-    return F.element_at(F.transform(F.array(each), cut), 1)
 
+def _chunk(a: Column, end: Column, start: Column, k: Column) -> Column:
+    def of(part: Column) -> Column:
+        blanks = F.aggregate(part, F.size(part) - 1, lambda s, x: s + x["blanks"])
+        return F.struct(k.alias("pos"), F.array_join(F.transform(part, lambda x: x["x"]), "\n").alias("text"), blanks.alias("blanks"))
 
-def _chunk(a: Column, e: Column, end: Column, k: Column) -> Column:
-    start = F.coalesce(F.get(e, k - 1), F.lit(-1)) + 1
-    part = F.transform(F.slice(a, start + 1, end - start + 1), lambda s: s["x"])
-    return F.struct(k.alias("pos"), F.array_join(part, "\n").alias("text"))
+    return let(F.slice(a, start + 1, end - start + 1), of)
 
 
 def units(cut: Column, min_words: int = MIN_WORDS) -> Column:
@@ -62,15 +66,21 @@ def units(cut: Column, min_words: int = MIN_WORDS) -> Column:
     the one after it (2), if they have so many words together."""
 
     def of(c: Column, i: Column) -> Column:
-        before, after = F.get(cut, i - 1)["text"], F.get(cut, i + 1)["text"]
-        alone = F.array(F.struct(c["pos"].alias("pos"), F.lit(0).alias("side"), c["text"].alias("text")))
+        before, after = F.get(cut, i - 1), F.get(cut, i + 1)
+
+        def unit(side: int, text: Column) -> Column:
+            return F.struct(c["pos"].alias("pos"), F.lit(side).alias("side"), text.alias("text"))
+
+        def paired(side: int, other: Column, text: Column) -> Column:
+            return F.when(c["blanks"] + other["blanks"] + 1 >= min_words - 1, unit(side, text))
+
         pairs = F.array(
-            F.struct(c["pos"].alias("pos"), F.lit(1).alias("side"), F.concat(before, F.lit("\n"), c["text"]).alias("text")),
-            F.struct(c["pos"].alias("pos"), F.lit(2).alias("side"), F.concat(c["text"], F.lit("\n"), after).alias("text")),
+            paired(1, before, F.concat(before["text"], F.lit("\n"), c["text"])),
+            paired(2, after, F.concat(c["text"], F.lit("\n"), after["text"])),
         )
-        return F.when(blanks(c["text"]) >= min_words - 1, alone).otherwise(pairs)
+        return F.when(c["blanks"] >= min_words - 1, F.array(unit(0, c["text"]))).otherwise(F.array_compact(pairs))
 
-    return F.filter(F.flatten(F.transform(cut, of)), lambda u: F.coalesce(blanks(u["text"]) >= min_words - 1, F.lit(False)))
+    return F.flatten(F.transform(cut, of))
 
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, long_words: int = LONG_WORDS) -> DataFrame:
@@ -147,8 +157,8 @@ def op1_line_dedup(docs: DataFrame) -> DataFrame:
 OP1_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, md5(coalesce(text, '')) AS content FROM documents),
 l0 AS (SELECT r, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS i FROM d),
-l1 AS (SELECT *, length(x) - length(replace(x, ' ', '')) AS b FROM l0),
-l2 AS (SELECT *, b >= 29 OR coalesce(lead(b) OVER w >= 29, true) OR md5(coalesce(lag(md5(x)) OVER w, '') || md5(x)) < '5' AS e FROM l1 WINDOW w AS (PARTITION BY r ORDER BY i)),
+l1 AS (SELECT *, length(x) - length(replace(x, ' ', '')) AS b, ascii(substr(md5(x), 1, 1)) * 31 + ascii(substr(md5(x), 2, 1)) AS h FROM l0),
+l2 AS (SELECT *, b >= 29 OR coalesce(lead(b) OVER w >= 29, true) OR (coalesce(lag(h) OVER w, 0) * 7 + h) % 16 < 5 AS e FROM l1 WINDOW w AS (PARTITION BY r ORDER BY i)),
 l3 AS (SELECT *, coalesce(sum(e::INT) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM l2),
 c AS (SELECT r, pos, string_agg(x, chr(10) ORDER BY i) AS chunk, sum(b) + count(*) - 1 AS b FROM l3 GROUP BY r, pos),
 n AS (SELECT *, lag(chunk) OVER w AS before, lag(b) OVER w AS bb, lead(chunk) OVER w AS after, lead(b) OVER w AS ba FROM c WINDOW w AS (PARTITION BY r ORDER BY pos)),
