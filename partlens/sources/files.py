@@ -29,7 +29,7 @@ def filter_files(df: DataFrame, text: str, keep: bool = True) -> DataFrame:
 
 def image_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Decoded images; what cannot be decoded stays as a row with bad = true."""
-    df = spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", True).load(folder)
+    df = spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", True).option("pathGlobFilter", "*.{gif,png,jpg,jpeg,tif,tiff}").load(folder)
     return df.select("image.origin", "image.width", "image.height", "image.nChannels", "image.data", (F.col("image.width") < 0).alias("bad"))
 
 
