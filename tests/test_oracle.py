@@ -64,6 +64,6 @@ def test_plans_have_no_python_and_no_cartesian_product(spark, name):
 def test_one_exchange_serves_both_passes(spark):
     from partlens.operators import neighbours as N
 
-    cells = spark.range(64).selectExpr("0L AS grid_id", "CAST(id % 8 AS INT) AS x", "CAST(id / 8 AS INT) AS y", "CAST(id AS INT) AS v")
+    cells = spark.range(64).selectExpr("id % 3 AS grid_id", "CAST(id % 8 AS INT) AS x", "CAST(id / 8 AS INT) AS y", "CAST(id AS INT) AS v")
     plan = N.gather(cells, 3, 3)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
