@@ -7,16 +7,23 @@ next to it; long lines are chunks of their own. Chunks that occur before, in the
 have been compared with those of the first occurrence. A chunk too short to count alone is compared
 together with the chunk before it or after it, so short chunks inside a longer repeated passage go too.
 
+These rules are those of ``OP1_SQL``, and ``op1_line_dedup`` keeps to them: a repeated line stays where it shares its
+chunk with lines that do not repeat. ``dedup_lines``, the stage of the pipeline, compares all shortest runs of lines
+with enough words instead of chunks (``remove_passages``), so it takes repeated passages up to their edges.
+
 Only digests and positions are shuffled to find repeats (with map-side minima, so a chunk that stands
 in a third of the documents is no hot key); texts move twice, by document: to compare, and to rewrite.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, plain, row_key, text_of
+from .common import WORD, materialize, plain, row_key, small_batches, text_of
 from .spans import let
 
 LONG_WORDS = 30
@@ -91,8 +98,7 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, long_words: int
     and share their fate; rows that share only the id are told apart. A text of nothing but repeats
     becomes empty; no row is dropped, and an empty table stays empty.
     """
-    base = plain(docs, "doc_id", "text").select(*row_key(F.col("doc_id"), text_of()), text_of().alias("text"))
-    key = F.struct("doc_id", "content", "pos")
+    base = _texts(docs)
 
     def compared(df: DataFrame, *more: str) -> DataFrame:
         """One row a unit, with its text as ``chunk``."""
@@ -100,28 +106,115 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, long_words: int
         cut = cut.select("doc_id", "content", *more, F.explode(units(F.col("cut"), min_words)).alias("u"))
         return cut.select("doc_id", "content", *more, "u.pos", "u.side", F.col("u.text").alias("chunk")).withColumn("h", F.xxhash64("side", "chunk"))
 
-    light = compared(base).select("doc_id", "content", "pos", "side", "h", F.length("chunk").alias("len"))
+    later = _later(base, compared, ["pos", "side"], ["side", "h", "chunk"])
+    removed = later.groupBy("f.doc_id", "f.content").agg(F.sort_array(F.collect_set("f.pos")).alias("removed"))
+    out = base.alias("b").join(removed.alias("r"), _same("b", "r"), "left")
+    out = out.select("b.doc_id", "b.content", F.col("b.text").alias("before"), "r.removed")
+    return out.withColumn("text", F.when(F.col("removed").isNull(), F.col("before")).otherwise(without(F.col("before"), F.col("removed"), long_words)))
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return plain(docs, "doc_id", "text").select(*row_key(F.col("doc_id"), text_of()), text_of().alias("text"))
+
+
+def _same(a: str, b: str) -> Column:
+    return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.content") == F.col(f"{b}.content"))
+
+
+def _later(base: DataFrame, compared: Callable[..., DataFrame], place: list[str], equal: list[str]) -> DataFrame:
+    """The occurrences, as ``f``, of what ``compared`` makes of the texts that are not the first of their text.
+
+    ``place`` names a unit in its document, its position first; units are the same if ``equal`` columns are.
+    """
+    key = F.struct("doc_id", "content", place[0])
+    light = compared(base).select("doc_id", "content", *place, "h", F.length("chunk").alias("len"))
     light = materialize(light, "line-chunks")
-    repeated = light.groupBy("h", "len").agg(F.min(key).alias("first"), F.max(key).alias("last"))
-    repeated = repeated.where(F.col("first") != F.col("last")).drop("last")
+    repeated = light.groupBy("h", "len").agg(F.min(key).alias("first_key"), F.max(key).alias("last_key"))
+    repeated = repeated.where(F.col("first_key") != F.col("last_key")).select("h", "len")
 
     # every occurrence of a repeated chunk, with its text
-    places = light.join(repeated.select("h", "len"), ["h", "len"], "left_semi")
-    wanted = places.groupBy("doc_id", "content").agg(F.collect_set(F.struct("pos", "side")).alias("wanted"))
-    same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.content") == F.col(f"{b}.content"))
-    found = base.alias("b").join(wanted.alias("w"), same("b", "w")).select("b.doc_id", "b.content", "b.text", "w.wanted")
-    found = compared(found, "wanted").where(F.array_contains("wanted", F.struct("pos", "side"))).drop("wanted")
+    places = light.join(repeated, ["h", "len"], "left_semi")
+    wanted = places.groupBy("doc_id", "content").agg(F.collect_set(F.struct(*place)).alias("wanted"))
+    found = base.alias("b").join(wanted.alias("w"), _same("b", "w")).select("b.doc_id", "b.content", "b.text", "w.wanted")
+    found = compared(found, "wanted").where(F.array_contains("wanted", F.struct(*place))).drop("wanted")
     found = materialize(found, "line-repeats")
 
     # byte comparison: groups are of equal text, not of equal hash
-    firsts = found.groupBy("side", "h", "chunk").agg(F.min(key).alias("first"))
-    later = found.alias("f").join(firsts.alias("g"), (F.col("f.side") == F.col("g.side")) & (F.col("f.h") == F.col("g.h")) & (F.col("f.chunk") == F.col("g.chunk")))
-    later = later.where(F.struct("f.doc_id", "f.content", "f.pos") != F.col("g.first"))
-    removed = later.groupBy("f.doc_id", "f.content").agg(F.sort_array(F.collect_set("f.pos")).alias("removed"))
+    firsts = found.groupBy(*equal).agg(F.min(key).alias("first_key"))
+    on = F.lit(True)
+    for c in equal:
+        on = on & (F.col(f"f.{c}") == F.col(f"g.{c}"))
+    later = found.alias("f").join(firsts.alias("g"), on)
+    return later.where(F.struct("f.doc_id", "f.content", f"f.{place[0]}") != F.col("g.first_key"))
+
+
+def _runs(text: pa.Array, min_words: int) -> pa.Array:
+    """For each text the shortest runs of lines with ``min_words`` words: one from each line onwards and one up to
+    each line, so that every longer run is made of them. Lines without words neither begin nor end a run."""
+    firsts, lasts, offsets = [], [], [0]
+    for t in text.cast(pa.large_binary()):
+        words = [(i, len(line.split(None, min_words))) for i, line in enumerate(t.as_py().split(b"\n"))]
+        words = [(i, n) for i, n in words if n]
+        found = set()
+        total, lo = 0, 0
+        for i, n in words:
+            total += n
+            while total >= min_words:
+                found.add((words[lo][0], i))
+                total -= words[lo][1]
+                lo += 1
+        total, hi = 0, len(words) - 1
+        for i, n in reversed(words):
+            total += n
+            while total >= min_words:
+                found.add((i, words[hi][0]))
+                total -= words[hi][1]
+                hi -= 1
+        for first, last in sorted(found):
+            firsts.append(first)
+            lasts.append(last)
+        offsets.append(len(firsts))
+    runs = pa.StructArray.from_arrays([pa.array(firsts, pa.int32()), pa.array(lasts, pa.int32())], ["first", "last"])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), runs)
+
+
+def remove_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, content and removed (line numbers from 0, ascending) of each document that repeats a passage.
+
+    A passage is a run of whole lines of ``min_words`` words or more. A line goes if it lies in a passage that occurs
+    before, in the order of (doc_id, content digest, line), in any document or in the same one; so of each line
+    that goes an equal one stays. Rows equal in doc_id and text are one document, as in ``remove_repeats``.
+    """
+    base = small_batches(_texts(docs))
 
-    out = base.alias("b").join(removed.alias("r"), same("b", "r"), "left")
-    out = out.select("b.doc_id", "b.content", F.col("b.text").alias("before"), "r.removed")
-    return out.withColumn("text", F.when(F.col("removed").isNull(), F.col("before")).otherwise(without(F.col("before"), F.col("removed"), long_words)))
+    @F.arrow_udf("array<struct<first:int,last:int>>")
+    def runs(text: pa.Array) -> pa.Array:
+        return _runs(text, min_words)
+
+    def compared(df: DataFrame, *more: str) -> DataFrame:
+        """One row a shortest run, with its text as ``chunk``."""
+
+        def texts(lines: Column) -> Column:
+            of = lambda r: F.array_join(F.slice(lines, r["first"] + 1, r["last"] - r["first"] + 1), "\n")
+            return F.transform("runs", lambda r: F.struct(r["first"].alias("first"), r["last"].alias("last"), of(r).alias("text")))
+
+        cut = df.withColumn("runs", runs("text"))
+        cut = cut.select("doc_id", "content", *more, F.explode(let(F.split("text", "\n"), texts)).alias("u"))
+        return cut.select("doc_id", "content", *more, "u.first", "u.last", F.col("u.text").alias("chunk")).withColumn("h", F.xxhash64("chunk"))
+
+    later = _later(base, compared, ["first", "last"], ["h", "chunk"])
+    lines = F.flatten(F.transform(F.collect_set(F.struct("f.first", "f.last")), lambda r: F.sequence(r["first"], r["last"])))
+    return later.groupBy("f.doc_id", "f.content").agg(F.sort_array(F.array_distinct(lines)).alias("removed"))
+
+
+def without_lines(text: Column, removed: Column) -> Column:
+    """The text without the lines of these numbers; empty if no word remains."""
+
+    def rest(lines: Column) -> Column:
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), removed)
+        return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+
+    return let(let(F.split(text, "\n"), rest), lambda t: F.when(t.rlike(WORD), t).otherwise(""))
 
 
 def without(text: Column, removed: Column, long_words: int = LONG_WORDS) -> Column:
@@ -130,15 +223,14 @@ def without(text: Column, removed: Column, long_words: int = LONG_WORDS) -> Colu
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with the texts that ``remove_repeats`` leaves; all other columns as they are, but that an
+    """``docs`` without the lines that ``remove_passages`` finds; all other columns as they are, but that an
     ``n_chars`` column is brought up to date."""
     names = docs.columns
-    done = remove_repeats(docs, min_words).where(F.col("removed").isNotNull()).select("doc_id", "content", "removed").distinct()
+    done = remove_passages(docs, min_words)
     rows = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"), *row_key(F.col("doc_id"), text_of()))
-    same = F.col("b.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("b.content") == F.col("r.content"))
-    df = rows.alias("b").join(done.alias("r"), same, "left").select("b.row", "r.removed")
+    df = rows.alias("b").join(done.alias("r"), _same("b", "r"), "left").select("b.row", "r.removed")
     df = df.select("row.*", F.col("removed").alias("_removed"))
-    text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(without(F.col("text"), F.col("_removed")))
+    text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(without_lines(F.col("text"), F.col("_removed")))
     df = df.withColumn("text", text)
     if "n_chars" in names:
         df = df.withColumn("n_chars", F.when(F.col("_removed").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))

@@ -1,3 +1,6 @@
+import hashlib
+import random
+
 import duckdb
 import pandas as pd
 import pytest
@@ -80,3 +83,44 @@ def test_shifted_multi_line_passage(spark):
     out = {r.doc_id: r.text for r in linededup.op1_line_dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert block in out[1]
     assert all(len(out[i]) < 0.2 * len(block) for i in range(2, 9))  # all but the chunks at its edges
+
+
+def repeated_lines(rows, least=20):
+    """Brute force: what is left of each text without the lines of runs of lines that occur before."""
+    texts = sorted({(r[0] is not None, r[0] or 0, hashlib.md5((r[1] or "").encode()).hexdigest(), r[1] or "") for r in rows})
+    seen, out = {}, {}
+    for d, (_, _, _, text) in enumerate(texts):
+        lines = text.split("\n")
+        for a in range(len(lines)):
+            for b in range(a, len(lines)):
+                seen.setdefault(tuple(lines[a : b + 1]), (d, a))
+    for d, (known, doc_id, _, text) in enumerate(texts):
+        lines, gone = text.split("\n"), set()
+        for a in range(len(lines)):
+            for b in range(a, len(lines)):
+                run = lines[a : b + 1]
+                if run[0].split() and run[-1].split() and sum(len(x.split()) for x in run) >= least and seen[tuple(run)] < (d, a):
+                    gone.update(range(a, b + 1))
+        left = "\n".join(x for i, x in enumerate(lines) if i not in gone)
+        out[doc_id if known else None, text] = left if left.split() or not gone else ""
+    return out
+
+
+def test_repeated_passages_go_up_to_their_edges(spark):
+    deal = random.Random(3)
+    line = lambda: " ".join(deal.choice("abcdefgh") + str(deal.randrange(90)) for _ in range(deal.choice([3, 8, 14, 25])))
+    blocks = [[line() if j % 4 else deal.choice(["", line()]) for j in range(deal.randrange(3, 9))] for _ in range(12)]
+    rows = []
+    for i in range(60):
+        parts = [[line() for _ in range(deal.randrange(3))] + (b := deal.choice(blocks))[deal.randrange(2) : len(b) - deal.randrange(2)] for _ in range(3)]
+        rows.append((i // 2, "\n".join(x for p in parts for x in p), "s", 1, ""))
+    short = "\n".join(f"short {j} " + "y " * 9 for j in range(6))  # 66 words, no line over 30
+    rows += [(100 + i, f"before {i}\n{short}\nafter {i}", "s", 1, "") for i in range(8)] + [(None, rows[5][1], "s", 1, ""), (7, None, "s", 1, ""), rows[3]]
+    want = repeated_lines(rows)
+    docs = spark.createDataFrame([(*r[:4], f"{r[0]} {r[1] or ''}") for r in rows], SCHEMA)
+    got = linededup.dedup_lines(docs).collect()
+    assert len(got) == len(rows)
+    before = {f"{r[0]} {r[1] or ''}": (r[0], r[1] or "") for r in rows}
+    assert all((r.text or "") == want[before[r.size]] for r in got)
+    assert sum(short in (r.text or "") for r in got) == 1
+    assert {r.text for r in got if (r.doc_id or 0) > 100} == {f"before {i}\nafter {i}" for i in range(1, 8)}
