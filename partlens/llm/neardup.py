@@ -20,7 +20,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, plain, small_batches, text_of
@@ -320,10 +320,11 @@ class NearDuplicates:
 
     def assigned(self) -> DataFrame:
         """doc_id, content, class_id (smallest doc_id of the class), one row a document row."""
-        nodes = self.nodes.join(self.classes, "content", "left")
-        nodes = nodes.withColumn("comp", F.coalesce("comp", "content"))
-        lowest = Window.partitionBy("comp")
-        nodes = nodes.withColumn("class_id", F.min("first").over(lowest)).withColumn("keeper", F.min(F.struct(F.col("first").isNull(), "first", "content")).over(lowest)["content"])
+        # the lowest of a class by map-side minima and one row a class: no task holds a class
+        of = self.classes.join(self.nodes, "content").groupBy("comp").agg(F.min("first").alias("class_id"), F.min(F.struct(F.col("first").isNull(), "first", "content"))["content"].alias("keeper"))
+        of = self.classes.join(of, "comp").select("content", "class_id", "keeper")
+        nodes = self.nodes.join(of, "content", "left")
+        nodes = nodes.withColumn("class_id", F.coalesce("class_id", "first")).withColumn("keeper", F.coalesce("keeper", "content"))
         return self.light.join(nodes.select("content", "first", "class_id", (F.col("keeper") == F.col("content")).alias("keeper")), "content").select(
             "doc_id", "content", "class_id", (F.col("keeper") & F.col("doc_id").eqNullSafe(F.col("first"))).alias("kept"),
         )

@@ -100,6 +100,16 @@ def test_kept_and_columns(spark, rows):
     assert neardup.op4_near_dedup(df.limit(0)).count() == 0
 
 
+def test_no_class_is_gathered_in_one_task(spark, rows):
+    near = neardup.NearDuplicates(spark.createDataFrame(rows[:40] + [(None, rows[0][1], "c", "t"), (None, "no id here", "c", "t")], SCHEMA))
+    out = near.assigned()
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "collect" not in plan
+    got = out.collect()
+    assert len(got) == 42 and {r.doc_id for r in got if r.kept} == {r.class_id for r in got}
+    assert all(r.class_id == min(x.doc_id for x in got if x.class_id == r.class_id and x.doc_id is not None) for r in got if r.class_id is not None)
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(f"{rng.randrange(80):03d}", f"{rng.randrange(80):03d}") for _ in range(60)] + [(f"p{i:03d}", f"p{i + 1:03d}") for i in range(60)]
