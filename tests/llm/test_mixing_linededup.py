@@ -124,3 +124,10 @@ def test_repeated_passages_go_up_to_their_edges(spark):
     assert all((r.text or "") == want[before[r.size]] for r in got)
     assert sum(short in (r.text or "") for r in got) == 1
     assert {r.text for r in got if (r.doc_id or 0) > 100} == {f"before {i}\nafter {i}" for i in range(1, 8)}
+
+
+def test_words_parted_by_tabs_count(spark):
+    line = "\t".join(f"t{i}" for i in range(60))
+    docs = spark.createDataFrame([(i, f"own {i}\n{line}\nend {i}", "s", 1, "") for i in range(3)] + [(9, line, "s", 1, "")], SCHEMA)
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(docs).collect()}
+    assert got == {0: f"own 0\n{line}\nend 0", 1: "own 1\nend 1", 2: "own 2\nend 2", 9: ""}
