@@ -6,12 +6,13 @@ documents draw the same sample with probability equal to their weighted Jaccard
 that share the samples of a band are candidates, and candidates are verified with the exact weighted
 Jaccard similarity.
 
-Equal texts are one node. In a bucket, pairs are not enumerated: its most central node is compared
-with the others, what is linked becomes one component, and the next round compares the most central node
-outside the main component with all nodes of other components. What is still open after the rounds is
-settled by differences from the bucket's pivot, its most central node: two nodes that share no element
-which the pivot lacks are at least as far apart as their differences' weights tell, so only pairs that do
-share one, or whose weights leave room, are compared. No link between candidates is lost.
+Equal texts are one node. In a bucket, pairs are not enumerated: its most central node, the pivot, is
+compared with the others, what is linked becomes one component, and the next round compares the most
+central node outside the pivot's component with all nodes of other components, as long as rounds find
+links. What is still open then is settled by differences from the pivot: whatever an open node is linked
+to shares one of the rare elements by which it differs from the pivot, so only nodes that share one are
+compared (``_prefixes``). Elements of whole groups of copies make no pairs, and no link between candidates
+is lost.
 """
 
 from __future__ import annotations
@@ -31,9 +32,11 @@ SHINGLE = 5
 BANDS, ROWS = 12, 3
 #: Buckets of the table of document frequencies: 2 MB on the driver, 256 KB as weights, at any input size.
 DF_BITS = 18
-#: Inverse document frequency moves a weight between UNIT and UNIT * (1 + STRENGTH).
-UNIT, STRENGTH = 64, 0.25
-ROUNDS = 2
+#: Inverse document frequency moves a weight between UNIT (in all documents) and UNIT * (1 + STRENGTH) (in a share of
+#: RARE or less), the same at any number of documents.
+UNIT, STRENGTH, RARE = 64, 0.25, 0.001
+#: Rounds that compare one node a bucket with the others go on while this share of the pairs they compare are links.
+LEAST_LINKED = 0.1
 
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9)]
 
@@ -101,14 +104,15 @@ def shingle_weights(hashed: DataFrame, n_docs: int) -> np.ndarray:
     """Weight of one occurrence of a shingle, by bucket of its id.
 
     Document frequencies of all documents are counted by bucket; the mean load of a bucket is taken off,
-    so that what remains is the frequency of the bucket's common shingles. Tables of 2^18 counts meet in
-    one table of that size, whatever the input.
+    so that what remains is the frequency of the bucket's common shingles. Shares of documents below ``RARE`` weigh
+    alike, so chance loads, which become smaller against the number of documents as it grows, do not count. Tables of
+    2^18 counts meet in one table of that size, whatever the input.
     """
     rows = small_batches(hashed).select("hashes").mapInArrow(_frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(1 << DF_BITS)
     counts[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
-    df = np.clip(counts - counts.mean(), 1, max(n_docs, 1))
-    idf = np.log((n_docs + 1) / (df + 1)) / np.log(max(n_docs, 1) + 1)
+    share = np.clip((counts - counts.mean()) / max(n_docs, 1), RARE, 1)
+    idf = np.log(share) / np.log(RARE)
     return np.rint(UNIT * (1 + STRENGTH * np.clip(idf, 0, 1))).astype(np.uint8)
 
 
@@ -186,6 +190,50 @@ def _elements(weights: np.ndarray) -> Callable:
     return run
 
 
+PREFIXES = "pivot string, content string, comp string, open int, total long, d long, lost int, element long, rest long, as_open boolean, as_any boolean"
+
+
+def _prefixes(percent: int) -> Callable:
+    """Of each node's difference D from its pivot, the elements of which a linked node must share one.
+
+    With w the weight of a node, t the threshold and c = (1 - t) / (1 + t), linked nodes X and Y differ by c (wX + wY) at
+    most, so their Ds share o = (dX + dY - c (wX + wY)) / 2. As dY is at least dX - c (wX + wY), that is at least
+    dX - c wX (1 + 1 / t); and where Y is open, dY is above c (wY + wP), it is at least (dX + c (wP - wX)) / 2. In any
+    order of elements, the first shared one has a weight of o from it on (``rest``).
+    """
+    t = percent / 100
+    c = (1 - t) / (1 + t)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, pivot = batch.column("elements"), batch.column("of_pivot")
+            total, single = batch.column("total").to_numpy(), batch.column("single").to_numpy()
+            found: list[tuple] = []
+            for i in range(batch.num_rows):
+                x, p = own[i].values.to_numpy(), pivot[i].values.to_numpy()
+                shared = np.isin(x, p)
+                gained = np.flatnonzero(~shared)
+                lost = np.setdiff1d(p, x[shared])
+                e = np.concatenate([x[gained], lost])
+                w = e & 255
+                d = int(w.sum())
+                rest = d - np.cumsum(w) + w
+                least = d - c * total[i] * (1 + 1 / t)
+                as_open = rest >= least - 1e-6
+                as_any = rest >= max(least, (d + c * (int((p & 255).sum()) - total[i])) / 2) - 1e-6
+                keep = as_open.copy()
+                keep[: int((gained < single[i]).sum())] = False  # no other node has these
+                at = np.flatnonzero(keep)
+                found.append((np.full(len(at), i), np.full(len(at), d), at >= len(gained), e[at], rest[at], as_open[at], as_any[at]))
+            cols = [np.concatenate(x) for x in zip(*found, strict=True)]
+            row = pa.array(cols[0])
+            named = [batch.column(n).take(row) for n in ("pivot", "content", "comp", "open", "total")]
+            arrays = [*named, pa.array(cols[1], pa.int64()), pa.array(cols[2].astype(np.int32)), *(pa.array(x) for x in cols[3:])]
+            yield pa.RecordBatch.from_arrays(arrays, names=["pivot", "content", "comp", "open", "total", "d", "lost", "element", "rest", "as_open", "as_any"])
+
+    return run
+
+
 def _weight(elements: Column) -> Column:
     return F.aggregate(elements, F.lit(0).cast("long"), lambda s, x: s + x.bitwiseAND(F.lit(255).cast("long")))
 
@@ -223,8 +271,9 @@ class NearDuplicates:
         """content, total, band, key of all nodes in buckets of two or more, with the node's centrality: the
         number of nodes it meets over its bands."""
         each = signed.select("content", "total", F.posexplode("keys").alias("band", "key"))
-        sizes = each.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-        shared = each.join(sizes, ["band", "key"])
+        # what a bucket's rows are joined with is a table of its own, so that adaptive execution may split a hot bucket
+        sizes = materialize(each.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"), "near-sizes")
+        shared = materialize(each.join(sizes, ["band", "key"]), "near-shared")
         central = shared.groupBy("content").agg(F.sum("n").alias("central"))
         return materialize(shared.drop("n").join(central, "content"), "near-members")
 
@@ -232,75 +281,89 @@ class NearDuplicates:
         members = self._members(signed)
         elements = self._elements_of(members.select("content").distinct(), signed)
         comps = members.select("content", F.col("content").alias("comp")).distinct()
-        served = None
-        for turn in range(ROUNDS + 1):
+        rank = F.struct("central", "content")
+        pivots = materialize(members.groupBy("band", "key").agg(F.max_by("content", rank).alias("pivot")), "near-pivots")
+        served = None  # nodes that were compared with all others of a bucket
+        while True:
             now = members.join(comps, "content")
-            if served is not None:
-                now = now.join(served, ["band", "key", "content"], "left").withColumn("served", F.coalesce("served", F.lit(False)))
-            else:
+            if served is None:
                 now = now.withColumn("served", F.lit(False))
-            rank = F.struct("central", "content")
-            head = now.groupBy("band", "key").agg(F.max_by("comp", rank).alias("main"), F.max_by("content", rank).alias("pivot"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-            now = now.join(head.where("low <> high").drop("low", "high"), ["band", "key"])
-            now = materialize(now, "near-open")
-            open_ones = now.where("NOT served AND (comp <> main)" if turn else "NOT served")
-            if turn < ROUNDS:
-                lead = open_ones.groupBy("band", "key").agg(F.max_by(F.struct("content", "comp", "total"), rank).alias("lead"))
-                pairs = now.join(lead, ["band", "key"]).where("comp <> lead.comp")
-                pairs = pairs.select(F.col("content").alias("a"), F.col("total").alias("ta"), F.col("lead.content").alias("b"), F.col("lead.total").alias("tb"))
-                mark = lead.select("band", "key", F.col("lead.content").alias("content"), F.lit(True).alias("served"))
-                served = materialize(mark if served is None else served.unionByName(mark), "near-served")
             else:
-                pairs = self._by_difference(now, elements)
-            pairs = materialize(pairs.where(self._sizes("ta", "tb")).select("a", "b").distinct(), "near-pairs")
-            if pairs.isEmpty():
-                if turn >= ROUNDS or open_ones.isEmpty():
-                    break
-                continue
-            links = materialize(self._verified(pairs, elements), "near-links")
-            if links.isEmpty():
-                continue
-            # links between components join them
-            ends = links.join(comps.select(F.col("content").alias("a"), F.col("comp").alias("ca")), "a").join(comps.select(F.col("content").alias("b"), F.col("comp").alias("cb")), "b")
-            joined = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-            comps = comps.join(joined.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left")
-            comps = materialize(comps.select("content", F.coalesce("to", "comp").alias("comp")), "near-comps")
-        return comps
+                now = now.join(served, ["band", "key", "content"], "left").withColumn("served", F.coalesce("served", F.lit(False)))
+            now = materialize(now.join(pivots, ["band", "key"]), "near-now")
+            heads = now.where("content = pivot").select("band", "key", F.col("comp").alias("main"))
+            left = now.where("NOT served").groupBy("band", "key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n"))
+            # a bucket is open while two nodes that were not served are in different components, or none was served
+            heads = materialize(heads.join(left.where("low <> high").select("band", "key"), ["band", "key"]), "near-heads")
+            now = materialize(now.join(heads, ["band", "key"]), "near-open")
+            open_ones = now.where("NOT served" if served is None else "NOT served AND comp <> main")
+            lead = open_ones.groupBy("band", "key").agg(F.max_by(F.struct("content", "comp", "total"), rank).alias("lead"))
+            lead = materialize(lead, "near-lead")
+            pairs = now.join(lead, ["band", "key"]).where("comp <> lead.comp")
+            pairs = pairs.select(F.col("content").alias("a"), F.col("total").alias("ta"), F.col("lead.content").alias("b"), F.col("lead.total").alias("tb"))
+            mark = lead.select("band", "key", F.col("lead.content").alias("content"), F.lit(True).alias("served"))
+            served = mark if served is None else served.unionByName(mark)
+            compared, linked, comps = self._join(pairs, elements, comps)
+            if linked < LEAST_LINKED * compared or not compared:
+                break
+        now = now.drop("comp", "served").join(comps, "content").join(served, ["band", "key", "content"], "left_anti")
+        return self._join(self._by_difference(now.join(self._main_of(pivots, comps), "pivot"), elements), elements, comps)[2]
+
+    @staticmethod
+    def _main_of(pivots: DataFrame, comps: DataFrame) -> DataFrame:
+        return pivots.select("pivot").distinct().join(comps, F.col("pivot") == F.col("content")).select("pivot", F.col("comp").alias("of_pivot"))
+
+    def _join(self, pairs: DataFrame, elements: DataFrame, comps: DataFrame) -> tuple[int, int, DataFrame]:
+        """How many pairs were compared, how many are links, and the components after these links."""
+        pairs = materialize(pairs.where(self._sizes("ta", "tb")).select("a", "b").distinct(), "near-pairs")
+        compared = pairs.count()
+        if not compared:
+            return 0, 0, comps
+        links = materialize(self._verified(pairs, elements), "near-links")
+        linked = links.count()
+        if not linked:
+            return compared, 0, comps
+        # links between components join them
+        ends = links.join(comps.select(F.col("content").alias("a"), F.col("comp").alias("ca")), "a").join(comps.select(F.col("content").alias("b"), F.col("comp").alias("cb")), "b")
+        joined = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        comps = comps.join(joined.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left")
+        return compared, linked, materialize(comps.select("content", F.coalesce("to", "comp").alias("comp")), "near-comps")
 
     def _by_difference(self, now: DataFrame, elements: DataFrame) -> DataFrame:
-        """Pairs that are left to compare: one of them outside its bucket's main component, in different
-        components, and not ruled out by their differences from the pivot.
-
-        With E a node's elements that the pivot P lacks (weight e) and d the weight of P's that the node lacks,
-        nodes whose E are disjoint differ by e1 + e2 + abs(d1 - d2) at least.
+        """Pairs that are left to compare: two nodes of a bucket that were not served, in different components, one of
+        them outside the pivot's, that share one of the rare differences by which every link would show.
+
+        ``D`` of a node is its difference from the pivot: elements it has beyond it and elements of the pivot it lacks.
+        Two nodes differ by the elements that one D alone holds. A node outside the pivot's component differs from the
+        pivot by more than a link allows, so whatever it is linked to shares part of its D; of D's elements, rare ones
+        first, a prefix must then hold a shared one (``_prefixes``). Elements that all copies have, or that all but
+        the pivot have, come last and make no pairs.
         """
-        is_open = (F.col("comp") != F.col("main")) & ~F.col("served")
-        members = now.groupBy("pivot", "content", "total", "comp").agg(F.max(is_open.cast("int")).alias("open"))
-        x, y = elements.alias("x"), elements.alias("y")
-        diff = members.alias("m").join(x, F.col("m.content") == F.col("x.content")).join(y, F.col("m.pivot") == F.col("y.content"))
-        beyond = F.array_except("x.elements", "y.elements")
-        diff = diff.select("m.*", beyond.alias("beyond"), F.col("y.total").alias("of_pivot"))
-        diff = diff.withColumn("e", _weight(F.col("beyond"))).withColumn("d", F.col("of_pivot") - (F.col("total") - F.col("e"))).drop("of_pivot")
-        diff = materialize(diff, "near-differences")
-
-        def pairs(on: Column, left: DataFrame, right: DataFrame) -> DataFrame:
-            a, b = left.alias("a"), right.alias("b")
-            on = on & (F.col("a.pivot") == F.col("b.pivot")) & (F.col("a.comp") != F.col("b.comp")) & self._sizes("a.total", "b.total")
-            on = on & ((F.col("b.open") == 0) | (F.col("a.content") < F.col("b.content")))
-            return a.join(b, on).select(F.col("a.content").alias("a"), F.col("a.total").alias("ta"), F.col("b.content").alias("b"), F.col("b.total").alias("tb"))
-
-        each = diff.select("pivot", "content", "total", "comp", "open", F.explode("beyond").alias("element"))
-        # elements that one node alone has beyond the pivot cannot be shared
-        common = each.groupBy("pivot", "element").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("pivot", "element")
-        each = each.join(common, ["pivot", "element"])
-        shared = pairs(F.col("a.element") == F.col("b.element"), each.where("open = 1"), each)
-        # weights leave room: e1 + e2 + abs(d1 - d2) <= (w1 + w2) (1 - t) / (1 + t); first ask whether any partner could
-        slim = diff.drop("beyond")
-        room = slim.groupBy("pivot").agg(F.max(F.col("d") - F.col("e")).alias("slack"), F.max("total").alias("widest"))
-        least = (F.col("e") + F.col("d") - F.col("slack")) * (100 + self.percent) <= (F.col("total") + F.least(F.col("widest"), F.floor(F.col("total") * 100 / self.percent) + 1)) * (100 - self.percent)
-        able = slim.where("open = 1").join(room, "pivot").where(least).drop("slack", "widest")
-        near = (F.col("a.e") + F.col("b.e") + F.abs(F.col("a.d") - F.col("b.d"))) * (100 + self.percent) <= (F.col("a.total") + F.col("b.total")) * (100 - self.percent)
-        return shared.unionByName(pairs(near, able, slim))
+        buckets = now.groupBy("band", "key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("band", "key")
+        now = now.join(materialize(buckets, "near-left"), ["band", "key"])
+        nodes = now.groupBy("pivot", "content", "total", "comp").agg(F.max((F.col("comp") != F.col("of_pivot")).cast("int")).alias("open"))
+        some = nodes.groupBy("pivot").agg(F.max("open").alias("any")).where("any = 1").select("pivot")
+        nodes = materialize(nodes.join(some, "pivot"), "near-rest")
+
+        # elements in the order of their number of nodes, and how many of them no other node has
+        wanted = nodes.select(F.explode(F.array("content", "pivot")).alias("content")).distinct()
+        each = elements.drop("total").join(wanted, "content").select("content", F.explode("elements").alias("e"))
+        each = materialize(each, "near-each")
+        often = materialize(each.groupBy("e").agg(F.count("*").alias("n")).where("n > 1"), "near-often")
+        ranked = each.join(often, "e", "left").groupBy("content").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "e"))).alias("ranked"))
+        ranked = materialize(ranked.select("content", F.col("ranked.e").alias("elements"), F.size(F.filter("ranked", lambda x: x["n"] == 1)).alias("single")), "near-ranked")
+
+        x, y = ranked.alias("x"), ranked.select(F.col("content").alias("p"), F.col("elements").alias("of_pivot")).alias("y")
+        rows = nodes.join(x, "content").join(y, F.col("pivot") == F.col("p"))
+        rows = small_batches(rows.select("pivot", "content", "comp", "open", "total", "single", "elements", "of_pivot"))
+        rows = materialize(rows.mapInArrow(_prefixes(self.percent), PREFIXES), "near-prefixes")
+        a, b = rows.where("open = 1 AND as_open").alias("a"), rows.where("as_any").alias("b")
+        on = (F.col("a.pivot") == F.col("b.pivot")) & (F.col("a.lost") == F.col("b.lost")) & (F.col("a.element") == F.col("b.element"))
+        on = on & (F.col("a.comp") != F.col("b.comp")) & self._sizes("a.total", "b.total") & ((F.col("b.open") == 0) | (F.col("a.content") < F.col("b.content")))
+        # what both have from here on must make up for what is too much in their differences
+        least = (F.col("a.d") + F.col("b.d")) * (100 + self.percent) - (F.col("a.total") + F.col("b.total")) * (100 - self.percent)
+        on = on & (F.least("a.rest", "b.rest") * 2 * (100 + self.percent) >= least)
+        return a.join(b, on).select(F.col("a.content").alias("a"), F.col("a.total").alias("ta"), F.col("b.content").alias("b"), F.col("b.total").alias("tb"))
 
     def _sizes(self, a: str, b: str) -> Column:
         return F.least(a, b) * 100 >= F.greatest(a, b) * self.percent
