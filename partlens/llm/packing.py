@@ -6,8 +6,9 @@ has the largest dot product with the room that is left goes in. When none fits,
 the tokens that remain.
 
 Packing needs no shuffle: each task packs its own rows through a window of bounded size, and what is
-left at the end of a window waits for the next one. The rest at the end of a task, less than a
-sequence, is cut into sequences whose lengths are powers of two, which need no padding.
+left at the end of a window waits for the next one. A sequence that cannot be filled, as it has all the
+segments or loss-bearing tokens it may hold or is the last of its task, is cut into sequences whose lengths are
+powers of two, which need no padding.
 """
 
 from __future__ import annotations
@@ -20,18 +21,25 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_of
+from .common import WORD, small_batches, text_of
 
 SEGMENT = "struct<doc_id:bigint,start:bigint,length:bigint,offset:bigint,doc_tokens:bigint>"
 SCHEMA = f"sequence_id long, n_tokens long, padded_to long, loss_tokens long, input_ids binary, segments array<{SEGMENT}>"
 
+#: Loss-bearing tokens that a sequence of ``op6_packing`` holds at most: 15/16 of its tokens.
+LOSS_TOKENS = 3840
+
 
 @dataclass(frozen=True)
 class Limits:
-    """What a sequence may hold. ``window`` sequences' worth of pieces are packed at once."""
+    """What a sequence may hold. ``window`` sequences' worth of pieces are packed at once.
+
+    A limit of loss-bearing tokens below that of tokens keeps every sequence from being all answers or all prompts,
+    as far as the window's pieces allow.
+    """
 
     tokens: int = 4096
     segments: int = 256
@@ -125,8 +133,9 @@ class Words:
         got = [e.ids for e in self.whole.encode_batch_fast(other, add_special_tokens=False)]
         self.words.add(other, np.array([i for x in got for i in x], np.uint32), np.array([len(x) for x in got], np.int64))
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after the other, the end id after each; and where each text's ids begin and end."""
+    def encode(self, texts: pa.Array, leading: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, the end id after each; where each text's ids begin and end; and how
+        many ids its first ``leading`` words have."""
         words = pc.split_pattern_regex(texts.cast(pa.large_string()), r"[\x20\x09-\x0D]+")
         starts = words.offsets.to_numpy().astype(np.int64)
         coded = words.values.dictionary_encode()
@@ -150,14 +159,17 @@ class Words:
             ends = np.cumsum(keep)[ends - 1]
             every = every[keep]
         ids, counts = self.words.gather(every)
-        return ids, np.concatenate([[0], np.cumsum(counts)[ends - 1]])
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        begin = np.concatenate([[0], ends[:-1]])
+        first = np.minimum(begin + (0 if leading is None else leading), ends - 1)
+        return ids, upto[np.concatenate([[0], ends])], upto[first] - upto[begin]
 
 
 _words: dict[tuple[str, int], Words] = {}  # a Python worker serves many tasks
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int, most_chars: int = 2_000_000) -> Iterator[tuple]:
-    """(doc_id, ids, loss_from) of each row, ``most_chars`` bytes of text (or one row) at once."""
+    """(doc_id, ids, position where the loss begins) of each row, ``most_chars`` bytes of text (or one row) at once."""
     words = _words.get((vocabulary, end_id)) or _words.setdefault((vocabulary, end_id), Words(vocabulary, end_id))
     for batch in batches:
         size = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -166,8 +178,8 @@ def _encoded(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int, mo
         while i < batch.num_rows:
             j = max(i + 1, int(np.searchsorted(upto, upto[i] + most_chars, "right")) - 1)
             part = batch.slice(i, j - i)
-            ids, bounds = words.encode(part.column("text"))
-            loss = part.column("loss_from").to_pylist()
+            ids, bounds, prompt = words.encode(part.column("text"), part.column("prompt_words").to_numpy())
+            loss = np.maximum(part.column("loss_from").to_numpy(), prompt).tolist()
             for k, doc in enumerate(part.column("doc_id").to_pylist()):
                 yield doc, ids[bounds[k] : bounds[k + 1]], loss[k]
             i = j
@@ -202,46 +214,86 @@ class Packer:
         yield from self._drain(0)
 
     def _drain(self, rest: int) -> Iterator[list[tuple]]:
-        """Sequences until at most ``rest`` tokens are held; with 0, what does not fill one is cut at powers of two."""
-        lim = self.limits
-        items = self.items
-        size = np.array([x[3] for x in items], np.int64)
-        loss = np.array([self._loss(x) for x in items], np.int64)
-        free = np.ones(len(items), bool)
+        """Sequences until at most ``rest`` tokens are held; one that cannot be filled is cut at powers of two."""
+        pool = _Pool(self.items, [self._loss(x) for x in self.items])
+        most = np.array([self.limits.tokens, self.limits.segments, self.limits.loss_tokens], np.float64)
         while self.held > rest and self.held > 0:
-            room = np.array([lim.tokens, lim.segments, lim.loss_tokens], np.int64)
+            room = most.astype(np.int64)
             got: list[tuple] = []
             while room[0] > 0 and room[1] > 0:
-                share = room / np.array([lim.tokens, lim.segments, lim.loss_tokens])
-                score = size * (share[0] / lim.tokens) + share[1] / lim.segments + loss * (share[2] / lim.loss_tokens)
-                fits = free & (size <= room[0]) & (loss <= room[2])
-                if fits.any():
-                    i = int(np.argmax(np.where(fits, score, -1.0)))
-                    got.append(items[i])
-                    free[i] = False
-                    room -= (size[i], 1, loss[i])
+                score = pool.scores(room / most / most)
+                k = pool.best(score, (pool.size <= room[0]) & (pool.loss <= room[2]))
+                if k is not None:
+                    item = pool.take(k)
+                    room -= (pool.size[k], 1, pool.loss[k])
+                    got.append(item)
                     continue
-                if not free.any():
+                k = pool.best(score, (pool.size > pool.loss) | (room[2] > 0))
+                if k is None:
                     break
                 # none fits whole: cut the best piece to the tokens and loss-bearing tokens that remain
-                i = int(np.argmax(np.where(free, score, -1.0)))
-                doc, ids, start, length, loss_from = items[i]
+                doc, ids, start, length, loss_from = pool.take(k)
                 n = int(min(length, room[0], max(0, loss_from - start) + room[2]))
-                if n <= 0:
-                    break
                 piece = (doc, ids, start, n, loss_from)
                 got.append(piece)
                 room -= (n, 1, self._loss(piece))
-                items[i] = (doc, ids, start + n, length - n, loss_from)
-                size[i], loss[i] = length - n, self._loss(items[i])
-                free[i] = length > n
-            n = int(lim.tokens - room[0])
+                left = (doc, ids, start + n, length - n, loss_from)
+                if length > n:
+                    pool.put(left, self._loss(left))
+            n = int(self.limits.tokens - room[0])
             self.held -= n
-            if n == lim.tokens or self.held > 0:
-                yield got
-            else:
-                yield from _powers(got)
-        self.items = [x for x, f in zip(items, free, strict=True) if f]
+            yield from [got] if n == self.limits.tokens else _powers(got)
+        self.items = pool.left()
+
+
+class _Pool:
+    """Pieces by their sizes: pieces with as many tokens and loss-bearing tokens are alike, so the choice looks at each
+    pair of sizes once, however many pieces there are."""
+
+    def __init__(self, items: list[tuple], loss: list[int]):
+        self.at: dict[tuple[int, int], int] = {}
+        self.pieces: list[list[tuple]] = []
+        for item, x in zip(items, loss, strict=True):
+            self._slot(item[3], x).append(item)
+        for alike in self.pieces:
+            alike.reverse()  # the first to come is the first taken
+        self._arrays()
+
+    def _slot(self, size: int, loss: int) -> list[tuple]:
+        k = self.at.setdefault((size, loss), len(self.pieces))
+        if k == len(self.pieces):
+            self.pieces.append([])
+        return self.pieces[k]
+
+    def _arrays(self) -> None:
+        pairs = np.array(list(self.at), np.int64).reshape(-1, 2)
+        self.size, self.loss = pairs[:, 0], pairs[:, 1]
+        self.there = np.array([len(x) > 0 for x in self.pieces], bool)
+
+    def scores(self, weight: np.ndarray) -> np.ndarray:
+        """Dot product of each pair's sizes, as shares of the limits, with the shares of room."""
+        return self.size * weight[0] + weight[1] + self.loss * weight[2]
+
+    def best(self, score: np.ndarray, fits: np.ndarray) -> int | None:
+        able = self.there & fits
+        k = int(np.argmax(np.where(able, score, -1.0))) if len(able) else 0
+        return k if len(able) and able[k] else None
+
+    def take(self, k: int) -> tuple:
+        item = self.pieces[k].pop()
+        self.there[k] = len(self.pieces[k]) > 0
+        return item
+
+    def put(self, item: tuple, loss: int) -> None:
+        known = len(self.at)
+        self._slot(item[3], loss).append(item)
+        if len(self.at) > known:
+            self._arrays()
+        else:
+            self.there[self.at[item[3], loss]] = True
+
+    def left(self) -> list[tuple]:
+        return [x for alike in self.pieces for x in reversed(alike)]
 
 
 def _powers(pieces: list[tuple]) -> Iterator[list[tuple]]:
@@ -300,20 +352,22 @@ def _packed(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int, lim
         yield out()
 
 
-def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, limits: Limits = Limits(), loss_from: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, limits: Limits = Limits(), loss_from: str | None = None, prompt: Column | None = None) -> DataFrame:
     """Sequences of at most ``limits.tokens`` tokens: one row each with its ids (little-endian unsigned
     32-bit) and its segments; ``padded_to`` is the length after padding.
 
     ``docs`` has doc_id and text; ``loss_from`` may name a column with the position from which a
-    document's tokens bear loss (null or none given: all do). ``vocabulary``: path of the tokenizers file
-    ``word_bpe_49k.json`` (see ``Words`` for what is known of it).
+    document's tokens bear loss, and ``prompt`` may give the part of the text, from its start, whose words bear none
+    (null or none given: all tokens do). ``vocabulary``: path of the tokenizers file ``word_bpe_49k.json`` (see
+    ``Words`` for what is known of it).
 
     Null or empty text: the document is its end id alone. Repeated rows are packed each, ties are broken by
     row order, a null doc_id stays null, long texts are cut, other columns are ignored; an empty table
     gives no sequences.
     """
     start = F.coalesce(F.col(f"`{loss_from}`").cast("long"), F.lit(0)) if loss_from else F.lit(0).cast("long")
-    given = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"), start.alias("loss_from"))
+    words = F.lit(0).cast("long") if prompt is None else F.coalesce(F.regexp_count(prompt, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
+    given = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"), start.alias("loss_from"), words.alias("prompt_words"))
     return small_batches(given).mapInArrow(lambda batches: _packed(batches, vocabulary, end_id, limits), SCHEMA)
 
 
@@ -330,7 +384,10 @@ def op6_packing(docs: DataFrame) -> DataFrame:
         F.crc32(_bytes(s)).alias("ids_crc32"),
         s["doc_tokens"].alias("doc_tokens"), s["offset"].alias("offset"),
     ))
-    out = pack(docs, public_vocabulary()).select("sequence_id", F.explode(piece).alias("p"))
+    # a document is read as an instruction, its first line, and an answer, the lines after it, which bear the loss
+    instruction = F.when(F.contains("text", F.lit("\n")), F.substring_index("text", "\n", 1))
+    limits = Limits(loss_tokens=LOSS_TOKENS)
+    out = pack(docs, public_vocabulary(), limits=limits, prompt=instruction).select("sequence_id", F.explode(piece).alias("p"))
     return out.select("p.doc_id", "p.start", "p.length", "p.ids_crc32", "p.doc_tokens", "sequence_id", "p.offset")
 
 

@@ -69,6 +69,57 @@ def test_ids_by_words_are_the_tokenizers():
     import pyarrow as pa
 
     for _ in range(2):
-        ids, bounds = words.encode(pa.array(texts))
+        ids, bounds, prompt = words.encode(pa.array(texts), np.array([k % 3 for k in range(len(texts))]))
+        assert [p for k, p in enumerate(prompt) if k % 3 == 0] == [0] * len(prompt[::3])
+        assert prompt[1] == len(expected_ids("leading")) - 1 and prompt[2] == 0
         for i, t in enumerate(texts):
             assert ids[bounds[i] : bounds[i + 1]].tolist() == expected_ids(t), t
+
+
+def padding_of(sequences):
+    return sum(0 if n & (n - 1) == 0 else 4096 - n for n in sequences)
+
+
+def test_short_documents_leave_no_padding():
+    import time
+
+    from partlens.llm.packing import Packer
+
+    for size, n in ((3, 90_000), (6, 20_000), (12, 20_000), (20, 20_000)):
+        began = time.perf_counter()
+        packer, ids = Packer(Limits(loss_tokens=3840)), np.zeros(size, np.uint32)
+        got = [s for i in range(n) for s in packer.add(i, ids, i % 2)] + list(packer.finish())
+        assert sum(x[3] for s in got for x in s) == size * n
+        assert padding_of(sum(x[3] for x in s) for s in got) == 0
+        assert all(len(s) <= 256 and sum(packer._loss(x) for x in s) <= 3840 for s in got)
+        assert time.perf_counter() - began < 30
+
+
+def test_every_limit_binds_and_prompts_fill_up():
+    from partlens.llm.packing import Packer
+
+    rng = np.random.default_rng(3)
+    packer = Packer(Limits(tokens=256, segments=6, loss_tokens=192, window=16))
+    examples = [(int(n), int(rng.integers(0, n // 2 + 1))) for n in rng.integers(1, 700, 300)] + [(2, 0)] * 200
+    got = [s for i, (n, k) in enumerate(examples) for s in packer.add(i, np.zeros(n, np.uint32), k)] + list(packer.finish())
+    places = {}
+    for s in got:
+        for doc, _, start, length, _ in s:
+            places.setdefault(doc, []).append((start, length))
+    for i, (n, _) in enumerate(examples):
+        at = 0
+        for start, length in sorted(places[i]):
+            assert start == at and length > 0
+            at += length
+        assert at == n
+    tokens, loss = [sum(x[3] for x in s) for s in got], [sum(packer._loss(x) for x in s) for s in got]
+    assert max(len(s) for s in got) == 6 and max(loss) == 192 and max(tokens) == 256
+    assert sum(n == 256 for n in tokens) > 0.5 * sum(tokens) / 256  # prompts are spread, so that most sequences are full
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "one two\nthree four", 9, 8, "x")], "doc_id long, text string, loss_from int, sequence_id int, prompt_words string")
+    got = op6_packing(df).collect()
+    assert sum(r.length for r in got) == len(expected_ids("one two\nthree four")) and {r.doc_id for r in got} == {1}
+    one = pack(df, public_vocabulary(), prompt=__import__("pyspark.sql.functions", fromlist=["x"]).lit("one two")).collect()
+    assert sum(r.loss_tokens for r in one) == len(expected_ids("three four"))
