@@ -5,7 +5,9 @@ interaction for each pair of them, the product of the terms' factor vectors; so
 mention of a group can weigh more than the two alone.
 
 The model is trained on the driver on a sample of labelled documents, ``TRAIN_ROWS`` at most, chosen by a
-hash of the id; its size is fixed by ``BITS`` and ``FACTORS``. Scoring is one pass over all documents.
+hash of the id and taken in the order of ids, so that the order of rows does not matter; its size is fixed by
+``BITS`` and ``FACTORS``. Before training, terms are screened: those that tell the classes apart alone stay, and
+those that tell them apart in a pair, though they may say nothing alone. Scoring is one pass over all documents.
 """
 
 from __future__ import annotations
@@ -29,6 +31,12 @@ TRAIN_ROWS = 20_000
 MIN_DOCS = 3
 MIN_RATIO = 12.0
 LEAST_TERMS = 64
+#: Pairs are looked for among so many terms (those present in and absent from most training documents), and a pair
+#: stays if its likelihood ratio beyond those of its terms is this much: 2 million pairs give none by chance.
+PAIR_TERMS = 2048
+PAIR_RATIO = 40.0
+#: Spread of the factors before training.
+FIRST = 0.05
 FOLDS = 5
 
 
@@ -67,23 +75,57 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
+def _ratio(a: np.ndarray, b: np.ndarray, toxic: float, clean: float) -> np.ndarray:
+    """Likelihood ratio of presence against label; ``a`` toxic and ``b`` other documents have it."""
+    c, d, n = toxic - a, clean - b, toxic + clean
+
+    def part(x: np.ndarray, row: np.ndarray, col: float) -> np.ndarray:
+        return np.where(x > 0, x * np.log(np.maximum(x, 1e-9) * n / np.maximum(row * col, 1e-9)), 0.0)
+
+    return 2 * (part(a, a + b, toxic) + part(b, a + b, clean) + part(c, c + d, toxic) + part(d, c + d, clean))
+
+
 def telling_terms(flat: np.ndarray, starts: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Which hashed terms the machine may weigh, by the likelihood ratio of presence against label."""
+    """Which hashed terms the machine may weigh: alone, by the likelihood ratio of presence against label, or as part of
+    a telling pair."""
     size = 1 << BITS
     of = np.repeat(y, np.diff(starts))
     a = np.bincount(flat, of, size)  # toxic documents with the term
     b = np.bincount(flat, minlength=size) - a
-    c, d = y.sum() - a, len(y) - y.sum() - b
-
-    def part(x: np.ndarray, row: np.ndarray, col: float) -> np.ndarray:
-        return np.where(x > 0, x * np.log(np.maximum(x, 1e-9) * len(y) / np.maximum(row * col, 1e-9)), 0.0)
-
-    ratio = 2 * (part(a, a + b, y.sum()) + part(b, a + b, len(y) - y.sum()) + part(c, c + d, y.sum()) + part(d, c + d, len(y) - y.sum()))
+    ratio = _ratio(a, b, y.sum(), len(y) - y.sum())
     ratio[a + b < MIN_DOCS] = 0.0
     order = np.argsort(-ratio, kind="stable")
     out = np.zeros(size, bool)
     out[order[: max(LEAST_TERMS, int((ratio >= MIN_RATIO).sum()))]] = True
-    return out & (ratio > 0)
+    out &= ratio > 0
+    out[telling_pairs(flat, starts, y, a + b, ratio).ravel()] = True
+    return out
+
+
+def telling_pairs(flat: np.ndarray, starts: np.ndarray, y: np.ndarray, n_docs: np.ndarray, ratio: np.ndarray, block: int = 1000) -> np.ndarray:
+    """Pairs of terms, one a row, whose presence together tells more than both do apart."""
+    spread = np.minimum(n_docs, len(y) - n_docs)
+    terms = np.sort(np.argsort(-spread, kind="stable")[:PAIR_TERMS])
+    terms = terms[spread[terms] >= MIN_DOCS]
+    place = np.full(1 << BITS, -1, np.int64)
+    place[terms] = np.arange(len(terms))
+    both, toxic = np.zeros((2, len(terms), len(terms)), np.float32)
+    for i in range(0, len(y), block):
+        j = min(len(y), i + block)
+        col = place[flat[starts[i] : starts[j]]]
+        row = np.repeat(np.arange(j - i), np.diff(starts[i : j + 1]))
+        x = np.zeros((j - i, len(terms)), np.float32)
+        x[row[col >= 0], col[col >= 0]] = 1
+        both += x.T @ x
+        x = x[y[i:j] > 0]
+        toxic += x.T @ x
+    found = []
+    for k in range(len(terms)):
+        a = toxic[k].astype(float)
+        more = _ratio(a, both[k] - a, y.sum(), len(y) - y.sum()) - ratio[terms[k]] - ratio[terms]
+        more[: k + 1] = 0.0
+        found.append([(terms[k], terms[m]) for m in np.flatnonzero(more >= PAIR_RATIO)])
+    return np.array([p for x in found for p in x], np.int64).reshape(-1, 2)
 
 
 def train(flat: np.ndarray, starts: np.ndarray, y: np.ndarray, steps: int = 4000, rate: float = 0.2, decay: float = 1e-4, batch: int = 128) -> Machine:
@@ -92,7 +134,7 @@ def train(flat: np.ndarray, starts: np.ndarray, y: np.ndarray, steps: int = 4000
     size = 1 << BITS
     known = telling_terms(flat, starts, y) if len(y) else np.zeros(size, bool)
     w = np.zeros(size)
-    v = np.where(known[:, None], rng.normal(0, 0.01, (size, FACTORS)), 0.0)
+    v = np.where(known[:, None], rng.normal(0, FIRST, (size, FACTORS)), 0.0)
     gw, gv, gb = np.full(size, 1e-6), np.full((size, FACTORS), 1e-6), 1e-6
     if not len(y) or y.min() == y.max():
         p = (y.sum() + 1) / (len(y) + 2)
@@ -134,16 +176,18 @@ def train(flat: np.ndarray, starts: np.ndarray, y: np.ndarray, steps: int = 4000
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TRAIN_ROWS) -> Machine:
     """Learns from labelled documents whose fold is not 0, ``rows`` of them at most.
 
-    Rows without a label or an id are left out; of labels that disagree the highest counts.
+    Rows without a label or an id are left out; of labels that disagree the highest counts, and of texts that share an
+    id the one with the smallest digest.
     """
     known = plain(labels, "doc_id", label).where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold_of(F.col("doc_id")) != 0))
     known = known.groupBy("doc_id").agg(F.max(label).alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = plain(docs, "doc_id", "text").join(F.broadcast(known), "doc_id")  # ``rows`` pairs of numbers at most
-    got = texts.select("y", term_ids(text_of()).alias("terms")).limit(2 * rows).toArrow()
+    one = texts.groupBy("doc_id").agg(F.first("y").alias("y"), F.min(F.struct(F.md5(text_of().cast("binary")), term_ids(text_of()).alias("terms")))["terms"].alias("terms"))
+    got = one.toArrow().sort_by("doc_id")
     y = got.column("y").to_numpy().astype(float)
     lists = got.column("terms").combine_chunks()
-    ends = lists.offsets.to_numpy().astype(np.int64)
-    return train(lists.values.to_numpy(zero_copy_only=False)[ends[0] :] if len(y) else np.zeros(0, np.int64), ends - ends[0], (y > 0).astype(float))
+    flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+    return train(flat, ends, (y > 0).astype(float))
 
 
 def _scores(model: Machine) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -166,8 +210,8 @@ def _scores(model: Machine) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 def score(docs: DataFrame, model: Machine) -> DataFrame:
     """doc_id, score of every row. Null and empty texts get the score of no terms; repeated rows are
     scored each; an empty table gives none."""
-    given = plain(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), term_ids(text_of()).alias("terms"))
-    return small_batches(given).mapInArrow(_scores(model), "doc_id long, score double")
+    given = plain(docs, "doc_id", "text").select("doc_id", term_ids(text_of()).alias("terms"))
+    return small_batches(given).mapInArrow(_scores(model), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def op10_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

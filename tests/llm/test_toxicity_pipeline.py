@@ -3,6 +3,8 @@ import zlib
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from partlens.llm import toxicity
 from partlens.llm.queries import ORACLES, QUERIES
@@ -34,6 +36,32 @@ def test_machine_learns_pairs():
     assert m.factor[1] @ m.factor[2] > 0
 
 
+def test_machine_learns_pairs_of_neutral_terms():
+    """Toxic where 1 and 2, or 3 and 4, meet; 1 and 3, or 2 and 4, are harmless: each term alone is neutral."""
+    rng = np.random.default_rng(8)
+    docs, y = [], []
+    for i in range(2000):
+        pair = [(1, 2), (3, 4), (1, 3), (2, 4)][i % 4]
+        docs.append([*pair, *rng.choice(np.arange(100, 800), 15, replace=False)])
+        y.append(float(i % 4 < 2))
+    starts, flat, y = np.cumsum([0, *map(len, docs)]), np.array([t for d in docs for t in d]), np.array(y)
+    alone = toxicity._ratio(np.full(4, 500.0), np.full(4, 500.0), 1000.0, 1000.0)
+    assert (alone < 1e-6).all() and toxicity.telling_terms(flat, starts, y)[[1, 2, 3, 4]].all()
+    half = 1000
+    m = toxicity.train(flat[: starts[half]], starts[: half + 1], y[:half])
+    rest = (flat[starts[half] :], starts[half:] - starts[half])
+    assert auc(m.raw(*rest), y[half:]) > 0.95
+    without = toxicity.Machine(m.bias, m.weight, np.zeros_like(m.factor))
+    assert auc(without.raw(*rest), y[half:]) < 0.7
+
+
+def test_order_of_rows_does_not_matter(spark):
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    docs = docs.unionByName(docs.where("doc_id % 7 = 0").withColumn("text", F.concat("text", F.lit(" other"))))  # ids that repeat
+    a, b = toxicity.op10_toxicity(docs, labels), toxicity.op10_toxicity(docs.repartition(7), labels.repartition(5))
+    assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+
 def test_raw_is_the_formula():
     rng = np.random.default_rng(1)
     m = toxicity.Machine(0.3, rng.normal(size=1 << toxicity.BITS), rng.normal(size=(1 << toxicity.BITS, toxicity.FACTORS)))
