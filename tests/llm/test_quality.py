@@ -62,3 +62,24 @@ def test_order_does_not_change_the_verdict(spark, monkeypatch, order):
     df = spark.createDataFrame(rows, SCHEMA)
     kept = {r.doc_id for r in quality.op9_quality(df).where("kept").collect()}
     assert kept == {r.doc_id for r in quality.cascade(df).collect()}
+
+
+def test_later_features_are_computed_for_what_earlier_rules_leave(spark):
+    """A rule that an earlier one spares its turn would fail on rows that the earlier one rejects."""
+    rules = [quality.Rule("short", "n_words < 10", ("n_words",)), quality.Rule("lines", "n_lines > 0", ("n_lines",))]
+    old = quality.LAZY["n_lines"]
+    quality.LAZY["n_lines"] = "CASE WHEN n_words < 10 THEN raise_error('computed') ELSE 1 END"
+    try:
+        df = spark.createDataFrame([(1, "a b", 2), (2, "a " * 30, 30)], "doc_id long, text string, n_words long")
+        got = {r.doc_id: r.v for r in df.select("doc_id", quality.lazy_verdict(rules, ("n_words",)).alias("v")).collect()}
+    finally:
+        quality.LAZY["n_lines"] = old
+    assert got == {1: "short", 2: "lines"}
+
+
+def test_lazy_features_are_the_base_features(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(t,) for t in TEXTS], "text string")
+    both = df.select(*[(F.expr(q) == quality.base_features(quality.text_of())[n]).alias(n) for n, q in quality.LAZY.items()])
+    assert all(all(r) for r in both.collect())
