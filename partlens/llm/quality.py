@@ -11,18 +11,21 @@ from __future__ import annotations
 
 import re
 import time
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from .common import SPACE, SPACE_CHARS, WORD, materialize, plain, small_batches, text_of
+from .spans import let
 
 SYMBOLS = "#*$%&|<>"
 #: Timed runs of each rule over the sample.
-TIMED_RUNS = 3
+TIMED_RUNS = 2
 WINDOW = 5
 
 
@@ -36,12 +39,13 @@ def base_features(text: Column) -> dict[str, Column]:
     """Counts over a whole text that built-in functions give."""
     spaces = F.length(text) - F.length(F.translate(text, SPACE_CHARS, ""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, SPACE_CHARS, "") != "")
+    again = let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
     return {
         "n_words": F.regexp_count(text, F.lit(WORD)).cast("long"),
         "word_chars": (F.length(text) - spaces).cast("long"),
         "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
         "n_lines": F.size(lines).cast("long"),
-        "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
+        "n_dup_lines": again.cast("long"),
         "n_upper": (F.length(text) - F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).cast("long"),
         "n_digits": (F.length(text) - F.length(F.translate(text, "0123456789", ""))).cast("long"),
     }
@@ -97,14 +101,17 @@ def _counted(lists: pa.Array, most: int = 2_000_000) -> pa.Array:
     return pa.array(out)
 
 
-def with_repeats(df: DataFrame, text: Column) -> DataFrame:
-    """Adds n_repeat_words of ``text`` and drops the text; only word hashes go to Python."""
+@F.arrow_udf(LongType())
+def n_repeats(hashes: pa.Array) -> pa.Array:
+    """Repeated words of a list of word hashes; nothing else of a row goes to Python."""
+    return _counted(hashes)
 
-    @F.arrow_udf("bigint")
-    def counted(lists: pa.Array) -> pa.Array:
-        return _counted(lists)
 
-    return small_batches(df.withColumn("n_repeat_words", counted(word_hashes(text))).drop("text"))
+def _replaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The column of word hashes, replaced by the count of repeated words."""
+    for batch in batches:
+        rest = batch.drop_columns(["hashes"])
+        yield pa.RecordBatch.from_arrays([*rest.columns, _counted(batch.column("hashes"))], names=[*rest.schema.names, "n_repeat_words"])
 
 
 @dataclass(frozen=True)
@@ -139,7 +146,7 @@ class RuleEstimate:
         return self.rejected / max(self.seconds, 1e-9)
 
 
-def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 1000) -> list[RuleEstimate]:
+def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 500) -> list[RuleEstimate]:
     """Cost and selectivity of each rule, from a hash-chosen sample of about ``sample_rows`` rows.
 
     The sample is a fixed share of all partitions, so it is bounded and follows no row order. Each
@@ -172,9 +179,9 @@ def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int
 def _features(df: DataFrame, names: set[str]) -> DataFrame:
     """``df`` with the named features; keeps ``text``."""
     cheap = {k: v for k, v in base_features(text_of()).items() if k in names}
-    if "n_repeat_words" not in names:
-        return df.withColumns(cheap)
-    return with_repeats(df.withColumns(cheap), text_of())
+    if "n_repeat_words" in names:
+        cheap["n_repeat_words"] = n_repeats(word_hashes(text_of()))
+    return small_batches(df.withColumns(cheap))
 
 
 def order_rules(estimates: list[RuleEstimate]) -> list[Rule]:
@@ -189,7 +196,10 @@ def measure(docs: DataFrame, names: tuple[str, ...] | None = None, **more: Colum
     Null or empty text: all counts 0. Repeated rows are measured each. An empty table gives none.
     """
     counts = {k: v for k, v in base_features(text_of()).items() if names is None or k in names}
-    return with_repeats(plain(docs, "doc_id", "text").withColumns(counts).withColumns(more), text_of())
+    counts["n_words"] = F.size("hashes").cast("long")  # the words are at hand
+    given = plain(docs, "doc_id", "text").withColumn("hashes", word_hashes(text_of())).withColumns(counts).withColumns(more).drop("text")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.drop("hashes").schema)
+    return small_batches(given).mapInArrow(_replaced, f"{fields}, n_repeat_words long")
 
 
 def verdict(rules: list[Rule]) -> Column:
@@ -210,7 +220,7 @@ def lazy_verdict(rules: list[Rule], known: tuple[str, ...]) -> Column:
     return out
 
 
-def cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 1000) -> DataFrame:
+def cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 500) -> DataFrame:
     """Documents that no rule rejects, with all their columns.
 
     Rules that need only built-in functions run in one pass in their estimated order, each seen only
@@ -231,7 +241,7 @@ def cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int =
     if first:
         df = df.where(verdict(ordered[:first]).isNull())
     if first < len(ordered):
-        df = with_repeats(df, text_of())
+        df = small_batches(df).withColumn("n_repeat_words", n_repeats(word_hashes(text_of())))
         df = df.where(verdict(ordered[first:]).isNull())
     return df.select("row.*")
 
@@ -240,7 +250,7 @@ def cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int =
 REPORTED = ("n_words", "word_chars", "n_symbols", "n_dup_lines")
 
 
-def op9_quality(docs: DataFrame, sample_rows: int = 1000) -> DataFrame:
+def op9_quality(docs: DataFrame, sample_rows: int = 500) -> DataFrame:
     """Base counts of every document, whether a base rule fails, and the cascade's verdict.
 
     The base counts are due for every row, so rules over them cost nothing more and stand first; the others' features
