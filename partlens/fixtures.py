@@ -31,7 +31,8 @@ BOXES = """SELECT l_partkey AS grid_id, CAST(l_linenumber % 3 AS BIGINT) AS line
 
 READINGS = """SELECT l_partkey AS part_id, l_orderkey * 10 + l_linenumber AS reading_id, 'AADD' AS template,
  CASE l_linenumber % 5 WHEN 0 THEN t WHEN 1 THEN translate(t, '0158', 'OISB')
- WHEN 2 THEN concat(substr(t, 1, 2), '-', substr(t, 3)) WHEN 3 THEN concat(' ', lower(t)) ELSE concat(t, 'X') END AS raw
+ WHEN 2 THEN concat(substr(t, 1, 2), '-', substr(t, 3)) WHEN 3 THEN concat(' ', lower(t), '©’')
+ ELSE CASE l_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN concat(t, '+=') ELSE concat(t, 'X') END END AS raw
  FROM (SELECT l_partkey, l_orderkey, l_linenumber,
  concat(substr(p_type, 1, 2), lpad(CAST(p_size AS VARCHAR(9)), 2, '0')) AS t FROM {li} JOIN {part} ON l_partkey = p_partkey) q"""
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Characters that are deleted, and what one class of character is often read for.
-PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+DELETED = "()[]-_.,{'\"}/|\\;:!<>*©’%@#$^&~`?"
 LETTERS_READ_AS_DIGITS = ("BCDGIJLOQSTZ", "860617400512")
 DIGITS_READ_AS_LETTERS = ("8174052", "BITLOSZ")
 DIGIT_FOR_LOWER = ("abcefgijloqstz", "86081917109512")
@@ -15,8 +15,8 @@ LETTER_FOR_DIGIT = ("1256780", "IZSBTBO")
 
 
 def clean_text(s: Column) -> Column:
-    """Without punctuation, trimmed, upper case."""
-    return F.upper(F.trim(F.translate(s, PUNCTUATION, "")))
+    """Without the deleted characters, trimmed, upper case. ``+`` and ``=`` stay."""
+    return F.upper(F.trim(F.translate(s, DELETED, "")))
 
 
 def remove_spaces(s: Column) -> Column:
@@ -25,13 +25,13 @@ def remove_spaces(s: Column) -> Column:
 
 
 def letters_to_digits(s: Column) -> Column:
-    """T03."""
-    return F.translate(s, *LETTERS_READ_AS_DIGITS)
+    """Trimmed."""
+    return F.trim(F.translate(s, *LETTERS_READ_AS_DIGITS))
 
 
 def digits_to_letters(s: Column) -> Column:
-    """T04."""
-    return F.upper(F.translate(s, *DIGITS_READ_AS_LETTERS))
+    """Trimmed, upper case."""
+    return F.upper(F.trim(F.translate(s, *DIGITS_READ_AS_LETTERS)))
 
 
 def numeral_for_char(s: Column) -> Column:

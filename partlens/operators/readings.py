@@ -10,17 +10,33 @@ from partlens.functions import strings as S
 
 def consensus(df: DataFrame, keys: list[str], text: str, min_share: float = 0.5, fallback: str = "most") -> DataFrame:
     """The string that more than ``min_share`` of a group's readings agree on, else the most (or
-    ``least``) frequent one; ties go to the smaller string. Adds votes and share. One shuffle of partial counts,
-    one window over the distinct strings of a group."""
+    ``least``) frequent one; ties go to the smaller string. Empty strings count as readings but win only where a group
+    has no other. Adds votes and share. One shuffle of partial counts, one window over the distinct strings of a
+    group."""
     votes = df.groupBy(*keys, text).agg(F.count("*").alias("votes"))
     group = Window.partitionBy(*keys)
     count = F.col("votes") if fallback == "least" else -F.col("votes")
     share = F.col("votes") / F.sum("votes").over(group)
     votes = votes.withColumn("share", share)
-    order = group.orderBy((F.col("share") <= min_share).cast("int"), count, F.col(text))
+    order = group.orderBy((F.col(text) == "").cast("int"), (F.col("share") <= min_share).cast("int"), count, F.col(text))
     return votes.withColumn("rn", F.row_number().over(order)).where("rn = 1").drop("rn")
 
 
+def consensus_mashed(df: DataFrame, keys: list[str], text: str, min_share: float = 0.6) -> DataFrame:
+    """A16, array form: the string that more than ``min_share`` of a group's readings agree on; else its strings, from
+    the least frequent on (ties: the smaller first), until they make up more than that share, mashed into one. Empty
+    strings count as readings but are passed over."""
+    votes = df.groupBy(*keys, text).agg(F.count("*").alias("votes"))
+    group = Window.partitionBy(*keys)
+    votes = votes.withColumn("n", F.sum("votes").over(group)).where(F.col(text) != "")
+    upto = F.sum("votes").over(group.orderBy("votes", text).rowsBetween(Window.unboundedPreceding, 0))
+    votes = votes.withColumn("upto", upto).withColumn("won", F.col("votes") > min_share * F.col("n"))
+    short = votes.where(F.col("won") | (F.col("upto") - F.col("votes") <= min_share * F.col("n")))
+    listed = short.groupBy(*keys).agg(F.max(F.when(F.col("won"), F.col(text))).alias("winner"), F.sort_array(F.collect_list(F.struct("votes", text))).alias("all"))
+    mashed = F.aggregate(F.col(f"all.{text}"), F.lit(""), lambda so_far, x: S.mash(so_far, x))
+    return df.select(*keys).distinct().join(listed, keys, "left").select(*keys, F.coalesce("winner", mashed, F.lit("")).alias("text"))
+
+
 def consensus_for_pattern(df: DataFrame, keys: list[str], text: str, template: str) -> DataFrame:
     """Consensus of the strings that meet the template; a group without one gets an empty string."""
     fixed = df.withColumn("fixed", S.verify_template(F.col(text), F.col(template)))

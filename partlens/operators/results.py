@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from partlens.functions.times import interval_micros, time_bucket
+
 
 def point_result(processed: Column, details: Column) -> Column:
     """NO where nothing was processed, YES without details, else CHECK MANUALLY."""
@@ -61,9 +63,16 @@ def running_rate(df: DataFrame) -> DataFrame:
     return df.select("part_id", "row_id", F.round(F.avg(F.col("ok").cast("double")).over(w), 9).alias("rate"))
 
 
-def sequence_number(df: DataFrame) -> DataFrame:
-    """Number of each event of its camera in time."""
-    return df.withColumn("nth", F.row_number().over(Window.partitionBy("camera_id").orderBy("ts", "event_id")))
+def sequence_number(df: DataFrame, bucket: str = "day") -> DataFrame:
+    """Number of each event of its camera in time. Events are numbered in buckets of time, and each bucket goes on
+    from the counts of those before it, so a camera's events meet in no single task."""
+    at = df.withColumn("_bucket", F.date_trunc(bucket, "ts"))
+    counts = at.groupBy("camera_id", "_bucket").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("camera_id").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("camera_id", "_bucket", F.coalesce(before, F.lit(0)).alias("_before"))
+    nth = F.row_number().over(Window.partitionBy("camera_id", "_bucket").orderBy("ts", "event_id"))
+    numbered = at.withColumn("_nth", nth).join(counts, ["camera_id", "_bucket"])
+    return numbered.withColumn("nth", (F.col("_nth") + F.col("_before")).cast("int")).select(*df.columns, "nth")
 
 
 def variant_fan_out(df: DataFrame, variants: tuple[float, ...]) -> DataFrame:
@@ -72,11 +81,18 @@ def variant_fan_out(df: DataFrame, variants: tuple[float, ...]) -> DataFrame:
 
 
 def match_replies(events: DataFrame, timeout: str = "10 minutes") -> DataFrame:
-    """The first response of a camera to each request within the timeout; none is an empty result. The next
-    response is looked up by one window over both kinds, without a range join."""
-    w = Window.partitionBy("camera_id").orderBy("ts", (F.col("kind") == "response").cast("int"), "event_id").rowsBetween(0, Window.unboundedFollowing)
-    both = events.where(F.col("kind").isin("request", "response"))
-    reply = F.first(F.when(F.col("kind") == "response", F.struct("ts", "event_id", "value")), ignorenulls=True).over(w)
+    """The first response of a camera to each request within the timeout; none is an empty result.
+
+    Time is cut into buckets as long as the timeout, so a request's reply lies in its bucket or in the next. One window
+    over both kinds, latest first, hands the nearest response down; no join, and a camera's work is spread over time.
+    """
+    micros = interval_micros(timeout)
+    bucket = time_bucket("ts", micros)
+    mine = F.when(F.col("kind") == "response", F.array(bucket, bucket - 1)).otherwise(F.array(bucket))
+    both = events.where(F.col("kind").isin("request", "response")).withColumn("bucket", F.explode(mine))
+    is_reply = F.col("kind") == "response"
+    w = Window.partitionBy("camera_id", "bucket").orderBy(F.desc("ts"), is_reply.cast("int").desc(), F.desc("event_id"))
+    reply = F.last(F.when(is_reply, F.struct("ts", "event_id", "value")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     out = both.withColumn("r", reply).where("kind = 'request'")
     ok = F.col("r.ts") <= F.col("ts") + F.expr(f"INTERVAL {timeout}")
     return out.select("camera_id", "event_id", "ts", F.when(ok, F.col("r.event_id")).alias("reply_id"), F.when(ok, F.col("r.value")).alias("value"), F.coalesce(ok, F.lit(False)).alias("answered"))

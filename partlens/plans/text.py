@@ -16,11 +16,14 @@ def _string(name: str, f, sql: str) -> None:
     register(name, "readings", lambda df: df.select("reading_id", f(F.col("raw")).alias("out")), f"SELECT reading_id, {sql} AS out FROM readings")
 
 
-PUNCT = "regexp_replace(raw, '[!-/:-@\\[-`{-~]', '', 'g')"
+# the characters to delete, each by its own replacement
+PUNCT = "raw"
+for _c in "()[]-_.,{'\"}/|\\;:!<>*©’%@#$^&~`?":
+    PUNCT = "replace({}, '{}', '')".format(PUNCT, _c.replace("'", "''"))
 _string("t01_clean_text", S.clean_text, f"upper(trim({PUNCT}))")
 _string("t02_remove_spaces", S.remove_spaces, "upper(trim(replace(raw, ' ', '')))")
-_string("t03_letters_to_digits", S.letters_to_digits, "translate(raw, 'BCDGIJLOQSTZ', '860617400512')")
-_string("t04_digits_to_letters", S.digits_to_letters, "upper(translate(raw, '8174052', 'BITLOSZ'))")
+_string("t03_letters_to_digits", S.letters_to_digits, "trim(translate(raw, 'BCDGIJLOQSTZ', '860617400512'))")
+_string("t04_digits_to_letters", S.digits_to_letters, "upper(trim(translate(raw, '8174052', 'BITLOSZ')))")
 _string(
     "t05_numeral_for_char", S.numeral_for_char,
     "regexp_replace(translate(raw, 'abcefgijloqstzBCDEGHIJLOQSTXZ', '86081917109512860664171005782'), '[^0-9]', '?', 'g')",
@@ -109,8 +112,14 @@ for _fallback, _sign in (("most", "-"), ("least", "")):
         f"a16_consensus_string_{_fallback}", "readings",
         lambda df, f=_fallback: R.consensus(df, ["part_id"], "raw", fallback=f).select("part_id", "raw", "votes", F.round("share", 9).alias("share")),
         VOTES + f""" SELECT part_id, raw, votes, round(share, 9) AS share FROM s
-        QUALIFY row_number() OVER (PARTITION BY part_id ORDER BY (share <= 0.5)::INT, {_sign}votes, raw) = 1""",
+        QUALIFY row_number() OVER (PARTITION BY part_id ORDER BY (raw = '')::INT, (share <= 0.5)::INT, {_sign}votes, raw) = 1""",
     )
+register(
+    "a16_consensus_string_mashed", "readings", lambda df: R.consensus_mashed(df, ["part_id"], "raw"),
+    VOTES + """, r AS (SELECT *, sum(votes) OVER (PARTITION BY part_id ORDER BY votes, raw ROWS UNBOUNDED PRECEDING) AS upto, round(votes / share) AS n FROM s WHERE raw <> ''),
+    l AS (SELECT part_id, max(raw) FILTER (votes > 0.6 * n) AS winner, list(raw ORDER BY votes, raw) FILTER (votes > 0.6 * n OR upto - votes <= 0.6 * n) AS a FROM r GROUP BY part_id)
+    SELECT p.part_id, coalesce(winner, list_reduce(a, lambda x, y: x || substr(y, length(x)::INT + 1)), '') AS text FROM (SELECT DISTINCT part_id FROM readings) p LEFT JOIN l USING (part_id)""",
+)
 register(
     "a17_consensus_for_pattern", "readings",
     lambda df: R.consensus_for_pattern(df.withColumn("raw", S.clean_text(F.col("raw"))), ["part_id"], "raw", "template"),

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from partlens.functions.times import interval_micros, time_bucket
+
 
 def watermarked(events: DataFrame, delay: str = "30 seconds", ts: str = "ts") -> DataFrame:
     return events.withWatermark(ts, delay)
@@ -23,10 +25,14 @@ def sampled_frames(events: DataFrame, every: str = "10 seconds") -> DataFrame:
 
 def capture_timeout_join(requests: DataFrame, responses: DataFrame, timeout: str = "30 seconds") -> DataFrame:
     """Requests with every response of their camera within the timeout; one without any is an empty result. As a
-    stream both sides carry watermarks, and an empty result comes out once no response can come."""
-    q = requests.select(F.col("camera_id").alias("q_camera"), F.col("event_id").alias("request_id"), F.col("ts").alias("request_ts"))
-    r = responses.select(F.col("camera_id").alias("r_camera"), F.col("event_id").alias("reply_id"), F.col("ts").alias("reply_ts"))
-    within = F.expr(f"q_camera = r_camera AND reply_ts >= request_ts AND reply_ts <= request_ts + INTERVAL {timeout}")
+    stream both sides carry watermarks, and an empty result comes out once no response can come.
+
+    A request meets the responses of its own bucket of time, as long as the timeout, and of the next one."""
+    micros = interval_micros(timeout)
+    q = requests.select(F.col("camera_id").alias("q_camera"), F.col("event_id").alias("request_id"), F.col("ts").alias("request_ts"), time_bucket("ts", micros).alias("q_bucket"))
+    own = time_bucket("ts", micros)
+    r = responses.select(F.col("camera_id").alias("r_camera"), F.col("event_id").alias("reply_id"), F.col("ts").alias("reply_ts"), F.explode(F.array(own, own - 1)).alias("r_bucket"))
+    within = F.expr(f"q_camera = r_camera AND q_bucket = r_bucket AND reply_ts >= request_ts AND reply_ts <= request_ts + INTERVAL {timeout}")
     return q.join(r, within, "left_outer").select(F.col("q_camera").alias("camera_id"), "request_id", "request_ts", "reply_id", "reply_ts")
 
 
