@@ -6,13 +6,16 @@ threshold, bound / (|q| l): above 1 the bucket is skipped; where it is high, the
 the bucket leave only vectors that can reach it (coordinate pruning); else the vectors sorted by length
 do (length pruning). What is left is verified by its products.
 
-Queries go to the buckets in blocks of bounded size.
+Queries are a table too, cut into blocks of bounded size. A block meets a bucket where one of its queries can reach
+its bound with the bucket's lengths; each such pair of a block and a bucket is one group of one grouping, so neither
+the plan nor what a task or the driver holds grows with the number of queries. The first bounds are computed on
+the executors against a fixed number of vectors.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +26,10 @@ from .common import materialize, plain
 
 SCALE = 64
 K = 20
-BLOCK = 4096  #: queries sent at once: 2 MB at 64 dimensions
+BLOCK = 4096  #: queries in a block, about: 2 MB at 64 dimensions
 BUCKET = 4096  #: candidates in a bucket, about
 SEEDS = 4096  #: longest vectors, and as many hash-chosen ones, that give the first bounds
+PER_DOUBLING = 8  #: steps of squared length in a doubling of it
 COORDINATE_FROM = 0.35  #: local cosine threshold from which coordinates prune better than lengths
 
 
@@ -126,14 +130,13 @@ class Bucket:
         return ids[order], score[order]
 
 
-def _search(block: tuple[np.ndarray, np.ndarray, np.ndarray], k: int) -> Callable[[pa.Table], pa.Table]:
-    def run(t: pa.Table) -> pa.Table:
-        query_ids, queries, bounds = block
-        ids = t.column("vec_id").to_numpy()
-        bucket = Bucket(ids, _matrix(t, queries.shape[1]))
+def _search(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(queries: pa.Table, candidates: pa.Table) -> pa.Table:
+        q = _matrix(queries)
+        bucket = Bucket(candidates.column("vec_id").to_numpy(), _matrix(candidates, q.shape[1]))
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for own, q, bound in zip(query_ids, queries, bounds, strict=True):
-            got, score = bucket.best(own, q, bound, k)
+        for own, v, bound in zip(queries.column("vec_id").to_numpy(), q, queries.column("bound").to_numpy(), strict=True):
+            got, score = bucket.best(own, v, bound, k)
             if len(got):
                 out.append((np.full(len(got), own), got, score))
         cols = [np.concatenate(c) if out else np.zeros(0, np.int64) for c in (zip(*out, strict=True) if out else ((), (), ()))]
@@ -142,52 +145,66 @@ def _search(block: tuple[np.ndarray, np.ndarray, np.ndarray], k: int) -> Callabl
     return run
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
+def _bounded(seeds: list[tuple[np.ndarray, np.ndarray]], k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, q = batch.column("vec_id").to_numpy(), _matrix(batch)
+            bound = np.full(len(ids), -np.inf)
+            for of, c in seeds:
+                for i in range(0, len(ids), 64):
+                    bound[i : i + 64] = np.maximum(bound[i : i + 64], _first_bounds(ids[i : i + 64], q[i : i + 64], of, c, k))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bound)], names=[*batch.schema.names, "bound"])
+
+    return run
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = K, block: int | None = None, bucket: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k highest inner products, ties to the smaller vec_id.
 
     Vectors that are null or hold null or non-finite components, and rows without an id, take no part. Vectors
     of unequal sizes meet in their common components. Rows that share a query's id count as its own. Empty
-    vectors score 0; an empty table gives no rows.
+    vectors score 0; products beyond 64 bits are held to the largest or smallest long; an empty table gives no rows.
     """
-    rows = materialize(quantized(vectors), "vectors")
-    spark = rows.sparkSession
-    total = rows.count()
+    block, bucket = block or BLOCK, bucket or BUCKET
+    step = F.floor(F.log2(F.col("n2") + 1) * PER_DOUBLING).cast("int")
+    rows = materialize(quantized(vectors).withColumn("step", step), "vectors")
     # like lengths: steps of 1/16 of a doubling; crowded steps are cut by a hash of the id
-    step = F.floor(F.log2(F.col("n2") + 1) * 8).cast("int")
-    rows = rows.withColumn("step", step)
-    sizes = rows.groupBy("step").agg(F.ceil(F.count("*") / BUCKET).alias("cuts"))
-    dealt = rows.join(sizes, "step").withColumn("cut", F.pmod(F.xxhash64("vec_id"), F.col("cuts"))).select("step", "cut", "vec_id", "v")
-    queries = rows.where(is_query).select("vec_id", "v")
-    n_blocks = max(1, math.ceil(queries.count() / BLOCK))
-    seeds = rows.orderBy(F.desc("n2"), "vec_id").limit(SEEDS).select("vec_id", "v").toArrow()
+    sizes = rows.groupBy("step").agg(F.ceil(F.count("*") / bucket).alias("cuts"))
+    total, top = rows.agg(F.count("*"), F.max("step")).first()
+    top = top or 0
+    longest = rows.orderBy(F.desc("n2"), "vec_id").limit(SEEDS).select("vec_id", "v").toArrow()
     share = min(1.0, SEEDS / max(1, total))
     drawn = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(1_000_000)) < int(1_000_000 * share) + 1).select("vec_id", "v").limit(2 * SEEDS).toArrow()
-    out = None
-    for b in range(n_blocks):
-        block = queries.where(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(n_blocks)) == b).toArrow()
-        q = _matrix(block)
-        ids = block.column("vec_id").to_numpy()
-        bounds = np.maximum(_first_bounds(ids, q, seeds, k), _first_bounds(ids, q, drawn, k))
-        sent = (ids, q, bounds)
-        found = dealt.groupBy("step", "cut").applyInArrow(_search(sent, k), "query_id long, vec_id long, score long")
-        out = found if out is None else out.unionByName(found)
+    seeds = [(t.column("vec_id").to_numpy(), _matrix(t)) for t in (longest, drawn)]
+    queries = rows.where(is_query)
+    n_blocks = max(1, math.ceil(queries.count() / block))
+    queries = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(n_blocks)).cast("int"))
+    queries = materialize(queries.select("vec_id", "v", "n2", "block").mapInArrow(_bounded(seeds, k), "vec_id long, v array<double>, n2 double, block int, bound double"), "queries")
+
+    # a block visits the steps whose vectors may be long enough for one of its queries
+    least = F.when((F.col("bound") > 0) & (F.col("n2") > 0), F.col("bound") * F.col("bound") / F.col("n2") * (1 - 1e-9)).otherwise(F.lit(0.0))
+    first = F.greatest(F.lit(0), F.floor(F.log2(F.min(least) + 1) * PER_DOUBLING).cast("int") - 1)
+    visits = queries.groupBy("block").agg(first.alias("first")).where(F.col("first") <= top)
+    visits = visits.select("block", F.explode(F.sequence("first", F.lit(top))).alias("step")).join(sizes, "step")
+    visits = visits.select("block", "step", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).alias("cut"))
+    visits = materialize(visits, "visits")
+    dealt = rows.join(sizes, "step").withColumn("cut", F.pmod(F.xxhash64("vec_id"), F.col("cuts")))
+    dealt = dealt.join(visits, ["step", "cut"]).select("block", "step", "cut", "vec_id", "v")
+    sent = queries.join(visits, "block").select("block", "step", "cut", "vec_id", "v", "bound")
+    key = ["block", "step", "cut"]
+    found = sent.groupBy(*key).cogroup(dealt.groupBy(*key)).applyInArrow(_search(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _first_bounds(ids: np.ndarray, q: np.ndarray, seeds: pa.Table, k: int) -> np.ndarray:
+def _first_bounds(ids: np.ndarray, q: np.ndarray, of: np.ndarray, c: np.ndarray, k: int) -> np.ndarray:
     """The k-th best score of each query over some candidates: no more than over all."""
-    out = np.full(len(ids), -np.inf)
-    if not len(ids) or seeds.num_rows <= k:
-        return out
-    c = _matrix(seeds, q.shape[1])
-    own = {int(x): i for i, x in enumerate(seeds.column("vec_id").to_numpy())}
-    for i in range(len(ids)):
-        score = _products(c, q[i]).astype(float)
-        if (j := own.get(int(ids[i]))) is not None:
-            score[j] = -np.inf
-        out[i] = np.partition(score, len(score) - k)[len(score) - k]
-    return out
+    width = min(c.shape[1], q.shape[1]) if len(of) else 0
+    if len(of) <= k or float(np.abs(c).max(initial=0.0)) * float(np.abs(q).max(initial=0.0)) * max(1, width) >= 2**53:
+        return np.full(len(ids), -np.inf)  # no bound is a bound
+    score = q[:, :width] @ c[:, :width].T
+    score[ids[:, None] == of[None, :]] = -np.inf
+    return np.partition(score, len(of) - k, axis=1)[:, len(of) - k]
 
 
 def op5_top_k(vectors: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from partlens.llm import chat, topk
 
@@ -84,6 +85,15 @@ def test_top_k_is_exact(spark, monkeypatch):
     assert {k: sorted(v) for k, v in got.items()} == want
 
 
+def test_plan_does_not_grow_with_the_queries(spark):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, rng.normal(0, 1, 8).tolist(), "", "") for i in range(300)], VEC)
+    few, many = (topk.top_k(df, F.col("vec_id") % 2 == 0, block=b, bucket=b) for b in (1000, 20))
+    plans = [d._jdf.queryExecution().optimizedPlan().toString() for d in (few, many)]
+    assert len({p.count("\n") for p in plans}) == 1 and "Union" not in plans[1]
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
+
+
 def test_few_and_none(spark):
     rows = [(0, [1.0, 2.0], "", ""), (1, [1.0, 0.5], "", "")]
     got = topk.op5_top_k(spark.createDataFrame(rows, VEC)).collect()
