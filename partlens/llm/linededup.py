@@ -130,7 +130,8 @@ def _later(base: DataFrame, compared: Callable[..., DataFrame], place: list[str]
     light = compared(base).select("doc_id", "content", *place, "h", F.length("chunk").alias("len"))
     light = materialize(light, "line-chunks")
     repeated = light.groupBy("h", "len").agg(F.min(key).alias("first_key"), F.max(key).alias("last_key"))
-    repeated = repeated.where(F.col("first_key") != F.col("last_key")).select("h", "len")
+    # tables of their own on one side of each join: adaptive execution may then split a common chunk's occurrences
+    repeated = materialize(repeated.where(F.col("first_key") != F.col("last_key")).select("h", "len"), "line-repeated")
 
     # every occurrence of a repeated chunk, with its text
     places = light.join(repeated, ["h", "len"], "left_semi")
@@ -140,7 +141,7 @@ def _later(base: DataFrame, compared: Callable[..., DataFrame], place: list[str]
     found = materialize(found, "line-repeats")
 
     # byte comparison: groups are of equal text, not of equal hash
-    firsts = found.groupBy(*equal).agg(F.min(key).alias("first_key"))
+    firsts = materialize(found.groupBy(*equal).agg(F.min(key).alias("first_key")), "line-firsts")
     on = F.lit(True)
     for c in equal:
         on = on & (F.col(f"f.{c}") == F.col(f"g.{c}"))

@@ -307,7 +307,8 @@ class NearDuplicates:
             if linked < LEAST_LINKED * compared or not compared:
                 break
         now = now.drop("comp", "served").join(comps, "content").join(served, ["band", "key", "content"], "left_anti")
-        return self._join(self._by_difference(now.join(self._main_of(pivots, comps), "pivot"), elements), elements, comps)[2]
+        now = materialize(now.join(materialize(self._main_of(pivots, comps), "near-main"), "pivot"), "near-last")
+        return self._join(self._by_difference(now, elements), elements, comps)[2]
 
     @staticmethod
     def _main_of(pivots: DataFrame, comps: DataFrame) -> DataFrame:
@@ -342,7 +343,7 @@ class NearDuplicates:
         buckets = now.groupBy("band", "key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("band", "key")
         now = now.join(materialize(buckets, "near-left"), ["band", "key"])
         nodes = now.groupBy("pivot", "content", "total", "comp").agg(F.max((F.col("comp") != F.col("of_pivot")).cast("int")).alias("open"))
-        some = nodes.groupBy("pivot").agg(F.max("open").alias("any")).where("any = 1").select("pivot")
+        some = materialize(nodes.where("open = 1").select("pivot").distinct(), "near-some")
         nodes = materialize(nodes.join(some, "pivot"), "near-rest")
 
         # elements in the order of their number of nodes, and how many of them no other node has
