@@ -56,7 +56,7 @@ def _keyed(docs: DataFrame, seed: str) -> DataFrame:
     return docs.withColumns({
         "content": F.md5(text_of().cast("binary")),
         "size": word_count(text_of()),
-        "key": F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":" + seed))),
+        "key": F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), F.md5(text_of().cast("binary")))), F.lit(":" + seed))),
     })
 
 
@@ -158,7 +158,7 @@ def op2_mixing(docs: DataFrame) -> DataFrame:
 
 OP2_SQL = r"""
 WITH l AS (SELECT doc_id, source, md5(coalesce(text, '')) AS content, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-                  md5(coalesce(doc_id::VARCHAR, '-') || ':mix') AS key FROM documents),
+                  md5(coalesce(doc_id::VARCHAR, '-' || md5(coalesce(text, ''))) || ':mix') AS key FROM documents),
 s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM l GROUP BY source),
 s1 AS (SELECT *, 3 * source_size AS lim, 1 + (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 AS w FROM s0),
 s2 AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(lim) OVER b, 0))::BIGINT AS lft, (sum(w) OVER () - coalesce(sum(w) OVER b, 0))::BIGINT AS wl
