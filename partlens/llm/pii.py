@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 from .common import materialize, plain, text_of
 from .spans import digest, listed, matches
 
-KINDS = ("email", "ip", "card", "phone")
+BASE_KINDS = ("email", "ip", "card", "phone")
+#: Kinds without a base pattern: names beside titles, street addresses, account and national numbers.
+KINDS = (*BASE_KINDS, "name", "address", "id")
 
 # Each base pattern finds what the plain one finds: classes that cannot give characters back are
 # possessive, and a match cannot start inside a run that would have matched from its start.
@@ -31,19 +33,44 @@ IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 # looser ones
-EMAIL_SPELT = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,64}+\x20?(?:\(at\)|\[at\])\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z0-9-]++)++"
-IPV6 = r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"
-PHONE_LOCAL = r"(?<![0-9+.A-Za-z-])(?:\([0-9]{2,5}\)\x20?|0[0-9]{1,4}[\x20-])[0-9]{3,4}[\x20-][0-9]{3,5}(?![0-9.A-Za-z-])"
+_LABEL = r"[A-Za-z0-9-]++"
+EMAIL_SPELT = (
+    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,64}+(?:\x20?(?:\(at\)|\[at\])\x20?" + _LABEL + r"(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?" + _LABEL + r")++"
+    r"|\x20(?:at|AT)\x20" + _LABEL + r"(?:\x20(?:dot|DOT)\x20" + _LABEL + r")++)"
+)
+IPV6 = r"(?<![0-9A-Fa-f:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Fa-f:])"
+CARD_LOOSE = r"(?<![0-9A-Za-z.+-])(?:[0-9]{4}[\x20.-]){2,3}[0-9]{3,7}(?![0-9A-Za-z-])|(?<![0-9A-Za-z.+-])[0-9]{13,19}+(?![0-9A-Za-z-])|(?<![0-9A-Za-z.+-])3[47][0-9]{2}[\x20-][0-9]{6}[\x20-][0-9]{5}(?![0-9A-Za-z-])"
+PHONE_LOCAL = (
+    r"(?<![0-9+.A-Za-z-])(?:(?:\([0-9]{2,5}\)\x20?|0[0-9]{1,4}[\x20/-])[0-9]{3,4}[\x20-][0-9]{3,5}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}|00[1-9][0-9]{0,2}(?:[\x20-]?[0-9]{2,4}){3,4})(?![0-9.A-Za-z-])"
+)
+_CAPITAL = r"\p{Lu}[\p{Ll}'-]++"
+NAME = r"(?<![\p{L}])(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herrn?|Frau|Monsieur|Madame|Mme|Señora?|Sra?|Dear|Sincerely,|Regards,|named)\.?[\x20\n]" + _CAPITAL + r"(?:\x20(?:(?:de|von|van|la)\x20)?" + _CAPITAL + r"){0,2}"
+ADDRESS = (
+    r"(?<![0-9A-Za-z])[0-9]{1,5}[A-Za-z]?\x20(?:" + _CAPITAL + r"\x20){1,3}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr|Boulevard|Blvd|Court|Way)\b\.?"
+    r"|(?<![\p{L}])\p{Lu}\p{Ll}{1,30}(?:straße|strasse|gasse|weg|allee|platz)\x20[0-9]{1,4}[a-z]?(?![0-9A-Za-z])"
+    r"|(?<![\p{L}0-9])(?:[0-9]{1,4},?\x20)?(?:rue|avenue|boulevard|calle|avenida|plaza)\x20(?:(?:de|du|des|la|del|los)\x20){0,2}" + _CAPITAL + r"(?:,?\x20[0-9]{1,4})?"
+)
+ID = r"(?<![0-9A-Za-z])(?:[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?|[0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9A-Za-z-])"
 
 # Gazetteers and cue words of the labelers.
 ENDINGS = ("com", "org", "net", "edu", "gov", "info", "biz", "io", "de", "fr", "es", "uk", "it", "nl", "at", "ch", "eu", "us", "ca", "au")
 CALLING = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "55", "61", "81", "86", "91")
+COUNTRIES = ("DE", "FR", "ES", "IT", "NL", "AT", "CH", "GB", "IE", "BE", "PT", "PL", "SE", "NO", "DK", "FI")
 ISSUERS = r"^(?:4|5[1-5]|2[2-7]|3[47]|35|6011|62|65)"
+GIVEN = (
+    "james", "john", "robert", "michael", "william", "david", "mary", "patricia", "jennifer", "linda", "elizabeth", "susan", "sarah", "anna", "emma",
+    "hans", "peter", "klaus", "wolfgang", "ursula", "monika", "petra", "jean", "pierre", "marie", "michel", "françoise", "luc", "jose", "josé", "maria", "maría",
+    "carmen", "juan", "antonio", "ana", "luis", "carlos", "paul", "thomas", "julia", "laura", "martin", "daniel", "alice", "grace",
+)
+NOT_NAMES = r"\x20(?:President|Minister|Sir|Madam|All|Team|Customer|Reader|Friends?|The|This|After|In|Is|Was|And|For|To)\b"
 CUES = {
     "email": r"mail|contact|correo|kontakt|write to",
     "ip": r"\bip\b|server|host|address|login|adresse|servidor",
     "card": r"card|visa|credit|carte|karte|tarjeta|payment",
     "phone": r"phone|\btel|call|fax|mobile|handy|tél|teléfono|anruf",
+    "name": r"\bname|contact|signed|patient|dear|regards|sincerely|by\x20$|from\x20$|with\x20$|mit\x20$|avec\x20$",
+    "address": r"address|\blives?\b|\bat\x20$|\bin\x20(?:der\x20)?$|ship|deliver|located|resid|adresse|wohn|habite|vive|dirección",
+    "id": r"iban|account|konto|cuenta|compte|\bssn\b|social|passport|\bid\b|tax",
 }
 AGAINST = r"version|isbn|issn|\bdoi\b|order|invoice|page|\bv\.?$|[$€£#]\s*$"
 CONTEXT = 32
@@ -62,6 +89,17 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda s, x: s + x) % 10 == 0
 
 
+def account_rest(m: Column) -> Column:
+    """Remainder by 97 of an account number, its first four characters last and letters as two digits; 1 if it is right."""
+    bare = F.replace(m, F.lit(" "), F.lit(""))
+    chars = F.filter(F.split(F.concat(F.substr(bare, F.lit(5)), F.substring(bare, 1, 4)), ""), lambda c: c != "")
+
+    def step(s: Column, c: Column) -> Column:
+        return F.when(c.rlike("[0-9]"), (s * 10 + F.ascii(c) - 48) % 97).otherwise((s * 100 + F.ascii(c) - 55) % 97)
+
+    return F.aggregate(chars, F.lit(0), step)
+
+
 def _digits(m: Column) -> Column:
     return F.regexp_replace(m, "[^0-9]", "")
 
@@ -85,6 +123,15 @@ def _vote(yes: Column, no: Column) -> Column:
     return F.when(yes, F.lit(1)).when(no, F.lit(-1)).otherwise(F.lit(0))
 
 
+SHAPES = 6
+
+
+def _side(x: Column, end: str) -> Column:
+    """What stands beside a match: nothing 0, white space 1, a letter or digit 2, else 3."""
+    at = (lambda c: c + "$") if end == "$" else (lambda c: "^" + c)
+    return F.when(x == "", 0).when(x.rlike(at(r"\s")), 1).when(x.rlike(at(r"[\p{L}0-9]")), 2).otherwise(3)
+
+
 def _candidates(text: Column, kind: str, found: Column, base: bool) -> Column:
     """Struct of place, votes and shape of each match; base matches that fail their check are dropped."""
 
@@ -97,6 +144,9 @@ def _candidates(text: Column, kind: str, found: Column, base: bool) -> Column:
             "ip": lambda: _vote(hit.rlike(r"^(?:[1-9][0-9]?|1[0-9]{2}|2[0-2][0-9])\.|:"), hit.rlike(r"^0+\.|^255\.")),
             "card": lambda: _vote(digits.rlike(ISSUERS), digits.rlike(r"^(?:0|1|7|8|9)")),
             "phone": lambda: _vote(F.substring(digits, 1, 2).isin(*CALLING) | F.substring(digits, 1, 1).isin("0", "1", "7"), digits.rlike(r"^(?:00|99)")),
+            "name": lambda: _vote(F.lower(F.regexp_extract(hit, r"[.\x20\n](" + _CAPITAL + ")", 1)).isin(*GIVEN), hit.rlike(NOT_NAMES)),
+            "address": lambda: _vote(hit.rlike(r"(?:Street|St|Avenue|Ave|Road|Rd|Lane|straße|strasse|rue|calle)"), hit.rlike(NOT_NAMES)),
+            "id": lambda: _vote(F.substring(hit, 1, 2).isin(*COUNTRIES) | hit.rlike(r"^[0-8][0-9]{2}-"), hit.rlike(r"^(?:000|666|9[0-9]{2})-")),
         }[kind]()
         n = F.length(digits)
         check = {
@@ -104,13 +154,17 @@ def _candidates(text: Column, kind: str, found: Column, base: bool) -> Column:
             "ip": lambda: _vote(_octets_ok(hit) | hit.contains(":"), F.lit(True)),
             "card": lambda: _vote(n.between(12, 19) & luhn(digits), F.lit(True)),
             "phone": lambda: _vote(n.between(8, 15), F.lit(True)),
+            "name": lambda: _vote(hit.rlike(r"^[^\x20\n]+[\x20\n]" + _CAPITAL + r"\x20"), F.lit(False)),
+            "address": lambda: _vote(n.between(1, 5), F.lit(True)),
+            "id": lambda: _vote(F.when(hit.rlike("^[A-Z]"), account_rest(hit) == 1).otherwise(~hit.rlike(r"-00-|-0000$")), F.lit(True)),
         }[kind]()
         context = _vote(before.rlike(CUES[kind]), before.rlike(AGAINST))
         edges = _vote(before.rlike(r"(?:^|[\s(\[<,;:'\"])$") & after.rlike(r"^(?:$|[\s)\]>,;:.!?'\"])"), before.rlike(r"[A-Za-z0-9]$") | after.rlike(r"^[A-Za-z0-9]"))
         return F.struct(
             F.lit(KINDS.index(kind)).alias("nth"), m["start"].alias("start"), m["end"].alias("end"), F.lit(kind).alias("kind"), F.lit(base).alias("base"),
             F.array(check, gazetteer, context, edges).alias("votes"),
-            F.array(F.least(F.floor(F.length(hit) / 8), F.lit(3)), F.floor(F.try_divide(n * 3, F.length(hit))), F.least(F.regexp_count(hit, F.lit(r"[^A-Za-z0-9]+")), F.lit(4))).cast("array<int>").alias("shape"),
+            F.array(F.least(F.floor(F.length(hit) / 8), F.lit(3)), F.floor(F.try_divide(n * 3, F.length(hit))), F.least(F.regexp_count(hit, F.lit(r"[^A-Za-z0-9]+")), F.lit(4)),
+                    F.least(F.regexp_count(hit, F.lit(r"\p{Lu}")), F.lit(3)), _side(before, r"$"), _side(after, "^")).cast("array<int>").alias("shape"),
         )
 
     kept = F.filter(found, lambda m: _base_ok(kind, m["text"])) if base else found
@@ -129,13 +183,19 @@ def candidates(docs: DataFrame) -> DataFrame:
         _candidates(text, "phone", matches(text, PHONE, F.contains(text, F.lit("+"))), True),
     )
     loose = F.concat(
-        _candidates(text, "email", matches(text, EMAIL_SPELT, text.rlike(r"[(\[]at[)\]]")), False),
-        _candidates(text, "ip", matches(text, IPV6, text.rlike(r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:")), False),
+        _candidates(text, "email", matches(text, EMAIL_SPELT, text.rlike(r"[(\[]at[)\]]|\x20(?:at|AT)\x20[A-Za-z0-9-]+\x20(?:dot|DOT)\x20")), False),
+        _candidates(text, "ip", matches(text, IPV6, text.rlike(r"[0-9A-Fa-f]:[0-9A-Fa-f]{0,4}:")), False),
+        _candidates(text, "card", matches(text, CARD_LOOSE, text.rlike("[0-9]{4}[\\x20.-]?[0-9]{4}|3[47][0-9]{2}[\\x20-][0-9]{6}")), False),
         _candidates(text, "phone", matches(text, PHONE_LOCAL, has_digits), False),
+        _candidates(text, "name", matches(text, NAME), False),
+        _candidates(text, "address", matches(text, ADDRESS), False),
+        _candidates(text, "id", matches(text, ID, has_digits), False),
     )
     out = rows.select("doc_id", strict.alias("strict"), loose.alias("loose"))
     free = F.filter("loose", lambda c: ~F.exists("strict", lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"])))
-    return out.select("doc_id", F.concat("strict", free).alias("spans"))
+    # of loose candidates that overlap, the first in the order of kinds stays
+    apart = F.aggregate(free, F.filter(free, lambda c: F.lit(False)), lambda s, c: F.when(F.exists(s, lambda o: (o["start"] < c["end"]) & (c["start"] < o["end"])), s).otherwise(F.concat(s, F.array(c))))
+    return out.select("doc_id", F.concat("strict", apart).alias("spans"))
 
 
 @dataclass(frozen=True)
@@ -213,7 +273,7 @@ def classifier(weight: dict[str, float], span: Column) -> Column:
     z = F.lit(float(weight.get("", 0.0))) + part("kind:", span["kind"])
     for j in range(len(LABELERS)):
         z = z + part(f"vote{j}:", F.get(span["votes"], F.lit(j)).cast("string"))
-    for j in range(3):
+    for j in range(SHAPES):
         z = z + part(f"shape{j}:", F.concat_ws(":", span["kind"], F.get(span["shape"], F.lit(j)).cast("string")))
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
@@ -241,4 +301,4 @@ def op3_pii(docs: DataFrame) -> DataFrame:
     def n(kind: str) -> Column:
         return F.size(F.filter("strict", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    return out.select("doc_id", *[n(k) for k in KINDS], digest(listed(F.col("strict"))).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    return out.select("doc_id", *[n(k) for k in BASE_KINDS], digest(listed(F.col("strict"))).alias("base_sha256"), listed(F.col("spans")).alias("spans"))

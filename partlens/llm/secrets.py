@@ -1,7 +1,8 @@
 """Secrets by patterns and a battery of randomness tests.
 
-Besides the base patterns, every long token is a candidate. Its encoding is inferred from its characters;
-against that alphabet it is tested for uniformity (chi-squared), for runs of character classes and for
+Besides the base patterns, every token is a candidate that is long, or of 12 characters or more with letters and
+digits, or a chain of hexadecimal pairs. Its encoding is inferred from its characters, without separators where
+the rest is of a smaller alphabet; against that alphabet it is tested for uniformity (chi-squared), for runs of character classes and for
 serial correlation; separators do not count as a change of class. Each test gives a p-value of "ordinary text": how likely an ordinary token of that
 length looks as random. Fisher's method joins the three, and the Benjamini-Hochberg step over the
 candidates of all documents controls false discoveries; p-values are weighted by the bits that a token of
@@ -22,7 +23,11 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}+"
 HEX = r"[0-9a-f]{32,}+"
-TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}"
+TOKEN = (
+    r"(?<![A-Za-z0-9+/_=:-])[0-9A-Fa-f]{2}(?::[0-9A-Fa-f]{2}){7,}+(?![A-Za-z0-9:])"  # pairs, as fingerprints are written
+    r"|(?<![A-Za-z0-9+/_=-])(?:(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{12,}+|[A-Za-z0-9+/_-]{20,}+)={0,2}"
+)
+SEPARATORS = "-:_="
 
 #: In ordinary text, the sum of squared letter shares (English letters have 0.066), and the share of places
 #: where the class of character changes.
@@ -30,7 +35,7 @@ TEXT_REPEAT = 0.066
 TEXT_CHANGES = 0.10
 #: Serial z-values of ordinary tokens spread so many times as wide as those of random ones.
 TEXT_SPREAD = 3.0
-FALSE_SHARE = 0.0001
+FALSE_SHARE = 0.001
 #: No test alone says more than this against an ordinary token, so names in mixed case need a second one.
 LEAST_P = 1e-5
 BINS, PER_UNIT = 4000, 20
@@ -50,9 +55,16 @@ def alphabet(token: Column) -> Column:
     )
 
 
+def bare(token: Column) -> Column:
+    """What is tested: the token without separators, if what is left is digits, hexadecimal, of one case or base 32;
+    else without padding (``-`` and ``_`` are letters of base 64)."""
+    rest = F.translate(token, SEPARATORS, "")
+    return F.when(alphabet(rest) < 64, rest).otherwise(F.regexp_replace(token, "=+$", ""))
+
+
 def ordinary(token: Column) -> Column:
     """p-value of the three tests together: small where an ordinary token would hardly look as random."""
-    body = F.regexp_replace(token, "=+$", "")
+    body = bare(token)
 
     def tests(v: Column) -> Column:
         t, n, k = v["t"], v["n"], v["k"]
@@ -101,7 +113,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     free = F.filter("tokens", lambda c: ~F.exists("base", lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"])))
     tested = F.transform(free, lambda m: F.struct(
         m["start"].alias("start"), F.lit(3).alias("nth"), m["end"].alias("end"), F.lit("random").alias("kind"),
-        ordinary(m["text"]).alias("p"), (F.length(m["text"]) * F.log2(alphabet(m["text"]))).alias("bits"),
+        ordinary(m["text"]).alias("p"), let(bare(m["text"]), lambda t: F.length(t) * F.log2(alphabet(t))).alias("bits"),
     ))
     return out.select("doc_id", "base", tested.alias("tested"))
 
