@@ -17,8 +17,10 @@ in a third of the documents is no hot key); texts move twice, by document: to co
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -121,13 +123,15 @@ def _same(a: str, b: str) -> Column:
     return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.content") == F.col(f"{b}.content"))
 
 
-def _later(base: DataFrame, compared: Callable[..., DataFrame], place: list[str], equal: list[str]) -> DataFrame:
+def _later(base: DataFrame, compared: Callable[..., DataFrame], place: list[str], equal: list[str], light: DataFrame | None = None) -> DataFrame:
     """The occurrences, as ``f``, of what ``compared`` makes of the texts that are not the first of their text.
 
-    ``place`` names a unit in its document, its position first; units are the same if ``equal`` columns are.
+    ``place`` names a unit in its document, its position first; units are the same if ``equal`` columns are. ``light``:
+    all units with a hash and a length instead of their text, if there is a shorter way to them.
     """
     key = F.struct("doc_id", "content", place[0])
-    light = compared(base).select("doc_id", "content", *place, "h", F.length("chunk").alias("len"))
+    if light is None:
+        light = compared(base).select("doc_id", "content", *place, "h", F.length("chunk").alias("len"))
     light = materialize(light, "line-chunks")
     repeated = light.groupBy("h", "len").agg(F.min(key).alias("first_key"), F.max(key).alias("last_key"))
     # tables of their own on one side of each join: adaptive execution may then split a common chunk's occurrences
@@ -179,6 +183,38 @@ def _runs(text: pa.Array, min_words: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), runs)
 
 
+def _hashed_runs(min_words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """doc_id, content, first, last, h, len of each shortest run: digests instead of texts leave Python."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs = _runs(batch.column("text"), min_words)
+            counts = runs.value_lengths().to_numpy(zero_copy_only=False)
+            of = pa.array(np.repeat(np.arange(len(counts)), counts))
+            first, last = runs.values.field(0).to_numpy(), runs.values.field(1).to_numpy()
+            h, size = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+            k = 0
+            for text, n in zip(batch.column("text"), counts, strict=True):
+                if n:
+                    data = text.as_py().encode()
+                    ends = _line_ends(data)
+                    for j in range(k, k + n):
+                        part = data[ends[first[j]] : ends[last[j] + 1] - 1]
+                        h[j], size[j] = int.from_bytes(hashlib.blake2b(part, digest_size=8).digest(), "little", signed=True), len(part)
+                    k += n
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(of), batch.column("content").take(of), pa.array(first), pa.array(last), pa.array(h), pa.array(size)],
+                names=["doc_id", "content", "first", "last", "h", "len"],
+            )
+
+    return run
+
+
+def _line_ends(data: bytes) -> np.ndarray:
+    """Where each line begins, and one past the newline that the last one lacks."""
+    return np.concatenate([[0], np.flatnonzero(np.frombuffer(data, np.uint8) == 10) + 1, [len(data) + 1]])
+
+
 def remove_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, content and removed (line numbers from 0, ascending) of each document that repeats a passage.
 
@@ -203,7 +239,9 @@ def remove_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         cut = cut.select("doc_id", "content", *more, F.explode(let(F.split("text", "\n"), texts)).alias("u"))
         return cut.select("doc_id", "content", *more, "u.first", "u.last", F.col("u.text").alias("chunk")).withColumn("h", F.xxhash64("chunk"))
 
-    later = _later(base, compared, ["first", "last"], ["h", "chunk"])
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    light = base.mapInArrow(_hashed_runs(min_words), f"doc_id {id_type}, content string, first int, last int, h long, len long")
+    later = _later(base, compared, ["first", "last"], ["h", "chunk"], light)
     lines = F.flatten(F.transform(F.collect_set(F.struct("f.first", "f.last")), lambda r: F.sequence(r["first"], r["last"])))
     return later.groupBy("f.doc_id", "f.content").agg(F.sort_array(F.array_distinct(lines)).alias("removed"))
 
