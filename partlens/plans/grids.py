@@ -125,16 +125,28 @@ register(
     "w01_smooth_histogram", "cells", lambda d: G.smooth_histogram(d).select("grid_id", F.posexplode("s").alias("b", "s")),
     HIST + _fold(5, "hist", "e1") + ", h2 AS (SELECT grid_id, b, s AS n FROM e1)" + _fold(5, "h2", "e2") + " SELECT grid_id, b, s FROM e2",
 )
-register(
-    "w02_valley_threshold", "cells", G.valley_threshold,
-    HIST + _fold(3, "hist", "e1") + """, top AS (SELECT grid_id, b FROM e1 WHERE b < 225 QUALIFY row_number() OVER (PARTITION BY grid_id ORDER BY s DESC, b) <= 4),
+# from a histogram of each grid to its cut
+_VALLEY = HIST + _fold(3, "hist", "e1") + """, top AS (SELECT grid_id, b FROM e1 WHERE b < 225 QUALIFY row_number() OVER (PARTITION BY grid_id ORDER BY s DESC, b) <= 4),
     o AS (SELECT grid_id, list_sort(list(b)) AS t FROM top GROUP BY grid_id), g AS (SELECT grid_id, avg(v) AS m FROM cells GROUP BY grid_id),
     ab AS (SELECT grid_id, CASE WHEN m > 200 THEN t[2] ELSE t[1] END AS a, CASE WHEN m > 200 THEN t[3] ELSE t[2] END AS b FROM o JOIN g USING (grid_id)),
     f AS (SELECT ab.grid_id, e1.b FROM ab JOIN e1 ON e1.grid_id = ab.grid_id AND e1.b > ab.a AND e1.b < ab.b QUALIFY row_number() OVER (PARTITION BY ab.grid_id ORDER BY e1.s, e1.b) = 1)
-    SELECT ab.grid_id, ab.a, ab.b, coalesce(f.b, ab.a) AS cut FROM ab LEFT JOIN f USING (grid_id)""",
+    , cuts AS (SELECT ab.grid_id, ab.a, ab.b, coalesce(f.b, ab.a) AS cut FROM ab LEFT JOIN f USING (grid_id))"""
+register("w02_valley_threshold", "cells", G.valley_threshold, _VALLEY + " SELECT grid_id, a, b, cut FROM cuts")
+# W02 of each tile: its histogram under a name of its own
+_TILES = ", strips AS (SELECT grid_id AS g, x, y, v, concat(grid_id, '/', x // 4, '/', y // 4) AS grid_id FROM cells)"
+_CUBE = " * ".join(["(v / greatest(cut, 1)::DOUBLE)"] * 3)
+register(
+    "w03_thin_strip_gamma", "cells", lambda d: G.thin_strip_gamma(d, 4, 4),
+    _TILES + _VALLEY.replace("cells", "strips") + f" SELECT g AS grid_id, x, y, {gamma_sql('v', f'least(6.95::DOUBLE, {_CUBE})')} AS v FROM strips JOIN cuts USING (grid_id)",
+)
+_SECOND = "list_transform(range(0, greatest(len(l) - 3, 0) + 1), lambda i: coalesce(l[i + 3] - 2 * l[i + 2] + l[i + 1], 0))"
+register(
+    "w16_knee_base", "cells", G.knee_base,
+    """, a AS (SELECT c.grid_id, c.x, c.y, c.v, list_sort(list(n.v)) AS l FROM cells c JOIN cells n ON n.grid_id = c.grid_id AND abs(n.x - c.x) <= 1 AND abs(n.y - c.y) <= 1 GROUP BY ALL)"""
+    + f", d AS (SELECT *, {_SECOND} AS d FROM a), k AS (SELECT *, v / (l[least(list_position(d, list_max(d)) + 1, len(l) - 1) + 1] + 1.0::DOUBLE) AS q FROM d)"
+    + ", r AS (SELECT *, CASE WHEN q > 1 THEN q + 0.1::DOUBLE ELSE greatest(q - 0.1::DOUBLE, 0::DOUBLE) END AS r FROM k)"
+    + f" SELECT {KEY}, {gamma_sql('v', 'least(7::DOUBLE, r * r * r)')} AS v FROM r",
 )
-register("w03_thin_strip_gamma", "cells", lambda d: G.thin_strip_gamma(d, 4, 4))
-register("w16_knee_base", "cells", G.knee_base)
 for _white in (False, True):
     _op, _cmp = ("greatest", "<") if _white else ("least", ">")
     register(

@@ -176,7 +176,14 @@ def _masked_gamma(cells: DataFrame) -> DataFrame:
     return N.scaled_gamma(G.mask_cells(cells, mask), 3, 3, 0.6)
 
 
-register("n30_masked_gamma", "cells", _masked_gamma)
+_RANK = around(LIST) + f", p AS (SELECT *, {ranked(50)} AS base FROM a)" + f", q AS (SELECT grid_id, x, y, CASE WHEN {gamma_sql('v', f'least(7::DOUBLE, {_R} * {_R} * {_R})')} < 128 THEN 0 ELSE 255 END AS v FROM p)"
+_query(
+    "n30_masked_gamma", _masked_gamma,
+    _RANK + around("min(n.v) AS e", source="q", name="mask")
+    + ", shown AS (SELECT c.grid_id, c.x, c.y, CASE WHEN mask.e < 128 THEN c.v ELSE 255 END AS v FROM cells c JOIN mask USING (grid_id, x, y))"
+    + around("min(n.v) AS lo, max(n.v) AS hi, count(*) AS n", source="shown", name="o"),
+    f"CASE WHEN n <= 2 THEN v ELSE {gamma_sql('v', f'least(7::DOUBLE, {_S} * {_S} * {_S})')} END", "o",
+)
 register("n31_ring_detector", "cells", lambda d: N.ring_detector(d, 2, 1.3), around(
     "avg(n.v) FILTER (n.x = c.x AND n.y = c.y) AS a0, coalesce(avg(n.v) FILTER (greatest(abs(n.x - c.x), abs(n.y - c.y)) = 1), 0) AS a1, coalesce(avg(n.v) FILTER (greatest(abs(n.x - c.x), abs(n.y - c.y)) = 2), 0) AS a2", 5, 5,
 ) + f" SELECT {KEY}, a0 >= a1 * 1.3::DOUBLE AND a0 >= a2 * 1.3::DOUBLE AS hit FROM a")

@@ -129,4 +129,13 @@ register(
     SELECT f.grid_id, f.x, f.y, coalesce(c.v, 255) AS v FROM f LEFT JOIN cells c ON c.grid_id = f.grid_id AND c.x = f.x - 1 AND c.y = f.y - 2""",
 )
 register("p12_downsample_2x", "cells", P.downsample, "SELECT grid_id, (x // 2)::INT AS x, (y // 2)::INT AS y, floor(avg(v))::INT AS v FROM cells GROUP BY ALL")
-register("p13_rotate_cells", "cells", lambda df: P.rotate_cells(df, 30.0))
+_S, _C = "sin(radians(30::DOUBLE))", "cos(radians(30::DOUBLE))"
+register(
+    "p13_rotate_cells", "cells", lambda df: P.rotate_cells(df, 30.0),
+    f""", size AS (SELECT grid_id, max(x) + 1 AS w, max(y) + 1 AS h FROM cells GROUP BY grid_id),
+    canvas AS (SELECT *, ceil(abs(w * {_C}) + abs(h * {_S}) - 1e-9)::INT AS nw, ceil(abs(w * {_S}) + abs(h * {_C}) - 1e-9)::INT AS nh FROM size),
+    place AS (SELECT q.*, unnest(range(0, nw)) AS x FROM (SELECT *, unnest(range(0, nh)) AS y FROM canvas) q),
+    away AS (SELECT *, x + 0.5::DOUBLE - nw / 2::DOUBLE AS dx, y + 0.5::DOUBLE - nh / 2::DOUBLE AS dy FROM place),
+    turned AS (SELECT grid_id, x, y, floor(dx * {_C} + dy * {_S} + w / 2::DOUBLE + 1e-9)::INT AS sx, floor(-dx * {_S} + dy * {_C} + h / 2::DOUBLE + 1e-9)::INT AS sy FROM away)
+    SELECT t.grid_id, t.x::INT AS x, t.y::INT AS y, coalesce(c.v, 255) AS v FROM turned t LEFT JOIN cells c ON c.grid_id = t.grid_id AND c.x = t.sx AND c.y = t.sy""",
+)

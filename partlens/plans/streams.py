@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partlens.operators import regions as G
+from partlens.operators.components import shared_root
 from partlens.sources import files as S
 from partlens.streaming import views as V
 
 from .regions import PARSED
-from .registry import QUERIES, register
+from .registry import ORACLES, QUERIES, register
 
 register(
     "s05_pixels_from_array", "embeddings", lambda d: S.pixels_from_array(d, "vec_id", "embedding", 8).select("grid_id", "x", "y", F.round(F.col("v").cast("double"), 6).alias("v")),
@@ -54,3 +57,37 @@ register(
     "x06_drop_empty_frames", "documents", lambda d: d.where(~S.is_empty_frame(F.col("text").cast("binary"))).select("doc_id"),
     "SELECT doc_id FROM documents WHERE text IS NOT NULL AND length(text) > 0",
 )
+
+
+def _shared(spark: SparkSession, name: str) -> str:
+    """A new folder among those that all executors share."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _archived(d: DataFrame) -> DataFrame:
+    """Events laid out by camera and read back."""
+    path = _shared(d.sparkSession, "archive")
+    S.archive(d.select("camera_id", "event_id", "kind", "value"), path, "camera_id")
+    return d.sparkSession.read.schema("event_id long, kind string, value double, camera_id long").parquet(path).select("camera_id", "event_id", "kind", "value")
+
+
+def _saved(d: DataFrame) -> DataFrame:
+    """Detections as JSON lines and read back."""
+    path = _shared(d.sparkSession, "results")
+    S.save_results(d, path)
+    return d.sparkSession.read.schema("scan_id long, variant int, code string").json(path)
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of events as a stream whose batches go to an archive, read back."""
+    given = f"{sf_dir}/events.parquet"
+    live = spark.readStream.schema(spark.read.parquet(given).schema).parquet(given + "*").select("event_id", "user_id", "event_type", "value")
+    path, state = _shared(spark, "stream"), _shared(spark, "stream-state")
+    V.archive_stream(live, lambda batch, _: batch.write.mode("append").parquet(path), state).awaitTermination()
+    return spark.read.schema(live.schema).parquet(path)
+
+
+register("s09_archive_sink", "capture_events", _archived, "SELECT camera_id, event_id, kind, value FROM capture_events")
+register("s10_result_sink", "detections", _saved, "SELECT scan_id, variant, code FROM detections")
+QUERIES["x07_archive_stream"] = _streamed
+ORACLES["x07_archive_stream"] = "SELECT event_id, user_id, event_type, value FROM events"
