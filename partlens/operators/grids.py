@@ -212,10 +212,15 @@ def knee_base(df: DataFrame, k: int = 3) -> DataFrame:
     return N.out(got, gamma_value(F.col("v"), F.least(F.lit(7.0), r * r * r)))
 
 
-def bridge_fill(df: DataFrame, gap: int, cut: int = 128, white: bool = False) -> DataFrame:
-    """Cells between two bright (or dark) ones gap + 1 apart in their row take the ends' mean; the least of
-    overlapping fills wins, or the greatest for white bridges."""
-    w = Window.partitionBy("grid_id", "y").orderBy("x")
+def bridge_fill(df: DataFrame, gap: int, cut: int = 128, white: bool = False, axis: str = "x", down_to: int | None = None) -> DataFrame:
+    """Cells between two bright (or dark) ones gap + 1 apart in their row (``axis`` x) or column (y) take the
+    ends' mean; the least of overlapping fills wins, or the greatest for white bridges. ``down_to``: the iterative form,
+    over gaps from ``gap`` down to this one."""
+    if down_to is not None:
+        for g in range(gap, down_to - 1, -1):
+            df = bridge_fill(df, g, cut, white, axis)
+        return df
+    w = Window.partitionBy("grid_id", "y" if axis == "x" else "x").orderBy(axis)
     ok = (lambda c: F.col(c) < cut) if white else (lambda c: F.col(c) > cut)
     got = N.dealt(df)
     fills = []

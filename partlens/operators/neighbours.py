@@ -334,17 +334,22 @@ def lighten_centre(df: DataFrame, k: int, axis: str = "y") -> DataFrame:
 
 
 def clear_trails(df: DataFrame, k: int, cut: int = 128) -> DataFrame:
-    """Where the border of a k by k square has no dark cell, its inside turns white."""
-    r = odd(k) // 2
-    got = gather(df, k, k)
-    border = F.filter("near", lambda n: (F.abs(n["dx"]) == r) | (F.abs(n["dy"]) == r))
-    full = F.size("near") == odd(k) ** 2
-    got = got.withColumn("clear", (full & F.forall(border, lambda n: n["v"] >= cut)).cast("int")).drop("near")
-    got = separable(got, 2 * r - 1, 2 * r - 1, any=(F.max, F.col("clear")))
+    """Where the border of a k by k square has no dark cell, its inside turns white. k may be even; the square of a
+    cell then reaches one further to the right and down."""
+    low, high = -((k - 1) // 2), k // 2
+    got = gather(df, 2 * high + 1, 2 * high + 1)
+    square = F.filter("near", lambda n: n["dx"].between(low, high) & n["dy"].between(low, high))
+    border = F.filter("square", lambda n: n["dx"].isin(low, high) | n["dy"].isin(low, high))
+    got = got.withColumn("square", square)
+    got = got.withColumn("clear", ((F.size("square") == k * k) & F.forall(border, lambda n: n["v"] >= cut)).cast("int")).drop("near", "square")
+    # a cell is inside the squares of the cells at these offsets
+    row = Window.partitionBy("grid_id", "y").orderBy("x").rangeBetween(1 - high, -1 - low)
+    col = Window.partitionBy("grid_id", "x").orderBy("y").rangeBetween(1 - high, -1 - low)
+    got = got.withColumn("_any", F.max("clear").over(row)).withColumn("any", F.max("_any").over(col))
     return out(got, F.when(F.col("any") == 1, 255).otherwise(F.col("v")))
 
 
-def salt_pepper(df: DataFrame, sizes: tuple[int, ...] = (3, 5)) -> DataFrame:
+def salt_pepper(df: DataFrame, sizes: tuple[int, ...] = (3, 4, 5, 7)) -> DataFrame:
     """Isolated dark blobs inside white rings go."""
     for k in sizes:
         df = clear_trails(df, k)

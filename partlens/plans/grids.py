@@ -147,13 +147,25 @@ register(
     + ", r AS (SELECT *, CASE WHEN q > 1 THEN q + 0.1::DOUBLE ELSE greatest(q - 0.1::DOUBLE, 0::DOUBLE) END AS r FROM k)"
     + f" SELECT {KEY}, {gamma_sql('v', 'least(7::DOUBLE, r * r * r)')} AS v FROM r",
 )
+def _filled(source: str, name: str, gap: int, white: bool, axis: str = "x") -> str:
+    """W17 over gaps of one or two cells."""
+    cmp, op = ("<", "greatest") if white else (">", "least")
+    key = "y" if axis == "x" else "x"
+    fill = lambda a, b: f"CASE WHEN {a} {cmp} 128 AND {b} {cmp} 128 THEN ({a} + {b}) // 2 END"
+    best = fill("l1", "r1") if gap == 1 else f"{op}({fill('l1', 'r2')}, {fill('l2', 'r1')})"
+    return f""", {name}0 AS (SELECT *, lag(v, 1) OVER o AS l1, lag(v, 2) OVER o AS l2, lead(v, 1) OVER o AS r1, lead(v, 2) OVER o AS r2 FROM {source} WINDOW o AS (PARTITION BY grid_id, {key} ORDER BY {axis})),
+    {name} AS (SELECT {KEY}, coalesce({best}, v)::INT AS v FROM {name}0)"""
+
+
 for _white in (False, True):
-    _op, _cmp = ("greatest", "<") if _white else ("least", ">")
+    for _axis in "xy":
+        register(
+            "w17_bridge_fill" + "_white" * _white + "_down" * (_axis == "y"), "cells", lambda d, w=_white, a=_axis: G.bridge_fill(d, 2, 128, w, a),
+            _filled("cells", "f", 2, _white, _axis) + f" SELECT {KEY}, v FROM f",
+        )
     register(
-        "w17_bridge_fill" + "_white" * _white, "cells", lambda d, w=_white: G.bridge_fill(d, 2, 128, w),
-        f""", w AS (SELECT *, lag(v, 1) OVER o AS l1, lag(v, 2) OVER o AS l2, lead(v, 1) OVER o AS r1, lead(v, 2) OVER o AS r2 FROM cells WINDOW o AS (PARTITION BY grid_id, y ORDER BY x)),
-        f AS (SELECT *, CASE WHEN l1 {_cmp} 128 AND r2 {_cmp} 128 THEN (l1 + r2) // 2 END AS p, CASE WHEN l2 {_cmp} 128 AND r1 {_cmp} 128 THEN (l2 + r1) // 2 END AS q FROM w)
-        SELECT {KEY}, coalesce({_op}(p, q), v)::INT AS v FROM f""",
+        "w17_bridge_fill_iterative" + "_white" * _white, "cells", lambda d, w=_white: G.bridge_fill(d, 2, 128, w, down_to=1),
+        _filled("cells", "f", 2, _white) + _filled("f", "g", 1, _white) + f" SELECT {KEY}, v FROM g",
     )
 
 

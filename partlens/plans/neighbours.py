@@ -158,16 +158,15 @@ for _axis, _o in (("y", "x"), ("x", "y")):
 
 
 def clear_sql(k: int, source: str, name: str) -> str:
-    r = k // 2
-    return (
-        around(f"count(*) = {k * k} AND bool_and(n.v >= 128) FILTER (abs(n.x - c.x) = {r} OR abs(n.y - c.y) = {r}) AS clear", k, k, source, f"{name}0")
-        + f", {name}1 AS (SELECT c.grid_id, c.x, c.y, c.v, bool_or(n.clear) AS hit FROM {name}0 c JOIN {name}0 n ON n.grid_id = c.grid_id AND abs(n.x - c.x) <= {r - 1} AND abs(n.y - c.y) <= {r - 1} GROUP BY c.grid_id, c.x, c.y, c.v)"
-        + f", {name} AS (SELECT grid_id, x, y, CASE WHEN hit THEN 255 ELSE v END AS v FROM {name}1)"
-    )
+    low, high = -((k - 1) // 2), k // 2
+    return f""", {name}0 AS (SELECT c.grid_id, c.x, c.y, c.v, count(*) = {k * k} AND bool_and(n.v >= 128) FILTER (n.x - c.x IN ({low}, {high}) OR n.y - c.y IN ({low}, {high})) AS clear
+      FROM {source} c JOIN {source} n ON n.grid_id = c.grid_id AND n.x - c.x BETWEEN {low} AND {high} AND n.y - c.y BETWEEN {low} AND {high} GROUP BY c.grid_id, c.x, c.y, c.v),
+    {name}1 AS (SELECT s.grid_id, s.x + i AS x, s.y + j AS y FROM {name}0 s, range({low + 1}, {high}) AS a(i), range({low + 1}, {high}) AS b(j) WHERE s.clear),
+    {name} AS (SELECT c.grid_id, c.x, c.y, CASE WHEN EXISTS (SELECT 1 FROM {name}1 t WHERE t.grid_id = c.grid_id AND t.x = c.x AND t.y = c.y) THEN 255 ELSE c.v END AS v FROM {source} c)"""
 
 
 _query("n28_clear_small_trails", lambda d: N.clear_trails(d, 3), clear_sql(3, "cells", "t"), "v", "t")
-_query("n29_salt_pepper", N.salt_pepper, clear_sql(3, "cells", "t") + clear_sql(5, "t", "u"), "v", "u")
+_query("n29_salt_pepper", N.salt_pepper, clear_sql(3, "cells", "t") + clear_sql(4, "t", "s") + clear_sql(5, "s", "r") + clear_sql(7, "r", "u"), "v", "u")
 
 
 def _masked_gamma(cells: DataFrame) -> DataFrame:
