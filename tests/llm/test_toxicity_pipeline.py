@@ -110,6 +110,38 @@ def test_pipeline(spark):
     assert got.columns == pieces.columns and got.count() > 0
 
 
+ODD = "doc_id long, text string, lang string, source string, n_chars long, row string, content string, times int, _doc long, hashes string, finish double"
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_on_odd_rows(spark, name):
+    """Nulls, empty and long texts, repeated rows, an id with two texts, clashing columns; and no rows at all."""
+    stage = dict(corpus_pipeline.STAGES)[name]
+    good = [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(4)]
+    long = " ".join(f"long{j}" for j in range(30_000))
+    rows = [(i, t, "en", "s", len(t), "row", "content", 1, 5, "h", 0.5) for i, t in enumerate(good)]
+    rows += [rows[0], (1, good[3] + " more", *rows[1][2:]), (7, long, *rows[1][2:]), (8, None, *[None] * 9), (9, "", *rows[1][2:]), (None, good[2] + " tail of it", *rows[1][2:]), (None, None, *[None] * 9)]
+    df = spark.createDataFrame(rows, ODD)
+    out = stage(spark, df, DATA)
+    got = out.collect()
+    assert stage(spark, df.limit(0), DATA).count() == 0
+    if name == "packing":
+        from tests.llm.test_packing import expected_ids
+
+        assert sum(r.length for r in got) == sum(len(expected_ids(r[1])) for r in rows)
+        return
+    assert out.columns == df.columns
+    ids = [r.doc_id for r in got]
+    if name == "quality_rules":  # the null and empty texts go
+        assert sorted(map(str, ids)) == sorted(map(str, [0, 1, 2, 3, 0, 1, 7, None]))
+    elif name == "line_dedup":  # no row goes
+        assert len(got) == len(rows) and all(r.text is None or set(r.text) <= set(long) | set(" ".join(good)) | set(" more tail of it") for r in got)
+    elif name == "near_dedup":  # the repeated row, the copy of 3 with a word more, and that of 2; null and empty are one
+        assert len(got) == 4 + 1 + 1 and {r.text for r in got} >= {*good[:2], long}
+    else:  # each document at most three times
+        assert all(ids.count(i) <= 3 * [r[0] for r in rows].count(i) for i in set(ids))
+
+
 def test_registered():
     assert [f"op{n}_" for n in range(1, 11)] == [q[: q.index("_") + 1] for q in sorted((q for q in QUERIES), key=lambda q: int(q[2 : q.index("_")]))]
     assert set(ORACLES) <= set(QUERIES)
