@@ -241,17 +241,52 @@ def drop_stubs(boxes: DataFrame, char_width: int, char_height: int) -> DataFrame
     return boxes.join(s.where(~stub).select(*LINE), LINE)
 
 
-def fit_two_by_two(boxes: DataFrame, left: int) -> DataFrame:
-    """Bottoms in buckets of two thirds of the median height; the two fullest buckets are the lines, upper first;
-    boxes in them get line 1 or 2, and column 1 for the first ``left`` by x, 2 for the rest."""
-    got = boxes.join(medians(boxes, ["grid_id"], mh=F.col("h")), "grid_id")
-    got = got.withColumn("b", F.floor((F.col("y") + F.col("h")) / (F.col("mh") * 2 / 3) + 1e-9).cast("int")).drop("mh")
-    n = got.groupBy("grid_id", "b").agg(F.count("*").alias("n"))
-    top = n.withColumn("r", F.row_number().over(Window.partitionBy("grid_id").orderBy(F.desc("n"), "b"))).where("r <= 2")
-    top = top.withColumn("line", F.row_number().over(Window.partitionBy("grid_id").orderBy("b"))).select("grid_id", "b", "line")
-    got = got.join(top, ["grid_id", "b"])
-    nth = F.row_number().over(Window.partitionBy("grid_id", "line").orderBy("x", "box_id"))
-    return got.withColumn("col", F.when(nth <= left, 1).otherwise(2)).drop("b")
+def fit_two_by_two(boxes: DataFrame, patterns: tuple[int, int, int, int]) -> DataFrame:
+    """Boxes forced into two lines of two columns, whose lengths ``patterns`` gives in reading order.
+
+    Bottoms are counted in buckets of two thirds of the median height. The fullest bucket's mean bottom is one line, that
+    of the fullest bucket more than the tolerance (a bucket and 2) away from it the other; the upper one is line 1. A box
+    belongs to the nearer line within the tolerance. A line that is short of its patterns takes the nearest of the
+    other boxes less than a median height away. A line as long as its patterns is cut by them; else it is cut at its
+    widest gap of 2.25 median widths or more, and without one its last boxes, as many as the second pattern has, are
+    column 2. Columns of a single box go. Grids that have as many lines as patterns are left alone: their lines count
+    from the top, all in column 1. No box is in two lines; boxes in none are left out.
+    """
+    by_grid = Window.partitionBy("grid_id")
+    got = boxes.join(medians(boxes, ["grid_id"], mh=F.col("h"), mw=F.col("w")), "grid_id")
+    got = got.withColumn("bottom", F.col("y") + F.col("h")).withColumn("tol", F.col("mh") * 2 / 3 + 2)
+    got = got.withColumn("given", F.size(F.collect_set("line_id").over(by_grid)))
+    done = got.where(F.col("given") == len(patterns)).withColumn("col", F.lit(1))
+    tops = done.groupBy(*LINE).agg(F.min("y").alias("top"))
+    tops = tops.withColumn("line", F.row_number().over(by_grid.orderBy("top", "line_id"))).select(*LINE, "line")
+    done = done.join(tops, LINE).select(*boxes.columns, "line", "col")
+
+    got = got.where(F.col("given") != len(patterns))
+    modes = got.groupBy("grid_id", "tol", F.floor(F.col("bottom") / (F.col("mh") * 2 / 3) + 1e-9).alias("b")).agg(F.count("*").alias("n"), F.avg("bottom").alias("at"))
+    order = F.struct((-F.col("n")).alias("n"), F.col("b"))
+    modes = modes.withColumn("first", F.min_by("at", order).over(by_grid))
+    ends = modes.groupBy("grid_id", "first").agg(F.min(F.when(F.abs(F.col("at") - F.col("first")) > F.col("tol"), F.struct((-F.col("n")).alias("n"), "b", "at")))["at"].alias("second"))
+    ends = ends.select("grid_id", F.least("first", "second").alias("upper"), F.when(F.col("second").isNotNull(), F.greatest("first", "second")).alias("lower"))
+    got = got.join(ends, "grid_id")
+    up, low = F.abs(F.col("bottom") - F.col("upper")), F.abs(F.col("bottom") - F.col("lower"))
+    got = got.withColumn("line", F.when(F.coalesce(low < up, F.lit(False)), 2).otherwise(1)).withColumn("away", F.least(up, low))
+    of_line = Window.partitionBy("grid_id", "line")
+    got = got.withColumn("own", F.col("away") <= F.col("tol")).withColumn("n_own", F.count_if("own").over(of_line))
+    want = F.when(F.col("line") == 1, patterns[0] + patterns[1]).otherwise(patterns[2] + patterns[3])
+    spare = F.row_number().over(Window.partitionBy("grid_id", "line", "own").orderBy("away", "x", "box_id"))
+    got = got.where(F.col("own") | (F.col("away") < F.col("mh"))).withColumn("spare", spare)
+    got = got.where(F.col("own") | (F.col("spare") <= want - F.col("n_own")))
+
+    by_x = of_line.orderBy("x", "box_id")
+    got = got.withColumn("nth", F.row_number().over(by_x)).withColumn("n", F.count("*").over(of_line))
+    gap = F.col("x") - F.lag(F.col("x") + F.col("w")).over(by_x)
+    got = got.withColumn("gap", F.when(gap >= F.col("mw") * 2.25, gap))
+    cut = F.min(F.when(F.col("gap").isNotNull(), F.struct((-F.col("gap")).alias("gap"), "nth"))).over(of_line)["nth"]
+    left, right = (F.when(F.col("line") == 1, patterns[i]).otherwise(patterns[i + 2]) for i in (0, 1))
+    first_right = F.when(F.col("n") == want, left + 1).otherwise(F.coalesce(cut, F.col("n") - right + 1))
+    got = got.withColumn("col", F.when(F.col("nth") < first_right, 1).otherwise(2))
+    got = got.withColumn("n_col", F.count("*").over(Window.partitionBy("grid_id", "line", "col"))).where("n_col > 1")
+    return got.select(*boxes.columns, "line", "col").unionByName(done)
 
 
 def line_pipeline(boxes: DataFrame, cw: int, ch: int, least: int = 4, overlap_share: float = 0.075, low: float = 0.5, wide: float = 2.1, gap: float = 2.75) -> DataFrame:

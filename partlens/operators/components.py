@@ -39,7 +39,7 @@ def runs(cells: DataFrame, cut: int = 128) -> DataFrame:
     w = Window.partitionBy("grid_id", "y").orderBy("x")
     isle = dark.withColumn("i", F.col("x") - F.row_number().over(w))
     out = isle.groupBy("grid_id", "y", "i").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("i")
-    return out.withColumn("run", F.col("y").cast("long") * 1_000_000 + F.col("x0"))
+    return out.withColumn("run", F.shiftleft(F.col("y").cast("long"), 31) + F.col("x0"))
 
 
 def label(cells: DataFrame, cut: int = 128) -> DataFrame:

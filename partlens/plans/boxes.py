@@ -174,12 +174,38 @@ register(
     k AS (SELECT grid_id, line_id FROM s GROUP BY ALL HAVING NOT ((count(*) <= 2 AND round(sum(w) / 10) <= 2) OR (count(*) = 1 AND (max(w) <= 3 OR max(h) <= 0.45::DOUBLE * 44))))
     SELECT {ALL} FROM s JOIN k USING (grid_id, line_id)""",
 )
+def fit_sql(source: str, p: tuple[int, int, int, int]) -> str:
+    """W25 for boxes without a grid of four lines, and for those with one."""
+    return f""", m AS (SELECT *, y + h AS bottom, median(h) OVER g AS mh, median(w) OVER g AS mw, median(h) OVER g * 2 / 3 + 2 AS tol FROM {source} WINDOW g AS (PARTITION BY grid_id)),
+    gl AS (SELECT grid_id, count(DISTINCT line_id) AS given FROM {source} GROUP BY grid_id),
+    todo AS (SELECT m.* FROM m JOIN gl USING (grid_id) WHERE given <> 4),
+    b AS (SELECT grid_id, tol, floor(bottom / (mh * 2 / 3) + 1e-9) AS b, count(*) AS n, avg(bottom) AS mid FROM todo GROUP BY ALL),
+    one AS (SELECT grid_id, mid AS first FROM b QUALIFY row_number() OVER (PARTITION BY grid_id ORDER BY n DESC, b) = 1),
+    two AS (SELECT b.grid_id, mid AS second FROM b JOIN one USING (grid_id) WHERE abs(mid - first) > tol QUALIFY row_number() OVER (PARTITION BY b.grid_id ORDER BY n DESC, b) = 1),
+    ends AS (SELECT grid_id, CASE WHEN second < first THEN second ELSE first END AS up, CASE WHEN second < first THEN first ELSE second END AS low FROM one LEFT JOIN two USING (grid_id)),
+    near AS (SELECT todo.*, CASE WHEN abs(bottom - low) < abs(bottom - up) THEN 2 ELSE 1 END AS line, least(abs(bottom - up), abs(bottom - low)) AS away FROM todo JOIN ends USING (grid_id)),
+    own AS (SELECT *, count(*) FILTER (away <= tol) OVER (PARTITION BY grid_id, line) AS n_own, CASE WHEN line = 1 THEN {p[0] + p[1]} ELSE {p[2] + p[3]} END AS want FROM near),
+    took AS (SELECT * FROM own WHERE away <= tol UNION ALL
+      SELECT * FROM (SELECT * FROM own WHERE away > tol AND away < mh) q QUALIFY row_number() OVER (PARTITION BY grid_id, line ORDER BY away, x, box_id) <= want - n_own),
+    x0 AS (SELECT *, row_number() OVER o AS nth, count(*) OVER (PARTITION BY grid_id, line) AS n, x - lag(x + w) OVER o AS gap FROM took WINDOW o AS (PARTITION BY grid_id, line ORDER BY x, box_id)),
+    cut AS (SELECT grid_id, line, nth AS cut_at FROM x0 WHERE gap >= mw * 2.25 QUALIFY row_number() OVER (PARTITION BY grid_id, line ORDER BY gap DESC, nth) = 1),
+    cols AS (SELECT x0.*, CASE WHEN nth < CASE WHEN n = want THEN CASE WHEN line = 1 THEN {p[0]} ELSE {p[2]} END + 1 ELSE coalesce(cut.cut_at, n - CASE WHEN line = 1 THEN {p[1]} ELSE {p[3]} END + 1) END THEN 1 ELSE 2 END AS col
+      FROM x0 LEFT JOIN cut USING (grid_id, line)),
+    fit AS (SELECT grid_id, box_id, line, col FROM cols QUALIFY count(*) OVER (PARTITION BY grid_id, line, col) > 1),
+    tops AS (SELECT grid_id, line_id, row_number() OVER (PARTITION BY grid_id ORDER BY min(y), line_id)::INT AS line FROM {source} JOIN gl USING (grid_id) WHERE given = 4 GROUP BY grid_id, line_id)
+    SELECT grid_id, box_id, line, col FROM fit UNION ALL SELECT s.grid_id, box_id, tops.line, 1 FROM {source} s JOIN tops ON tops.grid_id = s.grid_id AND tops.line_id = s.line_id"""
+
+
+def _uneven(d: DataFrame) -> DataFrame:
+    """Boxes of every seventh grid in four lines, those of others moved up or down beyond a line's tolerance here and there."""
+    d = d.withColumn("line_id", F.when((F.col("grid_id") % 7 == 0) & (F.col("box_id") % 4 == 0), 3).otherwise(F.col("line_id")))
+    return d.withColumn("y", (F.col("y") + F.when(F.col("box_id") % 5 == 0, 17).otherwise(0)).cast("int"))
+
+
 register(
-    "w25_fit_two_by_two", "boxes", lambda d: B.fit_two_by_two(d, 3).select("grid_id", "box_id", "line", "col"),
-    """, m AS (SELECT *, median(h) OVER (PARTITION BY grid_id) AS mh FROM boxes), k AS (SELECT *, floor((y + h) / (mh * 2 / 3) + 1e-9) AS b FROM m),
-    t AS (SELECT grid_id, b FROM k GROUP BY grid_id, b QUALIFY row_number() OVER (PARTITION BY grid_id ORDER BY count(*) DESC, b) <= 2),
-    l AS (SELECT grid_id, b, row_number() OVER (PARTITION BY grid_id ORDER BY b)::INT AS line FROM t)
-    SELECT grid_id, box_id, line, CASE WHEN row_number() OVER (PARTITION BY grid_id, line ORDER BY x, box_id) <= 3 THEN 1 ELSE 2 END AS col FROM k JOIN l USING (grid_id, b)""",
+    "w25_fit_two_by_two", "boxes", lambda d: B.fit_two_by_two(_uneven(d), (3, 4, 2, 5)).select("grid_id", "box_id", "line", "col"),
+    """, uneven AS (SELECT grid_id, CASE WHEN grid_id % 7 = 0 AND box_id % 4 = 0 THEN 3 ELSE line_id END AS line_id, box_id, x, (y + CASE WHEN box_id % 5 = 0 THEN 17 ELSE 0 END)::INT AS y, w, h FROM boxes)"""
+    + fit_sql("uneven", (3, 4, 2, 5)),
 )
 
 

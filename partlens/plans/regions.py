@@ -19,7 +19,7 @@ keys AS (SELECT line_no, key, value, n[1] AS part, n[2] AS point, n[3] AS proces
 nums AS (SELECT *, list_transform(string_split(value, ','), lambda x: TRY_CAST(trim(x) AS DOUBLE)) AS d FROM keys),
 ok AS (SELECT *, len(d) = 4 AND len(list_filter(d, lambda x: x IS NULL)) = 0 AND trunc(d[3]) >= 2 AND trunc(d[4]) >= 2 AS is_rect,
   len(d) >= 6 AND len(d) % 2 = 0 AND len(list_filter(d, lambda x: x IS NULL)) = 0 AS is_poly FROM nums WHERE kind = 'clipBox'),
-rects AS (SELECT part, point, processor, i, trunc(d[1])::INT AS x, trunc(d[2])::INT AS y, trunc(d[3])::INT AS w, trunc(d[4])::INT AS h, substr(part, 2)::BIGINT % 500 AS grid_id, line_no FROM ok WHERE is_rect),
+rects AS (SELECT part, point, processor, i, trunc(d[1])::INT AS x, trunc(d[2])::INT AS y, trunc(d[3])::INT AS w, trunc(d[4])::INT AS h, substr(part, 2)::BIGINT AS grid_id, line_no FROM ok WHERE is_rect),
 pts AS (SELECT part, point, processor, i, line_no, unnest(range(0, len(d) // 2)) AS k, d FROM ok WHERE is_poly),
 verts AS (SELECT part, point, processor, i, line_no, k, d[2*k+1] AS px, d[2*k+2] AS py, d[2*((k+1) % (len(d)//2))+1] AS qx, d[2*((k+1) % (len(d)//2))+2] AS qy FROM pts),
 boxes_of AS (SELECT part, point, processor, i, line_no, floor(min(px))::INT AS x, floor(min(py))::INT AS y, (ceil(max(px)) - floor(min(px)))::INT AS w, (ceil(max(py)) - floor(min(py)))::INT AS h, count(*) AS n
@@ -33,12 +33,12 @@ def keys(settings: DataFrame) -> DataFrame:
 def rects(settings: DataFrame) -> DataFrame:
     r = G.parse_rect(F.col("value"))
     out = keys(settings).where("kind = 'clipBox'").withColumn("r", r).where("r IS NOT NULL")
-    return out.select("part", "point", "processor", "i", "r.*", (F.substring("part", 2, 18).try_cast("long") % 500).alias("grid_id"), "line_no")
+    return out.select("part", "point", "processor", "i", "r.*", F.substring("part", 2, 18).try_cast("long").alias("grid_id"), "line_no")
 
 
 def polygons(settings: DataFrame) -> DataFrame:
     out = keys(settings).where("kind = 'clipBox'").withColumn("points", G.parse_polygon(F.col("value"))).where("points IS NOT NULL")
-    return out.select("part", "point", "processor", "i", "points", (F.substring("part", 2, 18).try_cast("long") % 500).alias("grid_id"), F.col("line_no").alias("region_id"))
+    return out.select("part", "point", "processor", "i", "points", F.substring("part", 2, 18).try_cast("long").alias("grid_id"), F.col("line_no").alias("region_id"))
 
 
 register("s02_filter_files", "paths", lambda df: df.where(F.contains("path", F.lit("1"))).select("page_id", "path"), "SELECT page_id, path FROM paths WHERE path LIKE '%1%'")
@@ -124,7 +124,7 @@ for _inv in (False, True):
     )
 register(
     "r11_clip_polygon_cells", "cells settings", lambda c, s: G.clip_polygon_cells(c, polygons(s).select("region_id", "grid_id", "points")),
-    PARSED + """, e AS (SELECT v.*, substr(v.part, 2)::BIGINT % 500 AS grid_id FROM verts v JOIN boxes_of b USING (part, point, processor, i, line_no) WHERE b.w >= 2 AND b.h >= 2)
+    PARSED + """, e AS (SELECT v.*, substr(v.part, 2)::BIGINT AS grid_id FROM verts v JOIN boxes_of b USING (part, point, processor, i, line_no) WHERE b.w >= 2 AND b.h >= 2)
     SELECT e.line_no AS region_id, c.grid_id, c.x, c.y, any_value(c.v) AS v FROM cells c JOIN e USING (grid_id) GROUP BY e.line_no, c.grid_id, c.x, c.y
     HAVING sum(CASE WHEN (py > c.y + 0.5) <> (qy > c.y + 0.5) AND c.x + 0.5 < px + (c.y + 0.5 - py) * (qx - px) / (qy - py) THEN 1 ELSE 0 END) % 2 = 1""",
 )

@@ -17,7 +17,7 @@ from .text import CANDIDATES, _corrected, _verified
 
 LABELS = """, dark AS (SELECT grid_id, x, y FROM cells WHERE v < 128),
 run0 AS (SELECT *, x - row_number() OVER (PARTITION BY grid_id, y ORDER BY x) AS i FROM dark),
-runs AS (SELECT grid_id, y, min(x) AS x0, max(x) AS x1, y::BIGINT * 1000000 + min(x) AS run FROM run0 GROUP BY grid_id, y, i),
+runs AS (SELECT grid_id, y, min(x) AS x0, max(x) AS x1, y::BIGINT * 2147483648 + min(x) AS run FROM run0 GROUP BY grid_id, y, i),
 lk0 AS (SELECT a.grid_id, a.run AS p, b.run AS q FROM runs a JOIN runs b ON a.grid_id = b.grid_id AND b.y = a.y + 1 AND a.x0 <= b.x1 AND b.x0 <= a.x1),
 lk AS (SELECT grid_id, p, q FROM lk0 UNION ALL SELECT grid_id, q, p FROM lk0),
 reach AS (SELECT grid_id, run, run AS r FROM runs UNION SELECT t.grid_id, t.run, l.q FROM reach t JOIN lk l ON l.grid_id = t.grid_id AND l.p = t.r),
