@@ -3,11 +3,13 @@ the watermark that ``watermarked`` sets."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from partlens.functions.times import interval_micros, time_bucket
 
@@ -66,6 +68,30 @@ def live_pass_rate(inspections: DataFrame) -> DataFrame:
     return g.withColumn("rate", F.round(F.col("passed") / F.col("inspected"), 9))
 
 
+STRIP = "point_id long, seen long, parts array<long>, oks array<boolean>"
+_STRIP_STATE = "seen long, ts array<long>, parts array<long>, rows array<long>, oks array<boolean>"
+
+
+def live_strip(inspections: DataFrame, n: int = 60) -> DataFrame:
+    """X05's strip of a stream, in update mode: the last n outcomes of each point that changed, oldest first, and how many
+    it has had. State is n outcomes a point, however many came; late ones take their place if they belong to the last n."""
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen, *held = state.get if state.exists else (0, [], [], [], [])
+        rows = list(zip(*held, strict=True))
+        for batch in batches:
+            seen += len(batch)
+            micros = batch["run_ts"].astype("datetime64[us]").astype("int64")
+            rows += list(zip(micros.tolist(), batch["part_id"].tolist(), batch["row_id"].tolist(), batch["ok"].tolist(), strict=True))
+            rows = sorted(rows)[-n:]
+        ts, parts, ids, oks = ([r[i] for r in rows] for i in range(4))
+        state.update((seen, ts, parts, ids, oks))
+        yield pd.DataFrame({"point_id": [key[0]], "seen": [seen], "parts": [parts], "oks": [oks]})
+
+    given = inspections.select("point_id", "run_ts", "part_id", "row_id", "ok")
+    return given.groupBy("point_id").applyInPandasWithState(update, STRIP, _STRIP_STATE, "update", GroupStateTimeout.NoTimeout)
+
+
 def first_reply_wins(replies: DataFrame) -> DataFrame:
     """One reply a request; as a stream the first to arrive within the watermark."""
     if replies.isStreaming:

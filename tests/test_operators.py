@@ -154,3 +154,21 @@ def test_archive_stream_restarts_where_it_ended(spark, events, tmp_path):
         return spark.read.parquet(str(tmp_path / "out")).count()
 
     assert go(5) == 5 and go(3) == 8
+
+
+def test_strip_of_a_stream_is_the_last_outcomes(spark, tmp_path):
+    from partlens.operators import results as R
+
+    df = spark.range(400).selectExpr("id % 50 AS part_id", "timestamp_seconds(1700000000 + (id * 7919) % 400) AS run_ts", "CAST(id % 3 AS INT) AS point_id", "id % 4 <> 0 AS ok", "id AS row_id")
+    df.repartition(3).write.parquet(str(tmp_path / "in"))
+    live = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = V.live_strip(live).writeStream.format("memory").queryName("strip").outputMode("update").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    last = {}
+    for r in spark.table("strip").collect():
+        if r.seen > last.get(r.point_id, (0,))[0]:
+            last[r.point_id] = (r.seen, list(zip(r.parts, r.oks)))
+    want = {}
+    for r in R.last_outcomes(df).orderBy("point_id", "nth").collect():
+        want.setdefault(r.point_id, []).append((r.part_id, r.ok))
+    assert {k: v[1] for k, v in last.items()} == want and sum(v[0] for v in last.values()) == 400
