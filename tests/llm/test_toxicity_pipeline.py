@@ -117,8 +117,9 @@ ODD = "doc_id long, text string, lang string, source string, n_chars long, row s
 def test_stages_on_odd_rows(spark, name):
     """Nulls, empty and long texts, repeated rows, an id with two texts, clashing columns; and no rows at all."""
     stage = dict(corpus_pipeline.STAGES)[name]
-    good = [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(4)]
-    long = " ".join(f"long{j}" for j in range(30_000))
+    word = lambda n: "".join(chr(97 + int(c)) for c in str(n))
+    good = [" ".join(f"w{word(i)}x{word(j)}" for j in range(40)) for i in range(4)]
+    long = " ".join(f"long{word(j)}" for j in range(30_000))
     rows = [(i, t, "en", "s", len(t), "row", "content", 1, 5, "h", 0.5) for i, t in enumerate(good)]
     rows += [rows[0], (1, good[3] + " more", *rows[1][2:]), (7, long, *rows[1][2:]), (8, None, *[None] * 9), (9, "", *rows[1][2:]), (None, good[2] + " tail of it", *rows[1][2:]), (None, None, *[None] * 9)]
     df = spark.createDataFrame(rows, ODD)
