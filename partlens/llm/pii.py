@@ -43,6 +43,11 @@ CARD_LOOSE = r"(?<![0-9A-Za-z.+-])(?:[0-9]{4}[\x20.-]){2,3}[0-9]{3,7}(?![0-9A-Za
 PHONE_LOCAL = (
     r"(?<![0-9+.A-Za-z-])(?:(?:\([0-9]{2,5}\)\x20?|0[0-9]{1,4}[\x20/-])[0-9]{3,4}[\x20-][0-9]{3,5}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}|00[1-9][0-9]{0,2}(?:[\x20-]?[0-9]{2,4}){3,4})(?![0-9.A-Za-z-])"
 )
+TITLES = ("Mr", "Ms", "Miss", "Dr", "Prof", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Señor", "Sr", "Dear", "Sincerely,", "Regards,", "named")
+STREETS = (
+    " St", " Ave", " Road", " Rd", " Lane", " Ln", " Dr", " Boulevard", " Blvd", " Court", " Way", "straße ", "strasse ", "gasse ", "weg ", "allee ", "platz ",
+    "rue ", "avenue ", "boulevard ", "calle ", "avenida ", "plaza ",
+)
 _CAPITAL = r"\p{Lu}[\p{Ll}'-]++"
 NAME = r"(?<![\p{L}])(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herrn?|Frau|Monsieur|Madame|Mme|Señora?|Sra?|Dear|Sincerely,|Regards,|named)\.?[\x20\n]" + _CAPITAL + r"(?:\x20(?:(?:de|von|van|la)\x20)?" + _CAPITAL + r"){0,2}"
 ADDRESS = (
@@ -171,6 +176,14 @@ def _candidates(text: Column, kind: str, found: Column, base: bool) -> Column:
     return F.transform(kept, describe)
 
 
+def _has_any(text: Column, parts: tuple[str, ...]) -> Column:
+    """Whether one of the parts stands in the text: what a pattern needs to match at all, found without it."""
+    out = F.lit(False)
+    for x in parts:
+        out = out | F.contains(text, F.lit(x))
+    return out
+
+
 def candidates(docs: DataFrame) -> DataFrame:
     """doc_id and all candidates of each row's whole text; loose ones that overlap a base span are left out."""
     text = F.col("text")
@@ -187,8 +200,8 @@ def candidates(docs: DataFrame) -> DataFrame:
         _candidates(text, "ip", matches(text, IPV6, text.rlike(r"[0-9A-Fa-f]:[0-9A-Fa-f]{0,4}:")), False),
         _candidates(text, "card", matches(text, CARD_LOOSE, text.rlike("[0-9]{4}[\\x20.-]?[0-9]{4}|3[47][0-9]{2}[\\x20-][0-9]{6}")), False),
         _candidates(text, "phone", matches(text, PHONE_LOCAL, has_digits), False),
-        _candidates(text, "name", matches(text, NAME), False),
-        _candidates(text, "address", matches(text, ADDRESS), False),
+        _candidates(text, "name", matches(text, NAME, _has_any(text, TITLES)), False),
+        _candidates(text, "address", matches(text, ADDRESS, _has_any(text, STREETS)), False),
         _candidates(text, "id", matches(text, ID, has_digits), False),
     )
     out = rows.select("doc_id", strict.alias("strict"), loose.alias("loose"))
