@@ -308,7 +308,11 @@ class NearDuplicates:
                 break
         now = now.drop("comp", "served").join(comps, "content").join(served, ["band", "key", "content"], "left_anti")
         now = materialize(now.join(materialize(self._main_of(pivots, comps), "near-main"), "pivot"), "near-last")
-        return self._join(self._by_difference(now, elements), elements, comps)[2]
+        rows = self._differences(now, elements)
+        # most nodes that are linked at all are linked to the one nearest to the pivot that shares a difference: one link is
+        # enough to join two components, so these pairs, one an element at most, come before all others
+        comps = self._join(self._by_nearest(rows), elements, comps)[2]
+        return self._join(self._by_difference(rows.drop("comp").join(comps, "content")), elements, comps)[2]
 
     @staticmethod
     def _main_of(pivots: DataFrame, comps: DataFrame) -> DataFrame:
@@ -330,9 +334,9 @@ class NearDuplicates:
         comps = comps.join(joined.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left")
         return compared, linked, materialize(comps.select("content", F.coalesce("to", "comp").alias("comp")), "near-comps")
 
-    def _by_difference(self, now: DataFrame, elements: DataFrame) -> DataFrame:
-        """Pairs that are left to compare: two nodes of a bucket that were not served, in different components, one of
-        them outside the pivot's, that share one of the rare differences by which every link would show.
+    def _differences(self, now: DataFrame, elements: DataFrame) -> DataFrame:
+        """What is left to compare: nodes of a bucket that were not served, in different components, with the rare
+        differences by which every link of one that is outside the pivot's component would show.
 
         ``D`` of a node is its difference from the pivot: elements it has beyond it and elements of the pivot it lacks.
         Two nodes differ by the elements that one D alone holds. A node outside the pivot's component differs from the
@@ -357,7 +361,17 @@ class NearDuplicates:
         x, y = ranked.alias("x"), ranked.select(F.col("content").alias("p"), F.col("elements").alias("of_pivot")).alias("y")
         rows = nodes.join(x, "content").join(y, F.col("pivot") == F.col("p"))
         rows = small_batches(rows.select("pivot", "content", "comp", "open", "total", "single", "elements", "of_pivot"))
-        rows = materialize(rows.mapInArrow(_prefixes(self.percent), PREFIXES), "near-prefixes")
+        return materialize(rows.mapInArrow(_prefixes(self.percent), PREFIXES), "near-prefixes")
+
+    def _by_nearest(self, rows: DataFrame) -> DataFrame:
+        """Open nodes, each with the node nearest to the pivot that shares one of its differences."""
+        on = ["pivot", "lost", "element"]
+        nearest = rows.where("as_any").groupBy(*on).agg(F.min_by(F.struct("content", "comp", "total"), F.struct("d", "content")).alias("b"))
+        pairs = rows.where("open = 1 AND as_open").join(materialize(nearest, "near-nearest"), on).where("comp <> b.comp")
+        return pairs.select(F.col("content").alias("a"), F.col("total").alias("ta"), F.col("b.content").alias("b"), F.col("b.total").alias("tb"))
+
+    def _by_difference(self, rows: DataFrame) -> DataFrame:
+        """Pairs in different components, one of them open, that share a difference early enough in both orders."""
         a, b = rows.where("open = 1 AND as_open").alias("a"), rows.where("as_any").alias("b")
         on = (F.col("a.pivot") == F.col("b.pivot")) & (F.col("a.lost") == F.col("b.lost")) & (F.col("a.element") == F.col("b.element"))
         on = on & (F.col("a.comp") != F.col("b.comp")) & self._sizes("a.total", "b.total") & ((F.col("b.open") == 0) | (F.col("a.content") < F.col("b.content")))
