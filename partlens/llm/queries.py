@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, linededup, mixing, neardup, packing, pii, quality, secrets, topk, toxicity
+from . import chat, linededup, merkle, mixing, neardup, packing, pii, quality, secrets, topk, toxicity
 from .common import table
 
 
@@ -24,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_secret_scan": _on("documents", secrets.op7_secrets),
     "op8_chat_formatting": lambda spark, sf_dir: chat.op8_chat(spark, table(spark, sf_dir, "conversations")),
     "op9_quality_rules": _on("documents", quality.op9_quality),
+    "op13_merkle_manifest": _on("documents", merkle.op13_merkle),
     "op10_toxicity": lambda spark, sf_dir: toxicity.op10_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
 }
 
@@ -33,4 +34,5 @@ ORACLES: dict[str, str] = {
     "op5_exact_top_k": topk.OP5_SQL,
     "op8_chat_formatting": chat.OP8_SQL,
     "op9_quality_rules": quality.OP9_SQL,
+    "op13_merkle_manifest": merkle.OP13_SQL,
 }
