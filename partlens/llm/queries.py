@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, linededup, merkle, mixing, neardup, packing, pii, quality, secrets, topk, toxicity
+from . import bytenet, chat, linededup, merkle, mixing, neardup, packing, pii, quality, secrets, topk, toxicity, whitening
 from .common import table
 
 
@@ -24,8 +24,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_secret_scan": _on("documents", secrets.op7_secrets),
     "op8_chat_formatting": lambda spark, sf_dir: chat.op8_chat(spark, table(spark, sf_dir, "conversations")),
     "op9_quality_rules": _on("documents", quality.op9_quality),
-    "op13_merkle_manifest": _on("documents", merkle.op13_merkle),
     "op10_toxicity": lambda spark, sf_dir: toxicity.op10_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
+    "op11_whitening": _on("embeddings", whitening.op11_whitening),
+    "op12_quality_classifier": lambda spark, sf_dir: bytenet.op12_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
+    "op13_merkle_manifest": _on("documents", merkle.op13_merkle),
 }
 
 ORACLES: dict[str, str] = {
