@@ -21,6 +21,9 @@ CELLS = """SELECT grid_id, CAST(pos % 8 AS INT) AS x, CAST(floor(pos / 8) AS INT
  CAST(floor((f - min(f) OVER (PARTITION BY grid_id))
  / (max(f) OVER (PARTITION BY grid_id) - min(f) OVER (PARTITION BY grid_id)) * 255) AS INT) AS v FROM {src}"""
 
+#: grids of 32 by 128 cells, each made of 64 of the small ones, four abreast
+MOSAIC = """SELECT CAST(floor(grid_id / 64) AS BIGINT) AS grid_id, CAST(grid_id % 4 * 8 + x AS INT) AS x, CAST(floor(grid_id % 64 / 4) * 8 + y AS INT) AS y, v FROM {cells}"""
+
 #: cells with a second grid's value beside them
 PAIRS = """SELECT a.grid_id, a.x, a.y, a.v, b.v AS w FROM {cells} a JOIN {cells} b
  ON b.grid_id = a.grid_id + 1 AND b.x = a.x AND b.y = a.y"""
@@ -36,6 +39,9 @@ READINGS = """SELECT l_partkey AS part_id, l_orderkey * 10 + l_linenumber AS rea
  FROM (SELECT l_partkey, l_orderkey, l_linenumber,
  concat(substr(p_type, 1, 2), lpad(CAST(p_size AS VARCHAR(9)), 2, '0')) AS t FROM {li} JOIN {part} ON l_partkey = p_partkey) q"""
 
+#: readings of which some are null: a third of the parts' first ones, and all of every ninth part
+GAPPY = """SELECT part_id, reading_id, template, CASE WHEN part_id % 9 = 0 OR (part_id % 3 = 1 AND reading_id % 10 <= 2) THEN NULL ELSE raw END AS raw FROM {readings}"""
+
 #: one block of settings for each part; the last lines repeat a key of the block for every fifth part
 SETTINGS = """SELECT p_partkey * 10 + i AS line_no, CASE i
  WHEN 1 THEN concat('P', k, '.Left IP.Text Inspection.1.clipBox=', CAST(p_partkey % 3 AS VARCHAR(9)), ',1,', CAST(2 + p_partkey % 5 AS VARCHAR(9)), ',4')
@@ -56,6 +62,10 @@ EVENTS = """SELECT event_id, ts, user_id % 4 + 1 AS camera_id,
  CASE event_type WHEN 'view' THEN 'request' WHEN 'click' THEN 'response' WHEN 'error' THEN 'fail' ELSE 'beat' END AS kind, value
  FROM {events}"""
 
+#: a fleet that grows with the events: four cameras for every thousand of them, and one that has a third of all
+FLEET = """SELECT event_id, ts, CASE WHEN event_id % 3 = 0 THEN 0 ELSE CAST(floor(event_id / 1000) AS BIGINT) * 4 + user_id % 4 + 1 END AS camera_id, kind, value
+ FROM (SELECT event_id, ts, user_id, CASE event_type WHEN 'view' THEN 'request' WHEN 'click' THEN 'response' ELSE 'beat' END AS kind, value FROM {events}) e"""
+
 COLOURS = """SELECT grid_id, x, y, v AS r, coalesce(lead(v, 1) OVER (PARTITION BY grid_id ORDER BY y, x), 0) AS g,
  coalesce(lead(v, 2) OVER (PARTITION BY grid_id ORDER BY y, x), 0) AS b FROM {cells}"""
 
@@ -70,13 +80,16 @@ TABLES: dict[str, tuple[str, tuple[str, ...]]] = {
     "li": (LI, ("lineitem",)),
     "src": (SRC_SPARK, ("embeddings",)),
     "cells": (CELLS, ("src",)),
+    "mosaic": (MOSAIC, ("cells",)),
     "pairs": (PAIRS, ("cells",)),
     "colours": (COLOURS, ("cells",)),
     "boxes": (BOXES, ("li",)),
     "readings": (READINGS, ("li", "part")),
+    "gappy_readings": (GAPPY, ("readings",)),
     "settings": (SETTINGS, ("part",)),
     "inspections": (INSPECTIONS, ("li",)),
     "capture_events": (EVENTS, ("events",)),
+    "fleet_events": (FLEET, ("events",)),
     "paths": (PATHS, ("pages",)),
     "detections": (DETECTIONS, ("li",)),
 }

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from partlens.functions.curves import gamma_value
 
 from . import neighbours as N
+from . import ranks as R
+from . import tiles as T
 
 KEY = ["grid_id", "x", "y"]
 
@@ -203,10 +205,15 @@ def thin_strip_gamma(df: DataFrame, dx: int, dy: int) -> DataFrame:
 def knee_base(df: DataFrame, k: int = 3) -> DataFrame:
     """Base is two values after the largest second difference of the sorted neighbourhood; tone v / (base + 1),
     moved by 0.1, cubed."""
-    got = N.gather(df, k, k).withColumn("a", F.array_sort(N.values(F.col("near"))))
-    second = F.transform(F.sequence(F.lit(0), F.greatest(F.size("a") - 3, F.lit(0))), lambda i: F.coalesce(F.get("a", i + 2) - 2 * F.get("a", i + 1) + F.get("a", i), F.lit(0)))
-    got = got.withColumn("d", second)
-    base = F.get("a", F.least(F.array_position("d", F.array_max("d")).cast("int") + 1, F.size("a") - 1))
+    k = N.odd(k)
+    if k * k > R.SMALL:
+        got = R.by_histogram(df, k, k, ["base"], R.knees)
+        base = F.col("base")
+    else:
+        got = N.gather(df, k, k).withColumn("a", F.array_sort(N.values(F.col("near"))))
+        second = F.transform(F.sequence(F.lit(0), F.greatest(F.size("a") - 3, F.lit(0))), lambda i: F.coalesce(F.get("a", i + 2) - 2 * F.get("a", i + 1) + F.get("a", i), F.lit(0)))
+        got = got.withColumn("d", second)
+        base = F.get("a", F.least(F.array_position("d", F.array_max("d")).cast("int") + 1, F.size("a") - 1))
     r = F.col("v") / (base + 1.0)
     r = F.when(r > 1, r + 0.1).otherwise(F.greatest(r - 0.1, F.lit(0.0)))
     return N.out(got, gamma_value(F.col("v"), F.least(F.lit(7.0), r * r * r)))
@@ -220,30 +227,31 @@ def bridge_fill(df: DataFrame, gap: int, cut: int = 128, white: bool = False, ax
         for g in range(gap, down_to - 1, -1):
             df = bridge_fill(df, g, cut, white, axis)
         return df
-    w = Window.partitionBy("grid_id", "y" if axis == "x" else "x").orderBy(axis)
+    w = T.row() if axis == "x" else T.col()
+    at = lambda d: F.max("v").over(w.rangeBetween(d, d))
     ok = (lambda c: F.col(c) < cut) if white else (lambda c: F.col(c) > cut)
-    got = N.dealt(df)
+    got = T.tiled(df, gap, 0) if axis == "x" else T.tiled(df, 0, gap)
     fills = []
     for before in range(1, gap + 1):
-        got = got.withColumn(f"l{before}", F.lag("v", before).over(w)).withColumn(f"r{before}", F.lead("v", gap + 1 - before).over(w))
+        got = got.withColumn(f"l{before}", at(-before)).withColumn(f"r{before}", at(gap + 1 - before))
         fills.append(F.when(ok(f"l{before}") & ok(f"r{before}"), F.floor((F.col(f"l{before}") + F.col(f"r{before}")) / 2)))
     best = (F.greatest if white else F.least)(*fills) if len(fills) > 1 else fills[0]
-    return N.out(got, F.coalesce(best, F.col("v")))
+    return N.out(T.kept(got.withColumn("best", best)), F.coalesce("best", "v"))
 
 
 def lighten_intermediates(df: DataFrame) -> DataFrame:
     """One or two cells over 16 between cells under 8 become 180, rows and then columns."""
-    for key, order in (("y", "x"), ("x", "y")):
-        w = Window.partitionBy("grid_id", key).orderBy(order)
-        p1, p2, n1, n2 = (F.lag("v", 1).over(w), F.lag("v", 2).over(w), F.lead("v", 1).over(w), F.lead("v", 2).over(w))
+    for w, halo in ((T.row(), (2, 0)), (T.col(), (0, 2))):
+        p1, p2, n1, n2 = (F.max("v").over(w.rangeBetween(d, d)) for d in (-1, -2, 1, 2))
         hit = (F.col("v") > 16) & (((p1 < 8) & (n1 < 8)) | ((p1 < 8) & (n1 > 16) & (n2 < 8)) | ((p2 < 8) & (p1 > 16) & (n1 < 8)))
-        df = N.out(N.dealt(df), F.when(hit, 180).otherwise(F.col("v")))
+        df = N.out(T.kept(T.tiled(df, *halo).withColumn("hit", hit)), F.when(F.col("hit"), 180).otherwise(F.col("v")))
     return df
 
 
 def whiten_long_runs(df: DataFrame, k: int, bright: int = 200, share: float = 0.1) -> DataFrame:
     """The row frames of k around dark cells with few bright ones turn white."""
     r = N.odd(k) // 2
-    got = N.dealt(df).withColumn("n", F.sum((F.col("v") > bright).cast("int")).over(N.row_frame(r))).withColumn("all", F.count("*").over(N.row_frame(r)))
+    got = T.tiled(df, 2 * r, 0).withColumn("n", T.sum_within((F.col("v") > bright).cast("int"), T.row(), -r, r)).withColumn("all", T.sum_within(F.lit(1), T.row(), -r, r))
     got = got.withColumn("dark", ((F.col("v") < 128) & (F.col("n") <= F.col("all") * share)).cast("int"))
-    return N.out(got.withColumn("hit", F.max("dark").over(N.row_frame(r))), F.when(F.col("hit") == 1, 255).otherwise(F.col("v")))
+    got = got.withColumn("hit", T.sum_within(F.col("dark"), T.row(), -r, r))
+    return N.out(T.kept(got), F.when(F.col("hit") > 0, 255).otherwise(F.col("v")))

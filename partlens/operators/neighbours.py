@@ -1,8 +1,9 @@
 """Neighbourhoods of cells.
 
-All operators keep to one exchange: grids are dealt by grid_id once, and windows by row and by column of a
-grid need no other. Separable kernels are two window passes; the rest collect each cell's neighbours
-into its row, so nothing is multiplied and joined back. Neighbours off the grid are ignored.
+Grids are dealt out in tiles with halos (see ``tiles``), by one exchange; windows by row and by column of a tile need no
+other. Separable kernels are two window passes, and sums come from prefix sums, so their work does not grow with the
+kernel; ranks come from column histograms. What is left collects each cell's neighbours into its row, so nothing is multiplied
+and joined back. Neighbours off the grid are ignored.
 """
 
 from __future__ import annotations
@@ -10,12 +11,15 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from partlens.functions.curves import gamma_value
 
+from . import ranks as R
+from . import tiles as T
+
 KEY = ["grid_id", "x", "y"]
 
 
@@ -23,33 +27,38 @@ def odd(k: int) -> int:
     return k if k % 2 else k + 1
 
 
-def row_frame(r: int):
-    return Window.partitionBy("grid_id", "y").orderBy("x").rangeBetween(-r, r)
-
-
-def col_frame(r: int):
-    return Window.partitionBy("grid_id", "x").orderBy("y").rangeBetween(-r, r)
-
-
-def dealt(df: DataFrame) -> DataFrame:
-    return df.repartition("grid_id")
-
-
 def separable(df: DataFrame, kx: int, ky: int, **aggs: tuple[Callable[[Column], Column], Column]) -> DataFrame:
-    """Adds aggregates over the kx by ky neighbourhood, each (function, column), by row and then by column."""
-    row, col = row_frame(odd(kx) // 2), col_frame(odd(ky) // 2)
-    out = dealt(df).select("*", *[f(c).over(row).alias(f"_{n}") for n, (f, c) in aggs.items()])
-    out = out.select("*", *[f(F.col(f"_{n}")).over(col).alias(n) for n, (f, _) in aggs.items()])
-    return out.drop(*[f"_{n}" for n in aggs])
+    """Adds aggregates over the kx by ky neighbourhood, each (function, column), by row and then by column; sums are of whole
+    numbers."""
+    rx, ry = odd(kx) // 2, odd(ky) // 2
+    got = T.tiled(df, rx, ry)
+    sums = {n: (c, rx, ry) for n, (f, c) in aggs.items() if f is F.sum}
+    if sums:
+        got = T.box_sums(got, sums)
+    rest = {n: fc for n, fc in aggs.items() if n not in sums}
+    if rest:
+        got = got.select("*", *[f(c).over(T.row().rangeBetween(-rx, rx)).alias(f"_{n}") for n, (f, c) in rest.items()])
+        got = got.select("*", *[f(F.col(f"_{n}")).over(T.col().rangeBetween(-ry, ry)).alias(n) for n, (f, _) in rest.items()])
+    return T.kept(got).drop(*[f"_{n}" for n in rest])
+
+
+def collected(tiled: DataFrame, kx: int, ky: int) -> DataFrame:
+    """Adds near to cells in tiles: array of (dx, dy, v) of the kx by ky neighbourhood, the cell itself included."""
+    rx, ry = odd(kx) // 2, odd(ky) // 2
+    rows = tiled.withColumn("_row", F.collect_list(F.struct("x", "y", "v")).over(T.row().rangeBetween(-rx, rx)))
+    rows = rows.withColumn("_all", F.flatten(F.collect_list("_row").over(T.col().rangeBetween(-ry, ry)))).drop("_row")
+    near = F.transform("_all", lambda n: F.struct((n["x"] - F.col("x")).alias("dx"), (n["y"] - F.col("y")).alias("dy"), n["v"].alias("v")))
+    return rows.withColumn("near", near).drop("_all")
 
 
 def gather(df: DataFrame, kx: int, ky: int) -> DataFrame:
-    """Adds near: array of (dx, dy, v) of the kx by ky neighbourhood, the cell itself included."""
-    rows = dealt(df).withColumn("_row", F.collect_list(F.struct("x", "y", "v")).over(row_frame(odd(kx) // 2)))
-    all_rows = F.flatten(F.collect_list("_row").over(col_frame(odd(ky) // 2)))
-    rows = rows.withColumn("_all", all_rows).drop("_row")
-    near = F.transform("_all", lambda n: F.struct((n["x"] - F.col("x")).alias("dx"), (n["y"] - F.col("y")).alias("dy"), n["v"].alias("v")))
-    return rows.withColumn("near", near).drop("_all")
+    """Adds near to every cell."""
+    return T.kept(collected(T.tiled(df, odd(kx) // 2, odd(ky) // 2), kx, ky))
+
+
+def ranked(df: DataFrame, kx: int, ky: int, **ranks: int) -> DataFrame:
+    """Adds the values at some hundredths of the sorted neighbourhood: n p / 100, counted from 0, held to the array."""
+    return R.ranked(df, odd(kx), odd(ky), ranks, gather)
 
 
 def total(a: Column, f: Callable[[Column], Column]) -> Column:
@@ -60,13 +69,6 @@ def values(near: Column) -> Column:
     return F.transform(near, lambda n: n["v"])
 
 
-def rank_value(near: Column, p: int) -> Column:
-    """Sorted neighbourhood value at n p / 100, counted from 0, held to the array."""
-    n = F.size(near)
-    at = F.least(n - 1, F.floor(n * p / 100)).cast("int")
-    return F.greatest(F.lit(1), F.get(F.array_sort(values(near)), at))
-
-
 def mean(df: DataFrame, kx: int, ky: int) -> DataFrame:
     """Adds m, the whole mean of the neighbourhood, with its sum s and count n."""
     out = separable(df, kx, ky, s=(F.sum, F.col("v")), n=(F.sum, F.lit(1)))
@@ -107,7 +109,7 @@ def filtered_extreme(df: DataFrame, kx: int, ky: int, cut: int, dilate: bool = F
 
 def rank_filter(df: DataFrame, kx: int, ky: int, p: int = 50) -> DataFrame:
     """N05."""
-    return out(gather(df, kx, ky), rank_value(F.col("near"), p))
+    return out(ranked(df, kx, ky, r=p), F.col("r"))
 
 
 def local_contrast(df: DataFrame, kx: int, ky: int) -> DataFrame:
@@ -132,7 +134,7 @@ def mean_gamma(df: DataFrame, kx: int, ky: int, power: int = 1) -> DataFrame:
 
 def percentile_gamma(df: DataFrame, kx: int, ky: int, p: int, binary: bool = False) -> DataFrame:
     """Gamma by the cubed ratio to a ranked value around, or the comparison with it."""
-    got = gather(df, kx, ky).withColumn("base", rank_value(F.col("near"), p))
+    got = ranked(df, kx, ky, base=p)
     if binary:
         return out(got, F.when(F.col("v") >= F.col("base"), 255).otherwise(0))
     r = F.least(F.lit(1.999), F.round(F.col("v") / F.col("base"), 3))
@@ -181,9 +183,7 @@ def step_gamma(df: DataFrame, kx: int, ky: int, tolerance: float) -> DataFrame:
 
 def sigmoid_gamma(df: DataFrame, kx: int, ky: int, p: int, slope: float) -> DataFrame:
     """The value is pulled to its ranked base by a logistic share of its distance, then N08's gamma."""
-    got = gather(df, kx, ky)
-    for name, q in (("base", p), ("hi", 60), ("lo", 40)):
-        got = got.withColumn(name, rank_value(F.col("near"), q))
+    got = ranked(df, kx, ky, base=p, hi=60, lo=40)
     width = F.greatest(F.lit(8), F.least(F.lit(32), F.col("hi") - F.col("lo")))
     share = F.lit(1.0) / (F.lit(1.0) + F.exp(-slope * (F.abs(F.col("v") - F.col("base")) - width)))
     got = got.withColumn("u", F.floor(F.col("base") + (F.col("v") - F.col("base")) * share + 1e-6).cast("int"))
@@ -251,14 +251,12 @@ def _bell_sums(df: DataFrame, radius: int) -> DataFrame:
     the work grows with the radius and not with its square."""
     weights = list(enumerate(_bell(radius), -radius))
 
-    def along(frame: Callable[[int], WindowSpec], at: Column) -> Column:
-        return sum((F.coalesce(F.max(at).over(frame(d)), F.lit(0.0)) * w for d, w in weights), F.lit(0.0))
+    def along(w: WindowSpec, at: Column) -> Column:
+        return sum((F.coalesce(F.max(at).over(w.rangeBetween(d, d)), F.lit(0.0)) * b for d, b in weights), F.lit(0.0))
 
-    row = lambda d: Window.partitionBy("grid_id", "y").orderBy("x").rangeBetween(d, d)
-    col = lambda d: Window.partitionBy("grid_id", "x").orderBy("y").rangeBetween(d, d)
-    got = dealt(df).withColumn("_s", along(row, F.col("v").cast("double"))).withColumn("_w", along(row, F.lit(1.0)))
-    got = got.withColumn("g", along(col, F.col("_s")) / along(col, F.col("_w")))
-    return got.drop("_s", "_w")
+    got = T.tiled(df, radius, radius).withColumn("_s", along(T.row(), F.col("v").cast("double"))).withColumn("_w", along(T.row(), F.lit(1.0)))
+    got = got.withColumn("g", along(T.col(), F.col("_s")) / along(T.col(), F.col("_w")))
+    return T.kept(got).drop("_s", "_w")
 
 
 def gaussian(df: DataFrame, radius: int, unsharp: float | None = None, threshold: int = 1) -> DataFrame:
@@ -290,19 +288,20 @@ def sauvola(df: DataFrame, k: int, factor: float) -> DataFrame:
 
 def kernel_background(df: DataFrame, k: int, target: int, bright: int = 8) -> DataFrame:
     """In flat bright neighbourhoods, cells below the mean take the target value."""
-    got = gather(df, k, k)
-    m = F.floor(total(F.col("near"), lambda n: n["v"]) / F.size("near"))
-    median = rank_value(F.col("near"), 50)
-    flat = (F.size(F.filter("near", lambda n: n["v"] >= 128)) >= bright) & (median <= m) & (m <= median + 5) & (m <= target)
+    got = ranked(separable(df, k, k, s=(F.sum, F.col("v")), n=(F.sum, F.lit(1)), bright=(F.sum, (F.col("v") >= 128).cast("int"))), k, k, median=50)
+    m, median = F.floor(F.col("s") / F.col("n")), F.col("median")
+    flat = (F.col("bright") >= bright) & (median <= m) & (m <= median + 5) & (m <= target)
     return out(got, F.when(flat & (F.col("v") < m), target).otherwise(F.col("v")))
 
 
 def add_layer(df: DataFrame, n: int, direction: str, cut: int) -> DataFrame:
     """Dark cells are copied n steps in a direction; a cell takes the darkest that reaches it."""
-    row, col = Window.partitionBy("grid_id", "y").orderBy("x"), Window.partitionBy("grid_id", "x").orderBy("y")
+    row, col = T.row(), T.col()
     w = {"E": row.rangeBetween(-n, 0), "W": row.rangeBetween(0, n), "S": col.rangeBetween(-n, 0), "N": col.rangeBetween(0, n)}[direction]
+    across = direction in "EW"
     dark = F.min(F.when(F.col("v") < cut, F.col("v"))).over(w)
-    return out(dealt(df), F.least(F.col("v"), F.coalesce(dark, F.col("v"))))
+    got = T.kept(T.tiled(df, n if across else 0, 0 if across else n).withColumn("dark", dark))
+    return out(got, F.least(F.col("v"), F.coalesce("dark", "v")))
 
 
 def drop_diagonals(df: DataFrame, k: int, cut: int = 128) -> DataFrame:
@@ -318,35 +317,41 @@ def drop_diagonals(df: DataFrame, k: int, cut: int = 128) -> DataFrame:
 
 def join_bridges(df: DataFrame, cut: int = 128) -> DataFrame:
     """The upper left cell of a 2 by 2 chequer turns dark."""
-    row = Window.partitionBy("grid_id", "y").orderBy("x")
-    col = Window.partitionBy("grid_id", "x").orderBy("y")
-    got = dealt(df).withColumn("d", F.col("v") < cut).withColumn("e", F.lead("d").over(row)).withColumn("s", F.lead("d").over(col)).withColumn("se", F.lead("e").over(col))
-    return out(got, F.when(~F.col("d") & F.col("e") & F.col("s") & ~F.col("se"), 0).otherwise(F.col("v")))
+    row, col = T.row().rangeBetween(1, 1), T.col().rangeBetween(1, 1)
+    got = T.tiled(df, 1, 1).withColumn("d", F.col("v") < cut).withColumn("e", F.max("d").over(row)).withColumn("s", F.max("d").over(col)).withColumn("se", F.max("e").over(col))
+    return out(T.kept(got), F.when(~F.col("d") & F.col("e") & F.col("s") & ~F.col("se"), 0).otherwise(F.col("v")))
 
 
 def lighten_centre(df: DataFrame, k: int, axis: str = "y") -> DataFrame:
     """A cell brighter than the means of both sides along an axis gets gamma (v / lesser side)^3."""
-    w = Window.partitionBy("grid_id", "x" if axis == "y" else "y").orderBy(axis)
-    r = odd(k) // 2
-    got = dealt(df).withColumn("a", F.avg("v").over(w.rangeBetween(-r, -1))).withColumn("b", F.avg("v").over(w.rangeBetween(1, r)))
+    w, r = T.col() if axis == "y" else T.row(), odd(k) // 2
+    tiled = T.tiled(df, 0, r) if axis == "y" else T.tiled(df, r, 0)
+    got = T.kept(tiled.withColumn("a", F.avg("v").over(w.rangeBetween(-r, -1))).withColumn("b", F.avg("v").over(w.rangeBetween(1, r))))
     brighter = (F.col("v") > F.col("a")) & (F.col("v") > F.col("b"))
     return out(got, F.when(brighter, ratio_gamma(F.col("v"), F.least("a", "b"), 3)).otherwise(F.col("v")))
 
 
-def clear_trails(df: DataFrame, k: int, cut: int = 128) -> DataFrame:
-    """Where the border of a k by k square has no dark cell, its inside turns white. k may be even; the square of a
+def clear_trails(df: DataFrame, kx: int, ky: int | None = None, cut: int = 128) -> DataFrame:
+    """Where the border of a kx by ky box has no dark cell, its inside turns white. Sides may be even; the box of a
     cell then reaches one further to the right and down."""
-    low, high = -((k - 1) // 2), k // 2
-    got = gather(df, 2 * high + 1, 2 * high + 1)
-    square = F.filter("near", lambda n: n["dx"].between(low, high) & n["dy"].between(low, high))
-    border = F.filter("square", lambda n: n["dx"].isin(low, high) | n["dy"].isin(low, high))
-    got = got.withColumn("square", square)
-    got = got.withColumn("clear", ((F.size("square") == k * k) & F.forall(border, lambda n: n["v"] >= cut)).cast("int")).drop("near", "square")
-    # a cell is inside the squares of the cells at these offsets
-    row = Window.partitionBy("grid_id", "y").orderBy("x").rangeBetween(1 - high, -1 - low)
-    col = Window.partitionBy("grid_id", "x").orderBy("y").rangeBetween(1 - high, -1 - low)
-    got = got.withColumn("_any", F.max("clear").over(row)).withColumn("any", F.max("_any").over(col))
-    return out(got, F.when(F.col("any") == 1, 255).otherwise(F.col("v")))
+    ky = ky or kx
+    (x0, x1), (y0, y1) = ((-((k - 1) // 2), k // 2) for k in (kx, ky))
+    if min(kx, ky) < 3:
+        return df.select(*KEY, "v")  # such boxes have no inside
+    # a cell is inside the boxes of cells up to x1 - 1 and y1 - 1 away, whose borders are x1 and y1 away from those
+    got = T.tiled(df, 2 * x1, 2 * y1)
+
+    def boxes(name: str, c: Column, xs: tuple[int, int], ys: tuple[int, int]) -> DataFrame:
+        rows = got.withColumn("_r", T.sum_within(c, T.row(), *xs))
+        return rows.withColumn(name, T.sum_within(F.col("_r"), T.col(), *ys)).drop("_r")
+
+    dark = (F.col("v") < cut).cast("int")
+    got = boxes("n", F.lit(1), (x0, x1), (y0, y1))
+    got = boxes("dark", dark, (x0, x1), (y0, y1))
+    got = boxes("inside", dark, (x0 + 1, x1 - 1), (y0 + 1, y1 - 1))
+    got = got.withColumn("clear", ((F.col("n") == kx * ky) & (F.col("dark") == F.col("inside"))).cast("int"))
+    got = boxes("any", F.col("clear"), (1 - x1, -1 - x0), (1 - y1, -1 - y0))
+    return out(T.kept(got), F.when(F.col("any") > 0, 255).otherwise(F.col("v")))
 
 
 def salt_pepper(df: DataFrame, sizes: tuple[int, ...] = (3, 4, 5, 7)) -> DataFrame:
@@ -356,12 +361,35 @@ def salt_pepper(df: DataFrame, sizes: tuple[int, ...] = (3, 4, 5, 7)) -> DataFra
     return df
 
 
-def ring_detector(df: DataFrame, layers: int, ratio: float) -> DataFrame:
-    """Cells whose inner ring is brighter than every ring outside it by a ratio."""
-    got = gather(df, 2 * layers + 1, 2 * layers + 1)
-    ring = lambda i: F.filter("near", lambda n: F.greatest(F.abs(n["dx"]), F.abs(n["dy"])) == i)
-    avg = lambda i: total(ring(i), lambda n: n["v"]) / F.greatest(F.size(ring(i)), F.lit(1))
-    hit = F.lit(True)
-    for i in range(1, layers + 1):
-        hit = hit & (avg(0) >= avg(i) * ratio)
-    return got.select(*KEY, hit.alias("hit"))
+#: Fixed values of N31: the least side of the window, and the greatest value that marks a found ring.
+RING_SIDE, RING_MARK = 11, 8
+
+
+def ring_detector(df: DataFrame, side: int, mark: int, ratio: float, skip: Column | None = None) -> DataFrame:
+    """Small dark discs in brighter rings, marked.
+
+    A window of ``side`` cells has two rings, each two cells thick, around an inner square. It is a hit if it lies on the grid,
+    holds neither white cells nor such of the mark's value, its centre does not meet ``skip``, and the mean of the outer ring,
+    of the inner ring or of both exceeds ``ratio`` times the mean of the inner square. All sums are differences of the
+    same boxes. Every cell of a hit's inner square takes the value ``mark``; hits do not depend on each other."""
+    side, mark = odd(max(side, RING_SIDE)), min(mark, RING_MARK)
+    r = side // 2
+    v, barred = F.col("v"), ((F.col("v") == mark) | (F.col("v") == 255)).cast("int")
+    radii = {0: r, 1: r - 2, 2: r - 4}
+    got = T.tiled(df, r + radii[2], r + radii[2])
+    got = T.box_sums(got, {"barred": (barred, r, r), **{f"s{i}": (v, q, q) for i, q in radii.items()}, **{f"n{i}": (F.lit(1), q, q) for i, q in radii.items()}})
+    c = {n: F.col(n).cast("double") for n in ("s0", "s1", "s2", "n0", "n1", "n2")}
+    inner = ratio * c["s2"] / c["n2"]
+    outer, middle, both = (c["s0"] - c["s1"]) / (c["n0"] - c["n1"]), (c["s1"] - c["s2"]) / (c["n1"] - c["n2"]), (c["s0"] - c["s2"]) / (c["n0"] - c["n2"])
+    whole = (F.col("n0") == side * side) & (F.col("barred") == 0)
+    # the means stand under the guard of a whole window, as no box of theirs is empty there
+    hit = F.when(whole, (outer > inner) | (middle > inner) | (both > inner)).otherwise(False)
+    if skip is not None:
+        hit = hit & ~skip
+    got = T.box_sums(got.withColumn("hit", hit.cast("int")), {"marked": (F.col("hit"), radii[2], radii[2])})
+    return out(T.kept(got), F.when(F.col("marked") > 0, mark).otherwise(F.col("v")))
+
+
+def greenish(r: Column, g: Column, b: Column) -> Column:
+    """Centres that are passed over. Fixed values."""
+    return (b <= g + 20) & (g - r >= 30)

@@ -10,15 +10,16 @@ from partlens.functions import strings as S
 
 def consensus(df: DataFrame, keys: list[str], text: str, min_share: float = 0.5, fallback: str = "most") -> DataFrame:
     """The string that more than ``min_share`` of a group's readings agree on, else the most (or
-    ``least``) frequent one; ties go to the smaller string. Empty strings count as readings but win only where a group
-    has no other. Adds votes and share. One shuffle of partial counts, one window over the distinct strings of a
+    ``least``) frequent one; ties go to the smaller string. Empty strings and nulls count as readings but win only where a
+    group has no other, and nulls only where it has nothing else. Adds votes and share. One shuffle of partial counts, one window over the distinct strings of a
     group."""
     votes = df.groupBy(*keys, text).agg(F.count("*").alias("votes"))
     group = Window.partitionBy(*keys)
     count = F.col("votes") if fallback == "least" else -F.col("votes")
     share = F.col("votes") / F.sum("votes").over(group)
     votes = votes.withColumn("share", share)
-    order = group.orderBy((F.col(text) == "").cast("int"), (F.col("share") <= min_share).cast("int"), count, F.col(text))
+    blank = F.when(F.col(text).isNull(), 2).when(F.col(text) == "", 1).otherwise(0)
+    order = group.orderBy(blank, (F.col("share") <= min_share).cast("int"), count, F.col(text))
     return votes.withColumn("rn", F.row_number().over(order)).where("rn = 1").drop("rn")
 
 

@@ -90,14 +90,33 @@ def violations(df: DataFrame, *key: str) -> DataFrame:
     return df.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
 
 
+#: Cells of a row that one key of the join of cells and spans stands for.
+SPAN = 64
+
+
+def _within(cells: DataFrame, regions: DataFrame) -> DataFrame:
+    """Regions with the extent of their grid, gx0, gx1, gy0 and gy1; regions of absent grids go."""
+    ends = [f(c).alias(f"g{c}{i}") for c in ("x", "y") for i, f in enumerate((F.min, F.max))]
+    return regions.join(cells.groupBy("grid_id").agg(*ends), "grid_id")
+
+
+def cells_in_spans(cells: DataFrame, spans: DataFrame) -> DataFrame:
+    """Cells of the spans (grid_id, y, x0, x1, ...) of rows, whose other columns come along. Cells and spans meet by row and
+    by stretches of ``SPAN`` cells in it, so what is joined is little more than what comes out."""
+    stretch = lambda c: F.floor(F.col(c) / SPAN)
+    s = spans.where("x0 <= x1").withColumn("_t", F.explode(F.sequence(stretch("x0"), stretch("x1"))))
+    return cells.withColumn("_t", stretch("x")).join(s, ["grid_id", "y", "_t"]).where("x BETWEEN x0 AND x1").drop("_t", "x0", "x1")
+
+
 def clip_cells(cells: DataFrame, rects: DataFrame, rebase: bool = True) -> DataFrame:
     """Cells inside the rectangles (region_id, grid_id, rx, ry, rw, rh), moved to the corner or in place with
-    the rest white. The join is on grid_id with the range as a residual."""
-    j = cells.join(rects, "grid_id")
-    inside = (F.col("x") >= F.col("rx")) & (F.col("x") < F.col("rx") + F.col("rw")) & (F.col("y") >= F.col("ry")) & (F.col("y") < F.col("ry") + F.col("rh"))
-    if rebase:
-        return j.where(inside).select("region_id", "grid_id", (F.col("x") - F.col("rx")).alias("x"), (F.col("y") - F.col("ry")).alias("y"), "v")
-    return j.select("region_id", "grid_id", "x", "y", F.when(inside, F.col("v")).otherwise(F.lit(255)).alias("v"))
+    the rest white."""
+    if not rebase:
+        inside = F.expr("x >= rx AND x < rx + rw AND y >= ry AND y < ry + rh")
+        return cells.join(rects, "grid_id").select("region_id", "grid_id", "x", "y", F.when(inside, F.col("v")).otherwise(F.lit(255)).alias("v"))
+    r = _within(cells, rects).selectExpr("region_id", "grid_id", "rx", "ry", "greatest(rx, gx0) AS x0", "least(rx + rw - 1, gx1) AS x1", "greatest(ry, gy0) AS y0", "least(ry + rh - 1, gy1) AS y1")
+    spans = r.where("y0 <= y1").withColumn("y", F.explode(F.sequence("y0", "y1"))).drop("y0", "y1")
+    return cells_in_spans(cells, spans).select("region_id", "grid_id", (F.col("x") - F.col("rx")).alias("x"), (F.col("y") - F.col("ry")).alias("y"), "v")
 
 
 def mask_cells(cells: DataFrame, mask: DataFrame, inverted: bool = False) -> DataFrame:
@@ -107,19 +126,30 @@ def mask_cells(cells: DataFrame, mask: DataFrame, inverted: bool = False) -> Dat
     return j.select("grid_id", "x", "y", F.when(keep, F.col("v")).otherwise(F.lit(0 if inverted else 255)).alias("v"))
 
 
-def clip_polygon_cells(cells: DataFrame, polygons: DataFrame) -> DataFrame:
-    """Cells whose centre is inside the polygon (region_id, grid_id, points), by crossings of its edges. The
-    edges of a polygon stay in its row, so cells are not multiplied by them."""
-    cx, cy = F.col("x") + F.lit(0.5), F.col("y") + F.lit(0.5)
+def polygon_spans(polygons: DataFrame) -> DataFrame:
+    """Scanline fill of polygons (region_id, grid_id, points, and the grid's extent): the spans of each row of cells whose
+    centres are inside, from one crossing of its edges to the next. Holes and crossings of a polygon with itself count
+    by parity; a centre on an edge is inside to its right."""
+    rows = polygons.withColumn("_y0", F.greatest(F.floor(F.array_min(F.transform("points", lambda p: p["y"]))).cast("int") - 1, F.col("gy0")))
+    rows = rows.withColumn("_y1", F.least(F.ceil(F.array_max(F.transform("points", lambda p: p["y"]))).cast("int"), F.col("gy1"))).where("_y0 <= _y1")
+    rows = rows.withColumn("y", F.explode(F.sequence("_y0", "_y1")))
+    cy = F.col("y") + F.lit(0.5)
 
-    def crosses(p: Column, i: Column) -> Column:
+    def crossing(p: Column, i: Column) -> Column:
         q = F.get("points", F.pmod(i + 1, F.size("points")))
-        spans = (p["y"] > cy) != (q["y"] > cy)
         at = p["x"] + F.try_divide((cy - p["y"]) * (q["x"] - p["x"]), q["y"] - p["y"])
-        return F.coalesce(F.when(spans & (cx < at), F.lit(1)), F.lit(0))
+        return F.when((p["y"] > cy) != (q["y"] > cy), at)
+
+    rows = rows.withColumn("_a", F.array_sort(F.filter(F.transform("points", crossing), lambda a: a.isNotNull()))).where(F.size("_a") >= 2)
+    rows = rows.withColumn("_j", F.explode(F.sequence(F.lit(0), F.size("_a") - 2, F.lit(2))))
+    edge = lambda j: F.ceil(F.get("_a", j) - F.lit(0.5))  # noqa: E731 (the first cell whose centre is not left of the crossing)
+    return rows.select("region_id", "grid_id", "y", F.greatest(edge(F.col("_j")), F.col("gx0")).cast("int").alias("x0"), F.least(edge(F.col("_j") + 1) - 1, F.col("gx1")).cast("int").alias("x1"))
 
-    crossings = F.aggregate(F.transform("points", crosses), F.lit(0), lambda s, x: s + x)
-    return cells.join(polygons, "grid_id").where(crossings % 2 == 1).select("region_id", "grid_id", "x", "y", "v")
+
+def clip_polygon_cells(cells: DataFrame, polygons: DataFrame) -> DataFrame:
+    """Cells whose centre is inside the polygon (region_id, grid_id, points). Edges are walked once a row of a polygon,
+    not once a cell."""
+    return cells_in_spans(cells, polygon_spans(_within(cells, polygons))).select("region_id", "grid_id", "x", "y", "v")
 
 
 def walk_hierarchy(keys: DataFrame) -> DataFrame:

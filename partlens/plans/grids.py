@@ -140,13 +140,16 @@ register(
     _TILES + _VALLEY.replace("cells", "strips") + f" SELECT g AS grid_id, x, y, {gamma_sql('v', f'least(6.95::DOUBLE, {_CUBE})')} AS v FROM strips JOIN cuts USING (grid_id)",
 )
 _SECOND = "list_transform(range(0, greatest(len(l) - 3, 0) + 1), lambda i: coalesce(l[i + 3] - 2 * l[i + 2] + l[i + 1], 0))"
-register(
-    "w16_knee_base", "cells", G.knee_base,
-    """, a AS (SELECT c.grid_id, c.x, c.y, c.v, list_sort(list(n.v)) AS l FROM cells c JOIN cells n ON n.grid_id = c.grid_id AND abs(n.x - c.x) <= 1 AND abs(n.y - c.y) <= 1 GROUP BY ALL)"""
-    + f", d AS (SELECT *, {_SECOND} AS d FROM a), k AS (SELECT *, v / (l[least(list_position(d, list_max(d)) + 1, len(l) - 1) + 1] + 1.0::DOUBLE) AS q FROM d)"
-    + ", r AS (SELECT *, CASE WHEN q > 1 THEN q + 0.1::DOUBLE ELSE greatest(q - 0.1::DOUBLE, 0::DOUBLE) END AS r FROM k)"
-    + f" SELECT {KEY}, {gamma_sql('v', 'least(7::DOUBLE, r * r * r)')} AS v FROM r",
-)
+for _name, _k, _from in (("", 3, "cells"), ("_wide", 9, "mosaic")):
+    register(
+        "w16_knee_base" + _name, _from, lambda d, k=_k: G.knee_base(d, k),
+        f""", a AS (SELECT c.grid_id, c.x, c.y, c.v, list_sort(list(n.v)) AS l FROM {_from} c JOIN {_from} n ON n.grid_id = c.grid_id AND abs(n.x - c.x) <= {_k // 2} AND abs(n.y - c.y) <= {_k // 2} GROUP BY ALL)"""
+        + f", d AS (SELECT *, {_SECOND} AS d FROM a), k AS (SELECT *, v / (l[least(list_position(d, list_max(d)) + 1, len(l) - 1) + 1] + 1.0::DOUBLE) AS q FROM d)"
+        + ", r AS (SELECT *, CASE WHEN q > 1 THEN q + 0.1::DOUBLE ELSE greatest(q - 0.1::DOUBLE, 0::DOUBLE) END AS r FROM k)"
+        + f" SELECT {KEY}, {gamma_sql('v', 'least(7::DOUBLE, r * r * r)')} AS v FROM r",
+    )
+
+
 def _filled(source: str, name: str, gap: int, white: bool, axis: str = "x") -> str:
     """W17 over gaps of one or two cells."""
     cmp, op = ("<", "greatest") if white else (">", "least")

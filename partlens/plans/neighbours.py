@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from partlens.operators import bilateral as B
 from partlens.operators import neighbours as N
 from partlens.operators import regions as G
 
@@ -121,6 +122,17 @@ _query(
     "n21_edge_keeping_blur", lambda d: N.edge_keeping_blur(d, 2, 40),
     around(f"floor(sum({_GW} * n.v) FILTER (abs(n.v - c.v) <= 40) / sum({_GW}) FILTER (abs(n.v - c.v) <= 40) + 0.5 + 1e-9) AS g", 5, 5), "g",
 )
+_BW = "exp(-((n.x - c.x) * (n.x - c.x) + (n.y - c.y) * (n.y - c.y)) / 2::DOUBLE - (n.v - c.v) * (n.v - c.v) / 1800::DOUBLE)"
+_query("n21_bilateral", lambda d: B.direct(d, 1, 30), around(f"floor(sum({_BW} * n.v) / sum({_BW}) + 0.5 + 1e-9) AS g", 7, 7), "g")
+
+
+def _lattice_beside_direct(cells: DataFrame) -> DataFrame:
+    """The grid form's cells that are within eight gray levels of the direct form, all of them, on grids of next to noise."""
+    exact = B.direct(cells, 2, 40).select(*N.KEY, F.col("v").alias("w"))
+    return B.by_lattice(cells, 2, 40).join(exact, N.KEY).groupBy("grid_id").agg(F.count("*").alias("n"), F.count_if(F.abs(F.col("v") - F.col("w")) <= 8).alias("near"))
+
+
+register("n21_bilateral_lattice", "mosaic", _lattice_beside_direct, "SELECT grid_id, count(*) AS n, count(*) AS near FROM mosaic GROUP BY grid_id")
 _query(
     "n22_sauvola_binarize", lambda d: N.sauvola(d, 5, 0.2),
     around("sum(n.v)::DOUBLE / count(*) AS m, sqrt(greatest(0::DOUBLE, sum(n.v * n.v)::DOUBLE / count(*) - (sum(n.v)::DOUBLE / count(*)) * (sum(n.v)::DOUBLE / count(*)))) AS sd", 5, 5),
@@ -141,13 +153,6 @@ _query(
     around("coalesce(bool_and(n.v >= 128) FILTER (n.x - c.x = n.y - c.y AND n.x <> c.x), false) AS p, coalesce(bool_and(n.v >= 128) FILTER (n.x - c.x = c.y - n.y AND n.x <> c.x), false) AS q"),
     "CASE WHEN v < 128 AND (p OR q) THEN 255 ELSE v END",
 )
-_query(
-    "n26_join_bridges", N.join_bridges,
-    """, a AS (SELECT c.grid_id, c.x, c.y, c.v, coalesce(c.v >= 128 AND e.v < 128 AND s.v < 128 AND z.v >= 128, false) AS hit FROM cells c
-    LEFT JOIN cells e ON e.grid_id = c.grid_id AND e.x = c.x + 1 AND e.y = c.y LEFT JOIN cells s ON s.grid_id = c.grid_id AND s.x = c.x AND s.y = c.y + 1
-    LEFT JOIN cells z ON z.grid_id = c.grid_id AND z.x = c.x + 1 AND z.y = c.y + 1)""",
-    "CASE WHEN hit THEN 0 ELSE v END",
-)
 for _axis, _o in (("y", "x"), ("x", "y")):
     _query(
         f"n27_lighten_centre_{_axis}", lambda d, a=_axis: N.lighten_centre(d, 5, a),
@@ -157,15 +162,24 @@ for _axis, _o in (("y", "x"), ("x", "y")):
     )
 
 
-def clear_sql(k: int, source: str, name: str) -> str:
-    low, high = -((k - 1) // 2), k // 2
-    return f""", {name}0 AS (SELECT c.grid_id, c.x, c.y, c.v, count(*) = {k * k} AND bool_and(n.v >= 128) FILTER (n.x - c.x IN ({low}, {high}) OR n.y - c.y IN ({low}, {high})) AS clear
-      FROM {source} c JOIN {source} n ON n.grid_id = c.grid_id AND n.x - c.x BETWEEN {low} AND {high} AND n.y - c.y BETWEEN {low} AND {high} GROUP BY c.grid_id, c.x, c.y, c.v),
-    {name}1 AS (SELECT s.grid_id, s.x + i AS x, s.y + j AS y FROM {name}0 s, range({low + 1}, {high}) AS a(i), range({low + 1}, {high}) AS b(j) WHERE s.clear),
+def clear_sql(kx: int, source: str, name: str, ky: int | None = None) -> str:
+    ky = ky or kx
+    x0, x1, y0, y1 = -((kx - 1) // 2), kx // 2, -((ky - 1) // 2), ky // 2
+    return f""", {name}0 AS (SELECT c.grid_id, c.x, c.y, c.v, count(*) = {kx * ky} AND bool_and(n.v >= 128) FILTER (n.x - c.x IN ({x0}, {x1}) OR n.y - c.y IN ({y0}, {y1})) AS clear
+      FROM {source} c JOIN {source} n ON n.grid_id = c.grid_id AND n.x - c.x BETWEEN {x0} AND {x1} AND n.y - c.y BETWEEN {y0} AND {y1} GROUP BY c.grid_id, c.x, c.y, c.v),
+    {name}1 AS (SELECT s.grid_id, s.x + i AS x, s.y + j AS y FROM {name}0 s, range({x0 + 1}, {x1}) AS a(i), range({y0 + 1}, {y1}) AS b(j) WHERE s.clear),
     {name} AS (SELECT c.grid_id, c.x, c.y, CASE WHEN EXISTS (SELECT 1 FROM {name}1 t WHERE t.grid_id = c.grid_id AND t.x = c.x AND t.y = c.y) THEN 255 ELSE c.v END AS v FROM {source} c)"""
 
 
+def bridges_sql(source: str, name: str) -> str:
+    return f""", {name}0 AS (SELECT c.grid_id, c.x, c.y, c.v, coalesce(c.v >= 128 AND e.v < 128 AND s.v < 128 AND z.v >= 128, false) AS hit FROM {source} c
+    LEFT JOIN {source} e ON e.grid_id = c.grid_id AND e.x = c.x + 1 AND e.y = c.y LEFT JOIN {source} s ON s.grid_id = c.grid_id AND s.x = c.x AND s.y = c.y + 1
+    LEFT JOIN {source} z ON z.grid_id = c.grid_id AND z.x = c.x + 1 AND z.y = c.y + 1), {name} AS (SELECT grid_id, x, y, CASE WHEN hit THEN 0 ELSE v END AS v FROM {name}0)"""
+
+
+_query("n26_join_bridges", N.join_bridges, bridges_sql("cells", "j"), "v", "j")
 _query("n28_clear_small_trails", lambda d: N.clear_trails(d, 3), clear_sql(3, "cells", "t"), "v", "t")
+_query("n28_clear_small_trails_oblong", lambda d: N.clear_trails(d, 3, 5), clear_sql(3, "cells", "t", 5), "v", "t")
 _query("n29_salt_pepper", N.salt_pepper, clear_sql(3, "cells", "t") + clear_sql(4, "t", "s") + clear_sql(5, "s", "r") + clear_sql(7, "r", "u"), "v", "u")
 
 
@@ -183,6 +197,51 @@ _query(
     + around("min(n.v) AS lo, max(n.v) AS hi, count(*) AS n", source="shown", name="o"),
     f"CASE WHEN n <= 2 THEN v ELSE {gamma_sql('v', f'least(7::DOUBLE, {_S} * {_S} * {_S})')} END", "o",
 )
-register("n31_ring_detector", "cells", lambda d: N.ring_detector(d, 2, 1.3), around(
-    "avg(n.v) FILTER (n.x = c.x AND n.y = c.y) AS a0, coalesce(avg(n.v) FILTER (greatest(abs(n.x - c.x), abs(n.y - c.y)) = 1), 0) AS a1, coalesce(avg(n.v) FILTER (greatest(abs(n.x - c.x), abs(n.y - c.y)) = 2), 0) AS a2", 5, 5,
-) + f" SELECT {KEY}, a0 >= a1 * 1.3::DOUBLE AND a0 >= a2 * 1.3::DOUBLE AS hit FROM a")
+
+
+def _ring_sql(side: int, mark: int, ratio: float, source: str, skip: str = "false") -> str:
+    """Each ring's cells listed by their distance from the centre."""
+    r = side // 2
+    far = "greatest(abs(n.x - c.x), abs(n.y - c.y))"
+    ring = {"rim": f"{far} > {r - 2}", "next_rim": f"{far} > {r - 4} AND {far} <= {r - 2}", "rims": f"{far} > {r - 4}", "inside": f"{far} <= {r - 4}"}
+    avgs = ", ".join(f"sum(n.v) FILTER ({w})::DOUBLE / count(*) FILTER ({w})::DOUBLE AS {k}" for k, w in ring.items())
+    return f""", seen AS (SELECT c.grid_id, c.x, c.y, count(*) AS cells, count(*) FILTER (n.v = {mark} OR n.v = 255) AS barred, {avgs}, {ratio}::DOUBLE * sum(n.v) FILTER ({ring['inside']})::DOUBLE / count(*) FILTER ({ring['inside']})::DOUBLE AS bound
+      FROM {source} c JOIN {source} n ON n.grid_id = c.grid_id AND abs(n.x - c.x) <= {r} AND abs(n.y - c.y) <= {r} WHERE NOT ({skip}) GROUP BY c.grid_id, c.x, c.y),
+    hit AS (SELECT * FROM seen WHERE cells = {side * side} AND barred = 0 AND (rim > bound OR next_rim > bound OR rims > bound)),
+    marked AS (SELECT DISTINCT c.grid_id, c.x, c.y FROM {source} c JOIN hit h ON h.grid_id = c.grid_id AND abs(h.x - c.x) <= {r - 4} AND abs(h.y - c.y) <= {r - 4})
+    SELECT c.grid_id, c.x, c.y, CASE WHEN m.x IS NULL THEN c.v ELSE {mark} END AS v FROM {source} c LEFT JOIN marked m USING (grid_id, x, y)"""
+
+
+def _shaded(d: DataFrame) -> DataFrame:
+    """Nothing white, and a dark disc around every centre of 16 by 16 cells."""
+    dx, dy = F.col("x") % 16 - 8, F.col("y") % 16 - 8
+    return d.select("grid_id", "x", "y", F.when(dx * dx + dy * dy <= 5, F.col("v") % 64 + 20).otherwise(F.col("v") % 128 + 100).alias("v"))
+
+
+SHADED = """, shaded AS (SELECT grid_id, x, y, CASE WHEN (x % 16 - 8) * (x % 16 - 8) + (y % 16 - 8) * (y % 16 - 8) <= 5 THEN v % 64 + 20 ELSE v % 128 + 100 END AS v FROM mosaic)"""
+
+
+def _tinted(d: DataFrame) -> DataFrame:
+    """Colours whose first channel is the shade and whose green grows with x."""
+    return _shaded(d).select("*", F.col("v").alias("r"), F.least(F.lit(255), F.col("v") + F.col("x")).alias("g"), F.col("v").alias("b"))
+
+
+# side x mark x ratio; the least side and the greatest mark are held
+register("n31_ring_detector", "mosaic", lambda d: N.ring_detector(_shaded(d), 9, 12, 1.5), SHADED + _ring_sql(11, 8, 1.5, "shaded"))
+register("n31_ring_detector_wide", "mosaic", lambda d: N.ring_detector(_shaded(d), 14, 0, 1.25), SHADED + _ring_sql(15, 0, 1.25, "shaded"))
+register("n31_ring_detector_raw", "mosaic", lambda d: N.ring_detector(d, 11, 8, 1.3), _ring_sql(11, 8, 1.3, "mosaic"))
+register(
+    "n31_ring_detector_colour", "mosaic", lambda d: N.ring_detector(_tinted(d), 11, 8, 1.5, N.greenish(F.col("r"), F.col("g"), F.col("b"))),
+    SHADED + _ring_sql(11, 8, 1.5, "shaded", "c.v <= least(255, c.v + c.x) + 20 AND least(255, c.v + c.x) - c.v >= 30"),
+)
+# large neighbourhoods: sums by prefix sums, ranks by histograms
+register("n01_box_mean_wide", "mosaic", lambda d: N.box_mean(d, 29, 13), around(SUMS, 29, 13, "mosaic") + f" SELECT {KEY}, CAST(m AS INT) AS v FROM a")
+register("n05_rank_median_wide", "mosaic", lambda d: N.rank_filter(d, 9, 9), around(LIST, 9, 9, "mosaic") + f" SELECT {KEY}, CAST({ranked(50)} AS INT) AS v FROM a")
+register("n05_rank_95_wide", "mosaic", lambda d: N.rank_filter(d, 15, 9, 95), around(LIST, 15, 9, "mosaic") + f" SELECT {KEY}, CAST({ranked(95)} AS INT) AS v FROM a")
+register(
+    "n08_percentile_gamma_wide", "mosaic", lambda d: N.percentile_gamma(d, 9, 9, 80),
+    around(LIST, 9, 9, "mosaic") + f", b AS (SELECT *, {ranked(80)} AS base FROM a) SELECT {KEY}, CAST({gamma_sql('v', f'least(7::DOUBLE, {_R} * {_R} * {_R})')} AS INT) AS v FROM b",
+)
+register("n22_sauvola_wide", "mosaic", lambda d: N.sauvola(d, 15, 0.2), around(
+    "sum(n.v)::DOUBLE / count(*) AS m, sqrt(greatest(0::DOUBLE, sum(n.v * n.v)::DOUBLE / count(*) - (sum(n.v)::DOUBLE / count(*)) * (sum(n.v)::DOUBLE / count(*)))) AS sd", 15, 15, "mosaic",
+) + f" SELECT {KEY}, CASE WHEN v <= round(m * (1 + 0.2::DOUBLE * (sd / 128 - 1)), 6) THEN 0 ELSE 255 END AS v FROM a")

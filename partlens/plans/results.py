@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,27 +12,60 @@ from partlens.operators import grids as G
 from partlens.operators import neighbours as N
 from partlens.operators import points as P
 from partlens.operators import readings as RD
+from partlens.operators import regions as G2
 from partlens.operators import results as R
 
+from .grids import otsu_sql
+from .neighbours import bridges_sql, clear_sql
 from .registry import register
 from .text import CANDIDATES, _corrected, _verified
 
-LABELS = """, dark AS (SELECT grid_id, x, y FROM cells WHERE v < 128),
-run0 AS (SELECT *, x - row_number() OVER (PARTITION BY grid_id, y ORDER BY x) AS i FROM dark),
-runs AS (SELECT grid_id, y, min(x) AS x0, max(x) AS x1, y::BIGINT * 2147483648 + min(x) AS run FROM run0 GROUP BY grid_id, y, i),
-lk0 AS (SELECT a.grid_id, a.run AS p, b.run AS q FROM runs a JOIN runs b ON a.grid_id = b.grid_id AND b.y = a.y + 1 AND a.x0 <= b.x1 AND b.x0 <= a.x1),
-lk AS (SELECT grid_id, p, q FROM lk0 UNION ALL SELECT grid_id, q, p FROM lk0),
-reach AS (SELECT grid_id, run, run AS r FROM runs UNION SELECT t.grid_id, t.run, l.q FROM reach t JOIN lk l ON l.grid_id = t.grid_id AND l.p = t.r),
-lab AS (SELECT r.grid_id, r.y, r.x0, r.x1, r.run, m.comp FROM runs r JOIN (SELECT grid_id, run, min(r) AS comp FROM reach GROUP BY ALL) m ON m.grid_id = r.grid_id AND m.run = r.run),
-cbox AS (SELECT grid_id, comp, min(x0)::INT AS x, min(y)::INT AS y, (max(x1) - min(x0) + 1)::INT AS w, (max(y) - min(y) + 1)::INT AS h, sum(x1 - x0 + 1)::BIGINT AS n FROM lab GROUP BY ALL)"""
+
+
+def labels_sql(source: str = "cells", name: str = "") -> str:
+    """CTEs: runs of dark cells, their links, and their components; all names end in ``name``."""
+    n = name
+    return f""", dark{n} AS (SELECT grid_id, x, y FROM {source} WHERE v < 128),
+run0{n} AS (SELECT *, x - row_number() OVER (PARTITION BY grid_id, y ORDER BY x) AS i FROM dark{n}),
+runs{n} AS (SELECT grid_id, y, min(x) AS x0, max(x) AS x1, y::BIGINT * 2147483648 + min(x) AS run FROM run0{n} GROUP BY grid_id, y, i),
+lk0{n} AS (SELECT a.grid_id, a.run AS p, b.run AS q FROM runs{n} a JOIN runs{n} b ON a.grid_id = b.grid_id AND b.y = a.y + 1 AND a.x0 <= b.x1 AND b.x0 <= a.x1),
+lk{n} AS (SELECT grid_id, p, q FROM lk0{n} UNION ALL SELECT grid_id, q, p FROM lk0{n}),
+reach{n} AS (SELECT grid_id, run, run AS r FROM runs{n} UNION SELECT t.grid_id, t.run, l.q FROM reach{n} t JOIN lk{n} l ON l.grid_id = t.grid_id AND l.p = t.r),
+lab{n} AS (SELECT r.grid_id, r.y, r.x0, r.x1, r.run, m.comp FROM runs{n} r JOIN (SELECT grid_id, run, min(r) AS comp FROM reach{n} GROUP BY ALL) m ON m.grid_id = r.grid_id AND m.run = r.run),
+cbox{n} AS (SELECT grid_id, comp, min(x0)::INT AS x, min(y)::INT AS y, (max(x1) - min(x0) + 1)::INT AS w, (max(y) - min(y) + 1)::INT AS h, sum(x1 - x0 + 1)::BIGINT AS n FROM lab{n} GROUP BY ALL)"""
+
+
+def lines_sql(source: str, name: str, least: int, direction: str) -> str:
+    """CTE ``name``: ``source`` without the components that hold a straight run of ``least`` + 2 dark cells."""
+    a, b = ("x", "y") if direction == "horizontal" else ("y", "x")
+    return labels_sql(source, f"_{name}") + f""", straight_{name} AS (SELECT grid_id, {b}, min({a}) AS {a} FROM (SELECT *, {a} - row_number() OVER (PARTITION BY grid_id, {b} ORDER BY {a}) AS i FROM dark_{name}) q
+      GROUP BY grid_id, {b}, i HAVING count(*) >= {least + 2}),
+    gone_{name} AS (SELECT DISTINCT l.grid_id, l.comp FROM lab_{name} l JOIN straight_{name} s ON s.grid_id = l.grid_id AND s.y = l.y AND s.x BETWEEN l.x0 AND l.x1),
+    {name} AS (SELECT c.grid_id, c.x, c.y, CASE WHEN g.comp IS NOT NULL THEN 255 ELSE c.v END AS v FROM {source} c
+      LEFT JOIN lab_{name} l ON l.grid_id = c.grid_id AND l.y = c.y AND c.x BETWEEN l.x0 AND l.x1 LEFT JOIN gone_{name} g ON g.grid_id = l.grid_id AND g.comp = l.comp)"""
+
+
+LABELS = labels_sql()
 
 register("c01_connected_boxes", "cells", lambda d: C.boxes(C.label(d)), LABELS + " SELECT grid_id, comp, x, y, w, h, n FROM cbox")
-register(
-    "c02_remove_long_lines", "cells", lambda d: C.remove_long_lines(d, 3),
-    LABELS + """, gone AS (SELECT DISTINCT l.grid_id, l.comp FROM lab l WHERE x1 - x0 + 1 >= 5)
-    SELECT c.grid_id, c.x, c.y, CASE WHEN g.comp IS NOT NULL THEN 255 ELSE c.v END AS v FROM cells c LEFT JOIN lab l ON l.grid_id = c.grid_id AND l.y = c.y AND c.x BETWEEN l.x0 AND l.x1
-    LEFT JOIN gone g ON g.grid_id = l.grid_id AND g.comp = l.comp""",
-)
+register("c01_connected_boxes_large", "mosaic", lambda d: C.boxes(C.label(d, 80)), labels_sql("mosaic").replace("v < 128", "v < 80") + " SELECT grid_id, comp, x, y, w, h, n FROM cbox")
+for _axis in ("horizontal", "vertical"):
+    # on grids of 8 by 8 cells no run exceeds the least length that counts by default
+    register(
+        "c02_remove_long_lines" + ("_vertical" if _axis == "vertical" else ""), "cells", lambda d, a=_axis: C.remove_long_lines(d, 3, a, shortest=0),
+        lines_sql("cells", "o", 3, _axis) + " SELECT grid_id, x, y, v FROM o",
+    )
+
+
+def _ruled(d: DataFrame) -> DataFrame:
+    """Darkest where one of two rulers runs: 29 cells of every 32nd row, 20 of every 16th column."""
+    ruler = ((F.col("y") % 32 == 5) & F.col("x").between(1, 29)) | ((F.col("x") % 16 == 8) & F.col("y").between(20, 39))
+    return d.select("grid_id", "x", "y", F.when(ruler, 0).otherwise(F.col("v") % 200 + 50).alias("v"))
+
+
+RULED = ", ruled AS (SELECT grid_id, x, y, CASE WHEN (y % 32 = 5 AND x BETWEEN 1 AND 29) OR (x % 16 = 8 AND y BETWEEN 20 AND 39) THEN 0 ELSE v % 200 + 50 END AS v FROM mosaic)"
+register("c02_remove_long_lines_both", "mosaic", lambda d: C.remove_long_lines(_ruled(d), 18, "both"), RULED + lines_sql("ruled", "h", 18, "horizontal") + lines_sql("h", "o", 18, "vertical") + " SELECT grid_id, x, y, v FROM o")
+register("c02_short_lines_stay", "mosaic", lambda d: C.remove_long_lines(d, 10, "both"), " SELECT grid_id, x, y, v FROM mosaic")
 register("c03_filter_components", "cells", lambda d: C.filter_components(C.boxes(C.label(d)), 3, 5), LABELS + " SELECT grid_id, comp, x, y, w, h, n FROM cbox WHERE w * 5 >= 3 AND h * 2 >= 5 AND h <= 1.3::DOUBLE * 5 AND w <= 2.5::DOUBLE * 3")
 register(
     "w26_boxes_in_line", "cells", lambda d: C.boxes_in_line(d, 4, 4),
@@ -118,16 +153,65 @@ register(
 )
 
 
-def _region_binarize(cells: DataFrame) -> DataFrame:
-    """Halved, tiles normalised, cut locally on both, joined, cleaned of lines, trails and bridges, and boxed."""
-    plain = G.local_otsu(cells, 4, 4)
-    even = G.local_otsu(G.normalise_tiles(cells, 4, 4), 4, 4)
-    both = P.pair_up(plain, even).select(*P.KEY, P.combine(F.col("v"), F.col("w"), "gray_and").alias("v"))
-    clean = N.join_bridges(N.clear_trails(C.remove_long_lines(both, 5), 3))
-    return C.filter_components(C.boxes(C.label(clean)), 2, 3)
+#: Size of characters in E07's halved clips.
+CW, CH = 5, 9
+CLIP = (1, 2, 30, 120)
+
 
+def region_binarize(cells: DataFrame, rects: DataFrame, cw: int, ch: int, width: int, height: int) -> DataFrame:
+    """Characters of each region of ``width`` by ``height`` cells: clipped, halved, tiles normalised, cut locally with
+    and without that, joined, cleaned of lines along both axes, of trails and of bridges, and boxed."""
+    half = P.downsample(G2.clip_cells(cells, rects).select("grid_id", "x", "y", "v"))
+    tile = (width // 4, height // 6)  # half of the halved width, a third of the halved height
+    both = P.pair_up(G.local_otsu(half, *tile), G.local_otsu(G.normalise_tiles(half, 6, 12), *tile)).select(*P.KEY, P.combine(F.col("v"), F.col("w"), "gray_and").alias("v"))
+    clean = C.remove_long_lines(C.remove_long_lines(both, 3 * cw, "horizontal"), ch * 3 // 2, "vertical")
+    for kx in range(3, -(-2 * cw // 3), 2):
+        for ky in range(3, -(-2 * ch // 3), 2):
+            clean = N.clear_trails(clean, kx, ky)
+    return C.filter_components(C.boxes(C.label(N.join_bridges(clean))), cw, ch, word=True)
 
-register("e07_region_binarize", "cells", _region_binarize)
+
+def _region_binarize(cells: DataFrame) -> DataFrame:
+    x, y, w, h = CLIP
+    rects = cells.select("grid_id").distinct().selectExpr("1 AS region_id", "grid_id", f"{x} AS rx", f"{y} AS ry", f"{w} AS rw", f"{h} AS rh")
+    return region_binarize(_inked(cells), rects, CW, CH, w, h)
+
+
+def _inked(d: DataFrame) -> DataFrame:
+    """Strokes of two widths and two long lines on a light ground that darkens to the right."""
+    stroke = ((F.col("x") % 12 < 5) & (F.col("y") % 24 >= 4) & ((F.col("x") + F.col("y") + F.col("grid_id")) % 7 != 0)) | F.col("y").isin(2, 3) | F.col("x").isin(26, 27)
+    return d.select("grid_id", "x", "y", F.when(stroke, F.col("v") % 60).otherwise(250 - F.col("x") - F.col("v") % 20).alias("v"))
+
+
+def _suffixed(sql: str, suffix: str, *names: str) -> str:
+    """The same CTEs under other names."""
+    for n in names:
+        sql = re.sub(rf"\b{n}\b", n + suffix, sql)
+    return sql
+
+
+def _region_sql() -> str:
+    x, y, w, h = CLIP
+    otsu = ("ot", "ob", "od", "ov", "ow", "ox", "otsu", "tiled", "cut")
+    cut = f", tiled AS (SELECT *, (x // {w // 4})::INT AS tx, (y // {h // 6})::INT AS ty FROM {{source}})" + otsu_sql("grid_id, tx, ty", "tiled") + ", cut AS (SELECT grid_id, x, y, CASE WHEN v <= threshold THEN 0 ELSE 255 END AS v FROM tiled JOIN otsu USING (grid_id, tx, ty))"
+    sql = f""", inked AS (SELECT grid_id, x, y, CASE WHEN (x % 12 < 5 AND y % 24 >= 4 AND (x + y + grid_id) % 7 <> 0) OR y IN (2, 3) OR x IN (26, 27) THEN v % 60 ELSE 250 - x - v % 20 END AS v FROM mosaic),
+    half AS (SELECT grid_id, ((x - {x}) // 2)::INT AS x, ((y - {y}) // 2)::INT AS y, floor(avg(v))::INT AS v FROM inked WHERE x >= {x} AND x < {x + w} AND y >= {y} AND y < {y + h} GROUP BY ALL),
+    mt AS (SELECT grid_id, x // 6 AS a, y // 12 AS b, sum(v) AS s, count(*) AS n FROM half GROUP BY ALL),
+    mv AS (SELECT grid_id, a, b, floor(sum(s) OVER g / sum(n) OVER g) - floor(s / n) AS move FROM mt WINDOW g AS (PARTITION BY grid_id)),
+    even AS (SELECT h.grid_id, h.x, h.y, greatest(0, least(255, h.v + m.move))::INT AS v FROM half h JOIN mv m ON m.grid_id = h.grid_id AND m.a = h.x // 6 AND m.b = h.y // 12)"""
+    sql += _suffixed(cut.replace("{source}", "half"), "_p", *otsu) + _suffixed(cut.replace("{source}", "even"), "_q", *otsu)
+    sql += ", both_ AS (SELECT p.grid_id, p.x, p.y, least(p.v, q.v) AS v FROM cut_p p JOIN cut_q q USING (grid_id, x, y))"
+    sql += lines_sql("both_", "hl", 3 * CW, "horizontal") + lines_sql("hl", "vl", CH * 3 // 2, "vertical")
+    last = "vl"
+    for kx in range(3, -(-2 * CW // 3), 2):
+        for ky in range(3, -(-2 * CH // 3), 2):
+            sql += clear_sql(kx, last, f"tr{kx}x{ky}_", ky)
+            last = f"tr{kx}x{ky}_"
+    sql += bridges_sql(last, "joined") + labels_sql("joined")
+    return sql + f" SELECT grid_id, comp, x, y, w, h, n FROM cbox WHERE w * 5 >= {CW} AND h * 2 >= {CH} AND w <= 3 * {CW}"
+
+
+register("e07_region_binarize", "mosaic", _region_binarize, _region_sql())
 
 
 def _processor(cells: DataFrame) -> DataFrame:

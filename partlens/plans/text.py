@@ -106,20 +106,21 @@ register(
     "SELECT event_id, strftime(ts, '%Y%m%d%H%M%S') AS out FROM capture_events",
 )
 
-VOTES = ", v AS (SELECT part_id, raw, count(*) AS votes FROM readings GROUP BY ALL), s AS (SELECT *, votes / sum(votes) OVER (PARTITION BY part_id) AS share FROM v)"
-for _fallback, _sign in (("most", "-"), ("least", "")):
+VOTES = ", v AS (SELECT part_id, raw, count(*) AS votes FROM {source} GROUP BY ALL), s AS (SELECT *, votes / sum(votes) OVER (PARTITION BY part_id) AS share FROM v)"
+for _source, _gaps in (("readings", ""), ("gappy_readings", "_with_nulls")):
+    for _fallback, _sign in (("most", "-"), ("least", "")):
+        register(
+            f"a16_consensus_string_{_fallback}{_gaps}", _source,
+            lambda df, f=_fallback: R.consensus(df, ["part_id"], "raw", fallback=f).select("part_id", "raw", "votes", F.round("share", 9).alias("share")),
+            VOTES.format(source=_source) + f""" SELECT part_id, raw, votes, round(share, 9) AS share FROM s
+            QUALIFY row_number() OVER (PARTITION BY part_id ORDER BY raw IS NULL, raw = '', share <= 0.5, {_sign}votes, raw) = 1""",
+        )
     register(
-        f"a16_consensus_string_{_fallback}", "readings",
-        lambda df, f=_fallback: R.consensus(df, ["part_id"], "raw", fallback=f).select("part_id", "raw", "votes", F.round("share", 9).alias("share")),
-        VOTES + f""" SELECT part_id, raw, votes, round(share, 9) AS share FROM s
-        QUALIFY row_number() OVER (PARTITION BY part_id ORDER BY (raw = '')::INT, (share <= 0.5)::INT, {_sign}votes, raw) = 1""",
+        f"a16_consensus_string_mashed{_gaps}", _source, lambda df: R.consensus_mashed(df, ["part_id"], "raw"),
+        VOTES.format(source=_source) + f""", r AS (SELECT *, sum(votes) OVER (PARTITION BY part_id ORDER BY votes, raw ROWS UNBOUNDED PRECEDING) AS upto, round(votes / share) AS n FROM s WHERE raw <> ''),
+        l AS (SELECT part_id, max(raw) FILTER (votes > 0.6 * n) AS winner, list(raw ORDER BY votes, raw) FILTER (votes > 0.6 * n OR upto - votes <= 0.6 * n) AS a FROM r GROUP BY part_id)
+        SELECT p.part_id, coalesce(winner, list_reduce(a, lambda x, y: x || substr(y, length(x)::INT + 1)), '') AS text FROM (SELECT DISTINCT part_id FROM {_source}) p LEFT JOIN l USING (part_id)""",
     )
-register(
-    "a16_consensus_string_mashed", "readings", lambda df: R.consensus_mashed(df, ["part_id"], "raw"),
-    VOTES + """, r AS (SELECT *, sum(votes) OVER (PARTITION BY part_id ORDER BY votes, raw ROWS UNBOUNDED PRECEDING) AS upto, round(votes / share) AS n FROM s WHERE raw <> ''),
-    l AS (SELECT part_id, max(raw) FILTER (votes > 0.6 * n) AS winner, list(raw ORDER BY votes, raw) FILTER (votes > 0.6 * n OR upto - votes <= 0.6 * n) AS a FROM r GROUP BY part_id)
-    SELECT p.part_id, coalesce(winner, list_reduce(a, lambda x, y: x || substr(y, length(x)::INT + 1)), '') AS text FROM (SELECT DISTINCT part_id FROM readings) p LEFT JOIN l USING (part_id)""",
-)
 register(
     "a17_consensus_for_pattern", "readings",
     lambda df: R.consensus_for_pattern(df.withColumn("raw", S.clean_text(F.col("raw"))), ["part_id"], "raw", "template"),
@@ -163,8 +164,7 @@ register(
     + """, u AS (SELECT * FROM cand UNION ALL SELECT * FROM cand2)
     SELECT part_id, reading_id, text, score, row_number() OVER (PARTITION BY part_id ORDER BY score DESC, text, reading_id)::INT AS rank FROM u""",
 )
-register(
-    "e05_reading_pipeline", "readings", R.reading_pipeline,
+_LABELS = (
     CANDIDATES
     + f""", v AS (SELECT part_id, template, text, count(*) AS votes FROM cand GROUP BY ALL),
     s AS (SELECT *, votes / sum(votes) OVER (PARTITION BY part_id, template) AS share FROM v),
@@ -172,8 +172,10 @@ register(
     o AS (SELECT p.part_id, p.template, coalesce(w.text, '') AS t, coalesce(w.votes, 0) AS votes, round(coalesce(w.share, 0), 9) AS share
       FROM (SELECT DISTINCT part_id, template FROM readings) p LEFT JOIN w USING (part_id, template)),
     l AS (SELECT *, {_corrected('t')} AS label FROM o)
-    SELECT part_id, template, label, votes, share, ({_verified('label')}) <> '' AS matches FROM l""",
+    SELECT part_id, template, label, votes, share, ({_verified('label')}) <> '' AS matches FROM l"""
 )
+register("e05_reading_pipeline", "readings", R.reading_pipeline, _LABELS)
+register("e05_reading_pipeline_with_nulls", "gappy_readings", R.reading_pipeline, _LABELS.replace("FROM readings)", "FROM gappy_readings)"))
 
 
 def _noisy_lines(df: DataFrame) -> DataFrame:

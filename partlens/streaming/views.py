@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from partlens.functions.times import interval_micros, time_bucket
+from partlens.operators.components import written
 
 
 def watermarked(events: DataFrame, delay: str = "30 seconds", ts: str = "ts") -> DataFrame:
@@ -39,24 +40,65 @@ def capture_timeout_join(requests: DataFrame, responses: DataFrame, timeout: str
 
 
 def camera_sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
-    """Connected spells of each camera."""
+    """Connected spells of each camera: start, end (a gap after the last event), n. As a batch, see ``spells``."""
+    if not events.isStreaming:
+        return spells(events, gap).select("camera_id", "start", (F.col("last") + F.expr(f"INTERVAL {gap}")).alias("end"), "n")
     out = events.groupBy(F.session_window("ts", gap).alias("w"), "camera_id").agg(F.count("*").alias("n"))
     return out.select("camera_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
+#: First buckets are so many gaps long; each round joins so many of them.
+GAPS_A_BUCKET, BUCKETS_A_ROUND = 16, 64
+
+
+def _joined(parts: DataFrame, micros: int) -> DataFrame:
+    """Parts (camera_id, bucket, start, last, n) of a bucket that are less than a gap apart as one; outer marks the first and
+    the last one of a bucket."""
+    w = Window.partitionBy("camera_id", "bucket").orderBy("start")
+    fresh = F.coalesce(F.col("start") >= F.lag("last").over(w) + F.expr(f"INTERVAL {micros} MICROSECONDS"), F.lit(True))
+    k = F.sum(F.when(F.col("_fresh"), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    out = parts.withColumn("_fresh", fresh).withColumn("_k", k).groupBy("camera_id", "bucket", "_k").agg(F.min("start").alias("start"), F.max("last").alias("last"), F.sum("n").alias("n"))
+    return out.withColumn("outer", (F.col("_k") == 1) | (F.col("_k") == F.max("_k").over(Window.partitionBy("camera_id", "bucket")))).drop("_k")
+
+
+def spells(events: DataFrame, gap: str) -> DataFrame:
+    """camera_id, start, last, n of spells of events that follow each other by less than the gap.
+
+    Time is cut into buckets, and a camera's events in one bucket are one group, so no task holds a camera. Only the first and
+    the last spell of a bucket may go on beyond it; those are carried to the next round, where ``BUCKETS_A_ROUND`` buckets are
+    one, until one bucket holds all. Events without a time have no part."""
+    micros = interval_micros(gap)
+    moment = events.where("ts IS NOT NULL").select("camera_id", time_bucket("ts", micros * GAPS_A_BUCKET).alias("bucket"), F.col("ts").alias("start"), F.col("ts").alias("last"))
+    parts = moment.groupBy("camera_id", "bucket", "start", "last").agg(F.count("*").alias("n"))
+    done: list[DataFrame] = []
+    while True:
+        parts = written(_joined(parts, micros), "spells")
+        low, high = parts.agg(F.min("bucket"), F.max("bucket")).first()
+        if low == high:
+            break
+        done.append(parts.where("NOT outer"))
+        parts = parts.where("outer").withColumn("bucket", F.floor((F.col("bucket") - low) / BUCKETS_A_ROUND)).drop("outer")
+    for d in done:
+        parts = parts.unionByName(d)
+    return parts.select("camera_id", "start", "last", "n")
+
+
 def camera_liveness(events: DataFrame, silence: str = "20 minutes") -> DataFrame:
-    """ON from the first event of a spell to ``silence`` after its last, then OFF. A spell ends by the event-time
-    timer of its session, so the stream reports OFF as soon as the watermark passes it."""
+    """ON from the first event of a spell to ``silence`` after its last, then OFF; a batch, or a stream that reports a spell
+    when it has ended. ``liveness.live_changes`` is the form that shows cameras while they are ON."""
     s = camera_sessions(events, silence)
     change = F.array(F.struct(F.col("start").alias("at"), F.lit("ON").alias("state")), F.struct(F.col("end").alias("at"), F.lit("OFF").alias("state")))
     return s.select("camera_id", F.explode(change).alias("c")).select("camera_id", "c.at", "c.state")
 
 
 def liveness_by_gaps(events: DataFrame, silence: str = "20 minutes") -> DataFrame:
-    """Batch twin of X03: gaps between events of a camera."""
-    w = Window.partitionBy("camera_id").orderBy("ts", "event_id")
-    limit = F.expr(f"INTERVAL {silence}")
-    got = events.withColumn("before", F.lag("ts").over(w)).withColumn("after", F.lead("ts").over(w))
+    """Batch twin of X03, from the gaps beside each event: its neighbours in time are those of its bucket, as long as the
+    silence, and of the buckets beside it, so no task holds a camera."""
+    limit, micros = F.expr(f"INTERVAL {silence}"), interval_micros(silence)
+    at = events.where("ts IS NOT NULL").select("camera_id", "ts").distinct().withColumn("_own", time_bucket("ts", micros))
+    near = at.withColumn("_b", F.explode(F.array(F.col("_own") - 1, F.col("_own"), F.col("_own") + 1)))
+    w = Window.partitionBy("camera_id", "_b").orderBy("ts")
+    got = near.withColumn("before", F.lag("ts").over(w)).withColumn("after", F.lead("ts").over(w)).where("_b = _own")
     on = got.where(F.col("before").isNull() | (F.col("ts") >= F.col("before") + limit)).select("camera_id", F.col("ts").alias("at"), F.lit("ON").alias("state"))
     off = got.where(F.col("after").isNull() | (F.col("after") >= F.col("ts") + limit)).select("camera_id", (F.col("ts") + limit).alias("at"), F.lit("OFF").alias("state"))
     return on.unionByName(off)

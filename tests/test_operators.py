@@ -56,9 +56,149 @@ def test_spiral_is_one_component(spark):
 
 def test_isolated_cell_goes_and_long_run_goes(spark):
     assert values(N.salt_pepper(grid(spark, "999 909 999")))[(1, 1)] == 255
-    g = grid(spark, "000000000000 999999999999 990099999999")
-    out = values(C.remove_long_lines(g, 8))
+    g = grid(spark, "0000000000000 9999999999999 9900999999999")
+    out = values(C.remove_long_lines(g, 11))
     assert out[(3, 0)] == 255 and out[(2, 2)] == 0
+    assert values(C.remove_long_lines(g, 11, "vertical")) == values(C.remove_long_lines(g, 10)) == values(g)
+
+
+@pytest.fixture
+def tile(monkeypatch):
+    from partlens.operators import tiles
+
+    return lambda side: monkeypatch.setattr(tiles, "TILE", side)
+
+
+def noise(spark, w=30, h=21, seed=3):
+    import numpy as np
+
+    v = np.random.default_rng(seed).integers(0, 256, (h, w))
+    return spark.createDataFrame([(1, x, y, int(v[y, x])) for y in range(h) for x in range(w)], CELLS)
+
+
+def test_lines_along_both_axes(spark, tile):
+    """A vertical and a horizontal line of 13 cells, over borders of tiles and touching no other."""
+    rows = [[9] * 16 for _ in range(16)]
+    for i in range(13):
+        rows[i + 1][2] = rows[15][i + 3] = 0
+    rows[4][10] = 0
+    g = grid(spark, " ".join("".join(map(str, r)) for r in rows))
+    for side in (4, 256):
+        tile(side)
+        dark = lambda d: {k for k, v in values(d).items() if v == 0}
+        down, across = {(2, i + 1) for i in range(13)}, {(i + 3, 15) for i in range(13)}
+        assert dark(C.remove_long_lines(g, 11)) == down | {(10, 4)}
+        assert dark(C.remove_long_lines(g, 11, "vertical")) == across | {(10, 4)}
+        assert dark(C.remove_long_lines(g, 11, "both")) == {(10, 4)}
+        assert dark(C.remove_long_lines(g, 12, "both")) == down | across | {(10, 4)}
+
+
+OVER_TILES = {
+    "box_mean": lambda d: N.box_mean(d, 5, 3), "erode": lambda d: N.extreme(d, 3, 5), "rank": lambda d: N.rank_filter(d, 3, 5), "wide rank": lambda d: N.rank_filter(d, 9, 9, 80), "sobel": lambda d: N.sobel(d, "nesw"),
+    "gaussian": lambda d: N.gaussian(d, 3), "layer": lambda d: N.add_layer(d, 3, "W", 128), "bridges": N.join_bridges, "centre": lambda d: N.lighten_centre(d, 5, "x"), "trails": lambda d: N.clear_trails(d, 4, 3, 60),
+    "rings": lambda d: N.ring_detector(d, 11, 0, 1.02), "knees": lambda d: G.knee_base(d, 9), "fill": lambda d: G.bridge_fill(d, 3, axis="y"), "runs": lambda d: G.whiten_long_runs(d, 7), "between": G.lighten_intermediates,
+    "sauvola": lambda d: N.sauvola(d, 7, 0.2), "background": lambda d: N.kernel_background(d, 9, 200, 3),
+}
+
+
+@pytest.mark.parametrize("name", OVER_TILES)
+def test_tiles_do_not_show(spark, tile, name):
+    g = noise(spark)
+    got = []
+    for side in (4, 8, 64):
+        tile(side)
+        got.append(values(OVER_TILES[name](g)))
+    assert got[0] == got[1] == got[2] and len(got[0]) == 30 * 21
+
+
+def test_tiles_bound_what_a_task_reads(spark, tile):
+    """No tile holds more than its side and two halos in each direction, and one exchange deals them out."""
+    from partlens.operators import tiles
+
+    tile(8)
+    df = tiles.tiled(noise(spark, 50, 40), 3, 2)
+    assert df.groupBy(*tiles.AT).count().agg(F.max("count")).first()[0] == (8 + 6) * (8 + 4)
+    plan = N.box_mean(noise(spark), 7, 5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("side", [4, 7, 64])
+def test_components_over_tiles(spark, tile, side):
+    """Labels do not depend on tiles: noise, and a spiral through all of them."""
+    spiral = grid(spark, "0000000 9999990 0000090 0999090 0900090 0999990 0000000", 2)
+    g = noise(spark, 40, 30).withColumn("v", F.when(F.col("v") < 140, 0).otherwise(255)).unionByName(spiral)
+    want = sorted(map(tuple, C.boxes(C.label(g)).collect()))
+    tile(side)
+    assert sorted(map(tuple, C.boxes(C.label(g)).collect())) == want
+
+
+@pytest.mark.parametrize("k", [9, 15])
+def test_knees_against_sorting(spark, k):
+    """The histograms' knees against the sorted neighbourhoods', on few values, so that repeats abound."""
+    import numpy as np
+
+    v = np.random.default_rng(k).choice([0, 3, 3, 40, 41, 90, 200], (20, 24))
+    g = spark.createDataFrame([(1, x, y, int(v[y, x])) for y in range(20) for x in range(24)], CELLS)
+    from partlens.operators import ranks
+
+    got = {(r.x, r.y): r.base for r in ranks.by_histogram(g, k, k, ["base"], ranks.knees).collect()}
+    for (x, y), base in got.items():
+        a = np.sort(v[max(0, y - k // 2) : y + k // 2 + 1, max(0, x - k // 2) : x + k // 2 + 1].ravel())
+        d = a[2:] - 2 * a[1:-1] + a[:-2]
+        assert base == a[int(d.argmax()) + 2]
+
+
+def test_lattice_is_near_the_direct_form(spark, tile):
+    from partlens.operators import bilateral as B
+
+    g = noise(spark, 24, 18).withColumn("v", (100 + F.col("x") * 3 + F.col("v") % 30).cast("int"))
+    exact = values(B.direct(g, 2, 30))
+    for side in (8, 64):
+        tile(side)
+        got = values(B.by_lattice(g, 2, 30))
+        assert max(abs(got[k] - exact[k]) for k in exact) <= 2
+
+
+def test_polygons_by_scanlines(spark):
+    """Concave, crossing itself, beside the grid, and with corners between cells."""
+    from partlens.operators import regions as RG
+
+    shapes = {1: [(1, 1), (9, 1), (9, 9), (5, 4), (1, 9)], 2: [(0, 0), (10, 10), (10, 0), (0, 10)], 3: [(-5, 2), (30, 2), (30, 6), (-5, 6)], 4: [(2.5, 2.5), (6.5, 3.25), (4.25, 8.5)], 5: [(40, 40), (50, 40), (50, 50)]}
+    cells = noise(spark, 12, 12)
+    df = spark.createDataFrame([(i, 1, [(float(x), float(y)) for x, y in p]) for i, p in shapes.items()], "region_id int, grid_id bigint, points array<struct<x double, y double>>")
+    got = {(r.region_id, r.x, r.y) for r in RG.clip_polygon_cells(cells, df).collect()}
+
+    def inside(p, cx, cy):
+        n = 0
+        for (px, py), (qx, qy) in zip(p, p[1:] + p[:1]):
+            n += (py > cy) != (qy > cy) and cx < px + (cy - py) * (qx - px) / (qy - py)
+        return n % 2 == 1
+
+    assert got == {(i, x, y) for i, p in shapes.items() for x in range(12) for y in range(12) if inside(p, x + 0.5, y + 0.5)}
+
+
+def test_sessions_over_many_buckets(spark):
+    """Spells that last over thousands of buckets, end on their borders and stand alone."""
+    rows = [(1, t) for t in range(0, 400_000, 50)] + [(1, 500_000), (2, 0), (2, 60), (2, 119), (2, 960), (2, 1020)] + [(3, t) for t in range(0, 90_000, 61)] + [(3, None), (None, 5)]
+    df = spark.createDataFrame(rows, "camera_id long, t long").selectExpr("camera_id", "timestamp_seconds(t) AS ts")
+    got = sorted((str(r.camera_id), r.n, r.a, r.b) for r in V.camera_sessions(df, "1 minute").selectExpr("camera_id", "n", "unix_seconds(start) AS a", "unix_seconds(end) AS b").collect())
+    want = []
+    for c in (1, 2, 3, None):
+        ts = sorted(t for k, t in rows if k == c and t is not None)
+        spell = [ts[0], ts[0], 0]
+        for t in ts:
+            if t >= spell[1] + 60 and spell[2]:
+                want.append((str(c), spell[2], spell[0], spell[1] + 60))
+                spell = [t, t, 0]
+            spell = [spell[0], t, spell[2] + 1]
+        want.append((str(c), spell[2], spell[0], spell[1] + 60))
+    assert got == sorted(want)
+
+
+def test_nulls_do_not_win_a_vote(spark):
+    df = spark.createDataFrame([(1, None), (1, "A"), (1, "A"), (1, None), (1, None), (2, None), (2, ""), (3, None)], "k int, t string")
+    got = {r.k: (r.t, r.votes) for r in R.consensus(df, ["k"], "t").collect()}
+    assert got == {1: ("A", 2), 2: ("", 1), 3: (None, 1)}
 
 
 def test_histogram_counts_every_cell(spark):
@@ -95,7 +235,9 @@ def test_images(spark, tmp_path):
     assert files.list_files(spark, str(tmp_path)).count() == 2
     images = files.image_scan(spark, str(tmp_path))
     assert images.where("bad").count() == 1
-    assert [r.v for r in files.pixels_from_binary(images).orderBy("y", "x").collect()] == [0, 10, 20, 30, 200, 255]
+    cells = files.pixels_from_binary(images)
+    assert [r.v for r in cells.where("NOT bad").orderBy("y", "x").collect()] == [0, 10, 20, 30, 200, 255]
+    assert [(r.x, r.y, r.v) for r in cells.where("bad").orderBy("y", "x").collect()] == [(x, y, 0) for y in range(50) for x in range(50)]
 
 
 def test_settings_and_archive_round_trip(spark, tmp_path):
