@@ -21,7 +21,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, plain, small_batches, text_of
@@ -37,6 +37,9 @@ DF_BITS = 18
 UNIT, STRENGTH, RARE = 64, 0.25, 0.001
 #: Rounds that compare one node a bucket with the others go on while this share of the pairs they compare are links.
 LEAST_LINKED = 0.1
+#: Nodes of a group up to which its open pairs are all compared, and how often larger groups are split; after that their
+#: pairs are compared as well.
+FEW, LEVELS = 16, 12
 
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9)]
 
@@ -308,11 +311,7 @@ class NearDuplicates:
                 break
         now = now.drop("comp", "served").join(comps, "content").join(served, ["band", "key", "content"], "left_anti")
         now = materialize(now.join(materialize(self._main_of(pivots, comps), "near-main"), "pivot"), "near-last")
-        rows = self._differences(now, elements)
-        # most nodes that are linked at all are linked to the one nearest to the pivot that shares a difference: one link is
-        # enough to join two components, so these pairs, one an element at most, come before all others
-        comps = self._join(self._by_nearest(rows), elements, comps)[2]
-        return self._join(self._by_difference(rows.drop("comp").join(comps, "content")), elements, comps)[2]
+        return self._settle(self._differences(now, elements), elements, comps)
 
     @staticmethod
     def _main_of(pivots: DataFrame, comps: DataFrame) -> DataFrame:
@@ -363,12 +362,76 @@ class NearDuplicates:
         rows = small_batches(rows.select("pivot", "content", "comp", "open", "total", "single", "elements", "of_pivot"))
         return materialize(rows.mapInArrow(_prefixes(self.percent), PREFIXES), "near-prefixes")
 
-    def _by_nearest(self, rows: DataFrame) -> DataFrame:
-        """Open nodes, each with the node nearest to the pivot that shares one of its differences."""
-        on = ["pivot", "lost", "element"]
-        nearest = rows.where("as_any").groupBy(*on).agg(F.min_by(F.struct("content", "comp", "total"), F.struct("d", "content")).alias("b"))
-        pairs = rows.where("open = 1 AND as_open").join(materialize(nearest, "near-nearest"), on).where("comp <> b.comp")
-        return pairs.select(F.col("content").alias("a"), F.col("total").alias("ta"), F.col("b.content").alias("b"), F.col("b.total").alias("tb"))
+    def _settle(self, rows: DataFrame, elements: DataFrame, comps: DataFrame) -> DataFrame:
+        """Components after all links among nodes that share a difference from their pivot early enough."""
+        key = ["pivot", "lost", "element"]
+        for level in range(LEVELS + 1):
+            rows = self._early_enough(rows)
+            groups = materialize(self._groups(rows), "near-groups")
+            rows = materialize(rows.join(groups.select(*key, "n", "b"), key), "near-grouped")
+            # most nodes that are linked at all are linked to the nearest one: one link is enough to join two components, so
+            # these pairs, one a row at most, come before all others; in a large group all its nodes meet the next pivot
+            near = rows.where(F.expr(f"(open = 1 AND as_open OR n > {FEW}) AND comp <> b.comp"))
+            comps = self._join(near.select(F.col("content").alias("a"), F.col("total").alias("ta"), F.col("b.content").alias("b"), F.col("b.total").alias("tb")), elements, comps)[2]
+            rows = rows.drop("comp").join(comps, "content")
+            left = rows.groupBy(*key).agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max((F.col("open") == 1) & F.col("as_open")).alias("any")).where("low <> high AND any")
+            rows = materialize(rows.join(materialize(left.select(*key), "near-left"), key), "near-remaining")
+            large = F.col("n") > (FEW if level < LEVELS else 2**31 - 1)
+            comps = self._join(self._by_difference(rows.where(~large)), elements, comps)[2]
+            rows = rows.where(large)
+            if rows.isEmpty():
+                return comps
+            rows = self._split(rows.drop("comp").join(comps, "content"), elements, comps)
+        return comps
+
+    def _early_enough(self, rows: DataFrame) -> DataFrame:
+        """Rows that some node of their group may be linked to: what a node has from the difference on must make up for what is
+        too much in its own differences and in the least ones of the group."""
+        key = ["pivot", "lost", "element"]
+        ends = rows.where("as_any").groupBy(*key).agg(F.count("*").alias("m"), F.min("d").alias("least_d"), F.max("total").alias("most")).where("m > 1")
+        rows = rows.join(materialize(ends.drop("m"), "near-ends"), key)
+        heaviest = F.least(F.col("most"), F.col("total") * 100 / self.percent)
+        least = (F.col("d") + F.col("least_d")) * (100 + self.percent) - (F.col("total") + heaviest) * (100 - self.percent)
+        return materialize(rows.where(F.col("rest") * 2 * (100 + self.percent) >= least).drop("least_d", "most"), "near-early")
+
+    def _groups(self, rows: DataFrame) -> DataFrame:
+        """pivot, lost, element, n and b, the nearest node, of groups of nodes that share a difference and hold a pair that may
+        be a link. Of differences that the same nodes share, the first in order stands for all."""
+        rows = rows.where("as_any")
+        each = rows.groupBy("pivot", "lost", "element").agg(
+            F.count("*").alias("n"), F.bit_xor(F.xxhash64("content")).alias("h"), F.bit_xor(F.xxhash64("content", F.lit(1))).alias("g"), F.sum("rest").alias("rest"),
+            F.min("comp").alias("low"), F.max("comp").alias("high"), F.max((F.col("open") == 1) & F.col("as_open")).alias("any"), F.min_by(F.struct("content", "comp", "total"), F.struct("d", "content")).alias("b"),
+        )
+        each = each.where("low <> high AND any")
+        # along the order of differences what a node has from one on grows less
+        first = each.groupBy("pivot", "n", "h", "g").agg(F.max_by(F.struct("lost", "element", "b"), F.struct("rest", "lost", "element")).alias("f"))
+        return first.select("pivot", "f.lost", "f.element", "n", "f.b")
+
+    def _split(self, rows: DataFrame, elements: DataFrame, comps: DataFrame) -> DataFrame:
+        """Rows as those of ``_differences``, of groups as buckets of their own: each node's differences from its group's
+        nearest node, those of the fewest nodes of the group first."""
+        group = F.concat_ws("/", F.md5(F.concat_ws("/", "pivot", "lost", "element").cast("binary")), "b.content")
+        nodes = rows.where("as_any").select(group.alias("pivot"), F.col("b.content").alias("head"), "content", "total", "comp")
+        nodes = nodes.join(comps.select(F.col("content").alias("head"), F.col("comp").alias("of_pivot")), "head").where("content <> head")
+        nodes = nodes.withColumn("open", (F.col("comp") != F.col("of_pivot")).cast("int"))
+        some = materialize(nodes.where("open = 1").select("pivot").distinct(), "near-some")
+        x = elements.select("content", F.col("elements").alias("x"))
+        y = elements.select(F.col("content").alias("head"), F.col("elements").alias("y"), F.col("total").alias("of_head"))
+        nodes = nodes.join(some, "pivot").join(x, "content").join(y, "head")
+        differ = F.concat(*[F.transform(F.array_except(a, b), lambda e, lost=lost: F.struct(F.lit(lost).alias("lost"), e.alias("element"))) for lost, a, b in ((0, "x", "y"), (1, "y", "x"))])
+        each = nodes.select("pivot", "content", "comp", "open", "total", "of_head", F.explode(differ).alias("e")).select("pivot", "content", "comp", "open", "total", "of_head", "e.lost", "e.element")
+        each = materialize(each, "near-each")
+        often = materialize(each.groupBy("pivot", "lost", "element").agg(F.count("*").alias("often")), "near-often")
+        w = Window.partitionBy("pivot", "content")
+        weight = F.col("element").bitwiseAND(F.lit(255).cast("long"))
+        each = each.join(often, ["pivot", "lost", "element"]).withColumn("d", F.sum(weight).over(w))
+        upto = F.sum(weight).over(w.orderBy("often", "lost", "element").rowsBetween(Window.unboundedPreceding, 0))
+        each = each.withColumn("rest", F.col("d") - upto + weight)
+        t = self.percent / 100
+        c = (1 - t) / (1 + t)
+        least = F.col("d") - F.col("total") * (c * (1 + 1 / t))
+        each = each.withColumn("as_open", F.col("rest") >= least - 1e-6).withColumn("as_any", F.col("rest") >= F.greatest(least, (F.col("d") + (F.col("of_head") - F.col("total")) * c) / 2) - 1e-6)
+        return materialize(each.where("often > 1 AND (as_open OR as_any)").select("pivot", "content", "comp", "open", "total", "d", "lost", "element", "rest", "as_open", "as_any"), "near-prefixes")
 
     def _by_difference(self, rows: DataFrame) -> DataFrame:
         """Pairs in different components, one of them open, that share a difference early enough in both orders."""

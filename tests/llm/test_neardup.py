@@ -119,3 +119,48 @@ def test_components(spark):
             comp[a] = comp[b] = min(comp[a], comp[b])
     got = {r.node: r.comp for r in components(spark.createDataFrame(edges, "a string, b string")).collect()}
     assert got == {x: c for x, c in comp.items() if any(a != b and x in (a, b) for a, b in edges)}
+
+
+def family(n, values, links=0, seed=4):
+    """Documents of one template of 40 words with two fields; pairs that share a field are just no links. ``links`` of them
+    come with a copy whose last word differs."""
+    rng = random.Random(seed)
+    base = words(rng, 40, 100_000)
+    picks = rng.sample(range(values * values), n)
+    out = []
+    for k, i in enumerate(picks):
+        w = list(base)
+        w[10], w[28] = f"a{i % values}", f"b{i // values}"
+        out.append(" ".join(w))
+        if k < links:
+            out.append(" ".join([*w[:-1], "other"]))
+    return [(i, t, "c", None) for i, t in enumerate(out)]
+
+
+def test_pairs_grow_with_the_documents(spark, monkeypatch):
+    """Families of a template in which groups that share a field grow with the documents, and no pair is a link."""
+    made = []
+    join = neardup.NearDuplicates._join
+    monkeypatch.setattr(neardup.NearDuplicates, "_join", lambda self, pairs, *rest: made.append(pairs.count()) or join(self, pairs, *rest))
+    of = {}
+    for n in (500, 2000):
+        made.clear()
+        got = neardup.op4_near_dedup(spark.createDataFrame(family(n, 48), SCHEMA)).collect()
+        assert all(r.kept for r in got)
+        of[n] = sum(made)
+    assert all(made < 20 * n for n, made in of.items()), of
+
+
+def test_links_in_a_family_are_found(spark):
+    """In the same family, pairs that are links, among groups that are split."""
+    rows = family(600, 25, links=120)
+    got = {r.doc_id: r.class_id for r in neardup.op4_near_dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == classes(rows)
+
+
+def test_split_groups_lose_nothing(spark, monkeypatch, rows):
+    """With every group split down to pairs, the classes are the same."""
+    df = spark.createDataFrame(rows[:280], SCHEMA)
+    want = {r.doc_id: r.class_id for r in neardup.op4_near_dedup(df).collect()}
+    monkeypatch.setattr(neardup, "FEW", 2)
+    assert {r.doc_id: r.class_id for r in neardup.op4_near_dedup(df).collect()} == want
