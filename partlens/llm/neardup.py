@@ -37,8 +37,8 @@ DF_BITS = 18
 UNIT, STRENGTH, RARE = 64, 0.25, 0.001
 #: Rounds that compare one node a bucket with the others go on while this share of the pairs they compare are links.
 LEAST_LINKED = 0.1
-#: Nodes of a group up to which its open pairs are all compared, and how often larger groups are split; after that their
-#: pairs are compared as well.
+#: Open nodes of a group up to which they are compared with all others in it, and how often groups with more are split;
+#: after that their pairs are compared as well.
 FEW, LEVELS = 16, 12
 
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9)]
@@ -368,15 +368,15 @@ class NearDuplicates:
         for level in range(LEVELS + 1):
             rows = self._early_enough(rows)
             groups = materialize(self._groups(rows), "near-groups")
-            rows = materialize(rows.join(groups.select(*key, "n", "b"), key), "near-grouped")
+            rows = materialize(rows.join(groups.select(*key, "opens", "b"), key), "near-grouped")
             # most nodes that are linked at all are linked to the nearest one: one link is enough to join two components, so
-            # these pairs, one a row at most, come before all others; in a large group all its nodes meet the next pivot
-            near = rows.where(F.expr(f"(open = 1 AND as_open OR n > {FEW}) AND comp <> b.comp"))
+            # these pairs, one a row at most, come before all others; in a group that may be split all nodes meet the next pivot
+            near = rows.where(F.expr(f"(open = 1 AND as_open OR opens > {FEW}) AND comp <> b.comp"))
             comps = self._join(near.select(F.col("content").alias("a"), F.col("total").alias("ta"), F.col("b.content").alias("b"), F.col("b.total").alias("tb")), elements, comps)[2]
             rows = rows.drop("comp").join(comps, "content")
-            left = rows.groupBy(*key).agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max((F.col("open") == 1) & F.col("as_open")).alias("any")).where("low <> high AND any")
-            rows = materialize(rows.join(materialize(left.select(*key), "near-left"), key), "near-remaining")
-            large = F.col("n") > (FEW if level < LEVELS else 2**31 - 1)
+            left = rows.groupBy(*key).agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count_if((F.col("open") == 1) & F.col("as_open")).alias("still")).where("low <> high AND still > 0")
+            rows = materialize(rows.join(materialize(left.select(*key, "still"), "near-left"), key), "near-remaining")
+            large = F.least("opens", "still") > (FEW if level < LEVELS else 2**31 - 1)
             comps = self._join(self._by_difference(rows.where(~large)), elements, comps)[2]
             rows = rows.where(large)
             if rows.isEmpty():
@@ -384,28 +384,30 @@ class NearDuplicates:
             rows = self._split(rows.drop("comp").join(comps, "content"), elements, comps)
         return comps
 
-    def _early_enough(self, rows: DataFrame) -> DataFrame:
+    def _early_enough(self, rows: DataFrame, passes: int = 2) -> DataFrame:
         """Rows that some node of their group may be linked to: what a node has from the difference on must make up for what is
-        too much in its own differences and in the least ones of the group."""
+        too much in its own differences and in those of the group's node with the least too much. A second pass goes by
+        the nodes that the first one leaves."""
         key = ["pivot", "lost", "element"]
-        ends = rows.where("as_any").groupBy(*key).agg(F.count("*").alias("m"), F.min("d").alias("least_d"), F.max("total").alias("most")).where("m > 1")
-        rows = rows.join(materialize(ends.drop("m"), "near-ends"), key)
-        heaviest = F.least(F.col("most"), F.col("total") * 100 / self.percent)
-        least = (F.col("d") + F.col("least_d")) * (100 + self.percent) - (F.col("total") + heaviest) * (100 - self.percent)
-        return materialize(rows.where(F.col("rest") * 2 * (100 + self.percent) >= least).drop("least_d", "most"), "near-early")
+        rows = rows.withColumn("excess", F.col("d") * (100 + self.percent) - F.col("total") * (100 - self.percent))
+        for _ in range(passes):
+            ends = rows.where("as_any").groupBy(*key).agg(F.count("*").alias("m"), F.min("excess").alias("least")).where("m > 1").drop("m")
+            rows = rows.join(materialize(ends, "near-ends"), key).where(F.col("rest") * 2 * (100 + self.percent) >= F.col("excess") + F.col("least"))
+            rows = materialize(rows.drop("least"), "near-early")
+        return rows.drop("excess")
 
     def _groups(self, rows: DataFrame) -> DataFrame:
-        """pivot, lost, element, n and b, the nearest node, of groups of nodes that share a difference and hold a pair that may
+        """pivot, lost, element, opens (open nodes) and b, the nearest node, of groups of nodes that share a difference and hold a pair that may
         be a link. Of differences that the same nodes share, the first in order stands for all."""
         rows = rows.where("as_any")
         each = rows.groupBy("pivot", "lost", "element").agg(
             F.count("*").alias("n"), F.bit_xor(F.xxhash64("content")).alias("h"), F.bit_xor(F.xxhash64("content", F.lit(1))).alias("g"), F.sum("rest").alias("rest"),
-            F.min("comp").alias("low"), F.max("comp").alias("high"), F.max((F.col("open") == 1) & F.col("as_open")).alias("any"), F.min_by(F.struct("content", "comp", "total"), F.struct("d", "content")).alias("b"),
+            F.min("comp").alias("low"), F.max("comp").alias("high"), F.count_if((F.col("open") == 1) & F.col("as_open")).alias("opens"), F.min_by(F.struct("content", "comp", "total"), F.struct("d", "content")).alias("b"),
         )
-        each = each.where("low <> high AND any")
+        each = each.where("low <> high AND opens > 0")
         # along the order of differences what a node has from one on grows less
-        first = each.groupBy("pivot", "n", "h", "g").agg(F.max_by(F.struct("lost", "element", "b"), F.struct("rest", "lost", "element")).alias("f"))
-        return first.select("pivot", "f.lost", "f.element", "n", "f.b")
+        first = each.groupBy("pivot", "n", "h", "g").agg(F.max_by(F.struct("lost", "element", "opens", "b"), F.struct("rest", "lost", "element")).alias("f"))
+        return first.select("pivot", "f.lost", "f.element", "f.opens", "f.b")
 
     def _split(self, rows: DataFrame, elements: DataFrame, comps: DataFrame) -> DataFrame:
         """Rows as those of ``_differences``, of groups as buckets of their own: each node's differences from its group's
