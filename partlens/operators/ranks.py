@@ -19,7 +19,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from . import tiles as T
 
 #: Cells up to which sorting a neighbourhood is cheaper than keeping histograms (timed; see the README).
-SMALL = 49
+SMALL = 9
 FINE = 16
 
 

@@ -57,7 +57,7 @@ def _region_keys(settings: DataFrame) -> DataFrame:
 register(
     "r01_region_keys", "settings", _region_keys,
     PARSED + """, c AS (SELECT part, point, processor, max(i) AS n FROM keys WHERE kind = 'clipBox' GROUP BY ALL)
-    SELECT concat_ws('.', part, point, processor, i::VARCHAR, 'clipBox') AS key, i::INT AS i FROM c, range(1, 100) AS r(i) WHERE i <= n""",
+    SELECT concat_ws('.', part, point, processor, i::VARCHAR, 'clipBox') AS key, i::INT AS i FROM (SELECT *, unnest(range(1, greatest(n, 1)::BIGINT + 1)) AS i FROM c) q""",
 )
 register("r02_parse_clip_rect", "settings", lambda df: rects(df).select("part", "point", "i", "x", "y", "w", "h"), PARSED + " SELECT part, point, i, x, y, w, h FROM rects")
 register(
