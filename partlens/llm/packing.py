@@ -5,6 +5,10 @@ dot-product heuristic: of the pieces that still fit under all three limits, the
 has the largest dot product with the room that is left goes in. When none fits, a piece is cut to fill
 the tokens that remain.
 
+A limit that is not given is derived from the pieces at hand, anew for each sequence: their mean share of
+loss-bearing tokens and a margin above it, and twice the segments that a sequence of pieces of their mean
+size has. So every sequence is a mix as the pieces are, and the pieces at hand can always fill it.
+
 Packing needs no shuffle: each task packs its own rows through a window of bounded size, and what is
 left at the end of a window waits for the next one. A sequence that cannot be filled, as it has all the
 segments or loss-bearing tokens it may hold or is the last of its task, is cut into sequences whose lengths are
@@ -29,8 +33,10 @@ from .common import WORD, small_batches, text_of
 SEGMENT = "struct<doc_id:bigint,start:bigint,length:bigint,offset:bigint,doc_tokens:bigint>"
 SCHEMA = f"sequence_id long, n_tokens long, padded_to long, loss_tokens long, input_ids binary, segments array<{SEGMENT}>"
 
-#: Loss-bearing tokens that a sequence of ``op6_packing`` holds at most: 15/16 of its tokens.
-LOSS_TOKENS = 3840
+#: A derived limit of loss-bearing tokens lies this share of a sequence above the mean of the pieces at hand.
+LOSS_MARGIN = 1 / 64
+#: A derived limit of segments is this many times the mean of the pieces at hand.
+SEGMENT_SPREAD = 2
 
 
 @dataclass(frozen=True)
@@ -38,14 +44,28 @@ class Limits:
     """What a sequence may hold. ``window`` sequences' worth of pieces are packed at once.
 
     A limit of loss-bearing tokens below that of tokens keeps every sequence from being all answers or all prompts,
-    as far as the window's pieces allow.
+    as far as the window's pieces allow. Where ``segments`` or ``loss_tokens`` is None, each sequence's limit is
+    derived from the pieces at hand.
     """
 
     tokens: int = 4096
-    segments: int = 256
-    loss_tokens: int = 4096
+    segments: int | None = 256
+    loss_tokens: int | None = 4096
     window: int = 64
 
+    def of(self, held: int, pieces: int, loss: int) -> tuple[int, int, int]:
+        """The next sequence's limits: of ``held`` tokens in so many pieces at hand, ``loss`` bear loss."""
+        segments, most_loss = self.segments, self.loss_tokens
+        if segments is None:
+            segments = 1 + -(-SEGMENT_SPREAD * self.tokens * pieces // held)
+        if most_loss is None:
+            most_loss = min(self.tokens, -(-self.tokens * loss // held) + int(self.tokens * LOSS_MARGIN))
+        return self.tokens, segments, most_loss
+
+
+#: Both limits from the pieces at hand, as ``op6_packing`` packs.
+DERIVED = Limits(segments=None, loss_tokens=None)
+
 
 class _Memory:
     """Ids of strings that were seen: number i has ``ids[begin[i]:begin[i + 1]]``. Starts afresh beyond ``most``."""
@@ -199,9 +219,10 @@ class Packer:
 
     def add(self, doc, ids: np.ndarray, loss_from: int) -> Iterator[list[tuple]]:
         """Takes an example; yields sequences as soon as a window is full. Whole sequences of one long
-        example go out at once."""
-        most, start = min(self.limits.tokens, self.limits.loss_tokens), 0
-        while most == self.limits.tokens and len(ids) - start >= most:
+        example go out at once where loss-bearing tokens are not limited."""
+        most, start = self.limits.tokens, 0
+        unlimited = (self.limits.loss_tokens or 0) >= most  # else its loss may be too much for one sequence
+        while unlimited and len(ids) - start >= most:
             yield [(doc, ids, start, most, loss_from)]
             start += most
         if start < len(ids):
@@ -216,19 +237,27 @@ class Packer:
     def _drain(self, rest: int) -> Iterator[list[tuple]]:
         """Sequences until at most ``rest`` tokens are held; one that cannot be filled is cut at powers of two."""
         pool = _Pool(self.items, [self._loss(x) for x in self.items])
-        most = np.array([self.limits.tokens, self.limits.segments, self.limits.loss_tokens], np.float64)
+        loss = sum(map(self._loss, self.items))
         while self.held > rest and self.held > 0:
+            most = np.array(self.limits.of(self.held, pool.pieces_left, loss), np.float64)
             room = most.astype(np.int64)
             got: list[tuple] = []
             while room[0] > 0 and room[1] > 0:
-                score = pool.scores(room / most / most)
-                k = pool.best(score, (pool.size <= room[0]) & (pool.loss <= room[2]))
+                score = pool.scores(room / np.maximum(most, 1) ** 2)
+                fits = (pool.size <= room[0]) & (pool.loss <= room[2])
+                # the last segment takes all the room, if a piece can
+                k = pool.best(score, fits & (pool.size == room[0])) if room[1] == 1 else None
+                if k is None and not (room[1] == 1 and bool((pool.there & self._fills(pool, room)).any())):
+                    k = pool.best(score, fits)
                 if k is not None:
                     item = pool.take(k)
                     room -= (pool.size[k], 1, pool.loss[k])
                     got.append(item)
                     continue
-                k = pool.best(score, (pool.size > pool.loss) | (room[2] > 0))
+                able = (pool.size > pool.loss) | (room[2] > 0)
+                k = pool.best(score, self._fills(pool, room)) if room[1] == 1 else None
+                if k is None:
+                    k = pool.best(score, able)
                 if k is None:
                     break
                 # none fits whole: cut the best piece to the tokens and loss-bearing tokens that remain
@@ -242,9 +271,15 @@ class Packer:
                     pool.put(left, self._loss(left))
             n = int(self.limits.tokens - room[0])
             self.held -= n
+            loss -= int(most[2]) - int(room[2])
             yield from [got] if n == self.limits.tokens else _powers(got)
         self.items = pool.left()
 
+    @staticmethod
+    def _fills(pool: _Pool, room: np.ndarray) -> np.ndarray:
+        """Which pieces, cut, fill the tokens that remain: prompts come first, so a piece bears the least loss where cut so."""
+        return (pool.size >= room[0]) & (room[0] - (pool.size - pool.loss) <= room[2])
+
 
 class _Pool:
     """Pieces by their sizes: pieces with as many tokens and loss-bearing tokens are alike, so the choice looks at each
@@ -253,22 +288,30 @@ class _Pool:
     def __init__(self, items: list[tuple], loss: list[int]):
         self.at: dict[tuple[int, int], int] = {}
         self.pieces: list[list[tuple]] = []
+        self.pieces_left = len(items)
+        self._sizes, self._there = np.zeros((2, 64), np.int64), np.zeros(64, bool)
+        self._views()
         for item, x in zip(items, loss, strict=True):
-            self._slot(item[3], x).append(item)
+            self.pieces[self._slot(item[3], x)].append(item)
         for alike in self.pieces:
             alike.reverse()  # the first to come is the first taken
-        self._arrays()
+        self.there[:] = True
 
-    def _slot(self, size: int, loss: int) -> list[tuple]:
+    def _slot(self, size: int, loss: int) -> int:
+        """The number of a pair of sizes, a new one if it has none."""
         k = self.at.setdefault((size, loss), len(self.pieces))
         if k == len(self.pieces):
             self.pieces.append([])
-        return self.pieces[k]
+            if k == len(self._there):
+                self._sizes = np.concatenate([self._sizes, np.zeros_like(self._sizes)], axis=1)
+                self._there = np.concatenate([self._there, np.zeros_like(self._there)])
+            self._sizes[:, k] = size, loss
+            self._views()
+        return k
 
-    def _arrays(self) -> None:
-        pairs = np.array(list(self.at), np.int64).reshape(-1, 2)
-        self.size, self.loss = pairs[:, 0], pairs[:, 1]
-        self.there = np.array([len(x) > 0 for x in self.pieces], bool)
+    def _views(self) -> None:
+        n = len(self.pieces)
+        self.size, self.loss, self.there = self._sizes[0, :n], self._sizes[1, :n], self._there[:n]
 
     def scores(self, weight: np.ndarray) -> np.ndarray:
         """Dot product of each pair's sizes, as shares of the limits, with the shares of room."""
@@ -281,16 +324,15 @@ class _Pool:
 
     def take(self, k: int) -> tuple:
         item = self.pieces[k].pop()
+        self.pieces_left -= 1
         self.there[k] = len(self.pieces[k]) > 0
         return item
 
     def put(self, item: tuple, loss: int) -> None:
-        known = len(self.at)
-        self._slot(item[3], loss).append(item)
-        if len(self.at) > known:
-            self._arrays()
-        else:
-            self.there[self.at[item[3], loss]] = True
+        k = self._slot(item[3], loss)
+        self.pieces[k].append(item)
+        self.pieces_left += 1
+        self.there[k] = True
 
     def left(self) -> list[tuple]:
         return [x for alike in self.pieces for x in reversed(alike)]
@@ -386,8 +428,7 @@ def op6_packing(docs: DataFrame) -> DataFrame:
     ))
     # a document is read as an instruction, its first line, and an answer, the lines after it, which bear the loss
     instruction = F.when(F.contains("text", F.lit("\n")), F.substring_index("text", "\n", 1))
-    limits = Limits(loss_tokens=LOSS_TOKENS)
-    out = pack(docs, public_vocabulary(), limits=limits, prompt=instruction).select("sequence_id", F.explode(piece).alias("p"))
+    out = pack(docs, public_vocabulary(), limits=DERIVED, prompt=instruction).select("sequence_id", F.explode(piece).alias("p"))
     return out.select("p.doc_id", "p.start", "p.length", "p.ids_crc32", "p.doc_tokens", "sequence_id", "p.offset")
 
 

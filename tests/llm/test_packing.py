@@ -95,6 +95,31 @@ def test_short_documents_leave_no_padding():
         assert time.perf_counter() - began < 30
 
 
+def test_derived_limits_hold_and_fill_every_sequence():
+    from partlens.llm.packing import LOSS_MARGIN, Packer
+
+    limits_of = []
+
+    class Seen(Limits):
+        def of(self, *held):
+            limits_of.append(super().of(*held))
+            return limits_of[-1]
+
+    rng = np.random.default_rng(8)
+    longer = [(int(n), int(n * rng.random())) for n in rng.integers(1, 3000, 1500)] + [(60_000, 0), (60_000, 60_000), (70_000, 30_000)]
+    mixed = longer[:400] + [(int(n), int(n // 8)) for n in rng.integers(1, 12, 30_000)]
+    for examples in (longer, mixed, [(n, 0) for n, _ in longer], [(n, n) for n, _ in longer], [(3, 1)] * 20_000):
+        rng.shuffle(examples)
+        packer = Packer(Seen(segments=None, loss_tokens=None))
+        got = [(s, limits_of[-1]) for i, (n, k) in enumerate(examples) for s in packer.add(i, np.zeros(n, np.uint32), int(k))]
+        got += [(s, limits_of[-1]) for s in packer.finish()]
+        tokens, loss = [sum(x[3] for x in s) for s, _ in got], [sum(packer._loss(x) for x in s) for s, _ in got]
+        assert sum(tokens) == sum(n for n, _ in examples) and sum(loss) == sum(n - k for n, k in examples)
+        assert all(len(s) <= most and x <= most_loss for (s, (_, most, most_loss)), x in zip(got, loss, strict=True))
+        assert padding_of(tokens) == 0 and sum(n < 4096 for n in tokens) <= 12  # the last sequence, in powers of two
+    assert Limits(segments=None, loss_tokens=None).of(8192, 4, 4096) == (4096, 5, 2048 + int(4096 * LOSS_MARGIN))
+
+
 def test_every_limit_binds_and_prompts_fill_up():
     from partlens.llm.packing import Packer
 
