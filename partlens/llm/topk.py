@@ -6,10 +6,11 @@ threshold, bound / (|q| l): above 1 the bucket is skipped; where it is high, the
 the bucket leave only vectors that can reach it (coordinate pruning); else the vectors sorted by length
 do (length pruning). What is left is verified by its products.
 
-Queries are a table too, cut into blocks of bounded size. A block meets a bucket where one of its queries can reach
-its bound with the bucket's lengths; each such pair of a block and a bucket is one group of one grouping, so neither
-the plan nor what a task or the driver holds grows with the number of queries. The first bounds are computed on
-the executors against a fixed number of vectors.
+Queries are a table too, sorted by the least length that a vector needs to reach their bound and cut into blocks of
+bounded size. So the queries of a block need like lengths, and a demanding block skips all shorter buckets. A block meets
+a bucket where one of its queries can reach its bound with the bucket's lengths; each such pair of a block and a bucket is
+one group of one grouping, so neither the plan nor what a task or the driver holds grows with the number of queries. The
+first bounds are computed on the executors against a fixed number of vectors.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from .common import materialize, plain
 
 SCALE = 64
 K = 20
-BLOCK = 4096  #: queries in a block, about: 2 MB at 64 dimensions
+BLOCK = 32768  #: queries in a block, about: 16 MB at 64 dimensions; each block is sent the vectors it may need
 BUCKET = 4096  #: candidates in a bucket, about
 SEEDS = 4096  #: longest vectors, and as many hash-chosen ones, that give the first bounds
 PER_DOUBLING = 8  #: steps of squared length in a doubling of it
@@ -158,6 +159,29 @@ def _bounded(seeds: list[tuple[np.ndarray, np.ndarray]], k: int) -> Callable[[It
     return run
 
 
+def _first_step() -> Column:
+    """The lowest step whose vectors may be long enough for a query's bound, less one for rounding."""
+    least = F.when((F.col("bound") > 0) & (F.col("n2") > 0), F.col("bound") * F.col("bound") / F.col("n2") * (1 - 1e-9)).otherwise(F.lit(0.0))
+    return F.greatest(F.lit(0), F.floor(F.log2(least + 1) * PER_DOUBLING).cast("int") - 1)
+
+
+def in_blocks(queries: DataFrame, block: int) -> DataFrame:
+    """Adds ``block``: queries in the order of their first step, about ``block`` of them each. Queries of one step are
+    spread over its blocks by a hash, however many there are."""
+    # a row a step: at most PER_DOUBLING for each of the 1024 doublings of a double, so one task and a broadcast hold them
+    steps = queries.groupBy("first").agg(F.count("*").alias("n"))
+    steps = steps.withColumn("before", F.sum("n").over(Window.orderBy("first")) - F.col("n"))
+    place = F.col("before") + F.pmod(F.xxhash64("vec_id", F.lit(3)), F.col("n"))
+    return queries.join(F.broadcast(steps), "first").withColumn("block", F.floor(place / block).cast("int")).drop("n", "before")
+
+
+def visited(queries: DataFrame, sizes: DataFrame, top: int) -> DataFrame:
+    """block, step, cut: the buckets whose vectors may be long enough for one of a block's queries."""
+    out = queries.groupBy("block").agg(F.min("first").alias("first"))
+    out = out.select("block", F.explode(F.sequence("first", F.lit(top))).alias("step")).join(sizes, "step")
+    return out.select("block", "step", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).alias("cut"))
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = K, block: int | None = None, bucket: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k highest inner products, ties to the smaller vec_id.
 
@@ -176,17 +200,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, block: int | None =
     share = min(1.0, SEEDS / max(1, total))
     drawn = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(1_000_000)) < int(1_000_000 * share) + 1).select("vec_id", "v").limit(2 * SEEDS).toArrow()
     seeds = [(t.column("vec_id").to_numpy(), _matrix(t)) for t in (longest, drawn)]
-    queries = rows.where(is_query)
-    n_blocks = max(1, math.ceil(queries.count() / block))
-    queries = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(n_blocks)).cast("int"))
-    queries = materialize(queries.select("vec_id", "v", "n2", "block").mapInArrow(_bounded(seeds, k), "vec_id long, v array<double>, n2 double, block int, bound double"), "queries")
-
-    # a block visits the steps whose vectors may be long enough for one of its queries
-    least = F.when((F.col("bound") > 0) & (F.col("n2") > 0), F.col("bound") * F.col("bound") / F.col("n2") * (1 - 1e-9)).otherwise(F.lit(0.0))
-    first = F.greatest(F.lit(0), F.floor(F.log2(F.min(least) + 1) * PER_DOUBLING).cast("int") - 1)
-    visits = queries.groupBy("block").agg(first.alias("first")).where(F.col("first") <= top)
-    visits = visits.select("block", F.explode(F.sequence("first", F.lit(top))).alias("step")).join(sizes, "step")
-    visits = visits.select("block", "step", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).alias("cut"))
+    queries = rows.where(is_query).select("vec_id", "v", "n2")
+    queries = materialize(queries.mapInArrow(_bounded(seeds, k), "vec_id long, v array<double>, n2 double, bound double"), "queries")
+    queries = in_blocks(queries.withColumn("first", _first_step()).where(F.col("first") <= top), block)
+    visits = visited(queries, sizes, top)
     visits = materialize(visits, "visits")
     dealt = rows.join(sizes, "step").withColumn("cut", F.pmod(F.xxhash64("vec_id"), F.col("cuts")))
     dealt = dealt.join(visits, ["step", "cut"]).select("block", "step", "cut", "vec_id", "v")

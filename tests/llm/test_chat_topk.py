@@ -104,3 +104,31 @@ def test_few_and_none(spark):
 def test_products_beyond_doubles():
     v = np.array([[float(2**40)] * 4])
     assert topk._products(v, np.array([float(2**20 + 1)] * 4))[0] == 4 * 2**40 * (2**20 + 1)
+
+
+def test_blocks_of_demanding_queries_skip_short_buckets(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    seen = []
+    visited = topk.visited
+
+    def counted(queries, sizes, top):
+        seen.append((queries.groupBy("block").count().collect(), sizes.agg(F.sum("cuts")).first()[0], visited(queries, sizes, top).count()))
+        return visited(queries, sizes, top)
+
+    monkeypatch.setattr(topk, "visited", counted)
+    monkeypatch.setattr(topk, "SEEDS", 256)
+    # lengths differ by a factor of fifty; a query's partners lie near its own direction or far from it
+    centres = rng.normal(size=(40, 16))
+    v = (centres[rng.integers(0, 40, 3000)] + rng.normal(size=(3000, 16)) * rng.choice([0.05, 3.0], (3000, 1))) * np.exp(rng.uniform(-2, 2, (3000, 1)))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = topk.top_k(df, F.col("vec_id") % 3 == 0, k=5, block=50, bucket=20).collect()
+    (blocks, buckets, pairs), = seen
+    assert 20 <= len(blocks) <= 21 and max(r["count"] for r in blocks) <= 80
+    assert pairs < 0.5 * len(blocks) * buckets
+    whole = np.floor(64 * v)
+    scores = (whole @ whole.T).astype(np.int64)
+    found = {(r.query_id, r.rank): (r.vec_id, r.score) for r in got}
+    assert len(found) == len(got) == 5000
+    for q in range(0, 3000, 3):
+        best = sorted((-s, i) for i, s in enumerate(scores[q].tolist()) if i != q)[:5]
+        assert [found[q, n + 1] for n in range(5)] == [(i, -s) for s, i in best]
