@@ -3,7 +3,7 @@
 Grids are dealt out in tiles with halos (see ``tiles``), by one exchange; windows by row and by column of a tile need no
 other. Separable kernels are two window passes, and sums come from prefix sums, so their work does not grow with the
 kernel; ranks come from column histograms. What is left collects each cell's neighbours into its row, so nothing is multiplied
-and joined back. Neighbours off the grid are ignored.
+and joined back. Neighbours off the grid, and in its holes, are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +31,8 @@ def separable(df: DataFrame, kx: int, ky: int, **aggs: tuple[Callable[[Column],
     """Adds aggregates over the kx by ky neighbourhood, each (function, column), by row and then by column; sums are of whole
     numbers."""
     rx, ry = odd(kx) // 2, odd(ky) // 2
-    got = T.tiled(df, rx, ry)
+    got = T.filled(T.tiled(df, rx, ry))
+    aggs = {n: (f, F.when(F.col("_there"), c)) for n, (f, c) in aggs.items()}
     sums = {n: (c, rx, ry) for n, (f, c) in aggs.items() if f is F.sum}
     if sums:
         got = T.box_sums(got, sums)
@@ -43,9 +44,9 @@ def separable(df: DataFrame, kx: int, ky: int, **aggs: tuple[Callable[[Column],
 
 
 def collected(tiled: DataFrame, kx: int, ky: int) -> DataFrame:
-    """Adds near to cells in tiles: array of (dx, dy, v) of the kx by ky neighbourhood, the cell itself included."""
+    """Adds near to cells in filled tiles: array of (dx, dy, v) of the kx by ky neighbourhood, the cell itself included."""
     rx, ry = odd(kx) // 2, odd(ky) // 2
-    rows = tiled.withColumn("_row", F.collect_list(F.struct("x", "y", "v")).over(T.row().rangeBetween(-rx, rx)))
+    rows = tiled.withColumn("_row", F.collect_list(F.when(F.col("_there"), F.struct("x", "y", "v"))).over(T.row().rangeBetween(-rx, rx)))
     rows = rows.withColumn("_all", F.flatten(F.collect_list("_row").over(T.col().rangeBetween(-ry, ry)))).drop("_row")
     near = F.transform("_all", lambda n: F.struct((n["x"] - F.col("x")).alias("dx"), (n["y"] - F.col("y")).alias("dy"), n["v"].alias("v")))
     return rows.withColumn("near", near).drop("_all")
@@ -53,7 +54,7 @@ def collected(tiled: DataFrame, kx: int, ky: int) -> DataFrame:
 
 def gather(df: DataFrame, kx: int, ky: int) -> DataFrame:
     """Adds near to every cell."""
-    return T.kept(collected(T.tiled(df, odd(kx) // 2, odd(ky) // 2), kx, ky))
+    return T.kept(collected(T.filled(T.tiled(df, odd(kx) // 2, odd(ky) // 2)), kx, ky))
 
 
 def ranked(df: DataFrame, kx: int, ky: int, **ranks: int) -> DataFrame:
@@ -254,7 +255,8 @@ def _bell_sums(df: DataFrame, radius: int) -> DataFrame:
     def along(w: WindowSpec, at: Column) -> Column:
         return sum((F.coalesce(F.max(at).over(w.rangeBetween(d, d)), F.lit(0.0)) * b for d, b in weights), F.lit(0.0))
 
-    got = T.tiled(df, radius, radius).withColumn("_s", along(T.row(), F.col("v").cast("double"))).withColumn("_w", along(T.row(), F.lit(1.0)))
+    got = T.filled(T.tiled(df, radius, radius))
+    got = got.withColumn("_s", along(T.row(), F.col("v").cast("double"))).withColumn("_w", along(T.row(), F.when(F.col("_there"), F.lit(1.0))))
     got = got.withColumn("g", along(T.col(), F.col("_s")) / along(T.col(), F.col("_w")))
     return T.kept(got).drop("_s", "_w")
 

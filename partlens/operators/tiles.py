@@ -6,6 +6,9 @@ holds some tiles, whatever the size of a picture. Copies are dropped when the wi
 
 Sums over boxes come from prefix sums along rows and then along columns (a summed-area table inside the tile): the sum up to
 the box's end less the sum up to its start. Either is a running window, so the work of a cell does not grow with the box.
+
+A window along a column sees what the rows' windows left at its own x only. So where a row of a grid with holes lacks cells,
+``filled`` puts empty ones in their places first.
 """
 
 from __future__ import annotations
@@ -33,9 +36,24 @@ def tiled(df: DataFrame, rx: int, ry: int) -> DataFrame:
     return out.repartition(*AT).withColumn("_own", own)
 
 
+def filled(tiled: DataFrame) -> DataFrame:
+    """Adds the cells that the rows of a tile lack between its least and greatest x, with a null v; _there tells cells from
+    these. Rows without a cell are not added. Columns of aggregates count where _there holds only."""
+    tile = Window.partitionBy(*AT)
+    got = tiled.select("*", F.lag("x").over(row()).alias("_before"), F.lead("x").over(row()).alias("_after"))
+    got = got.select("*", F.min("x").over(tile).alias("_x0"), F.max("x").over(tile).alias("_x1"))
+    x, none = F.col("x"), F.array().cast("array<int>")
+    end = F.coalesce(F.col("_after") - 1, F.col("_x1"))
+    right = F.when(x < end, F.sequence(x + 1, end)).otherwise(none)
+    left = F.when(F.col("_before").isNull() & (x > F.col("_x0")), F.sequence(F.col("_x0"), x - 1)).otherwise(none)
+    got = got.select("*", F.explode(F.concat(F.array(x), right, left)).alias("_at")).withColumn("_there", F.col("_at") == x)
+    got = got.withColumns({"x": F.col("_at"), "v": F.when(F.col("_there"), F.col("v")), "_own": F.col("_own") & F.col("_there")})
+    return got.drop("_before", "_after", "_x0", "_x1", "_at")
+
+
 def kept(df: DataFrame) -> DataFrame:
     """The tiles' own cells."""
-    return df.where("_own").drop("_tx", "_ty", "_own")
+    return df.where("_own").drop("_tx", "_ty", "_own", "_there")
 
 
 def row() -> WindowSpec:

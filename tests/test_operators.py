@@ -314,3 +314,18 @@ def test_strip_of_a_stream_is_the_last_outcomes(spark, tmp_path):
     for r in R.last_outcomes(df).orderBy("point_id", "nth").collect():
         want.setdefault(r.point_id, []).append((r.part_id, r.ok))
     assert {k: v[1] for k, v in last.items()} == want and sum(v[0] for v in last.values()) == 400
+
+
+def test_windows_see_past_holes(spark, tile):
+    """Grids whose rows lack cells: inside, at either end, and all of one; every cell's neighbours are those that are there."""
+    v = {(x, y): (x * 37 + y * 53) % 200 for y in range(11) for x in range(13) if not (y > 8 and x > 4) and not (3 <= x <= 5 and 2 <= y <= 6) and y != 7 and not (x == 0 and y % 3 == 0)}
+    g = spark.createDataFrame([(1, x, y, c) for (x, y), c in v.items()], CELLS)
+    near = {(x, y): [c for (a, b), c in v.items() if abs(a - x) <= 3 and abs(b - y) <= 2] for x, y in v}
+    for side in (4, 64):
+        tile(side)
+        assert values(N.box_mean(g, 7, 5)) == {k: sum(n) // len(n) for k, n in near.items()}
+        assert values(N.extreme(g, 7, 5)) == {k: min(n) for k, n in near.items()}
+        assert {(r.x, r.y): sorted(e.v for e in r.near) for r in N.gather(g, 7, 5).collect()} == {k: sorted(n) for k, n in near.items()}
+        means = {k: (sum(n) / len(n), (sum(c * c for c in n) / len(n) - (sum(n) / len(n)) ** 2) ** 0.5) for k, n in ((k, [c for (a, b), c in v.items() if abs(a - k[0]) <= 2 and abs(b - k[1]) <= 2]) for k in v)}
+        assert values(N.sauvola(g, 5, 0.2)) == {k: 0 if v[k] <= round(m * (1 + 0.2 * (sd / 128 - 1)), 6) else 255 for k, (m, sd) in means.items()}
+        assert set(values(N.gaussian(g, 2))) == set(v)
