@@ -8,8 +8,9 @@ have been compared with those of the first occurrence. A chunk too short to coun
 together with the chunk before it or after it, so short chunks inside a longer repeated passage go too.
 
 These rules are those of ``OP1_SQL``, and ``op1_line_dedup`` keeps to them: a repeated line stays where it shares its
-chunk with lines that do not repeat. ``dedup_lines``, the stage of the pipeline, compares all shortest runs of lines
-with enough words instead of chunks (``remove_passages``), so it takes repeated passages up to their edges.
+chunk with lines that do not repeat. ``dedup_lines``, the stage of the pipeline, takes the repeated chunks in the same way and
+then checks what they leave by all shortest runs of lines with enough words (``remove_passages``), so repeated passages go
+up to their edges.
 
 Only digests and positions are shuffled to find repeats (with map-side minima, so a chunk that stands
 in a third of the documents is no hot key); texts move twice, by document: to compare, and to rewrite.
@@ -35,8 +36,8 @@ BOUNDARY = 5
 
 
 def chunks(text: Column, long_words: int = LONG_WORDS) -> Column:
-    """array<struct<pos:int, text:string, blanks:int>>: the chunks of a text; joined by newlines they give it
-    back. ``blanks`` counts blanks and newlines: one less than the words, in plain text."""
+    """array<struct<pos:int, text:string, blanks:int, first:int, last:int>>: the chunks of a text, from line first to
+    last; joined by newlines they give it back. ``blanks`` counts blanks and newlines: one less than the words, in plain text."""
 
     def describe(x: Column) -> Column:
         digest = F.md5(x.cast("binary"))
@@ -64,13 +65,14 @@ def chunks(text: Column, long_words: int = LONG_WORDS) -> Column:
 def _chunk(a: Column, end: Column, start: Column, k: Column) -> Column:
     def of(part: Column) -> Column:
         blanks = F.aggregate(part, F.size(part) - 1, lambda s, x: s + x["blanks"])
-        return F.struct(k.alias("pos"), F.array_join(F.transform(part, lambda x: x["x"]), "\n").alias("text"), blanks.alias("blanks"))
+        text = F.array_join(F.transform(part, lambda x: x["x"]), "\n")
+        return F.struct(k.alias("pos"), text.alias("text"), blanks.alias("blanks"), start.alias("first"), end.alias("last"))
 
     return let(F.slice(a, start + 1, end - start + 1), of)
 
 
 def units(cut: Column, min_words: int = MIN_WORDS) -> Column:
-    """array<struct<pos, side, text>>: what is compared to decide on the chunk at pos. A chunk of
+    """array<struct<pos, side, text, first, last>>: what is compared to decide on the chunk at pos. A chunk of
     ``min_words`` words or more stands alone (side 0); a shorter one stands with the chunk before it (1) and with
     the one after it (2), if they have so many words together."""
 
@@ -78,7 +80,7 @@ def units(cut: Column, min_words: int = MIN_WORDS) -> Column:
         before, after = F.get(cut, i - 1), F.get(cut, i + 1)
 
         def unit(side: int, text: Column) -> Column:
-            return F.struct(c["pos"].alias("pos"), F.lit(side).alias("side"), text.alias("text"))
+            return F.struct(c["pos"].alias("pos"), F.lit(side).alias("side"), text.alias("text"), c["first"].alias("first"), c["last"].alias("last"))
 
         def paired(side: int, other: Column, text: Column) -> Column:
             return F.when(c["blanks"] + other["blanks"] + 1 >= min_words - 1, unit(side, text))
@@ -101,18 +103,23 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, long_words: int
     becomes empty; no row is dropped, and an empty table stays empty.
     """
     base = _texts(docs)
+    later = _later_chunks(base, min_words, long_words)
+    removed = later.groupBy("f.doc_id", "f.content").agg(F.sort_array(F.collect_set("f.pos")).alias("removed"))
+    out = base.alias("b").join(removed.alias("r"), _same("b", "r"), "left")
+    out = out.select("b.doc_id", "b.content", F.col("b.text").alias("before"), "r.removed")
+    return out.withColumn("text", F.when(F.col("removed").isNull(), F.col("before")).otherwise(without(F.col("before"), F.col("removed"), long_words)))
+
+
+def _later_chunks(base: DataFrame, min_words: int = MIN_WORDS, long_words: int = LONG_WORDS) -> DataFrame:
+    """The units of chunks, as ``f``, that occurred before."""
 
     def compared(df: DataFrame, *more: str) -> DataFrame:
         """One row a unit, with its text as ``chunk``."""
         cut = df.withColumn("cut", chunks(F.col("text"), long_words))
         cut = cut.select("doc_id", "content", *more, F.explode(units(F.col("cut"), min_words)).alias("u"))
-        return cut.select("doc_id", "content", *more, "u.pos", "u.side", F.col("u.text").alias("chunk")).withColumn("h", F.xxhash64("side", "chunk"))
+        return cut.select("doc_id", "content", *more, "u.pos", "u.side", "u.first", "u.last", F.col("u.text").alias("chunk")).withColumn("h", F.xxhash64("side", "chunk"))
 
-    later = _later(base, compared, ["pos", "side"], ["side", "h", "chunk"])
-    removed = later.groupBy("f.doc_id", "f.content").agg(F.sort_array(F.collect_set("f.pos")).alias("removed"))
-    out = base.alias("b").join(removed.alias("r"), _same("b", "r"), "left")
-    out = out.select("b.doc_id", "b.content", F.col("b.text").alias("before"), "r.removed")
-    return out.withColumn("text", F.when(F.col("removed").isNull(), F.col("before")).otherwise(without(F.col("before"), F.col("removed"), long_words)))
+    return _later(base, compared, ["pos", "side"], ["side", "h", "chunk"])
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -183,15 +190,44 @@ def _runs(text: pa.Array, min_words: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), runs)
 
 
+def _gone(later: DataFrame, min_words: int) -> DataFrame:
+    """doc_id, content, first, last: the lines, from the first with a word to the last one, of chunks that occurred before
+    as units of ``min_words`` words by any white space."""
+
+    def worded(lines: Column) -> Column:
+        n = F.col("f.last") - F.col("f.first") + 1
+        skip = F.when(F.col("f.side") == 1, F.size(lines) - n).otherwise(0)  # the lines of the chunk before it
+        return F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.get(lines, skip + i).rlike(WORD))
+
+    enough = F.size(F.regexp_extract_all("f.chunk", F.lit(WORD), F.lit(0))) >= min_words
+    rows = later.where(enough).select("f.doc_id", "f.content", "f.first", let(F.split("f.chunk", "\n"), worded).alias("at")).where(F.size("at") > 0)
+    return rows.select("doc_id", "content", (F.col("first") + F.array_min("at")).alias("first"), (F.col("first") + F.array_max("at")).alias("last")).distinct()
+
+
+def _outside(gone: pa.Array, of: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Which runs do not lie in one of their text's stretches of lines that go anyway. Those are apart and in order."""
+    counts = gone.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    flat = gone.flatten()
+    if not len(flat):
+        return np.ones(len(of), bool)
+    text = np.repeat(np.arange(len(counts)), counts)
+    i = np.searchsorted((text << 32) + flat.field(0).to_numpy(), (of.astype(np.int64) << 32) + first, "right") - 1
+    return ~((i >= 0) & (text[i] == of) & (last <= flat.field(1).to_numpy()[i]))
+
+
 def _hashed_runs(min_words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """doc_id, content, first, last, h, len of each shortest run: digests instead of texts leave Python."""
+    """doc_id, content, first, last, h, len of each shortest run that no chunk that goes holds: digests instead of texts
+    leave Python."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             runs = _runs(batch.column("text"), min_words)
             counts = runs.value_lengths().to_numpy(zero_copy_only=False)
-            of = pa.array(np.repeat(np.arange(len(counts)), counts))
+            at = np.repeat(np.arange(len(counts)), counts)
             first, last = runs.values.field(0).to_numpy(), runs.values.field(1).to_numpy()
+            left = _outside(batch.column("gone"), at, first, last)
+            at, first, last = at[left], first[left], last[left]
+            counts, of = np.bincount(at, minlength=len(counts)), pa.array(at)
             h, size = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
             k = 0
             for text, n in zip(batch.column("text"), counts, strict=True):
@@ -221,8 +257,15 @@ def remove_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     A passage is a run of whole lines of ``min_words`` words or more. A line goes if it lies in a passage that occurs
     before, in the order of (doc_id, content digest, line), in any document or in the same one; so of each line
     that goes an equal one stays. Rows equal in doc_id and text are one document, as in ``remove_repeats``.
+
+    Repeated chunks go first, by content-defined cuts (those of ``min_words`` words by any white space). What they leave is
+    checked exactly, by all shortest runs of lines: runs that lie in a chunk that goes are no first occurrences, as its first
+    one comes before, so they need no comparison.
     """
     base = small_batches(_texts(docs))
+    gone = materialize(_gone(_later_chunks(base, min_words), min_words), "line-gone")
+    of = gone.groupBy("doc_id", "content").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("gone"))
+    marked = base.alias("b").join(of.alias("g"), _same("b", "g"), "left").select("b.doc_id", "b.content", "b.text", "g.gone")
 
     @F.arrow_udf("array<struct<first:int,last:int>>")
     def runs(text: pa.Array) -> pa.Array:
@@ -240,10 +283,11 @@ def remove_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         return cut.select("doc_id", "content", *more, "u.first", "u.last", F.col("u.text").alias("chunk")).withColumn("h", F.xxhash64("chunk"))
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    light = base.mapInArrow(_hashed_runs(min_words), f"doc_id {id_type}, content string, first int, last int, h long, len long")
+    light = marked.mapInArrow(_hashed_runs(min_words), f"doc_id {id_type}, content string, first int, last int, h long, len long")
     later = _later(base, compared, ["first", "last"], ["h", "chunk"], light)
-    lines = F.flatten(F.transform(F.collect_set(F.struct("f.first", "f.last")), lambda r: F.sequence(r["first"], r["last"])))
-    return later.groupBy("f.doc_id", "f.content").agg(F.sort_array(F.array_distinct(lines)).alias("removed"))
+    both = later.select("f.doc_id", "f.content", "f.first", "f.last").unionByName(gone)
+    lines = F.flatten(F.transform(F.collect_set(F.struct("first", "last")), lambda r: F.sequence(r["first"], r["last"])))
+    return both.groupBy("doc_id", "content").agg(F.sort_array(F.array_distinct(lines)).alias("removed"))
 
 
 def without_lines(text: Column, removed: Column) -> Column:

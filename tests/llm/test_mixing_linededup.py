@@ -3,6 +3,7 @@ import random
 
 import duckdb
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from partlens.llm import linededup, mixing
@@ -135,3 +136,29 @@ def test_words_parted_by_tabs_count(spark):
     docs = spark.createDataFrame([(i, f"own {i}\n{line}\nend {i}", "s", 1, "") for i in range(3)] + [(9, line, "s", 1, "")], SCHEMA)
     got = {r.doc_id: r.text for r in linededup.dedup_lines(docs).collect()}
     assert got == {0: f"own 0\n{line}\nend 0", 1: "own 1\nend 1", 2: "own 2\nend 2", 9: ""}
+
+
+def test_stage_takes_chunks_first_and_checks_the_rest(spark, monkeypatch):
+    """Repeated chunks go by the method's own cuts; runs of lines are compared only beyond them, with the same result."""
+    block = "\n".join(["", *(" ".join(f"b{j}c{i}" for i in range(12)) for j in range(40)), ""])
+    rows = [(i, "\n".join(f"own {i} {j}" for j in range(i)) + "\n" + block + f"\nend {i}", "s", 1, "") for i in range(1, 9)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    gone, runs = [], []
+    kept_gone, kept_later = linededup._gone, linededup._later
+
+    def later(base, compared, place, equal, light=None):
+        if light is not None:
+            runs.append(light.count())
+        return kept_later(base, compared, place, equal, light)
+
+    monkeypatch.setattr(linededup, "_gone", lambda *a: gone.append(kept_gone(*a)) or gone[-1])
+    monkeypatch.setattr(linededup, "_later", later)
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(docs).collect()}
+    want = repeated_lines(rows)
+    assert all(got[r[0]] == want[r[0], r[1]] for r in rows)
+    taken = {}
+    for r in gone[0].collect():
+        taken[r.doc_id] = taken.get(r.doc_id, 0) + r.last - r.first + 1
+    assert 1 not in taken and all(taken[i] >= 30 for i in range(2, 9))  # of 40 lines
+    everything = sum(len(x) for x in linededup._runs(pa.array([r[1] for r in rows]), 20).to_pylist())
+    assert runs[0] < 0.6 * everything
