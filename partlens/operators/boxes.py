@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .dealing import dealt
+
 LINE = ["grid_id", "line_id"]
 
 
@@ -201,6 +203,7 @@ def longest_line(boxes: DataFrame) -> DataFrame:
 def order_and_arrange(boxes: DataFrame, char_height: int) -> DataFrame:
     """Lines whose tops follow within a quarter height merge, split at gaps of 2.2 heights or more, and boxes of a
     segment that start within 4 of the one before become their union."""
+    boxes = dealt(boxes.select("grid_id", "box_id", "x", "y", "w", "h"), "grid_id")
     lines = boxes_to_lines(boxes, char_height // 4).withColumn("line_id", F.col("line")).drop("line")
     seg = split_by_gap(lines, 0.8 * char_height * 2.75 - 1e-9)
     w = Window.partitionBy("grid_id", "line_id", "seg").orderBy("x", "box_id")

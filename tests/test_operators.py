@@ -329,3 +329,21 @@ def test_windows_see_past_holes(spark, tile):
         means = {k: (sum(n) / len(n), (sum(c * c for c in n) / len(n) - (sum(n) / len(n)) ** 2) ** 0.5) for k, n in ((k, [c for (a, b), c in v.items() if abs(a - k[0]) <= 2 and abs(b - k[1]) <= 2]) for k in v)}
         assert values(N.sauvola(g, 5, 0.2)) == {k: 0 if v[k] <= round(m * (1 + 0.2 * (sd / 128 - 1)), 6) else 255 for k, (m, sd) in means.items()}
         assert set(values(N.gaussian(g, 2))) == set(v)
+
+
+def test_sorts_by_key_are_dealt_out(spark):
+    """Settings and lines of boxes are sorted in many partitions that adaptive execution leaves apart."""
+    from partlens.operators import boxes as B
+    from partlens.operators import dealing
+    from partlens.operators import regions as RG
+
+    lines = spark.createDataFrame([(i, f"P{i % 7}.A.B.{i}.clipBox=1,1,{i},4") for i in range(40)] + [(90, "P1.A.B.1.clipBox=9"), (91, "P8=2"), (92, "P8.A=2")], "line_no int, text string")
+    settings = RG.parse_settings(lines)
+    boxes = spark.createDataFrame([(i % 5, i, i * 9 % 80, 3, 5, 9) for i in range(30)], "grid_id long, box_id long, x int, y int, w int, h int")
+    for df in (settings, RG.region_settings(RG.key_parts(settings)), RG.walk_hierarchy(RG.key_parts(settings)), B.order_and_arrange(boxes, 20)):
+        df.collect()
+        assert df.rdd.getNumPartitions() >= dealing.PIECES
+    assert {r.value for r in settings.collect() if r.key == "P1.A.B.1.clipBox"} == {"9"}
+    walked = RG.walk_hierarchy(RG.key_parts(settings))
+    assert sorted((r.path, r.processor) for r in walked.collect()) == [*((f"P{i} > A > B", "B") for i in range(7)), ("P8 > A", None)]
+    assert walked._jdf.queryExecution().toString().count("Join") == 0
