@@ -135,11 +135,8 @@ register(
 
 
 def _overlay(settings: DataFrame) -> DataFrame:
-    """All rectangles of all processors of a point, as its overlay."""
-    k = keys(settings)
-    points = k.select("part", "point").distinct()
-    processors = k.select("part", "point", "processor").distinct()
-    return points.join(processors, ["part", "point"]).join(rects(settings), ["part", "point", "processor"]).select("part", "point", "processor", "i", "x", "y", "w", "h")
+    """All rectangles of all processors of a point, as its overlay. A rectangle's key names its point and processor."""
+    return rects(settings).where("part IS NOT NULL AND point IS NOT NULL AND processor IS NOT NULL").select("part", "point", "processor", "i", "x", "y", "w", "h")
 
 
 register("j09_merge_boxes_regions", "settings", _overlay, PARSED + " SELECT part, point, processor, i, x, y, w, h FROM rects")
