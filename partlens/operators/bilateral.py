@@ -1,6 +1,6 @@
 """N21, bilateral half: means weighted by nearness in place and in value.
 
-The direct form collects a neighbourhood for each cell. The grid form is linear in the cells at any width: cells are spread
+The direct form shifts a tile over itself, once for each offset of the square. The grid form is linear in the cells at any width: cells are spread
 over the nodes of a coarse lattice in x, y and value, half a sigma apart (splat), the lattice is blurred along its three
 axes (blur), and each cell reads its mean between the nodes around it (slice). Each tile builds the part of the lattice
 that its halo covers; nodes are placed by the grid's own coordinates, so results do not depend on the tiles.
@@ -9,28 +9,56 @@ that its halo covers; nodes are placed by the grid's own coordinates, so results
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from . import neighbours as N
 from . import tiles as T
 
 #: Nodes of the lattice to a sigma, and sigmas after which weights are left out.
 NODES, REACH = 2, 3
 
 
+def direct_means(x: np.ndarray, y: np.ndarray, v: np.ndarray, sigma: float, value_sigma: float) -> np.ndarray:
+    """Means of cells over the squares around them, one shift of the whole tile at a time; holes have no weight."""
+    r = math.ceil(REACH * sigma)
+    at_y, at_x = y.astype(np.int64) - int(y.min()) + r, x.astype(np.int64) - int(x.min()) + r
+    shape = int(at_y.max()) + r + 1, int(at_x.max()) + r + 1
+    there, value = np.zeros(shape), np.zeros(shape)
+    np.add.at(there, (at_y, at_x), 1.0)
+    value[at_y, at_x] = v
+    inner = value[r : shape[0] - r, r : shape[1] - r]
+    sums, weights = np.zeros(inner.shape), np.zeros(inner.shape)
+    for dy in range(-r, r + 1):
+        for dx in range(-r, r + 1):
+            rows, cols = slice(r + dy, shape[0] - r + dy), slice(r + dx, shape[1] - r + dx)
+            near = value[rows, cols]
+            w = np.exp(-(dx * dx + dy * dy) / (2 * sigma * sigma) - (near - inner) ** 2 / (2 * value_sigma * value_sigma)) * there[rows, cols]
+            sums += w * near
+            weights += w
+    return sums[at_y - r, at_x - r] / weights[at_y - r, at_x - r]
+
+
+def _by_tile(df: DataFrame, halo: int, means: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """Rounded means of the tiles' own cells."""
+
+    def run(table: pa.Table) -> pa.Table:
+        own = table.column("_own").to_numpy(zero_copy_only=False)
+        out = table.select(["grid_id", "x", "y"])
+        x, y, v = (table.column(c).to_numpy() for c in ("x", "y", "v"))
+        got = np.floor(means(x, y, v) + 0.5 + 1e-9) if own.any() else np.zeros(len(x))
+        return out.append_column("v", pa.array(got.astype(np.int32))).filter(pa.array(own))
+
+    fields = [df.schema[c] for c in ("grid_id", "x", "y")]
+    return T.tiled(df.select("grid_id", "x", "y", "v"), halo, halo).groupBy(*T.AT).applyInArrow(run, StructType([*fields, StructField("v", IntegerType())]))
+
+
 def direct(df: DataFrame, sigma: float, value_sigma: float) -> DataFrame:
     """Weights exp(-d^2 / 2 sigma^2 - dv^2 / 2 value_sigma^2) over the square of ``REACH`` sigmas."""
-    r = math.ceil(REACH * sigma)
-    near = 1 / (2 * sigma * sigma)
-    alike = 1 / (2 * value_sigma * value_sigma)
-    weight = lambda n: F.exp(-(n["dx"] * n["dx"] + n["dy"] * n["dy"]) * near - (n["v"] - F.col("v")) * (n["v"] - F.col("v")) * alike)
-    got = N.gather(df, 2 * r + 1, 2 * r + 1)
-    return N.out(got, F.floor(N.total(F.col("near"), lambda n: weight(n) * n["v"]) / N.total(F.col("near"), weight) + 0.5 + 1e-9))
+    return _by_tile(df, math.ceil(REACH * sigma), lambda x, y, v: direct_means(x, y, v, sigma, value_sigma))
 
 
 def _bell() -> np.ndarray:
@@ -47,6 +75,17 @@ def _between(c: np.ndarray, step: float) -> tuple[np.ndarray, np.ndarray]:
     return low, at - low
 
 
+def _blurred(lattice: np.ndarray, bell: np.ndarray, axis: int) -> np.ndarray:
+    """The lattice blurred along an axis, one shift of all its lines at a time."""
+    lines, r = np.moveaxis(lattice, axis, 0), len(bell) // 2
+    out = np.zeros(lines.shape)
+    for d, weight in enumerate(bell, -r):
+        n = len(lines) - abs(d)
+        if n > 0:
+            out[max(0, d) : max(0, d) + n] += weight * lines[max(0, -d) : max(0, -d) + n]
+    return np.moveaxis(out, 0, axis)
+
+
 def lattice_means(x: np.ndarray, y: np.ndarray, v: np.ndarray, sigma: float, value_sigma: float) -> np.ndarray:
     """Means of cells from the lattice over all of them."""
     axes = [_between(x, sigma / NODES), _between(y, sigma / NODES), _between(v, value_sigma / NODES)]
@@ -66,7 +105,7 @@ def lattice_means(x: np.ndarray, y: np.ndarray, v: np.ndarray, sigma: float, val
     for value in (np.ones(len(x)), v.astype(float)):
         lattice = sum(np.bincount(at, weight * value, size) for at, weight in corners).reshape(shape)
         for axis in range(3):
-            lattice = np.apply_along_axis(lambda line: np.convolve(line, bell)[len(bell) // 2 : len(bell) // 2 + len(line)], axis, lattice)
+            lattice = _blurred(lattice, bell, axis)
         flat = lattice.ravel()
         sums.append(sum(weight * flat[at] for at, weight in corners))
     return sums[1] / sums[0]
@@ -75,13 +114,4 @@ def lattice_means(x: np.ndarray, y: np.ndarray, v: np.ndarray, sigma: float, val
 def by_lattice(df: DataFrame, sigma: float, value_sigma: float) -> DataFrame:
     """The grid form: within a few gray levels of the direct form (see the tests for figures)."""
     halo = math.ceil((REACH * NODES + 2) * sigma / NODES)
-
-    def run(table: pa.Table) -> pa.Table:
-        own = table.column("_own").to_numpy(zero_copy_only=False)
-        out = table.select(["grid_id", "x", "y"])
-        x, y, v = (table.column(c).to_numpy() for c in ("x", "y", "v"))
-        means = np.floor(lattice_means(x, y, v, sigma, value_sigma) + 0.5 + 1e-9) if own.any() else np.zeros(len(x))
-        return out.append_column("v", pa.array(means.astype(np.int32))).filter(pa.array(own))
-
-    fields = [df.schema[c] for c in ("grid_id", "x", "y")]
-    return T.tiled(df.select("grid_id", "x", "y", "v"), halo, halo).groupBy(*T.AT).applyInArrow(run, StructType([*fields, StructField("v", IntegerType())]))
+    return _by_tile(df, halo, lambda x, y, v: lattice_means(x, y, v, sigma, value_sigma))
