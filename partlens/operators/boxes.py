@@ -165,9 +165,10 @@ def medians(boxes: DataFrame, keys: list[str], **columns: Column) -> DataFrame:
 def drop_wrong_y(boxes: DataFrame) -> DataFrame:
     """Boxes whose top is within 0.4 median heights of the median top, which is taken over boxes within half of
     the median height."""
-    got = boxes.join(medians(boxes, LINE, mh=F.col("h")), LINE)
+    line = Window.partitionBy(*LINE)
+    got = boxes.withColumn("mh", F.percentile("h", F.lit(0.5)).over(line))
     near = F.when(F.abs(F.col("h") - F.col("mh")) <= F.col("mh") / 2, F.col("y"))
-    got = got.join(medians(got, LINE, my=near), LINE)
+    got = got.withColumn("my", F.percentile(near, F.lit(0.5)).over(line))
     return got.where(F.abs(F.col("y") - F.col("my")) < F.col("mh") * 0.4).drop("mh", "my")
 
 
@@ -195,9 +196,9 @@ def two_lines(boxes: DataFrame) -> DataFrame:
 
 def longest_line(boxes: DataFrame) -> DataFrame:
     """Boxes of each grid's line with most boxes; the first of equals."""
-    n = boxes.groupBy(*LINE).agg(F.count("*").alias("n"))
-    best = n.groupBy("grid_id").agg(F.min_by("line_id", F.struct((-F.col("n")).alias("n"), "line_id")).alias("line_id"))
-    return boxes.join(best, LINE)
+    n = boxes.repartition("grid_id").withColumn("_n", F.count("*").over(Window.partitionBy(*LINE)))
+    best = F.min(F.struct((-F.col("_n")).alias("n"), "line_id")).over(Window.partitionBy("grid_id"))
+    return n.withColumn("_best", best).where("line_id = _best.line_id").drop("_n", "_best")
 
 
 def order_and_arrange(boxes: DataFrame, char_height: int) -> DataFrame:

@@ -347,3 +347,14 @@ def test_sorts_by_key_are_dealt_out(spark):
     walked = RG.walk_hierarchy(RG.key_parts(settings))
     assert sorted((r.path, r.processor) for r in walked.collect()) == [*((f"P{i} > A > B", "B") for i in range(7)), ("P8 > A", None)]
     assert walked._jdf.queryExecution().toString().count("Join") == 0
+
+
+def test_direct_blur_shifts_tiles_and_line_medians_need_no_join(spark):
+    """The direct bilateral form collects no neighbourhood into a row; W07 and W12 are windows over one input."""
+    from partlens.operators import bilateral as B
+    from partlens.operators import boxes as X
+
+    plan = B.direct(noise(spark, 6, 6), 1, 30)._jdf.queryExecution().toString()
+    assert "collect_list" not in plan
+    boxes = spark.createDataFrame([(1, i % 3, i, i * 9, i % 3 * 30 + i % 2, 5, 9) for i in range(30)], "grid_id long, line_id long, box_id long, x int, y int, w int, h int")
+    assert "Join" not in X.longest_line(X.drop_wrong_y(boxes))._jdf.queryExecution().toString()
