@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from partlens.fixtures import ctes
 from partlens.operators import regions as G
@@ -69,15 +70,21 @@ for _from, _more in (("capture_events", ""), ("fleet_events", "_fleet")):
         register(_name + _more, _from, _run, _spells.format(gap=20) + " SELECT camera_id, a AS at, 'ON' AS state FROM spell UNION ALL SELECT camera_id, b, 'OFF' FROM spell")
 
 
-def _with_rocks(spark: SparkSession, run: Callable[[], None]) -> None:
-    """Runs a stream whose state is kept in RocksDB, and leaves the session's setting as it was."""
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
-    spark.conf.set(key, L.PROVIDER)
+def _with_settings(spark: SparkSession, settings: dict[str, str], run: Callable[[], None]) -> None:
+    """Runs streams with settings of their own, and leaves the session's as they were."""
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
     try:
         run()
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def _with_rocks(spark: SparkSession, run: Callable[[], None]) -> None:
+    """Runs a stream whose state is kept in RocksDB."""
+    _with_settings(spark, {"spark.sql.streaming.stateStore.providerClass": L.PROVIDER}, run)
 
 
 def _live_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,17 +196,38 @@ register(
 )
 
 
+def _watch(spark: SparkSession, folder: str, path: str, state: str) -> None:
+    """Streams of the frames of each camera in a folder, side by side, 100 files a trigger each, until nothing is new. A
+    camera has a checkpoint and a folder of results of its own."""
+
+    def follow(camera: str) -> StreamingQuery:
+        live = S.frame_stream(spark, f"{folder}/{camera}", 100).where(~S.is_empty_frame(F.col("content")))
+        seen = live.select(F.col("camera_id").cast("long").alias("camera_id"), F.regexp_extract("path", r"(\d+)\.bmp$", 1).cast("long").alias("grid_id"), "length", F.hex(F.expr("substring(content, 55)")).alias("body"))
+        return V.archive_stream(seen, lambda batch, _: batch.write.mode("append").parquet(f"{path}/{camera}"), f"{state}/{camera}")
+
+    def run() -> None:
+        streams: list[StreamingQuery] = []
+        try:
+            for camera in S.camera_folders(folder):
+                streams.append(follow(camera))
+            for stream in streams:
+                stream.awaitTermination()
+        finally:
+            for stream in streams:
+                stream.stop()
+
+    _with_settings(spark, S.SMALL_FILES, run)
+
+
 def _frames_in(cells: DataFrame) -> DataFrame:
-    """Pictures of seven cameras that arrive in a folder in two halves; the stream ends after the first, and a second one goes
-    on from its checkpoint, 100 files a trigger. What it saw: camera, grid and the bytes of the cells."""
+    """Pictures of seven cameras that arrive in a folder in two halves; the streams end after the first, and second ones go
+    on from their checkpoints, 100 files a trigger. What they saw: camera, grid and the bytes of the cells."""
     spark = cells.sparkSession
     folder, path, state = (_shared(spark, n) for n in ("frames", "frames-seen", "frames-state"))
     for half in (0, 1):
         S.save_frames(_frames(cells.where(F.pmod("grid_id", F.lit(2)) == half)), folder)
-        live = S.frame_stream(spark, folder, 100).where(~S.is_empty_frame(F.col("content")))
-        seen = live.select(F.col("camera_id").cast("long").alias("camera_id"), F.regexp_extract("path", r"(\d+)\.bmp$", 1).cast("long").alias("grid_id"), "length", F.hex(F.expr("substring(content, 55)")).alias("body"))
-        V.archive_stream(seen, lambda batch, _: batch.write.mode("append").parquet(path), state).awaitTermination()
-    return spark.read.schema("camera_id long, grid_id long, length long, body string").parquet(path)
+        _watch(spark, folder, path, state)
+    return spark.read.schema("camera_id long, grid_id long, length long, body string").option("recursiveFileLookup", True).parquet(path)
 
 
 register(

@@ -81,11 +81,13 @@ def save_frames(frames: DataFrame, folder: str) -> None:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pa_fs.FileSystem.from_uri(folder)
-        n = 0
+        n, made = 0, set()
         for batch in batches:
             for name, content in zip(batch.column("name").to_pylist(), batch.column("content"), strict=True):
                 above, file = f"{root}/{name}".rsplit("/", 1)
-                fs.create_dir(above, recursive=True)
+                if above not in made:
+                    fs.create_dir(above, recursive=True)
+                    made.add(above)
                 part = f"{above}/.{file}.{uuid.uuid4().hex}"
                 with fs.open_output_stream(part) as out:
                     out.write(content.as_buffer() or b"")
@@ -119,6 +121,23 @@ def frame_stream(spark: SparkSession, folder: str, per_trigger: int = 100) -> Da
     return df.withColumn("camera_id", F.regexp_extract("path", r"camera=([^/]+)", 1))
 
 
+#: Settings of frame streams whose files are many and small: a trigger's files are looked up by the driver instead of a task
+#: each, they share tasks by their bytes, and the log of files that were seen is merged every hundredth trigger, not every tenth.
+SMALL_FILES = {
+    "spark.sql.sources.parallelPartitionDiscovery.threshold": "1000",
+    "spark.sql.files.minPartitionNum": "1",
+    "spark.sql.files.openCostInBytes": "65536",
+    "spark.sql.streaming.fileSource.log.compactInterval": "100",
+}
+
+
+def camera_folders(folder: str) -> list[str]:
+    """Names of the cameras' folders (camera=...) in a folder."""
+    fs, root = pa_fs.FileSystem.from_uri(folder)
+    found = fs.get_file_info(pa_fs.FileSelector(root, allow_not_found=True))
+    return sorted(f.base_name for f in found if f.type == pa_fs.FileType.Directory and f.base_name.startswith("camera="))
+
+
 def archive(df: DataFrame, path: str, *partition: str, mode: str = "append") -> None:
     """Results laid out by part, run and camera; rows of a folder are gathered first, so it holds few files."""
     df.repartition(*partition).write.mode(mode).partitionBy(*partition).parquet(path)

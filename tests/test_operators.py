@@ -1,5 +1,7 @@
 """Hand-made grids and properties."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -358,3 +360,22 @@ def test_direct_blur_shifts_tiles_and_line_medians_need_no_join(spark):
     assert "collect_list" not in plan
     boxes = spark.createDataFrame([(1, i % 3, i, i * 9, i % 3 * 30 + i % 2, 5, 9) for i in range(30)], "grid_id long, line_id long, box_id long, x int, y int, w int, h int")
     assert "Join" not in X.longest_line(X.drop_wrong_y(boxes))._jdf.queryExecution().toString()
+
+
+def test_frame_streams_by_camera(spark):
+    from partlens.plans import streams
+
+    folder, path, state = (streams._shared(spark, n) for n in ("frames", "seen", "state"))
+    key = "spark.sql.files.minPartitionNum"
+    before = spark.conf.get(key, None)
+    for first, last in ((0, 250), (250, 260)):
+        at = F.concat(F.when(F.col("id") % 50 == 0, "camera=-1/").otherwise("camera=4/"), F.col("id"), F.lit(".bmp"))
+        content = F.when(F.col("id") == 7, F.lit("")).otherwise(F.repeat(F.lit("x"), 60)).cast("binary")
+        files.save_frames(spark.range(first, last).select(at.alias("name"), content.alias("content")), folder)
+        streams._watch(spark, folder, path, state)
+    assert files.camera_folders(folder) == ["camera=-1", "camera=4"] and spark.conf.get(key, None) == before
+    got = spark.read.option("recursiveFileLookup", True).parquet(path).collect()
+    assert sorted((r.camera_id, r.grid_id, r.body) for r in got) == sorted((-1 if i % 50 == 0 else 4, i, "78" * 6) for i in range(260) if i != 7)
+    # 245 files of camera 4 are three triggers of 100 files at most, and nine more the fourth; each is one task and no more
+    local = path.removeprefix("file://")
+    assert {c: len([f for f in os.listdir(f"{local}/{c}") if f.endswith(".parquet")]) for c in os.listdir(local)} == {"camera=-1": 2, "camera=4": 4}
