@@ -30,14 +30,19 @@ def keys(settings: DataFrame) -> DataFrame:
     return G.key_parts(G.parse_settings(settings))
 
 
+def clip_boxes(settings: DataFrame) -> DataFrame:
+    """Keys of regions. Lines that do not name the kind at all go before they are taken apart; lines of one key all name it."""
+    return keys(settings.where(F.contains("text", F.lit("clipBox")))).where("kind = 'clipBox'")
+
+
 def rects(settings: DataFrame) -> DataFrame:
     r = G.parse_rect(F.col("value"))
-    out = keys(settings).where("kind = 'clipBox'").withColumn("r", r).where("r IS NOT NULL")
+    out = clip_boxes(settings).withColumn("r", r).where("r IS NOT NULL")
     return out.select("part", "point", "processor", "i", "r.*", F.substring("part", 2, 18).try_cast("long").alias("grid_id"), "line_no")
 
 
 def polygons(settings: DataFrame) -> DataFrame:
-    out = keys(settings).where("kind = 'clipBox'").withColumn("points", G.parse_polygon(F.col("value"))).where("points IS NOT NULL")
+    out = clip_boxes(settings).withColumn("points", G.parse_polygon(F.col("value"))).where("points IS NOT NULL")
     return out.select("part", "point", "processor", "i", "points", F.substring("part", 2, 18).try_cast("long").alias("grid_id"), F.col("line_no").alias("region_id"))
 
 
@@ -50,7 +55,7 @@ register("s06_properties_to_table", "settings", lambda df: G.parse_settings(df).
 
 
 def _region_keys(settings: DataFrame) -> DataFrame:
-    counts = keys(settings).where("kind = 'clipBox'").groupBy("part", "point", "processor").agg(F.max("i").alias("regions"))
+    counts = clip_boxes(settings).groupBy("part", "point", "processor").agg(F.max("i").alias("regions"))
     return G.region_keys(counts).select("key", "i")
 
 

@@ -379,3 +379,24 @@ def test_frame_streams_by_camera(spark):
     # 245 files of camera 4 are three triggers of 100 files at most, and nine more the fourth; each is one task and no more
     local = path.removeprefix("file://")
     assert {c: len([f for f in os.listdir(f"{local}/{c}") if f.endswith(".parquet")]) for c in os.listdir(local)} == {"camera=-1": 2, "camera=4": 4}
+
+
+def test_regions_parse_their_numbers_once(spark):
+    from partlens.operators import regions
+    from partlens.plans import regions as queries
+
+    lines = [
+        "P1.a.b.1.clipBox = 1,1,6,1,6,6,1,5", "P1.a.b.2.clipBox=0,0,1,0,1,5", "P1.a.b.3.clipBox=1,1,x,4,5,5", "P1.a.b.4.clipBox=-1.5,2,3.9,4", "P1.a.b.5.clipBox=1,2,1.9,4",
+        "P1.a.b.6.clipBox=", "P2.a.b.clipBox=1,2,3,4", "P2.a.b.1.c.clipBox=1,2,3,4", "P2.a.b.1.note=clipBox", "# P3.a.b.1.clipBox=1,2,3,4", "P1.a.b.4.clipBox=5,6,7,8", None,
+    ]
+    settings = spark.createDataFrame(list(enumerate(lines)), "line_no long, text string")
+    polygons, rects = queries.polygons(settings), queries.rects(settings)
+    assert [(r.region_id, [tuple(p) for p in r.points]) for r in polygons.collect()] == [(0, [(1, 1), (6, 1), (6, 6), (1, 5)])]
+    assert sorted((r.line_no, r.part, r.i, r.x, r.y, r.w, r.h) for r in rects.collect()) == [(6, "P2", None, 1, 2, 3, 4), (10, "P1", 4, 5, 6, 7, 8)]
+    # a value is split once in a column, and a key's parts once in a filter by kind, however often they are named
+    for parsed in (regions.parse_polygon(F.col("text")), regions.parse_rect(F.col("text"))):
+        plan = settings.select(parsed.alias("p"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("split(") == 1
+    plan = settings.select(F.col("text").alias("key"), "line_no", F.lit("").alias("value"))
+    plan = regions.key_parts(plan).where("kind = 'clipBox'")._jdf.queryExecution().optimizedPlan().toString()
+    assert next(line for line in plan.splitlines() if "Filter" in line).count("split(") == 1
