@@ -160,11 +160,15 @@ CLIP = (1, 2, 30, 120)
 
 def region_binarize(cells: DataFrame, rects: DataFrame, cw: int, ch: int, width: int, height: int) -> DataFrame:
     """Characters of each region of ``width`` by ``height`` cells: clipped, halved, tiles normalised, cut locally with
-    and without that, joined, cleaned of lines along both axes, of trails and of bridges, and boxed."""
-    half = P.downsample(G2.clip_cells(cells, rects).select("grid_id", "x", "y", "v"))
+    and without that, joined, cleaned of lines along both axes, of trails and of bridges, and boxed.
+
+    What a step reads more than once is a table in the shared folder, so each step runs once."""
+    half = C.written(P.downsample(G2.clip_cells(cells, rects).select("grid_id", "x", "y", "v")), "half")
     tile = (width // 4, height // 6)  # half of the halved width, a third of the halved height
     both = P.pair_up(G.local_otsu(half, *tile), G.local_otsu(G.normalise_tiles(half, 6, 12), *tile)).select(*P.KEY, P.combine(F.col("v"), F.col("w"), "gray_and").alias("v"))
-    clean = C.remove_long_lines(C.remove_long_lines(both, 3 * cw, "horizontal"), ch * 3 // 2, "vertical")
+    clean = C.written(both, "cut")
+    for least, direction in ((3 * cw, "horizontal"), (ch * 3 // 2, "vertical")):
+        clean = C.written(C.remove_long_lines(clean, least, direction), "clean")
     for kx in range(3, -(-2 * cw // 3), 2):
         for ky in range(3, -(-2 * ch // 3), 2):
             clean = N.clear_trails(clean, kx, ky)

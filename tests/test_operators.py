@@ -400,3 +400,14 @@ def test_regions_parse_their_numbers_once(spark):
     plan = settings.select(F.col("text").alias("key"), "line_no", F.lit("").alias("value"))
     plan = regions.key_parts(plan).where("kind = 'clipBox'")._jdf.queryExecution().optimizedPlan().toString()
     assert next(line for line in plan.splitlines() if "Filter" in line).count("split(") == 1
+
+
+def test_region_steps_read_tables(spark, monkeypatch):
+    from partlens.plans import results
+
+    given, real = [], C.remove_long_lines
+    monkeypatch.setattr(results.C, "remove_long_lines", lambda cells, *more: given.append(cells) or real(cells, *more))
+    cells = spark.range(32 * 128).selectExpr("1L AS grid_id", "CAST(id % 32 AS INT) AS x", "CAST(id / 32 AS INT) AS y", "CAST(id * 7 % 256 AS INT) AS v")
+    results._region_binarize(cells)
+    # each reads its cells three times, so they are a table and nothing that would be worked out again
+    assert len(given) == 2 and not any("Exchange" in d._jdf.queryExecution().executedPlan().toString() for d in given)
