@@ -311,7 +311,8 @@ class NearDuplicates:
                 break
         now = now.drop("comp", "served").join(comps, "content").join(served, ["band", "key", "content"], "left_anti")
         now = materialize(now.join(materialize(self._main_of(pivots, comps), "near-main"), "pivot"), "near-last")
-        return self._settle(self._differences(now, elements), elements, comps)
+        rows, ranked = self._differences(now, elements)
+        return self._settle(rows, ranked, elements, comps)
 
     @staticmethod
     def _main_of(pivots: DataFrame, comps: DataFrame) -> DataFrame:
@@ -333,9 +334,9 @@ class NearDuplicates:
         comps = comps.join(joined.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left")
         return compared, linked, materialize(comps.select("content", F.coalesce("to", "comp").alias("comp")), "near-comps")
 
-    def _differences(self, now: DataFrame, elements: DataFrame) -> DataFrame:
+    def _differences(self, now: DataFrame, elements: DataFrame) -> tuple[DataFrame, DataFrame]:
         """What is left to compare: nodes of a bucket that were not served, in different components, with the rare
-        differences by which every link of one that is outside the pivot's component would show.
+        differences by which every link of one that is outside the pivot's component would show; and elements in order.
 
         ``D`` of a node is its difference from the pivot: elements it has beyond it and elements of the pivot it lacks.
         Two nodes differ by the elements that one D alone holds. A node outside the pivot's component differs from the
@@ -360,9 +361,9 @@ class NearDuplicates:
         x, y = ranked.alias("x"), ranked.select(F.col("content").alias("p"), F.col("elements").alias("of_pivot")).alias("y")
         rows = nodes.join(x, "content").join(y, F.col("pivot") == F.col("p"))
         rows = small_batches(rows.select("pivot", "content", "comp", "open", "total", "single", "elements", "of_pivot"))
-        return materialize(rows.mapInArrow(_prefixes(self.percent), PREFIXES), "near-prefixes")
+        return materialize(rows.mapInArrow(_prefixes(self.percent), PREFIXES), "near-prefixes"), ranked
 
-    def _settle(self, rows: DataFrame, elements: DataFrame, comps: DataFrame) -> DataFrame:
+    def _settle(self, rows: DataFrame, ranked: DataFrame, elements: DataFrame, comps: DataFrame) -> DataFrame:
         """Components after all links among nodes that share a difference from their pivot early enough."""
         key = ["pivot", "lost", "element"]
         for level in range(LEVELS + 1):
@@ -381,7 +382,7 @@ class NearDuplicates:
             rows = rows.where(large)
             if rows.isEmpty():
                 return comps
-            rows = self._split(rows.drop("comp").join(comps, "content"), elements, comps)
+            rows = self._split(rows.drop("comp").join(comps, "content"), ranked, elements, comps)
         return comps
 
     def _early_enough(self, rows: DataFrame, passes: int = 2) -> DataFrame:
@@ -409,26 +410,31 @@ class NearDuplicates:
         first = each.groupBy("pivot", "n", "h", "g").agg(F.max_by(F.struct("lost", "element", "opens", "b"), F.struct("rest", "lost", "element")).alias("f"))
         return first.select("pivot", "f.lost", "f.element", "f.opens", "f.b")
 
-    def _split(self, rows: DataFrame, elements: DataFrame, comps: DataFrame) -> DataFrame:
+    def _split(self, rows: DataFrame, ranked: DataFrame, elements: DataFrame, comps: DataFrame) -> DataFrame:
         """Rows as those of ``_differences``, of groups as buckets of their own: each node's differences from its group's
-        nearest node, those of the fewest nodes of the group first."""
-        group = F.concat_ws("/", F.md5(F.concat_ws("/", "pivot", "lost", "element").cast("binary")), "b.content")
-        nodes = rows.where("as_any").select(group.alias("pivot"), F.col("b.content").alias("head"), "content", "total", "comp")
+        nearest node, those of the fewest nodes first. Groups with one nearest node are one bucket, as their differences from
+        it are the same, however many groups a node is in. Elements that no other node has come before all others and make
+        no rows; their weight is enough."""
+        nodes = rows.where("as_any OR open = 1 AND as_open").select(F.col("b.content").alias("pivot"), F.col("b.content").alias("head"), "content", "total", "comp").distinct()
         nodes = nodes.join(comps.select(F.col("content").alias("head"), F.col("comp").alias("of_pivot")), "head").where("content <> head")
         nodes = nodes.withColumn("open", (F.col("comp") != F.col("of_pivot")).cast("int"))
         some = materialize(nodes.where("open = 1").select("pivot").distinct(), "near-some")
-        x = elements.select("content", F.col("elements").alias("x"))
+        alone = F.slice("elements", F.lit(1), F.col("single"))
+        common = F.slice("elements", F.col("single") + 1, F.greatest(F.size("elements") - F.col("single"), F.lit(0)))
+        x = ranked.select("content", _weight(alone).alias("alone"), F.col("elements").alias("all_x"), common.alias("x"))
         y = elements.select(F.col("content").alias("head"), F.col("elements").alias("y"), F.col("total").alias("of_head"))
         nodes = nodes.join(some, "pivot").join(x, "content").join(y, "head")
-        differ = F.concat(*[F.transform(F.array_except(a, b), lambda e, lost=lost: F.struct(F.lit(lost).alias("lost"), e.alias("element"))) for lost, a, b in ((0, "x", "y"), (1, "y", "x"))])
-        each = nodes.select("pivot", "content", "comp", "open", "total", "of_head", F.explode(differ).alias("e")).select("pivot", "content", "comp", "open", "total", "of_head", "e.lost", "e.element")
+        # a lambda of two parameters would get the place as the second one
+        marked = lambda lost, found: F.transform(found, lambda e: F.struct(F.lit(lost).alias("lost"), e.alias("element")))
+        differ = F.concat(marked(0, F.array_except("x", "y")), marked(1, F.array_except("y", "all_x")))
+        each = nodes.select("pivot", "content", "comp", "open", "total", "alone", "of_head", F.explode(differ).alias("e")).select("pivot", "content", "comp", "open", "total", "alone", "of_head", "e.lost", "e.element")
         each = materialize(each, "near-each")
         often = materialize(each.groupBy("pivot", "lost", "element").agg(F.count("*").alias("often")), "near-often")
         w = Window.partitionBy("pivot", "content")
         weight = F.col("element").bitwiseAND(F.lit(255).cast("long"))
-        each = each.join(often, ["pivot", "lost", "element"]).withColumn("d", F.sum(weight).over(w))
+        each = each.join(often, ["pivot", "lost", "element"]).withColumn("d", F.col("alone") + F.sum(weight).over(w))
         upto = F.sum(weight).over(w.orderBy("often", "lost", "element").rowsBetween(Window.unboundedPreceding, 0))
-        each = each.withColumn("rest", F.col("d") - upto + weight)
+        each = each.withColumn("rest", F.col("d") - F.col("alone") - upto + weight)
         t = self.percent / 100
         c = (1 - t) / (1 + t)
         least = F.col("d") - F.col("total") * (c * (1 + 1 / t))

@@ -164,3 +164,26 @@ def test_split_groups_lose_nothing(spark, monkeypatch, rows):
     want = {r.doc_id: r.class_id for r in neardup.op4_near_dedup(df).collect()}
     monkeypatch.setattr(neardup, "FEW", 2)
     assert {r.doc_id: r.class_id for r in neardup.op4_near_dedup(df).collect()} == want
+
+
+def test_splits_take_a_node_once(spark):
+    near = neardup.NearDuplicates.__new__(neardup.NearDuplicates)
+    near.percent = 80
+    e = lambda i: i << 8 | 64
+    texts = {"h": range(20), "a": [*range(6, 20), 30, 31, 40, 41], "b": [*range(6, 20), 30, 31, 50], "c": [*range(5, 20), 30, 60]}
+    of = {k: [e(i) for i in v] for k, v in texts.items()}
+    elements = spark.createDataFrame([(k, v, 64 * len(v)) for k, v in of.items()], "content string, elements array<long>, total long")
+    alone = {k: [x for x in v if sum(x in o for o in of.values()) == 1] for k, v in of.items()}
+    ranked = spark.createDataFrame([(k, alone[k] + [x for x in v if x not in alone[k]], len(alone[k])) for k, v in of.items()], "content string, elements array<long>, single int")
+    comps = spark.createDataFrame([(k, k) for k in of], "content string, comp string")
+    # three groups of two pivots with the same nearest node; c is open and early enough for nodes that are not open only
+    rows = [(p, 0, g, k, 64 * len(of[k]), k, 1, True, k != "c", ("h", "h", 1280)) for p, g in (("p", 1), ("p", 2), ("q", 1)) for k in "abc"]
+    rows = spark.createDataFrame(rows, "pivot string, lost int, element long, content string, total long, comp string, open int, as_open boolean, as_any boolean, b struct<content:string,comp:string,total:long>")
+    got = near._split(rows, ranked, elements, comps).collect()
+    assert {r.pivot for r in got} == {"h"} and len({(r.content, r.lost, r.element) for r in got}) == len(got) and {r.content for r in got} == set("abc")
+    gone = {k: [x for x in of["h"] if x not in v] for k, v in of.items()}
+    for r in got:
+        gained = [x for x in of[r.content] if x not in of["h"]]
+        assert r.d == 64 * (len(gained) + len(gone[r.content]))  # all of the difference, with elements that make no rows
+        assert r.element in (gone[r.content] if r.lost else set(gained) - set(alone[r.content]))
+        assert r.rest <= r.d - 64 * len(set(alone[r.content]) - set(of["h"]))
