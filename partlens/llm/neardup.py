@@ -193,7 +193,7 @@ def _elements(weights: np.ndarray) -> Callable:
     return run
 
 
-PREFIXES = "pivot string, content string, comp string, open int, total long, d long, lost int, element long, rest long, as_open boolean, as_any boolean"
+PREFIXES = "pivot long, content long, comp long, open int, total long, d long, lost int, element long, rest long, as_open boolean, as_any boolean"
 
 
 def _prefixes(percent: int) -> Callable:
@@ -267,8 +267,13 @@ class NearDuplicates:
         hashed = base.select("content", word_hashes(F.lower("text")).alias("hashes"))
         self.weights = shingle_weights(hashed, light.count())
         signed = hashed.mapInArrow(_signatures(self.weights), "content string, keys array<long>, total long")
-        signed = materialize(signed.groupBy("content").agg(F.first("keys").alias("keys"), F.first("total").alias("total")), "near-signatures")
-        self.classes = self._link(signed)
+        signed = signed.groupBy("content").agg(F.first("keys").alias("keys"), F.first("total").alias("total"))
+        # from here on a node is a number, fixed by the table that holds it: rows are half as long, and its least and
+        # largest need no sort
+        signed = materialize(signed.withColumn("node", F.monotonically_increasing_id()), "near-signatures")
+        self.numbers = signed.select("content", "node")
+        comps = self._link(signed.select(F.col("node").alias("content"), "keys", "total"))
+        self.classes = comps.withColumnRenamed("content", "node").join(self.numbers, "node").select("content", "comp")
 
     def _members(self, signed: DataFrame) -> DataFrame:
         """content, total, band, key of all nodes in buckets of two or more, with the node's centrality: the
@@ -282,34 +287,33 @@ class NearDuplicates:
 
     def _link(self, signed: DataFrame) -> DataFrame:
         members = self._members(signed)
-        elements = self._elements_of(members.select("content").distinct(), signed)
-        comps = members.select("content", F.col("content").alias("comp")).distinct()
+        elements = self._elements_of(members.select("content").distinct())
+        comps = elements.select("content", F.col("content").alias("comp"))
         rank = F.struct("central", "content")
-        pivots = materialize(members.groupBy("band", "key").agg(F.max_by("content", rank).alias("pivot")), "near-pivots")
-        served = None  # nodes that were compared with all others of a bucket
-        while True:
-            now = members.join(comps, "content")
-            if served is None:
-                now = now.withColumn("served", F.lit(False))
-            else:
-                now = now.join(served, ["band", "key", "content"], "left").withColumn("served", F.coalesce("served", F.lit(False)))
-            now = materialize(now.join(pivots, ["band", "key"]), "near-now")
-            heads = now.where("content = pivot").select("band", "key", F.col("comp").alias("main"))
-            left = now.where("NOT served").groupBy("band", "key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n"))
-            # a bucket is open while two nodes that were not served are in different components, or none was served
-            heads = materialize(heads.join(left.where("low <> high").select("band", "key"), ["band", "key"]), "near-heads")
-            now = materialize(now.join(heads, ["band", "key"]), "near-open")
-            open_ones = now.where("NOT served" if served is None else "NOT served AND comp <> main")
-            lead = open_ones.groupBy("band", "key").agg(F.max_by(F.struct("content", "comp", "total"), rank).alias("lead"))
+        first = members.groupBy("band", "key").agg(F.max_by(F.struct("content", "total"), rank).alias("f"))
+        pivots = materialize(first.select("band", "key", F.col("f.content").alias("pivot"), F.col("f.total").alias("tb")), "near-pivots")
+        # the first round: every node is a component of its own, all buckets are open and led by their pivots
+        pairs = members.join(pivots, ["band", "key"]).where("content <> pivot")
+        pairs = pairs.select(F.col("content").alias("a"), F.col("total").alias("ta"), F.col("pivot").alias("b"), "tb")
+        served = pivots.select("band", "key", F.col("pivot").alias("content"), F.lit(True).alias("served"))  # nodes that were compared with all others of a bucket
+        pivots, now = pivots.drop("tb"), members
+        compared, linked, comps = self._join(pairs, elements, comps)
+        while compared and linked >= LEAST_LINKED * compared:
+            now = members.join(comps, "content").join(served, ["band", "key", "content"], "left").withColumn("served", F.coalesce("served", F.lit(False)))
+            now = materialize(now, "near-now")
+            left = now.where("NOT served").groupBy("band", "key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+            # a bucket is open while two nodes that were not served are in different components
+            left = left.where("low <> high").select("band", "key")
+            heads = pivots.join(comps, F.col("pivot") == F.col("content")).select("band", "key", F.col("comp").alias("main"))
+            now = materialize(now.join(materialize(heads.join(left, ["band", "key"]), "near-heads"), ["band", "key"]), "near-open")
+            lead = now.where("NOT served AND comp <> main").groupBy("band", "key").agg(F.max_by(F.struct("content", "comp", "total"), rank).alias("lead"))
             lead = materialize(lead, "near-lead")
             pairs = now.join(lead, ["band", "key"]).where("comp <> lead.comp")
             pairs = pairs.select(F.col("content").alias("a"), F.col("total").alias("ta"), F.col("lead.content").alias("b"), F.col("lead.total").alias("tb"))
-            mark = lead.select("band", "key", F.col("lead.content").alias("content"), F.lit(True).alias("served"))
-            served = mark if served is None else served.unionByName(mark)
+            served = served.unionByName(lead.select("band", "key", F.col("lead.content").alias("content"), F.lit(True).alias("served")))
+            now = now.drop("comp", "served", "main")
             compared, linked, comps = self._join(pairs, elements, comps)
-            if linked < LEAST_LINKED * compared or not compared:
-                break
-        now = now.drop("comp", "served").join(comps, "content").join(served, ["band", "key", "content"], "left_anti")
+        now = now.join(comps, "content").join(served, ["band", "key", "content"], "left_anti").join(pivots, ["band", "key"])
         now = materialize(now.join(materialize(self._main_of(pivots, comps), "near-main"), "pivot"), "near-last")
         rows, ranked = self._differences(now, elements)
         return self._settle(rows, ranked, elements, comps)
@@ -358,8 +362,9 @@ class NearDuplicates:
         ranked = each.join(often, "e", "left").groupBy("content").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "e"))).alias("ranked"))
         ranked = materialize(ranked.select("content", F.col("ranked.e").alias("elements"), F.size(F.filter("ranked", lambda x: x["n"] == 1)).alias("single")), "near-ranked")
 
-        x, y = ranked.alias("x"), ranked.select(F.col("content").alias("p"), F.col("elements").alias("of_pivot")).alias("y")
-        rows = nodes.join(x, "content").join(y, F.col("pivot") == F.col("p"))
+        x, y = ranked, ranked.select(F.col("content").alias("p"), F.col("elements").alias("of_pivot"))
+        # pivots first: rows of a large bucket are short there, and long ones are dealt by their own node
+        rows = nodes.join(y, F.col("pivot") == F.col("p")).join(x, "content")
         rows = small_batches(rows.select("pivot", "content", "comp", "open", "total", "single", "elements", "of_pivot"))
         return materialize(rows.mapInArrow(_prefixes(self.percent), PREFIXES), "near-prefixes"), ranked
 
@@ -369,6 +374,8 @@ class NearDuplicates:
         for level in range(LEVELS + 1):
             rows = self._early_enough(rows)
             groups = materialize(self._groups(rows), "near-groups")
+            if groups.isEmpty():
+                return comps
             rows = materialize(rows.join(groups.select(*key, "opens", "b"), key), "near-grouped")
             # most nodes that are linked at all are linked to the nearest one: one link is enough to join two components, so
             # these pairs, one a row at most, come before all others; in a group that may be split all nodes meet the next pivot
@@ -387,25 +394,27 @@ class NearDuplicates:
 
     def _early_enough(self, rows: DataFrame, passes: int = 2) -> DataFrame:
         """Rows that some node of their group may be linked to: what a node has from the difference on must make up for what is
-        too much in its own differences and in those of the group's node with the least too much. A second pass goes by
-        the nodes that the first one leaves."""
+        too much in its own differences and in those of its partner with the least too much. A partner of one that is open
+        is any that is early enough for an open one, and the reverse: of a pair, one may be early enough as an open node
+        only. A second pass goes by the nodes that the first one leaves."""
         key = ["pivot", "lost", "element"]
-        rows = rows.withColumn("excess", F.col("d") * (100 + self.percent) - F.col("total") * (100 - self.percent))
+        rows = rows.withColumn("excess", F.col("d") * (100 + self.percent) - F.col("total") * (100 - self.percent)).withColumn("as_open", (F.col("open") == 1) & F.col("as_open"))
         for _ in range(passes):
-            ends = rows.where("as_any").groupBy(*key).agg(F.count("*").alias("m"), F.min("excess").alias("least")).where("m > 1").drop("m")
-            rows = rows.join(materialize(ends, "near-ends"), key).where(F.col("rest") * 2 * (100 + self.percent) >= F.col("excess") + F.col("least"))
-            rows = materialize(rows.drop("least"), "near-early")
+            ends = rows.groupBy(*key).agg(F.count("*").alias("m"), F.min(F.when(F.col("as_any"), F.col("excess"))).alias("any"), F.min(F.when(F.col("as_open"), F.col("excess"))).alias("opened"))
+            ends = ends.where("m > 1 AND any IS NOT NULL AND opened IS NOT NULL").drop("m")
+            has = F.col("rest") * 2 * (100 + self.percent) - F.col("excess")
+            rows = rows.join(materialize(ends, "near-ends"), key).withColumns({"as_open": F.col("as_open") & (has >= F.col("any")), "as_any": F.col("as_any") & (has >= F.col("opened"))})
+            rows = materialize(rows.where("as_open OR as_any").drop("any", "opened"), "near-early")
         return rows.drop("excess")
 
     def _groups(self, rows: DataFrame) -> DataFrame:
         """pivot, lost, element, opens (open nodes) and b, the nearest node, of groups of nodes that share a difference and hold a pair that may
         be a link. Of differences that the same nodes share, the first in order stands for all."""
-        rows = rows.where("as_any")
         each = rows.groupBy("pivot", "lost", "element").agg(
             F.count("*").alias("n"), F.bit_xor(F.xxhash64("content")).alias("h"), F.bit_xor(F.xxhash64("content", F.lit(1))).alias("g"), F.sum("rest").alias("rest"),
-            F.min("comp").alias("low"), F.max("comp").alias("high"), F.count_if((F.col("open") == 1) & F.col("as_open")).alias("opens"), F.min_by(F.struct("content", "comp", "total"), F.struct("d", "content")).alias("b"),
+            F.min("comp").alias("low"), F.max("comp").alias("high"), F.count_if((F.col("open") == 1) & F.col("as_open")).alias("opens"), F.count_if("as_any").alias("others"), F.min_by(F.struct("content", "comp", "total"), F.struct("d", "content")).alias("b"),
         )
-        each = each.where("low <> high AND opens > 0")
+        each = each.where("low <> high AND opens > 0 AND others > 0")
         # along the order of differences what a node has from one on grows less
         first = each.groupBy("pivot", "n", "h", "g").agg(F.max_by(F.struct("lost", "element", "opens", "b"), F.struct("rest", "lost", "element")).alias("f"))
         return first.select("pivot", "f.lost", "f.element", "f.opens", "f.b")
@@ -423,7 +432,7 @@ class NearDuplicates:
         common = F.slice("elements", F.col("single") + 1, F.greatest(F.size("elements") - F.col("single"), F.lit(0)))
         x = ranked.select("content", _weight(alone).alias("alone"), F.col("elements").alias("all_x"), common.alias("x"))
         y = elements.select(F.col("content").alias("head"), F.col("elements").alias("y"), F.col("total").alias("of_head"))
-        nodes = nodes.join(some, "pivot").join(x, "content").join(y, "head")
+        nodes = nodes.join(some, "pivot").join(y, "head").join(x, "content")
         # a lambda of two parameters would get the place as the second one
         marked = lambda lost, found: F.transform(found, lambda e: F.struct(F.lit(lost).alias("lost"), e.alias("element")))
         differ = F.concat(marked(0, F.array_except("x", "y")), marked(1, F.array_except("y", "all_x")))
@@ -454,17 +463,18 @@ class NearDuplicates:
     def _sizes(self, a: str, b: str) -> Column:
         return F.least(a, b) * 100 >= F.greatest(a, b) * self.percent
 
-    def _elements_of(self, wanted: DataFrame, signed: DataFrame) -> DataFrame:
+    def _elements_of(self, wanted: DataFrame) -> DataFrame:
         """Elements of the wanted nodes, read from one row of each."""
-        one = wanted.join(self.nodes, "content").select(F.col("content").alias("c"), F.col("first").alias("f"))
-        rows = self.docs.join(one, (F.col("content") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("f")), "left_semi")
-        hashed = rows.select("content", word_hashes(F.lower("text")).alias("hashes"))
-        out = hashed.mapInArrow(_elements(self.weights), "content string, elements array<long>")
+        one = self.numbers.join(wanted.withColumnRenamed("content", "node"), "node").join(self.nodes, "content").select(F.col("content").alias("c"), F.col("first").alias("f"), "node")
+        rows = self.docs.join(one, (F.col("content") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("f")))
+        hashed = rows.select(F.col("node").alias("content"), word_hashes(F.lower("text")).alias("hashes"))
+        out = hashed.mapInArrow(_elements(self.weights), "content long, elements array<long>")
         return materialize(out.withColumn("total", _weight(F.col("elements"))).dropDuplicates(["content"]), "near-elements")
 
     def _verified(self, pairs: DataFrame, elements: DataFrame) -> DataFrame:
         x, y = elements.alias("x"), elements.alias("y")
-        got = pairs.join(x, F.col("a") == F.col("x.content")).join(y, F.col("b") == F.col("y.content"))
+        # many pairs have one b: they are joined with it while they are short
+        got = pairs.join(y, F.col("b") == F.col("y.content")).join(x, F.col("a") == F.col("x.content"))
         return got.where(similar("x", "y", self.percent)).select("a", "b")
 
     def assigned(self) -> DataFrame:

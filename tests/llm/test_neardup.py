@@ -187,3 +187,28 @@ def test_splits_take_a_node_once(spark):
         assert r.d == 64 * (len(gained) + len(gone[r.content]))  # all of the difference, with elements that make no rows
         assert r.element in (gone[r.content] if r.lost else set(gained) - set(alone[r.content]))
         assert r.rest <= r.d - 64 * len(set(alone[r.content]) - set(of["h"]))
+
+
+def test_pairs_with_one_open_node_stay(spark):
+    """A pair of an open node, early enough as an open one only, and one that is not open."""
+    near = neardup.NearDuplicates.__new__(neardup.NearDuplicates)
+    near.percent = 80
+    rows = [("p", "a", "a", 1, 1000, 300, 0, 7, 300, True, False), ("p", "b", "p", 0, 1000, 100, 0, 7, 100, True, True)]
+    rows += [("p", "c", "c", 1, 1000, 300, 0, 8, 300, True, False), ("p", "d", "p", 0, 1000, 100, 0, 8, 20, True, True)]  # d has too little left
+    rows += [("p", "e", "e", 1, 1000, 300, 0, 9, 300, True, False), ("p", "f", "f", 1, 1000, 300, 0, 9, 300, True, False)]  # none that any may meet
+    rows = spark.createDataFrame(rows, "pivot string, content string, comp string, open int, total long, d long, lost int, element long, rest long, as_open boolean, as_any boolean")
+    early = near._early_enough(rows)
+    assert {(r.content, r.as_open, r.as_any) for r in early.collect()} == {("a", True, False), ("b", False, True)}
+    assert [(r.element, r.opens) for r in near._groups(early).collect()] == [(7, 1)]
+    got = near._by_difference(early).collect()
+    assert [(r.a, r.b) for r in got] == [("a", "b")]
+
+
+def test_first_round_needs_no_tables_of_open_buckets(spark, monkeypatch, rows):
+    """Every bucket is open then and led by its pivot; nodes are numbers in all that follows."""
+    wrote, write = [], neardup.materialize
+    monkeypatch.setattr(neardup, "materialize", lambda df, name: wrote.append((name, dict(df.dtypes))) or write(df, name))
+    neardup.op4_near_dedup(spark.createDataFrame(rows[:60], SCHEMA))
+    names = [n for n, _ in wrote]
+    assert not {"near-now", "near-heads", "near-open", "near-lead"} & set(names[: names.index("near-pairs")])
+    assert all(kinds.get("content", "bigint") == "bigint" for _, kinds in wrote[names.index("near-sizes") :])
