@@ -17,7 +17,6 @@ powers of two, which need no padding.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -104,25 +103,33 @@ class _Memory:
         """Ids of the numbers, one after the other, and how many each has."""
         begin = self.begin[which]
         counts = self.begin[which + 1] - begin
-        ends = np.cumsum(counts)
-        take = np.repeat(begin - ends + counts, counts)
-        take += np.arange(len(take))
-        return self.ids[take], counts
+        return _stretches(self.ids, begin, counts), counts
+
+
+def _stretches(ids: np.ndarray, begin: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """``ids[begin[i]:begin[i] + counts[i]]`` of all i, one after the other."""
+    ends = np.cumsum(counts)
+    take = np.repeat(begin - ends + counts, counts)
+    take += np.arange(len(take))
+    return ids[take]
+
+
+#: Kinds of bytes of plain words in lower case; all that are not ASCII belong to letters.
+LETTER, DIGIT = 1, 2
+KINDS = np.array([LETTER if 97 <= k <= 122 or k >= 128 else DIGIT if 48 <= k <= 57 else 0 for k in range(256)], np.uint8)
 
 
 class Words:
     """Token ids of texts, by words. The vocabulary's pre-tokenizer never crosses white space, so a text's ids
-    are its words' ids one after the other, and a word is encoded once while it is remembered.
+    are its words' ids one after the other, and each distinct word of the texts at hand is encoded once.
 
     The vocabulary lower-cases and cuts a word into runs of letters, single digits and runs of the rest. A
-    word of ASCII and Latin-1 characters without an apostrophe is cut here, so that ``the`` and ``The,``
-    share a run; other words are encoded whole.
+    word of ASCII characters and Latin-1 letters without an apostrophe is cut here, all words at once by the kinds of
+    their bytes, and its runs are remembered, so that ``the`` and ``The,`` share one; other words are encoded and
+    remembered whole.
     """
 
-    PLAIN = re.compile(r"[!-&(-~ß-öø-ÿ]+")
-    RUNS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
-    END = ""  # number 0 of the words is the end of a text
-
+    PLAIN = r"^[!-&(-~À-ÖØ-öø-ÿ]+$"
     def __init__(self, path: str, end_id: int, most: int = 450_000):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
@@ -141,17 +148,36 @@ class Words:
             self.runs.add(part, np.array(got.ids, np.uint32), np.bincount(np.array(got.word_ids, np.int64), minlength=len(part)))
 
     def _learn(self, words: list[str]) -> None:
-        low = [w.lower() for w in words]
-        plain = [("<|" not in x) and self.PLAIN.fullmatch(x) is not None for x in low]
-        cut = [self.RUNS.findall(x) for x, p in zip(low, plain, strict=True) if p]
-        flat = [r for c in cut for r in c]
-        self._learn_runs(list(dict.fromkeys(flat)))
-        ids, counts = self.runs.gather(self.runs.numbers(flat))
-        ends = np.concatenate([[0], np.cumsum(counts)])[np.cumsum([0, *map(len, cut)])]
-        self.words.add([w for w, p in zip(words, plain, strict=True) if p], ids, np.diff(ends))
-        other = [w for w, p in zip(words, plain, strict=True) if not p]
-        got = [e.ids for e in self.whole.encode_batch_fast(other, add_special_tokens=False)]
-        self.words.add(other, np.array([i for x in got for i in x], np.uint32), np.array([len(x) for x in got], np.int64))
+        got = [e.ids for e in self.whole.encode_batch_fast(words, add_special_tokens=False)]
+        self.words.add(words, np.array([i for x in got for i in x], np.uint32), np.array([len(x) for x in got], np.int64))
+
+    def _cut(self, low: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The runs of plain words in lower case, one after the other, and where each word's runs begin and end."""
+        if not len(low):
+            return low, np.zeros(1, np.int64)
+        ends = np.frombuffer(low.buffers()[1], np.int64)[low.offset : low.offset + len(low) + 1]
+        kind = KINDS[np.frombuffer(low.buffers()[2], np.uint8)[: ends[-1]]]
+        first = np.ones(len(kind), bool)
+        first[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+        first[ends[:-1]] = True
+        starts = np.flatnonzero(first)
+        runs = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, ends[-1])), low.buffers()[2])
+        return runs, np.searchsorted(starts, ends)
+
+    def _plain(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain words one after the other, and how many each has."""
+        runs, at = self._cut(pc.utf8_lower(words))
+        coded = runs.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        self._learn_runs(distinct)
+        ids, counts = self.runs.gather(self.runs.numbers(distinct)[coded.indices.to_numpy()])
+        return ids, np.diff(np.concatenate([[0], np.cumsum(counts)])[at])
+
+    def _whole(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of other words; an empty one has none."""
+        if new := self.words.make_room(words):
+            self._learn(new)
+        return self.words.gather(self.words.numbers(words))
 
     def encode(self, texts: pa.Array, leading: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, the end id after each; where each text's ids begin and end; and how
@@ -159,17 +185,22 @@ class Words:
         words = pc.split_pattern_regex(texts.cast(pa.large_string()), r"[\x20\x09-\x0D]+")
         starts = words.offsets.to_numpy().astype(np.int64)
         coded = words.values.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        new = self.words.make_room([self.END, *distinct])
-        if new and new[0] == self.END and not self.words.at:
-            self.words.add([self.END], np.array([self.end_id], np.uint32), np.array([1]))
-        if new := [w for w in new if w != self.END]:
-            self._learn(new)
-        which = self.words.numbers(distinct)[coded.indices.to_numpy()]
-        which = np.where(which == 0, -1, which)  # blanks at an edge of a text give an empty word
+        distinct = coded.dictionary
+        plain = pc.and_(pc.match_substring_regex(distinct, self.PLAIN), pc.invert(pc.match_substring(distinct, "<|")))
+        other = pc.invert(plain)
+        (some, n_some), (rest, n_rest) = self._plain(distinct.filter(plain)), self._whole(distinct.filter(other).to_pylist())
+        # the distinct words' ids, and the end of a text as the last of them
+        table, sizes = np.concatenate([some, rest, np.array([self.end_id], np.uint32)]), np.concatenate([n_some, n_rest, [1]])
+        order = np.concatenate([np.flatnonzero(plain.to_numpy(zero_copy_only=False)), np.flatnonzero(other.to_numpy(zero_copy_only=False)), [len(distinct)]])
+        begin_of, size_of = np.zeros((2, len(order)), np.int64)
+        begin_of[order], size_of[order] = np.cumsum(sizes) - sizes, sizes
+        which = coded.indices.to_numpy().astype(np.int64)
+        blank = pc.index(distinct, pa.scalar("", distinct.type)).as_py()
+        if blank >= 0:
+            which[which == blank] = -1  # blanks at an edge of a text give an empty word
         # each text's words, and the end after them
         n = np.diff(starts)
-        every = np.zeros(len(which) + len(n), np.int64)
+        every = np.full(len(which) + len(n), len(distinct), np.int64)
         inside = np.ones(len(every), bool)
         inside[np.cumsum(n + 1) - 1] = False
         every[inside] = which
@@ -178,7 +209,8 @@ class Words:
         if not keep.all():
             ends = np.cumsum(keep)[ends - 1]
             every = every[keep]
-        ids, counts = self.words.gather(every)
+        counts = size_of[every]
+        ids = _stretches(table, begin_of[every], counts)
         upto = np.concatenate([[0], np.cumsum(counts)])
         begin = np.concatenate([[0], ends[:-1]])
         first = np.minimum(begin + (0 if leading is None else leading), ends - 1)

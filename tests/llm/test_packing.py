@@ -148,3 +148,18 @@ def test_clashing_columns(spark):
     assert sum(r.length for r in got) == len(expected_ids("one two\nthree four")) and {r.doc_id for r in got} == {1}
     one = pack(df, public_vocabulary(), prompt=__import__("pyspark.sql.functions", fromlist=["x"]).lit("one two")).collect()
     assert sum(r.loss_tokens for r in one) == len(expected_ids("three four"))
+
+
+def test_words_of_many_parts_are_not_remembered_whole():
+    import pyarrow as pa
+
+    words = Words(public_vocabulary(), 2)
+    rng = np.random.default_rng(4)
+    parts = ["word", "Éa", "42", "-", "x", "ÿ", "&", "7"]
+    texts = [" ".join("".join(rng.choice(parts, rng.integers(1, 9))) for _ in range(200)) for _ in range(20)]
+    texts += ["", " ", "İa ẞb K× don't <|x|> ab<|", "\u00d7\u00f7 \u00aa1", "9" * 50]
+    ids, bounds, _ = words.encode(pa.array(texts))
+    for i, t in enumerate(texts):
+        assert ids[bounds[i] : bounds[i + 1]].tolist() == expected_ids(t), t
+    assert len(words.words.at) < 20 and len(words.runs.at) > 20  # runs are, and words that are not plain
+    assert words.encode(pa.array([], pa.string()))[0].tolist() == []
