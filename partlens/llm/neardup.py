@@ -37,9 +37,9 @@ DF_BITS = 18
 UNIT, STRENGTH, RARE = 64, 0.25, 0.001
 #: Rounds that compare one node a bucket with the others go on while this share of the pairs they compare are links.
 LEAST_LINKED = 0.1
-#: Open nodes of a group up to which they are compared with all others in it, and how often groups with more are split;
-#: after that their pairs are compared as well.
-FEW, LEVELS = 16, 12
+#: Open nodes of a group up to which they are compared with all others in it, or pairs a node that are left to compare in a
+#: group of up to COUNTED nodes; and how often groups with more are split; after that their pairs are compared as well.
+FEW, COUNTED, LEVELS = 16, 4096, 12
 
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9)]
 
@@ -237,6 +237,32 @@ def _prefixes(percent: int) -> Callable:
     return run
 
 
+def _many_pairs(percent: int, few: int, block: int = 256) -> Callable:
+    """The groups whose nodes make more than ``few`` pairs a node in ``_by_difference``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("nodes")
+            ends = lists.offsets.to_numpy()
+            flat = {f.name: lists.values.field(f.name).to_numpy(zero_copy_only=False) for f in lists.type.value_type}
+            many = np.zeros(batch.num_rows, bool)
+            for g in range(batch.num_rows):
+                x = {n: v[ends[g] : ends[g + 1]] for n, v in flat.items()}
+                x["excess"] = x["d"] * (100 + percent) - x["total"] * (100 - percent)
+                x["has"] = x["rest"] * 2 * (100 + percent) - x["excess"]
+                b = {n: v[x["as_any"]] for n, v in x.items()}
+                at, pairs = np.flatnonzero((x["open"] == 1) & x["as_open"]), 0
+                for i in range(0, len(at), block):
+                    a = {n: v[at[i : i + block], None] for n, v in x.items()}
+                    meet = (a["has"] >= b["excess"]) & (b["has"] >= a["excess"]) & (a["comp"] != b["comp"]) & ((b["open"] == 0) | (a["content"] < b["content"]))
+                    meet &= np.minimum(a["total"], b["total"]) * 100 >= np.maximum(a["total"], b["total"]) * percent
+                    pairs += int(meet.sum())
+                many[g] = pairs > few * (ends[g + 1] - ends[g])
+            yield pa.RecordBatch.from_arrays([batch.column(n).filter(pa.array(many)) for n in ("pivot", "lost", "element")], names=["pivot", "lost", "element"])
+
+    return run
+
+
 def _weight(elements: Column) -> Column:
     return F.aggregate(elements, F.lit(0).cast("long"), lambda s, x: s + x.bitwiseAND(F.lit(255).cast("long")))
 
@@ -382,11 +408,12 @@ class NearDuplicates:
             near = rows.where(F.expr(f"(open = 1 AND as_open OR opens > {FEW}) AND comp <> b.comp"))
             comps = self._join(near.select(F.col("content").alias("a"), F.col("total").alias("ta"), F.col("b.content").alias("b"), F.col("b.total").alias("tb")), elements, comps)[2]
             rows = rows.drop("comp").join(comps, "content")
-            left = rows.groupBy(*key).agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count_if((F.col("open") == 1) & F.col("as_open")).alias("still")).where("low <> high AND still > 0")
-            rows = materialize(rows.join(materialize(left.select(*key, "still"), "near-left"), key), "near-remaining")
-            large = F.least("opens", "still") > (FEW if level < LEVELS else 2**31 - 1)
-            comps = self._join(self._by_difference(rows.where(~large)), elements, comps)[2]
-            rows = rows.where(large)
+            left = rows.groupBy(*key).agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n"), F.count_if((F.col("open") == 1) & F.col("as_open")).alias("still")).where("low <> high AND still > 0")
+            rows = materialize(rows.join(materialize(left.select(*key, "n", "still"), "near-left"), key), "near-remaining")
+            large = rows.where((F.least("opens", "still") > FEW) & F.lit(level < LEVELS))
+            large = materialize(self._crowded(large), "near-crowded")
+            comps = self._join(self._by_difference(rows.join(large, key, "left_anti")), elements, comps)[2]
+            rows = rows.drop("n").join(large, key)
             if rows.isEmpty():
                 return comps
             rows = self._split(rows.drop("comp").join(comps, "content"), ranked, elements, comps)
@@ -419,6 +446,16 @@ class NearDuplicates:
         first = each.groupBy("pivot", "n", "h", "g").agg(F.max_by(F.struct("lost", "element", "opens", "b"), F.struct("rest", "lost", "element")).alias("f"))
         return first.select("pivot", "f.lost", "f.element", "f.opens", "f.b")
 
+    def _crowded(self, rows: DataFrame) -> DataFrame:
+        """pivot, lost, element of groups to split: those that have more than FEW pairs a node left to compare, or more nodes than
+        are counted. A split makes a row of each element by which a node differs from each of its groups' nearest nodes, so
+        it costs more than all pairs where groups overlap and most pairs are ruled out by their differences."""
+        key = ["pivot", "lost", "element"]
+        nodes = F.collect_list(F.struct("content", "comp", "open", "total", "d", "rest", "as_open", "as_any")).alias("nodes")
+        counted = small_batches(rows.where(f"n <= {COUNTED}").groupBy(*key).agg(nodes))
+        counted = counted.mapInArrow(_many_pairs(self.percent, FEW), rows.select(*key).schema)
+        return counted.unionByName(rows.where(f"n > {COUNTED}").select(*key).distinct())
+
     def _split(self, rows: DataFrame, ranked: DataFrame, elements: DataFrame, comps: DataFrame) -> DataFrame:
         """Rows as those of ``_differences``, of groups as buckets of their own: each node's differences from its group's
         nearest node, those of the fewest nodes first. Groups with one nearest node are one bucket, as their differences from

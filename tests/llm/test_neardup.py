@@ -204,6 +204,31 @@ def test_pairs_with_one_open_node_stay(spark):
     assert [(r.a, r.b) for r in got] == [("a", "b")]
 
 
+def test_only_groups_of_many_pairs_are_split(spark, monkeypatch):
+    """Forty open nodes of which each may be linked to the nearest one only, forty that may all be linked to each other, and
+    these once more, in a group too large to be counted."""
+    near = neardup.NearDuplicates.__new__(neardup.NearDuplicates)
+    near.percent = 80
+    group = lambda p, first, rest, d: [(p, i, i, 1, 1000, d if i == first else 300, 0, p, rest, True, True) for i in range(first, first + 40)]
+    rows = group(1, 100, 170, 240) + group(2, 200, 300, 300)
+    comps = spark.createDataFrame([(r[1], r[1]) for r in rows], "content long, comp long")
+    schema = "pivot long, content long, comp long, open int, total long, d long, lost int, element long, rest long, as_open boolean, as_any boolean"
+    made, split = [], []
+    monkeypatch.setattr(neardup.NearDuplicates, "_join", lambda self, pairs, elements, comps: made.append({(r.a, r.b) for r in pairs.collect()}) or (0, 0, comps))
+    monkeypatch.setattr(neardup.NearDuplicates, "_split", lambda self, rows, *rest: split.append({r.pivot for r in rows.collect()}) or rows.where("false"))
+    near._settle(spark.createDataFrame(rows, schema), None, None, comps)
+    assert split == [{2}]
+    assert made[1] == {(100, i) for i in range(101, 140)}
+    made.clear(), split.clear()
+    monkeypatch.setattr(neardup, "COUNTED", 39)
+    near._settle(spark.createDataFrame(rows, schema), None, None, comps)
+    assert split == [{1, 2}] and made[1] == set()
+    made.clear(), split.clear()
+    monkeypatch.setattr(neardup, "LEVELS", 0)
+    near._settle(spark.createDataFrame(rows, schema), None, None, comps)
+    assert not split and len(made[1]) == 39 + 780
+
+
 def test_first_round_needs_no_tables_of_open_buckets(spark, monkeypatch, rows):
     """Every bucket is open then and led by its pivot; nodes are numbers in all that follows."""
     wrote, write = [], neardup.materialize
